@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, langid, tokencount
+from . import decontaminate, jaccard, langid, tokencount
 from .common import table
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -20,6 +24,6 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_language_id, op8_token_counts, op9_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op6_benchmark_decontamination, op7_language_id, op8_token_counts, op9_ngram_jaccard)}
 
 ORACLE_SQL: dict[str, str] = {}
