@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, langid, tokencount
+from . import chat, decontaminate, jaccard, langid, tokencount, toxicity
 from .common import table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = chat.format_conversations(chat.with_probe(table(spark, sf_dir, "conversations")))
+    return chat.read_back(parts).drop("n_tokens")
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -24,6 +33,6 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_benchmark_decontamination, op7_language_id, op8_token_counts, op9_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_chat_formatting, op6_benchmark_decontamination, op7_language_id, op8_token_counts, op9_ngram_jaccard)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": chat.ORACLE_SQL}
