@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, langid, tokencount, toxicity
-from .common import table
+from . import chat, decontaminate, jaccard, langid, mixing, quality, secrets, sharding, tokencount, toxicity
+from .common import WORD, table
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +22,14 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(parts).drop("n_tokens")
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_verdicts(table(spark, sf_dir, "documents"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -33,6 +46,13 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_chat_formatting, op6_benchmark_decontamination, op7_language_id, op8_token_counts, op9_ngram_jaccard)}
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    none = F.lit("")
+    return mixing.mix(docs).select("doc_id", F.col("__domain").alias("domain"), F.coalesce("lang", none).alias("lang"), F.coalesce("source", none).alias("source"), words.alias("n_tokens"), F.col("__epochs").alias("epochs"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_chat_formatting, op4_sharding, op5_quality_rules, op6_benchmark_decontamination, op7_language_id, op8_token_counts, op9_ngram_jaccard, op10_source_mixing)}
 
-ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": chat.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": chat.ORACLE_SQL, "op10_source_mixing": mixing.ORACLE_SQL}
