@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import gathered
 from .tokencount import load, tokenizer_path
 
 PART = 200_000
@@ -92,7 +93,7 @@ def format_conversations(turns: DataFrame, tokenizer: str | None = None) -> Data
     """See the module's docstring. turns: (conv_id, turn, role, text)."""
     path = tokenizer or tokenizer_path()
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    rows = gathered(rows, ["conv_id"], ["turn", "role", "text"])
 
     def work(batches):
         t = load(path)

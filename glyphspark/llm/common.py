@@ -45,6 +45,14 @@ def spread_scan(df: DataFrame, *keys: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores, *keys)
 
 
+def gathered(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """Rows with equal keys in one task, sorted by keys and order, for functions that stream through them.
+
+    The hash expression keeps the exchange: on the bare keys the planner drops it above a join on the same keys, and
+    adaptive execution may then split a key's rows over tasks."""
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) with component = the smallest node reachable, for every node of edges (src, dst: long).
 
