@@ -84,7 +84,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model | None:
     order = rng.permutation(len(rows))
     cut = max(1, len(rows) * 4 // 5)
     y = np.array([langs.index(r[0]) for r in rows])
-    means = [(np.asarray(r[1]), np.asarray(r[2], float) / max(1.0, float(np.sum(r[2])))) for r in rows]
+    means = [(r[1], r[2] / max(1.0, float(r[2].sum()))) for r in rows]
     emb = rng.normal(0, 1 / DIM, (BUCKETS, DIM))
     w, bias = np.zeros((DIM, len(langs))), np.zeros(len(langs))
     for epoch in range(EPOCHS):
@@ -138,12 +138,12 @@ def fit(docs: DataFrame) -> Model | None:
             for i in range(batch.num_rows):
                 full = bucket_counts(raw[at[i] : at[i + 1]])
                 hit = np.flatnonzero(full)
-                b.append(hit.astype(np.int32))
-                c.append(full[hit].astype(np.float32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(b, pa.list_(pa.int32())), pa.array(c, pa.list_(pa.float32()))], names=["lang", "b", "c"])
+                b.append(hit.astype(np.int32).tobytes())
+                c.append(full[hit].astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(b, pa.binary()), pa.array(c, pa.binary())], names=["lang", "b", "c"])
 
-    rows = drawn.mapInArrow(count, "lang string, b array<int>, c array<float>").toPandas()
-    return train(sorted(zip(rows["lang"], rows["b"], rows["c"], strict=True), key=lambda r: (r[0], len(r[1]), float(np.sum(r[2])), int(np.sum(r[1], dtype=np.int64)))))
+    rows = sorted((r["lang"], bytes(r["b"]), bytes(r["c"])) for r in drawn.mapInArrow(count, "lang string, b binary, c binary").toLocalIterator())
+    return train([(lang, np.frombuffer(b, np.int32), np.frombuffer(c, np.float32)) for lang, b, c in rows])
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:

@@ -228,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame):
             yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(lists, pa.binary())], names=["toxic", "f"])
 
     picked = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("__toxic", "text")  # at most about 2 * TRAIN_ROWS rows
-    rows = sorted((r["toxic"], bytes(r["f"])) for r in picked.mapInArrow(encode, "toxic int, f binary").collect())
+    rows = sorted((r["toxic"], bytes(r["f"])) for r in picked.mapInArrow(encode, "toxic int, f binary").toLocalIterator())
     rows = [(y, np.frombuffer(f, np.int32).reshape(-1, N_FEATURES)) for y, f in rows]
     taken = {k: max(1, sum(1 for y, _ in rows if y == k)) for k in (0, 1)}
     return train(rows, (sizes[0] / sizes[1]) / (taken[0] / taken[1]))
