@@ -26,7 +26,7 @@ from .common import held_out
 
 BUCKETS = 1 << 14
 #: Bounds of the training sample: rows in all.
-TRAIN_ROWS = 3000
+TRAIN_ROWS = 1500
 DIM, EPOCHS, RATE, SEED = 16, 12, 0.5, 7
 #: Calibration rejects this share of the correctly predicted calibration rows at most.
 REJECT_SHARE = 0.001
