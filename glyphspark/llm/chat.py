@@ -108,7 +108,7 @@ def format_conversations(turns: DataFrame, tokenizer: str | None = None) -> Data
                 started, conv = True, conv_id
                 held.append((role, text))
                 size += len(text) + 40
-                if len(out) >= 64:
+                if len(out) >= 16:
                     yield pd.DataFrame(out)
                     out = []
         if started:
