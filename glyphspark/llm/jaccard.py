@@ -4,8 +4,8 @@ Contract of `jaccard_components`: a document's set holds its distinct five-word
 ASCII white space); with fewer words, the whole sequence as one; with none or null text the set is empty and links with
 nothing. Two documents link when 100 * |A & B| >= 75 * |A | B|. Every row of the input comes back once as
 (doc_id, n_shingles, n_links, component_id); component_id is the smallest doc_id reachable by links, the row itself
-included. n_links counts links between different texts' sets, once for each pair found, plus the other copies of the
-same set. Rows with a null doc_id keep their counts and have a null component unless a copy has an id. Repeated rows are
+included. n_links is the number of other rows that the row links with, copies of its own and of other texts included.
+Rows with a null doc_id keep their counts and have a null component unless a linked row has an id. Repeated rows are
 copies of each other. Columns beside doc_id and text are ignored.
 
 How it scales:
@@ -15,12 +15,13 @@ How it scales:
    those are is counted over all documents by a mergeable lossy count; it changes speed, never results.
 3. The bucket of a token is led by its smallest class; all buckets with one leader make a family, so a passage that
    many sets share makes one family and not one for each of its tokens. Sets that share a token share a family.
-4. Star step: in each family the sets are held against a few centers alone; verified pairs already join most near copies,
-   in rows proportional to the families.
-5. Tree step: families whose members still lie in different components go through signature trees: nodes hold the OR of
-   their members' token bitmaps and their size range, and pairs of nodes are traversed together, pruned by the largest
-   overlap that they allow, or when both sides lie in one component already.
-6. Each surviving pair is verified on the full sets. Components come from star contractions in Spark.
+4. Signature trees find the members of a family that may link with another: nodes hold the OR of their members' token
+   bitmaps and their size range, and pairs of nodes are traversed together, pruned by the largest overlap they allow.
+   A pair belongs to the smallest leader that both sides share, so that it counts once.
+5. The full sets of those members meet again in their family, where every overlap is counted. Pairs stay inside the
+   task: out of it come each member's number of links, weighted by copies, and its component within the family.
+   Work grows with the square of a group of near copies, as each of its links is verified; rows do not.
+6. Components of all families come from star contractions in Spark.
 """
 
 from __future__ import annotations
@@ -41,11 +42,13 @@ FREQUENT_SHARE, FREQUENT_LEAST, LOCAL_LEAST = 1e-3, 40, 3
 BITS, WIDE, LEAF = (2048, 16384), 1024, 16
 #: The ids of documents to read again are broadcast up to this count, and joined by shuffle beyond.
 BROADCAST_IDS = 2_000_000
-PAIRS = 256
-#: Passes over a family before the trees, and sets that a pass holds its members against.
-ROUNDS, CENTERS = 6, 32
-#: Stands for several components, or none yet; no class has this name.
-MIXED = -(1 << 63)
+#: Tokens of up to RARE sets are counted pair by pair, others as columns of a matrix, COLUMNS at a time.
+RARE, COLUMNS = 8, 2048
+
+
+def _digest():
+    """Names a text, copies alike."""
+    return F.xxhash64("text").alias("digest")
 
 
 def shingle_sets(column, most: int = 1 << 22):
@@ -111,7 +114,7 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             n = np.zeros(batch.num_rows, np.int64)
             cls = np.zeros(batch.num_rows, np.int64)
             parts, lengths, maps = [], np.zeros(batch.num_rows + 1, np.int64), []
-            for k, s in shingle_sets(batch.column(1)):
+            for k, s in shingle_sets(batch.column(2)):
                 n[k], cls[k] = len(s), _class_of(s)
                 maps.append(bitmap(s).tobytes())
                 if len(s):
@@ -125,30 +128,34 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     lengths[k + 1] = take
             flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(cls), lists, pa.array(maps, pa.binary())], names=["doc_id", "n_shingles", "cls", "prefix", "map"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(cls), lists, pa.array(maps, pa.binary())], names=["doc_id", "digest", "n_shingles", "cls", "prefix", "map"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(prefix, "doc_id long, n_shingles long, cls long, prefix array<long>, map binary")
+    return docs.select(F.col("doc_id").cast("long"), _digest(), "text").mapInArrow(prefix, "doc_id long, digest long, n_shingles long, cls long, prefix array<long>, map binary")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cls, n, members) of the classes in wanted (cls, doc_id): read again from the text of one document each."""
+    """(cls, members) of the classes with a digest in wanted (digest): read again from their texts, whatever the ids."""
 
     def whole(batches):
+        seen = set()
         for batch in batches:
-            ids, n, flat, lengths = [], [], [], [0]
-            for _, s in shingle_sets(batch.column(0)):
+            new = []
+            for k, d in enumerate(batch.column(0).to_pylist()):
+                if d not in seen:
+                    seen.add(d)
+                    new.append(k)
+            ids, flat, lengths = [], [], [0]
+            for _, s in shingle_sets(batch.column(1).take(pa.array(new, pa.int64()))):
                 ids.append(_class_of(s))
-                n.append(len(s))
                 flat.append(s)
                 lengths.append(lengths[-1] + len(s))
             values = np.concatenate(flat).view(np.int64) if flat else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(values))], names=["cls", "n", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(values))], names=["cls", "members"])
 
-    ids = wanted.select("doc_id")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    found = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text")
-    return found.mapInArrow(whole, "cls long, n long, members array<long>")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    found = docs.select(_digest(), "text").join(wanted, "digest", "left_semi")
+    return found.mapInArrow(whole, "cls long, members array<long>").groupBy("cls").agg(F.first("members").alias("members"))
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -159,25 +166,24 @@ def bitmap(s: np.ndarray) -> np.ndarray:
 
 
 class SignatureTree:
-    """Sets of one bucket in order of size. Each level joins LEAF neighbours: OR of bitmaps, size range, component or MIXED.
+    """Sets of one bucket in order of size. Each level joins LEAF neighbours: OR of bitmaps, size range.
 
     slack is the largest n - popcount below a node: two sets overlap in at most popcount(and) + the smaller slack tokens,
     as each token of a set beyond the first on a bit is in its slack.
     """
 
-    def __init__(self, sizes: np.ndarray, maps: np.ndarray, comps: np.ndarray):
+    def __init__(self, sizes: np.ndarray, maps: np.ndarray):
         slack = sizes - np.bitwise_count(maps).sum(1).astype(np.int64)
-        self.levels = [(sizes, sizes, maps, slack, comps)]
+        self.levels = [(sizes, sizes, maps, slack)]
         while len(self.levels[-1][0]) > 1:
-            low, high, m, s, c = self.levels[-1]
+            low, high, m, s = self.levels[-1]
             cut = np.arange(0, len(low), LEAF)
-            same = np.minimum.reduceat(c, cut)
-            self.levels.append((np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.bitwise_or.reduceat(m, cut, axis=0), np.maximum.reduceat(s, cut), np.where(same == np.maximum.reduceat(c, cut), same, MIXED)))
+            self.levels.append((np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.bitwise_or.reduceat(m, cut, axis=0), np.maximum.reduceat(s, cut)))
 
     def _alive(self, level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Of node pairs (a <= b), those that may hold a link: the tests are exact bounds, in whole numbers."""
-        low, high, maps, slack, comp = self.levels[level]
-        ok = (4 * high[a] >= 3 * low[b]) & (4 * high[b] >= 3 * low[a]) & ~((comp[a] == comp[b]) & (comp[a] != MIXED))
+        low, high, maps, slack = self.levels[level]
+        ok = (4 * high[a] >= 3 * low[b]) & (4 * high[b] >= 3 * low[a])
         a, b = a[ok], b[ok]
         for i in range(0, len(a), 20_000):
             x, y = a[i : i + 20_000], b[i : i + 20_000]
@@ -204,144 +210,146 @@ class SignatureTree:
                         todo.append((level - 1, p, q))
 
 
-def _by_family(rows: DataFrame, candidates) -> DataFrame:
-    """Pairs (a, b) that candidates(cls, n, comp, maps, lead) names as index arrays, for each family of rows
-    (lead, cls, n, comp, map). A family arrives sorted by size; only one is held at a time."""
-    rows = gathered(rows.select("lead", "cls", "n", "comp", "map"), ["lead"], ["n", "cls"])
+def _families(batches):
+    """(lead, table) of each run of rows with one lead, the first column; only one is held at a time."""
+    held: list[pa.RecordBatch] = []
+    mine = None
+    for batch in batches:
+        lead = batch.column(0).to_numpy(zero_copy_only=False)
+        cut = [0, *(np.flatnonzero(lead[1:] != lead[:-1]) + 1), len(lead)] if len(lead) else []
+        for i, j in zip(cut, cut[1:], strict=False):
+            if held and lead[i] != mine:
+                yield mine, pa.Table.from_batches(held).combine_chunks()
+                held = []
+            mine = lead[i]
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield mine, pa.Table.from_batches(held).combine_chunks()
+
+
+def _lists(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """(values, offsets) of a list column."""
+    column = table.column(name).combine_chunks()
+    if isinstance(column, pa.ChunkedArray):
+        column = column.chunk(0)
+    at = column.offsets.to_numpy()
+    return column.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]], at - at[0]
+
+
+def overlaps(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Counts of the values shared by lists i < j, where list k is flat[at[k] : at[k + 1]] without repeats; 0 elsewhere."""
+    m = len(at) - 1
+    out = np.zeros((m, m), np.int32)
+    order = np.argsort(flat, kind="stable")
+    row, value = np.repeat(np.arange(m), np.diff(at))[order], flat[order]
+    start = np.flatnonzero(np.concatenate((np.ones(min(1, len(value)), bool), value[1:] != value[:-1])))
+    count = np.diff(np.append(start, len(value)))
+    for c in range(2, min(RARE, m) + 1):
+        s = start[count == c]
+        for p in range(c):
+            for q in range(p + 1, c):
+                np.add.at(out, (row[s + p], row[s + q]), 1)
+    start, count = start[count > RARE], count[count > RARE]
+    for i in range(0, len(start), COLUMNS):
+        s, c = start[i : i + COLUMNS], count[i : i + COLUMNS]
+        x = np.zeros((m, len(s)), np.float32)
+        x[row[np.repeat(s - np.cumsum(c) + c, c) + np.arange(c.sum())], np.repeat(np.arange(len(s)), c)] = 1
+        out += (x @ x.T).astype(np.int32)
+    return np.triu(out, 1)
+
+
+def _elsewhere(lead: int, table: pa.Table) -> np.ndarray:
+    """True for members i < j that share a smaller leader: their pair belongs to that family."""
+    flat, at = _lists(table, "leads")
+    less = flat < lead
+    return overlaps(flat[less], np.concatenate(([0], np.cumsum(less)))[at]) > 0
+
+
+def _near(rows: DataFrame) -> DataFrame:
+    """(lead, cls) of the rows (lead, cls, n, leads, map) that may link with another of their family, by exact bounds."""
 
     def walk(batches):
-        held: list[tuple] = []
-        lead = None
-
-        def found():
-            cls, n, comp = (np.concatenate([x[k] for x in held]) for k in range(3))
-            maps = [m for x in held for m in x[3]]
-            out = []
+        for lead, table in _families(batches):
+            n = table.column("n").to_numpy()
+            maps = table.column("map").to_pylist()
+            other = _elsewhere(lead, table)
+            near = np.zeros(len(n), bool)
             large = n > WIDE
             # maps of large sets are folded to the small width to meet small sets, and keep their own among themselves
             for at, width in ((np.flatnonzero(3 * n <= 4 * WIDE), BITS[0]), (np.flatnonzero(large), BITS[1])):
                 if len(at) > 1:
                     part = np.stack([np.bitwise_or.reduce(np.frombuffer(maps[k], np.uint64).reshape(-1, width // 64), 0) for k in at])
-                    for i, j in candidates(cls[at], n[at], comp[at], part, lead):
+                    for i, j in SignatureTree(n[at], part).pairs():
                         i, j = at[i], at[j]
-                        ok = ~(large[i] & large[j]) if width == BITS[0] else slice(None)
-                        out.append((cls[i][ok], cls[j][ok]))
-            a, b = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                        ok = ~other[i, j]
+                        near[i[ok]] = near[j[ok]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(near.sum(), lead)), pa.array(table.column("cls").to_numpy()[near])], names=["lead", "cls"])
 
-        for batch in batches:
-            t, cls, n, comp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            maps = batch.column(4).to_pylist()
-            cut = [0, *(np.flatnonzero(t[1:] != t[:-1]) + 1), len(t)] if len(t) else [0]
-            for i, j in zip(cut, cut[1:], strict=False):
-                if held and t[i] != lead:
-                    yield found()
-                    held = []
-                lead = t[i]
-                held.append((cls[i:j], n[i:j], comp[i:j], maps[i:j]))
-        if held:
-            yield found()
-
-    return rows.mapInArrow(walk, "a long, b long")
-
-
-def _star(cls, n, comp, maps, lead):
-    """Members with centers, as far as size and bitmap allow a link. In each of ROUNDS passes the centers are the smallest
-    classes that no center of the pass may link with, at most CENTERS of them; so a group of near copies is held against
-    ROUNDS of its members, the same ones in most families, and work is in proportion to the family's size."""
-    slack = n - np.bitwise_count(maps).sum(1).astype(np.int64)
-    order = np.argsort(cls)
-    rank = np.empty(len(cls), np.int64)
-    rank[order] = np.arange(len(cls))
-    used = np.zeros(len(cls), bool)
-    for _ in range(ROUNDS):
-        free = ~used
-        for _ in range(CENTERS):
-            left = order[free[order]]
-            if not len(left):
-                break
-            at = left[0]
-            most = np.minimum(np.bitwise_count(maps & maps[at]).sum(1).astype(np.int64) + np.minimum(slack, slack[at]), np.minimum(n, n[at]))
-            near = (7 * most >= 3 * (n + n[at])) & (4 * n >= 3 * n[at]) & (4 * n[at] >= 3 * n)
-            near[at] = False
-            ok = np.flatnonzero(near)
-            yield np.full(len(ok), at), ok
-            free &= ~near
-            free[at] = False
-            used[at] = True
-
-
-def _tree(cls, n, comp, maps, lead):
-    yield from SignatureTree(n, maps, comp).pairs()
-
-
-def _verify(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-    """Pairs (a, b) whose full sets link. The set of b travels once a pair, that of a once for about PAIRS of its pairs."""
-    sets = durable(sets, "sets")
-    pairs = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).alias("salts")), "a")
-    salt = F.pmod(F.col("b"), F.col("salts")).cast("int")
-    right = pairs.join(sets, pairs["b"] == sets["cls"]).select("a", salt.alias("salt"), "b", "members")
-    left = pairs.select("a", salt.alias("salt")).distinct().join(sets, F.col("a") == F.col("cls")).select("a", "salt", F.lit(None).cast("long").alias("b"), "members")
-    rows = gathered(left.unionByName(right), ["a", "salt"], [F.col("b").asc_nulls_first()])
-
-    def check(batches):
-        mine = None
-        for batch in batches:
-            a, salt, b = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()
-            lists = batch.column(3)
-            at = lists.offsets.to_numpy()
-            flat = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            out_a, out_b = [], []
-            for k in range(batch.num_rows):
-                s = flat[at[k] : at[k + 1]]
-                if b[k] is None:
-                    mine = s.copy()
-                    continue
-                both = len(np.intersect1d(mine, s, assume_unique=True))
-                if 100 * both >= 75 * (len(mine) + len(s) - both):
-                    out_a.append(a[k])
-                    out_b.append(b[k])
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
-
-    return durable(rows.mapInArrow(check, "a long, b long"), name)
-
-
-def _named(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cls, doc_id) of the classes in pairs, with one document of each."""
-    named = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    return durable(named.join(classes.select("cls", "doc_id"), "cls"), "named")
+    return gathered(rows.select("lead", "cls", "n", "leads", "map"), ["lead"], ["n", "cls"]).mapInArrow(walk, "lead long, cls long")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """See the module's docstring."""
-    docs = docs.select("doc_id", "text")
+def _within(links: np.ndarray) -> np.ndarray:
+    """The first member that each one reaches by links (symmetric)."""
+    out = np.full(len(links), -1)
+    for k in range(len(links)):
+        if out[k] < 0:
+            at = np.array([k])
+            out[k] = k
+            while len(at):
+                at = np.flatnonzero(links[at].any(0) & (out < 0))
+                out[at] = k
+    return out
+
+
+def _linked(rows: DataFrame) -> DataFrame:
+    """(cls, root, links) of the rows (lead, cls, copies, leads, members) that link in their family: a member that they
+    reach by links there, and the number of documents that they link with. Every pair is verified."""
+
+    def count(batches):
+        for lead, table in _families(batches):
+            flat, at = _lists(table, "members")
+            n, copies, cls = np.diff(at), table.column("copies").to_numpy(), table.column("cls").to_numpy()
+            both = overlaps(flat, at).astype(np.int64)
+            link = (both > 0) & (100 * both >= 75 * (n[:, None] + n - both)) & ~_elsewhere(lead, table)
+            link |= link.T
+            on = np.flatnonzero(link.any(1))
+            yield pa.RecordBatch.from_arrays([pa.array(cls[on]), pa.array(cls[_within(link)[on]]), pa.array((link @ copies)[on])], names=["cls", "root", "links"])
+
+    return gathered(rows.select("lead", "cls", "copies", "leads", "members"), ["lead"], ["cls"]).mapInArrow(count, "cls long, root long, links long")
+
+
+def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): rows (doc_id, digest, n_shingles, cls) of docs and classes (cls, comp, n_links) without the empty set."""
     n_docs = docs.select("doc_id").count()
     base = durable(_prefixes(docs, _frequent(docs, n_docs)), "prefixes")
-    classes = base.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"))
+    classes = durable(base.where("n_shingles > 0").groupBy("cls").agg(F.min("digest").alias("digest"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"), F.first("map").alias("map")), "classes")
 
     # families: the sets of all tokens that one class leads
     by_token = base.where("n_shingles > 0").select("cls", F.col("n_shingles").alias("n"), F.explode("prefix").alias("token"))
     order = Window.partitionBy("token").orderBy("cls")
-    led = by_token.withColumn("lead", F.first("cls").over(order)).withColumn("lead_n", F.first("n").over(order))
-    family = durable(led.where("cls <> lead").select("lead", "lead_n", "cls", "n").distinct(), "families")
-    family = durable(family.select("lead", "cls", "n").unionByName(family.select("lead", F.col("lead").alias("cls"), F.col("lead_n").alias("n")).distinct()), "members")
-    maps = durable(base.where("n_shingles > 0").groupBy("cls").agg(F.first("map").alias("map")), "maps")
-
-    star = durable(_by_family(family.withColumn("comp", F.lit(MIXED).cast("long")).join(maps, "cls"), _star).distinct(), "star-pairs")
-    links = _verify(star, _sets(docs, _named(star, classes)), "star-links")
-    comps = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), "star")
-
-    placed = family.join(comps, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cls"))
-    still = placed.groupBy("lead").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")).where("low <> high and m > 2").select("lead")
-    tree = durable(_by_family(placed.select("lead", "cls", "n", "comp").join(still, "lead", "left_semi").join(maps, "cls"), _tree).distinct().join(star, ["a", "b"], "left_anti"), "tree-pairs")
-    links = links.unionByName(_verify(tree, _sets(docs, _named(tree, classes)), "tree-links"))
-
-    node = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), "all")
-    degree = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("degree"))
-    least = classes.join(node, F.col("cls") == F.col("node"), "left").select("cls", "doc_id", "copies", F.coalesce("component", "cls").alias("comp"))
-    root = least.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    label = durable(least.join(root, "comp").join(degree, "cls", "left").select("cls", "component_id", (F.col("copies") - 1 + F.coalesce("degree", F.lit(0))).alias("n_links")), "labels")
-    return base.join(label, "cls", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    led = by_token.withColumn("lead", F.first("cls").over(order))
+    family = durable(led.where("cls <> lead").select("lead", "cls").distinct(), "families")
+    family = durable(family.unionByName(family.select("lead", F.col("lead").alias("cls")).distinct()), "members")
+    leads = durable(family.groupBy("cls").agg(F.sort_array(F.collect_list("lead")).alias("leads")), "leads")
+
+    near = durable(_near(family.join(leads, "cls").join(classes, "cls")), "near")
+    wanted = durable(classes.join(near.select("cls").distinct(), "cls").select("digest"), "wanted")
+    found = durable(_linked(near.join(leads, "cls").join(classes.select("cls", "copies"), "cls").join(_sets(docs, wanted), "cls")), "linked")
+
+    node = connected_components(found.select(F.col("cls").alias("src"), F.col("root").alias("dst")))
+    degree = found.groupBy("cls").agg(F.sum("links").alias("links"))
+    label = classes.join(node, F.col("cls") == F.col("node"), "left").join(degree, "cls", "left").select("cls", F.coalesce("component", "cls").alias("comp"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return base.select("doc_id", "digest", "n_shingles", "cls"), durable(label, "labels")
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """See the module's docstring."""
+    rows, classes = _labelled(docs.select("doc_id", "text"))
+    least = rows.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    root = classes.join(least, "cls").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    label = durable(classes.join(root, "comp").select("cls", "component_id", "n_links"), "components")
+    some = F.col("n_shingles") > 0
+    return rows.join(label, "cls", "left").select("doc_id", "n_shingles", F.when(some, F.col("n_links")).otherwise(0).cast("long").alias("n_links"), F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

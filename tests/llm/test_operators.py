@@ -349,6 +349,27 @@ def test_jaccard_equals_brute_force(spark, empty):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
+def test_every_link_counts(spark):
+    """Sixty distinct texts that all link, with copies, and texts that link with a few of them."""
+    rng = random.Random(8)
+    base = prose(rng, 300).split()
+    rows = []
+    for k in range(60):
+        w = base.copy()
+        w[rng.randrange(len(w))] = f"only{k}"
+        rows += [" ".join(w)] * (1 + k % 3)
+    for k in range(20):
+        w = base.copy()
+        for _ in range(8):
+            w[rng.randrange(len(w))] = f"far{k}"
+        rows.append(" ".join(w))
+    sets = [shingles(t) for t in rows]
+    links = [sum(i != j and 100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(rows)], SCHEMA)
+    assert {r.doc_id: r.n_links for r in jaccard.jaccard_components(docs).collect()} == dict(enumerate(links))
+    assert len(set(links)) > 3 and max(links) > 119
+
+
 def test_repeated_and_null_ids(spark):
     rows = [(1, "a b c d e f", None, None, 0), (1, "a b c d e f", None, None, 0), (None, "a b c d e f", None, None, 0), (None, None, None, None, 0)]
     got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect())
