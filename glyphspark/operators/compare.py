@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from math import isqrt
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -41,25 +42,37 @@ def edits(a: list, b: list) -> list[tuple[str, int, int]]:
     x, y = a[low : len(a) - end], b[low : len(b) - end]
     head = [("equal", k, k) for k in range(low)]
     tail = [("equal", len(a) - end + k, len(b) - end + k) for k in range(end)]
-    reach = {1: 0}
-    trace = []
     n, m = len(x), len(y)
-    for d in range(n + m + 1):
-        trace.append(dict(reach))
+
+    def step(reach: dict, d: int) -> bool:
         for k in range(-d, d + 1, 2):
             i = reach[k + 1] if k == -d or (k != d and reach[k - 1] < reach[k + 1]) else reach[k - 1] + 1
             while i < n and i - k < m and x[i] == y[i - k]:
                 i += 1
             reach[k] = i
             if i >= n and i - k >= m:
-                break
-        else:
-            continue
-        break
+                return True
+        return False
+
+    # states are kept at square numbers of edits and found again between them: no quadratic trace
+    reach, marks, d = {1: 0}, [], 0
+    while True:
+        if isqrt(d) ** 2 == d:
+            marks.append(dict(reach))
+        if step(reach, d):
+            break
+        d += 1
     script = []
     i, j = n, m
-    for d in range(len(trace) - 1, -1, -1):
-        was, k = trace[d], i - j
+    states: list[dict] = []
+    for d in range(d, -1, -1):
+        first = isqrt(d) ** 2
+        if not states:
+            states.append(marks.pop())
+            for e in range(first, d):
+                states.append(dict(states[-1]))
+                step(states[-1], e)
+        was, k = states.pop(), i - j
         down = k == -d or (k != d and was.get(k - 1, -1) < was.get(k + 1, -1))
         pk = k + 1 if down else k - 1
         pi = was.get(pk, 0)

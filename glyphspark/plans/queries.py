@@ -63,14 +63,15 @@ def convert_alpha_ansi(spark, d):
 
 
 def conversion_issues(spark, d):
-    """Failures and warnings of the whole document pipeline: limit, detection, conversion, unmapped characters."""
-    docs = _docs(spark, d).withColumn("used", tx.non_ws_chars(F.col("text"))).withColumn("max", act.tier_limit(_tier("doc_id"), F.lit(None)))
-    best = transcode.detect(transcode.detect_scores(docs.where("used <= max").select("doc_id", "text")))
-    fits = docs.where("used <= max").join(best, "doc_id").where(F.col("encoding_id") == "bijoy").withColumn("c", transcode.convert_column(F.col("text"), "bijoy", document=True))
+    """Failures and warnings of the whole document pipeline: limit, detection, conversion by the encoding detected, unmapped characters."""
+    docs = _docs(spark, d).withColumn("used", F.coalesce(tx.non_ws_chars(F.col("text")), F.lit(0))).withColumn("max", act.tier_limit(_tier("doc_id"), F.lit(None)))
+    fits = docs.where("used <= max")
+    done = fits.join(transcode.detect(transcode.detect_scores(fits)), "doc_id").select("doc_id", transcode.conversion_outcome(F.col("text"), F.col("encoding_id")).alias("c"))
     over = docs.where("used > max").select("doc_id", F.lit("limit_exceeded").alias("kind"), F.lit("error").alias("severity"), F.lit("LIMIT_EXCEEDED_ERROR").alias("code"))
-    lost = best.where("encoding_id is null").select("doc_id", F.lit("conversion_failed").alias("kind"), F.lit("error").alias("severity"), F.lit("VALIDATION_ERROR").alias("code"))
-    odd = fits.where("c.n_unmapped > 0").select("doc_id", F.lit("unmapped_characters").alias("kind"), F.lit("warning").alias("severity"), F.lit("UNMAPPED").alias("code"))
-    return over.unionByName(lost).unionByName(odd)
+    bad = F.col("c.error").isNotNull()
+    either = lambda error, warning: F.when(bad, error).otherwise(F.lit(warning))
+    found = done.where(bad | (F.col("c.n_unmapped") > 0)).select("doc_id", either(F.lit("conversion_failed"), "unmapped_characters").alias("kind"), either(F.lit("error"), "warning").alias("severity"), either(F.col("c.error"), "UNMAPPED").alias("code"))
+    return over.unionByName(found)
 
 
 def detect_scores(spark, d):
@@ -146,8 +147,9 @@ def diff_statistics(spark, d):
 def diff_paragraphs(spark, d):
     """Lines as paragraphs, adjacent documents of a source."""
     lines = lambda c: F.regexp_replace(c, "\n", "\n\n")
-    rows = _turn_pairs(spark, d).select("conv_id", "turn", compare.compare_columns(lines("source"), lines("text"), "paragraph").alias("r"))
-    return rows.select("conv_id", "turn", "r.source_words", "r.target_words", "r.unchanged_words", F.size("r.segments").cast("long").alias("segments"))
+    pairs = _pairs(spark, d).select(F.col("doc_id").alias("a"), "b", "text", "target").repartition(spark.sparkContext.defaultParallelism * 2, "a")
+    rows = pairs.select("a", "b", compare.compare_columns(lines("text"), lines("target"), "paragraph").alias("r"))
+    return rows.select("a", "b", "r.source_words", "r.target_words", "r.unchanged_words", F.size("r.segments").cast("long").alias("segments"))
 
 
 def history_top20(spark, d):

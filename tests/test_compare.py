@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 from glyphspark.operators import compare as c
 
@@ -46,3 +47,11 @@ def test_paragraphs():
 
 def test_empty():
     assert c.compare("", "")["similarity"] == 1.0 and c.compare(None, "a")["additions"] == 1
+
+
+def test_long_texts_keep_no_quadratic_trace():
+    tracemalloc.start()
+    e = c.edits([f"a{i}" for i in range(600)], [f"b{i}" for i in range(600)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(e) == 1200 and peak < 16e6

@@ -1,10 +1,13 @@
 import os
+import random
 
 import duckdb
 import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from glyphspark.encodings import registry
+from glyphspark.operators import compare, transcode
 from glyphspark.plans import queries as core
 
 SF = "/root/testdata/sf0.001"
@@ -32,3 +35,36 @@ def test_query_equals_sql(spark, name):
 def test_diff_statistics_hold_together(spark):
     df = entry.queries()["diff_statistics"](spark, SF)
     assert df.where("source_words + target_words - 2 * unchanged_words <> changed_words or percent < 0 or percent > 100").count() == 0
+
+
+def test_issues_of_every_encoding(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(0, None), (1, " \n"), (2, "\u4e2d" * 50), (3, "K" * 4000), (4, "plain")]
+    for e in registry.listed():
+        rows += [(len(rows) + k, "".join(rng.choice(list(e.rules)) for _ in range(60)) + "@" * (k % 2)) for k in range(20)]
+    docs = pd.DataFrame([(i, t, None, None) for i, t in rows], columns=["doc_id", "text", "lang", "source"]).astype({"lang": "string", "source": "string"})
+    docs.to_parquet(tmp_path / "documents.parquet")
+    want, seen = set(), set()
+    for i, t in rows:
+        scores = [(transcode.score(t, e)[0], e.id) for e in registry.listed()]
+        best = max(scores, key=lambda s: s[0])
+        if len("".join((t or "").split())) > (3000, 6000, 25000)[i % 3]:
+            want.add((i, "limit_exceeded", "error", "LIMIT_EXCEEDED_ERROR"))
+        elif best[0] < 0.6:
+            want.add((i, "conversion_failed", "error", "VALIDATION_ERROR"))
+        elif transcode.convert(t, best[1])["n_unmapped"]:
+            want.add((i, "unmapped_characters", "warning", "UNMAPPED"))
+            seen.add(best[1])
+    got = [tuple(r) for r in entry.queries()["conversion_issues"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and seen == {e.id for e in registry.listed()}
+
+
+def test_paragraphs_of_adjacent_documents(spark, tmp_path):
+    rows = [(i, f"one\ntwo {i}\nsame\n" + "x y\n" * (i % 3), "en", f"s{i % 2}") for i in range(45)] + [(45, None, "en", "s1")]
+    pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source"]).to_parquet(tmp_path / "documents.parquet")
+    got = {(r.a, r.b): (r.source_words, r.target_words, r.unchanged_words, r.segments) for r in entry.queries()["diff_paragraphs"](spark, str(tmp_path)).collect()}
+    want = {}
+    for i, t, _, _ in rows[:26]:
+        r = compare.compare(t.replace("\n", "\n\n"), (rows[i + 20][1] or "").replace("\n", "\n\n"), "paragraph")
+        want[i, i + 20] = (r["source_words"], r["target_words"], r["unchanged_words"], len(r["segments"]))
+    assert got == want
