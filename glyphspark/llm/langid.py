@@ -3,7 +3,8 @@
 Contract of `identify`: every row comes back with lang_pred, score and rejected. Languages are learned from text and
 non-null lang of documents outside the held-out fifth; lang, source and doc_id are never inputs of a prediction. A text
 that is null or has no letter gets `und`, score 0 and is rejected. Any other text gets a learned language; score is its
-calibrated probability, and rejected says that score is under the threshold that calibration chose. Whole texts are
+calibrated probability, and rejected says that score is under the threshold that calibration rows of its length set.
+Every non-null lang outside the held-out fifth is learned, from one document at least. Whole texts are
 read; very long ones in pieces whose counts add up. Without any labelled row every text gets `und`. Repeated rows get
 equal results; extra columns are ignored.
 
@@ -14,6 +15,8 @@ bucket counts of at most BUCKETS entries a document.
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -28,8 +31,13 @@ BUCKETS = 1 << 14
 #: Bounds of the training sample: rows in all.
 TRAIN_ROWS = 1500
 DIM, EPOCHS, RATE, SEED = 16, 12, 0.5, 7
-#: Calibration rejects this share of the correctly predicted calibration rows at most.
+#: Thresholds aim to reject this share of correct rows; so far below their mean log-odds lies it in a normal curve.
 REJECT_SHARE = 0.001
+REJECT_SPREAD = -NormalDist().inv_cdf(REJECT_SHARE)
+#: Texts of fewer n-grams than these have thresholds of their own, as far as LEAST correct calibration rows show one.
+LENGTHS, LEAST = (64, 512), 20
+#: Calibration also reads the first so many bytes of its texts, as short texts are few.
+PIECES = (8, 16, 30, 60, 120, 250)
 
 _NOT_LETTER = np.array([not (chr(b).isalpha() and b < 128 or b >= 128) for b in range(256)])
 
@@ -64,26 +72,56 @@ def has_letter(column) -> np.ndarray:
 
 
 class Model:
-    """langs, their scores for each bucket (the product of embedding and softmax weights), biases, temperature, threshold."""
+    """langs, their scores for each bucket (the product of embedding and softmax weights), biases, temperature, and a
+    threshold for each class of LENGTHS."""
+
+    def __init__(self, langs, table, bias, temperature=1.0, thresholds=(0.0,) * (len(LENGTHS) + 1)):
+        self.langs, self.table, self.bias, self.temperature, self.thresholds = langs, table, bias, temperature, thresholds
 
-    def __init__(self, langs, table, bias, temperature=1.0, threshold=0.0):
-        self.langs, self.table, self.bias, self.temperature, self.threshold = langs, table, bias, temperature, threshold
+    def rejects(self, score: float, size: float) -> bool:
+        return bool(score < self.thresholds[int(np.searchsorted(LENGTHS, size, "right"))])
 
     def probabilities(self, mean: np.ndarray) -> np.ndarray:
-        z = (mean @ self.table + self.bias) / self.temperature
+        return self.softmax(mean @ self.table)
+
+    def softmax(self, plain: np.ndarray) -> np.ndarray:
+        """Probabilities from the products of means and table."""
+        z = (plain + self.bias) / self.temperature
         z = np.exp(z - z.max(axis=-1, keepdims=True))
         return z / z.sum(axis=-1, keepdims=True)
 
 
-def train(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model | None:
-    """rows: (lang, buckets, counts) of each document. A fifth is kept for calibration."""
+def thresholds(score: np.ndarray, size: np.ndarray) -> tuple[float, ...]:
+    """The scores under which a text of each class of LENGTHS is rejected, from correct calibration rows alone: the
+    REJECT_SHARE quantile, or the point that a normal curve through their log-odds gives where that is lower, as few rows
+    do not show so small a share. A class of too few rows takes the shorter ones in, then all rows."""
+    tier = np.searchsorted(LENGTHS, size, "right")
+    out: list[float] = []
+    for k in range(len(LENGTHS) + 1):
+        mine = next((x for x in (score[tier == k], score[tier <= k], score) if len(x) >= LEAST), score)
+        if not len(mine):
+            out.append(0.0)
+            continue
+        p = np.clip(mine, 1e-9, 1 - 1e-9)
+        odds = np.log(p / (1 - p))
+        out.append(float(1 / (1 + np.exp(-min(np.quantile(odds, REJECT_SHARE), odds.mean() - REJECT_SPREAD * odds.std())))))
+    return tuple(out)
+
+
+def train(rows: list[tuple[str, np.ndarray, np.ndarray, list]]) -> Model | None:
+    """rows: (lang, buckets, counts, the same pair for each of its PIECES) of each document. A fifth is kept for calibration."""
     langs = sorted({r[0] for r in rows})
     if not langs:
         return None
     rng = np.random.default_rng(SEED)
     order = rng.permutation(len(rows))
     cut = max(1, len(rows) * 4 // 5)
-    y = np.array([langs.index(r[0]) for r in rows])
+    place = {k: i for i, k in enumerate(langs)}
+    y = np.array([place[r[0]] for r in rows])
+    # one row of each language first: all are trained, whatever falls to calibration
+    first = np.unique(y[order], return_index=True)[1]
+    order = np.concatenate((order[first], np.delete(order, first)))
+    cut = max(cut, len(langs))
     means = [(r[1], r[2] / max(1.0, float(r[2].sum()))) for r in rows]
     emb = rng.normal(0, 1 / DIM, (BUCKETS, DIM))
     w, bias = np.zeros((DIM, len(langs))), np.zeros(len(langs))
@@ -109,26 +147,29 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model | None:
         loss = np.mean(np.log(np.exp(z - z.max(1, keepdims=True)).sum(1)) - (z - z.max(1, keepdims=True))[np.arange(len(held)), y[held]])
         if loss < best:
             best, model.temperature = loss, t
-    z = dense / model.temperature
-    p = np.exp(z - z.max(1, keepdims=True))
-    p /= p.sum(1, keepdims=True)
-    right = p.max(1)[p.argmax(1) == y[held]]
-    # the lowest score of correct rows, less its distance to certainty again: short clean texts stay
-    model.threshold = float(max(0.0, min(1.5 / len(langs), np.quantile(right, REJECT_SHARE) * 0.8))) if len(right) else 0.0
+    some = [(y[i], at, n) for i in held for at, n in (rows[i][1:3], *rows[i][3])]
+    size = np.array([float(n.sum()) for _, _, n in some])
+    p = np.array([model.softmax((n / max(1.0, float(n.sum()))) @ model.table[at]) for _, at, n in some])
+    right = p.argmax(1) == np.array([k for k, _, _ in some])
+    model.thresholds = thresholds(p.max(1)[right], size[right])
     return model
 
 
 def fit(docs: DataFrame) -> Model | None:
     usable = docs.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
-    if not sizes:
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000))
+    usable = usable.select("lang", "text", draw.alias("draw"))
+    found = usable.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("draw")).collect()
+    if not found:
         return None
+    sizes = {r["lang"]: r["n"] for r in found}
     each = max(1, TRAIN_ROWS // len(sizes))
     spare = sum(max(0, each - n) for n in sizes.values())
     more = [k for k, n in sizes.items() if n > each]
     share = {k: min(1.0, (each + (spare / len(more) if k in more else 0)) / n) for k, n in sizes.items()}
-    rule = F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, v)])
-    drawn = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < rule[F.col("lang")] * 1_000_000).select("lang", "text")
+    # a language's first row in order of the hash is always drawn
+    rates = docs.sparkSession.createDataFrame([(r["lang"], max(share[r["lang"]] * 1_000_000, r["draw"] + 1.0)) for r in found], "lang string, rate double")
+    drawn = usable.join(F.broadcast(rates), "lang").where(F.col("draw") < F.col("rate")).select("lang", "text")
 
     def count(batches):
         for batch in batches:
@@ -136,14 +177,16 @@ def fit(docs: DataFrame) -> Model | None:
             raw, at = tv.buffers(low)
             b, c = [], []
             for i in range(batch.num_rows):
-                full = bucket_counts(raw[at[i] : at[i + 1]])
-                hit = np.flatnonzero(full)
-                b.append(hit.astype(np.int32).tobytes())
-                c.append(full[hit].astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(b, pa.binary()), pa.array(c, pa.binary())], names=["lang", "b", "c"])
+                whole = raw[at[i] : at[i + 1]]
+                found = [bucket_counts(x) for x in (whole, *(whole[:n] for n in PIECES if n < len(whole)))]
+                hits = [np.flatnonzero(x) for x in found]
+                b.append([h.astype(np.int32).tobytes() for h in hits])
+                c.append([x[h].astype(np.float32).tobytes() for x, h in zip(found, hits, strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(b, pa.list_(pa.binary())), pa.array(c, pa.list_(pa.binary()))], names=["lang", "b", "c"])
 
-    rows = sorted((r["lang"], bytes(r["b"]), bytes(r["c"])) for r in drawn.mapInArrow(count, "lang string, b binary, c binary").toLocalIterator())
-    return train([(lang, np.frombuffer(b, np.int32), np.frombuffer(c, np.float32)) for lang, b, c in rows])
+    rows = sorted((r["lang"], [bytes(x) for x in r["b"]], [bytes(x) for x in r["c"]]) for r in drawn.mapInArrow(count, "lang string, b array<binary>, c array<binary>").toLocalIterator())
+    pairs = [(lang, [(np.frombuffer(x, np.int32), np.frombuffer(n, np.float32)) for x, n in zip(b, c, strict=True)]) for lang, b, c in rows]
+    return train([(lang, *of[0], of[1:]) for lang, of in pairs])
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -162,7 +205,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 full = bucket_counts(raw[at[i] : at[i + 1]])
                 p = m.probabilities(full / full.sum())
                 lang[i], score[i] = m.langs[int(p.argmax())], float(p.max())
-                rejected[i] = score[i] < m.threshold
+                rejected[i] = m.rejects(score[i], full.sum())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang), pa.array(score), pa.array(rejected)], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     rows = docs.select(F.col("doc_id").cast("long"), held_out("doc_id").alias("held_out"), "text")
@@ -182,7 +225,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
         for i in np.flatnonzero(out):
             if m:
                 full = bucket_counts(raw[at[i] : at[i + 1]])
-                out[i] = m.probabilities(full / full.sum()).max() >= m.threshold
+                out[i] = not m.rejects(float(m.probabilities(full / full.sum()).max()), full.sum())
         return pd.Series(out)
 
     return docs.where(accepted("text"))

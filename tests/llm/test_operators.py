@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import string
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -284,6 +285,22 @@ def test_language_id(spark, empty):
     assert {r.lang_pred for r in langid.identify(df.withColumn("lang", df["source"])).collect()} == {"und"}
 
 
+def test_unlearned_language_is_rejected(spark):
+    rng = random.Random(16)
+    vocab = {"xx": ("the", "tion", "and"), "yy": ("äuß", "sch", "ung"), "zz": ("ño", "cion", "lla")}
+    rows = [(i, prose(rng, rng.randint(5, 80), vocab[k]), k, None, 0) for i, k in enumerate(["xx", "yy", "zz"] * 100)]
+    rows += [(1000 + i, prose(rng, rng.randint(20, 80), ("ырв", "ком", "дж") if i % 2 else ("qv", "wkx", "jzp")), None, None, 0) for i in range(40)]
+    got = langid.identify(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sum(r.rejected for r in got if r.doc_id >= 1000) >= 36
+    assert sum(r.rejected for r in got if r.doc_id < 1000) <= 5
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i * 2, f"w{k}x" * 4 + " " + f"q{k}" * 3, f"l{k:03}", None, 0) for i, k in enumerate(list(range(230)) * 3)]
+    model = langid.fit(spark.createDataFrame(rows, SCHEMA))
+    assert len(model.langs) == len({r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 5}) > 200
+
+
 # --- 8
 
 
