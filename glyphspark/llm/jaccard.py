@@ -15,10 +15,11 @@ How it scales:
    those are is counted over all documents by a mergeable lossy count; it changes speed, never results.
 3. The bucket of a token is led by its smallest class; all buckets with one leader make a family, so a passage that
    many sets share makes one family and not one for each of its tokens. Sets that share a token share a family.
+   Families of more than BLOCK tokens are cut into blocks in order of size; two blocks at a time meet in a task.
 4. Signature trees find the members of a family that may link with another: nodes hold the OR of their members' token
    bitmaps and their size range, and pairs of nodes are traversed together, pruned by the largest overlap they allow.
    A pair belongs to the smallest leader that both sides share, so that it counts once.
-5. The full sets of those members meet again in their family, where every overlap is counted. Pairs stay inside the
+5. The full sets of those members meet again in their group, where every overlap is counted. Pairs stay inside the
    task: out of it come each member's number of links, weighted by copies, and its component within the family.
    Work grows with the square of a group of near copies, as each of its links is verified; rows do not.
 6. Components of all families come from star contractions in Spark.
@@ -42,6 +43,8 @@ FREQUENT_SHARE, FREQUENT_LEAST, LOCAL_LEAST = 1e-3, 40, 3
 BITS, WIDE, LEAF = (2048, 16384), 1024, 16
 #: The ids of documents to read again are broadcast up to this count, and joined by shuffle beyond.
 BROADCAST_IDS = 2_000_000
+#: Tokens of a block of a family, a set counted as LEAST_WEIGHT at least.
+BLOCK, LEAST_WEIGHT = 1 << 18, 512
 #: Tokens of up to RARE sets are counted pair by pair, others as columns of a matrix, COLUMNS at a time.
 RARE, COLUMNS = 8, 2048
 
@@ -210,18 +213,41 @@ class SignatureTree:
                         todo.append((level - 1, p, q))
 
 
-def _families(batches):
-    """(lead, table) of each run of rows with one lead, the first column; only one is held at a time."""
+#: What names a group of rows that meet in one task: a family and two of its blocks.
+GROUP = ["lead", "low", "high"]
+
+
+def _blocked(family: DataFrame) -> DataFrame:
+    """(lead, low, high, block, cls, n) of a family (lead, cls, n): in order of size it is cut into blocks of about BLOCK
+    tokens, and every two blocks whose sizes allow a link are a group (blocks low <= high), dealt out on its own."""
+    family = family.withColumn("w", F.greatest("n", F.lit(LEAST_WEIGHT)).cast("long"))
+    sizes = durable(family.groupBy("lead", "n").agg(F.count("*").alias("same"), F.first("w").alias("w")), "sizes")
+    large = sizes.groupBy("lead").agg(F.sum(F.col("same") * F.col("w")).alias("all")).where(F.col("all") > BLOCK).select("lead")
+    # sizes of a family, not its rows, pass the window
+    order = Window.partitionBy("lead").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    start = sizes.join(large, "lead").select("lead", "n", "same", F.coalesce(F.sum(F.col("same") * F.col("w")).over(order), F.lit(0)).alias("start"))
+    block = F.floor((F.col("start") + F.pmod(F.xxhash64("cls"), F.col("same")) * F.col("w")) / BLOCK)
+    placed = durable(family.join(start, ["lead", "n"], "left").select("lead", F.coalesce(block, F.lit(-1)).cast("long").alias("block"), "cls", "n"), "placed")
+    whole = placed.where("block < 0").select("lead", F.col("block").alias("low"), F.col("block").alias("high"), "block", "cls", "n")
+    ends = placed.where("block >= 0").groupBy("lead", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    x, y = (ends.toDF("lead", k, f"least_{k}", f"most_{k}") for k in ("low", "high"))
+    pairs = durable(x.join(y, "lead").where("low <= high and 4 * most_low >= 3 * least_high").select(*GROUP), "block-pairs")
+    both = pairs.withColumn("block", F.explode(F.array_distinct(F.array("low", "high"))))
+    return whole.unionByName(placed.where("block >= 0").join(both, ["lead", "block"]).select(*GROUP, "block", "cls", "n"))
+
+
+def _groups(batches):
+    """(key, table) of each run of rows with one GROUP, the first columns; only one is held at a time."""
     held: list[pa.RecordBatch] = []
     mine = None
     for batch in batches:
-        lead = batch.column(0).to_numpy(zero_copy_only=False)
-        cut = [0, *(np.flatnonzero(lead[1:] != lead[:-1]) + 1), len(lead)] if len(lead) else []
+        key = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(len(GROUP))])
+        cut = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1), batch.num_rows] if batch.num_rows else []
         for i, j in zip(cut, cut[1:], strict=False):
-            if held and lead[i] != mine:
+            if held and tuple(key[:, i]) != mine:
                 yield mine, pa.Table.from_batches(held).combine_chunks()
                 held = []
-            mine = lead[i]
+            mine = tuple(key[:, i])
             held.append(batch.slice(i, j - i))
     if held:
         yield mine, pa.Table.from_batches(held).combine_chunks()
@@ -258,21 +284,24 @@ def overlaps(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.triu(out, 1)
 
 
-def _elsewhere(lead: int, table: pa.Table) -> np.ndarray:
-    """True for members i < j that share a smaller leader: their pair belongs to that family."""
+def _elsewhere(key: tuple, table: pa.Table) -> np.ndarray:
+    """True for members i < j whose pair belongs to another group: they share a smaller leader, or one block of two."""
+    lead, low, high = key
     flat, at = _lists(table, "leads")
     less = flat < lead
-    return overlaps(flat[less], np.concatenate(([0], np.cumsum(less)))[at]) > 0
+    out = overlaps(flat[less], np.concatenate(([0], np.cumsum(less)))[at]) > 0
+    block = table.column("block").to_numpy()
+    return out | (block[:, None] == block) if low != high else out
 
 
 def _near(rows: DataFrame) -> DataFrame:
-    """(lead, cls) of the rows (lead, cls, n, leads, map) that may link with another of their family, by exact bounds."""
+    """The rows (GROUP, block, cls, n, leads, map) that may link with another of their group, by exact bounds, without map."""
 
     def walk(batches):
-        for lead, table in _families(batches):
+        for key, table in _groups(batches):
             n = table.column("n").to_numpy()
             maps = table.column("map").to_pylist()
-            other = _elsewhere(lead, table)
+            other = _elsewhere(key, table)
             near = np.zeros(len(n), bool)
             large = n > WIDE
             # maps of large sets are folded to the small width to meet small sets, and keep their own among themselves
@@ -281,11 +310,11 @@ def _near(rows: DataFrame) -> DataFrame:
                     part = np.stack([np.bitwise_or.reduce(np.frombuffer(maps[k], np.uint64).reshape(-1, width // 64), 0) for k in at])
                     for i, j in SignatureTree(n[at], part).pairs():
                         i, j = at[i], at[j]
-                        ok = ~other[i, j]
+                        ok = ~other[np.minimum(i, j), np.maximum(i, j)]
                         near[i[ok]] = near[j[ok]] = True
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(near.sum(), lead)), pa.array(table.column("cls").to_numpy()[near])], names=["lead", "cls"])
+            yield pa.RecordBatch.from_arrays([pa.array(table.column(k).to_numpy()[near]) for k in (*GROUP, "block", "cls")], names=[*GROUP, "block", "cls"])
 
-    return gathered(rows.select("lead", "cls", "n", "leads", "map"), ["lead"], ["n", "cls"]).mapInArrow(walk, "lead long, cls long")
+    return gathered(rows.select(*GROUP, "block", "cls", "n", "leads", "map"), GROUP, ["n", "cls"]).mapInArrow(walk, "lead long, low long, high long, block long, cls long")
 
 
 def _within(links: np.ndarray) -> np.ndarray:
@@ -302,20 +331,20 @@ def _within(links: np.ndarray) -> np.ndarray:
 
 
 def _linked(rows: DataFrame) -> DataFrame:
-    """(cls, root, links) of the rows (lead, cls, copies, leads, members) that link in their family: a member that they
+    """(cls, root, links) of the rows (GROUP, block, cls, copies, leads, members) that link in their group: a member that they
     reach by links there, and the number of documents that they link with. Every pair is verified."""
 
     def count(batches):
-        for lead, table in _families(batches):
+        for key, table in _groups(batches):
             flat, at = _lists(table, "members")
             n, copies, cls = np.diff(at), table.column("copies").to_numpy(), table.column("cls").to_numpy()
             both = overlaps(flat, at).astype(np.int64)
-            link = (both > 0) & (100 * both >= 75 * (n[:, None] + n - both)) & ~_elsewhere(lead, table)
+            link = (both > 0) & (100 * both >= 75 * (n[:, None] + n - both)) & ~_elsewhere(key, table)
             link |= link.T
             on = np.flatnonzero(link.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(cls[on]), pa.array(cls[_within(link)[on]]), pa.array((link @ copies)[on])], names=["cls", "root", "links"])
 
-    return gathered(rows.select("lead", "cls", "copies", "leads", "members"), ["lead"], ["cls"]).mapInArrow(count, "cls long, root long, links long")
+    return gathered(rows.select(*GROUP, "block", "cls", "copies", "leads", "members"), GROUP, ["cls"]).mapInArrow(count, "cls long, root long, links long")
 
 
 def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -325,14 +354,12 @@ def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = durable(base.where("n_shingles > 0").groupBy("cls").agg(F.min("digest").alias("digest"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"), F.first("map").alias("map")), "classes")
 
     # families: the sets of all tokens that one class leads
-    by_token = base.where("n_shingles > 0").select("cls", F.col("n_shingles").alias("n"), F.explode("prefix").alias("token"))
-    order = Window.partitionBy("token").orderBy("cls")
-    led = by_token.withColumn("lead", F.first("cls").over(order))
-    family = durable(led.where("cls <> lead").select("lead", "cls").distinct(), "families")
-    family = durable(family.unionByName(family.select("lead", F.col("lead").alias("cls")).distinct()), "members")
+    by_token = base.where("n_shingles > 0").groupBy("cls").agg(F.max("n_shingles").alias("n"), F.first("prefix").alias("prefix")).select("cls", "n", F.explode("prefix").alias("token"))
+    led = by_token.groupBy("token").agg(F.min("cls").alias("lead"), F.max("cls").alias("last")).where("lead < last").select("token", "lead")
+    family = durable(by_token.join(led, "token").select("lead", "cls", "n").distinct(), "families")
     leads = durable(family.groupBy("cls").agg(F.sort_array(F.collect_list("lead")).alias("leads")), "leads")
 
-    near = durable(_near(family.join(leads, "cls").join(classes, "cls")), "near")
+    near = durable(_near(_blocked(family).join(leads, "cls").join(classes.select("cls", "map"), "cls")), "near")
     wanted = durable(classes.join(near.select("cls").distinct(), "cls").select("digest"), "wanted")
     found = durable(_linked(near.join(leads, "cls").join(classes.select("cls", "copies"), "cls").join(_sets(docs, wanted), "cls")), "linked")
 

@@ -387,6 +387,24 @@ def test_every_link_counts(spark):
     assert len(set(links)) > 3 and max(links) > 119
 
 
+def test_blocks_of_a_family_lose_no_link(spark, monkeypatch):
+    rng = random.Random(9)
+    base = prose(rng, 200).split()
+    rows = []
+    for k in range(40):
+        w = base + prose(rng, k // 2).split()
+        w[rng.randrange(200)] = f"only{k}"
+        rows.append(" ".join(w))
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(rows)], SCHEMA)
+    sets = [shingles(t) for t in rows]
+    links = {i: sum(i != j and 100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)}
+    monkeypatch.setattr(jaccard, "BLOCK", 512 * 6)
+    family = spark.createDataFrame([(1, i, len(s)) for i, s in enumerate(sets)], "lead long, cls long, n long")
+    groups = Counter((r.low, r.high) for r in jaccard._blocked(family).collect())
+    assert len(groups) > 10 and max(groups.values()) <= 20
+    assert {r.doc_id: r.n_links for r in jaccard.jaccard_components(docs).collect()} == links
+
+
 def test_repeated_and_null_ids(spark):
     rows = [(1, "a b c d e f", None, None, 0), (1, "a b c d e f", None, None, 0), (None, "a b c d e f", None, None, 0), (None, None, None, None, 0)]
     got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect())
