@@ -405,6 +405,22 @@ def test_blocks_of_a_family_lose_no_link(spark, monkeypatch):
     assert {r.doc_id: r.n_links for r in jaccard.jaccard_components(docs).collect()} == links
 
 
+def test_null_and_repeated_ids_hide_nothing(spark):
+    rng = random.Random(10)
+    w = prose(rng, 100).split()
+    a, b, c = w[:80], w[:93], w[5:100]
+    other, leak = prose(rng, 50), prose(rng, 40)
+    rows = [(1, " ".join(a)), (None, " ".join(b)), (2, " ".join(c)), (2, other), (None, leak), (None, leak), (None, ""), (None, "")]
+    docs = spark.createDataFrame([(*r, None, None, 0) for r in rows], SCHEMA)
+    got = {(r.doc_id, r.n_shingles): (r.n_links, r.component_id) for r in jaccard.jaccard_components(docs).collect()}
+    assert got[1, 76] == (1, 1) and got[None, 89] == (2, 1) and got[2, 91] == (1, 1) and got[2, 46] == (0, 2)
+    kept = sorted((str(r.doc_id), r.text) for r in jaccard.keep_one(docs).collect())
+    assert kept == sorted([("1", rows[0][1]), ("2", other), ("None", leak), ("None", ""), ("None", "")])
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    clean = spark.createDataFrame([(7, other, None, None, 0), (7, leak, None, None, 0), (None, leak, None, None, 0), (None, " ".join(a), None, None, 0), (None, None, None, None, 0)], SCHEMA)
+    assert sorted(str(r.text) for r in decontaminate.drop_leaks(clean, bench).collect()) == sorted([other, " ".join(a), "None"])
+
+
 def test_repeated_and_null_ids(spark):
     rows = [(1, "a b c d e f", None, None, 0), (1, "a b c d e f", None, None, 0), (None, "a b c d e f", None, None, 0), (None, None, None, None, 0)]
     got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect())
