@@ -1,38 +1,52 @@
 """Operator 3, chat formatting: conversations rendered whole, encoded once with offsets, loss masks by binary search.
 
-Contract of `format_conversations`: rows (conv_id, part, text, turns, tokens, loss), the rendered text of each
-conversation in parts, in order. turns: for each turn (role, begin, end), the span of its escaped text in the part;
-tokens: (id, begin, end) with offsets into the part; loss: for each token the begin and end of its overlap with an
-assistant's span, begin = end where there is none. `read_back` turns these rows into one digest row a conversation.
-
-Template: <|im_start|>role LF text <|im_end|> LF for each turn, in the order of turn, then role, then text. Inside texts
-and roles a backslash is put after the < of anything that looks like <, any number of backslashes, |; taking one away
-again restores them, so no text can hold a control string. A role's line feeds and backslashes are written as \\n and
-\\\\. A null text or role counts as empty. Repeated rows are turns of their own. A null conv_id is a conversation.
-
-Rows of a conversation are brought together and sorted by Spark and streamed through a task in batches; a conversation
-of any length is rendered in parts of about PART characters that end between turns. The byte-level pattern always ends a
-piece there (one line feed, then <), so the parts' tokens are those of the whole.
+Contract of `format_conversations`: rows (conv_id, piece, part, text, turns, token_ids, token_begins, token_ends,
+loss_begins, loss_ends): the rendered text of each conversation in parts, in the order of piece and part. turns: (role,
+begin, end, opens, closes), the span of a turn's escaped text in the part; a turn longer than a part goes on in the next
+one, opens and closes say where it starts and ends. Tokens are parallel lists of ids and offsets into the part; loss is,
+for each token, its overlap with an assistant's span, begin = end where there is none. `read_back` turns these rows into
+one digest row a conversation; `conversation_digests` does both without moving the texts a second time.
+
+Template: <|im_start|>role LF text <|im_end|> LF for each turn, in the order of turn, then role, then text. The two marks
+are tokens of their own, next after the vocabulary. Inside texts and roles a backslash is put after the < of anything
+that looks like <, any number of backslashes, |; taking one away again restores them, so no text can hold a control
+string. A role's line feeds and backslashes are written as \\n and \\\\. A null text or role counts as empty. Repeated
+rows are turns of their own. A null conv_id is a conversation; rows of null turn come first. Extra columns are ignored;
+an empty table gives an empty result.
+
+Rows of a conversation are brought together and sorted by Spark and streamed through a task. Parts hold about PART
+characters: they end after a turn, or inside one where the vocabulary's pattern always ends a piece, so the parts' tokens
+are those of the whole. Conversations with a share of 1 / HOT of all rows (and PIECE_ROWS) are cut into pieces by
+quantiles of turn, which are encoded in tasks of their own; only their digests, which are sequential by nature, then
+stream through one task, without tokens.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gathered
-from .tokencount import load, tokenizer_path
+from .common import durable, gathered
+from .tokencount import tokenizer_path
 
-PART = 200_000
+#: Characters of a part at most, but for what has no place to cut; characters that go out in one Arrow batch.
+PART, BATCH = 100_000, 1_000_000
+#: A conversation with 1 / HOT of all rows and PIECE_ROWS rows is cut into SPLITS pieces; there are HOT such ones at most.
+HOT, PIECE_ROWS, SPLITS = 1024, 4096, 64
 START, END = "<|im_start|>", "<|im_end|>"
-SCHEMA = "conv_id long, part long, text string, turns array<struct<role:string,begin:long,end:long>>, tokens array<struct<id:long,begin:long,end:long>>, loss array<struct<begin:long,end:long>>"
-#: What read_back checks and cuts by.
-_TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
+VOCABULARY, SAME_VOCABULARY = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
+SCHEMA = "conv_id long, piece int, part long, text string, turns array<struct<role:string,begin:int,end:int,opens:boolean,closes:boolean>>, token_ids array<int>, token_begins array<int>, token_ends array<int>, loss_begins array<int>, loss_ends array<int>"
+DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long"
+#: Before white space, after a run of ASCII letters or digits: no pattern of the vocabulary reaches over these places.
+_CUT = re.compile(r"(?<=\S)(?=[\t-\r ])|(?<=[A-Za-z])(?=[\x00-@\[-`{-\x7f])|(?<=[0-9])(?=[\x00-/:-\x7f])")
 
 
 def escape(text: str) -> str:
@@ -51,124 +65,251 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
-def overlaps(spans: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """For each token (begin, end) its overlap with the first of the sorted, disjoint spans that it meets, else (0, 0).
+def cuts(text: str, most: int) -> list[int]:
+    """Borders of stretches of text: most characters or a little more, up to the next place where a cut changes no token."""
+    out = [0]
+    while len(text) - out[-1] > most:
+        m = _CUT.search(text, out[-1] + most)
+        if not m:
+            break
+        out.append(m.start())
+    return [*out, len(text)]
 
-    Binary search finds the first span that ends behind the token's begin."""
-    out = np.zeros((len(tokens), 2), np.int64)
-    if not len(spans) or not len(tokens):
-        return out
-    k = np.searchsorted(spans[:, 1], tokens[:, 0], side="right")
-    ok = k < len(spans)
-    k[~ok] = 0
-    low, high = np.maximum(spans[k, 0], tokens[:, 0]), np.minimum(spans[k, 1], tokens[:, 1])
-    ok &= low < high
-    out[ok] = np.column_stack((low, high))[ok]
-    return out
-
-
-def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[str, int, int]]]:
-    """Rendered text of (role, text) turns, and (role, begin, end) of each escaped text in it."""
-    out, spans, at = [], [], 0
+
+def rendered(turns: Iterable[tuple[str, str]], most: int | None = None) -> Iterator[tuple[str, list[tuple]]]:
+    """(text, spans) of each part of the rendered (role, text) turns; spans: (role, begin, end, opens, closes)."""
+    most = most or PART
+    out, spans, size = [], [], 0
     for role, text in turns:
         head, body = f"{START}{escape_role(role)}\n", escape(text)
-        out += [head, body, END, "\n"]
-        spans.append((role, at + len(head), at + len(head) + len(body)))
-        at += len(head) + len(body) + len(END) + 1
-    return "".join(out), spans
+        at = cuts(body, most)
+        for k in range(len(at) - 1):
+            opens, closes = k == 0, k == len(at) - 2
+            piece = body[at[k] : at[k + 1]]
+            begin = size + len(head) * opens
+            out += [head * opens, piece, (END + "\n") * closes]
+            size = begin + len(piece)
+            spans.append((role, begin, size, opens, closes))
+            size += (len(END) + 1) * closes
+            if size >= most:
+                yield "".join(out), spans
+                out, spans, size = [], [], 0
+    if out:
+        yield "".join(out), spans
+
+
+class Coder:
+    """Token ids of a text and the characters that each of them touches."""
+
+    def __init__(self, path: str, same: str | None = None):
+        import tiktoken
+        from public_tokenizers import PATTERN
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        marks = {m: len(ranks) + 1 + k for k, m in enumerate((START, END))}
+        self.code = tiktoken.Encoding("chat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=marks)
+        self.marks, self.same, self._plain = set(marks), same, None
+        self.sizes = np.zeros(len(ranks) + 3, np.int64)
+        for token, k in [*ranks.items(), *((m.encode(), k) for m, k in marks.items())]:
+            self.sizes[k] = len(token)
+
+    def ids(self, text: str) -> np.ndarray:
+        try:
+            return self.code.encode_to_numpy(text, allowed_special=self.marks, disallowed_special=()).astype(np.int64)
+        except ValueError:  # white space too long for this library's pattern: the same vocabulary in the other one
+            if self._plain is None:
+                from tokenizers import Tokenizer
+
+                self._plain = Tokenizer.from_file(self.same or tokenizer_path(SAME_VOCABULARY))
+                self._plain.add_special_tokens([START, END])
+            return np.array(self._plain.encode(text, add_special_tokens=False).ids, np.int64)
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, begins, ends): a token of some bytes of a character has all of it."""
+        ids = self.ids(text)
+        end = np.cumsum(self.sizes[ids])
+        begin = end - self.sizes[ids]
+        if not text.isascii():
+            raw = np.frombuffer(text.encode(), np.uint8)
+            starts = (raw & 0xC0) != 0x80
+            before = np.concatenate(([0], np.cumsum(starts)))
+            begin, end = before[begin] - ~starts[begin], before[end]
+        return ids, begin, end
+
+
+_coders: dict[str, Coder] = {}
+
+
+def coder(path: str) -> Coder:
+    """The coder of a vocabulary file, kept for the life of a Python worker."""
+    if path not in _coders:
+        _coders[path] = Coder(path)
+    return _coders[path]
+
+
+def overlaps(spans: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each token its overlap (begins, ends) with the first of the sorted, disjoint spans that it meets, else (0, 0).
 
+    Binary search finds the first span that ends behind the token's begin."""
+    low, high = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
+    if len(spans) and len(begin):
+        k = np.searchsorted(spans[:, 1], begin, side="right")
+        ok = k < len(spans)
+        k[~ok] = 0
+        a, b = np.maximum(spans[k, 0], begin), np.minimum(spans[k, 1], end)
+        ok &= a < b
+        low[ok], high[ok] = a[ok], b[ok]
+    return low, high
 
-def _part(conv_id, part, turns, tokenizer) -> dict:
-    text, spans = render(turns)
-    code = tokenizer.encode(text, add_special_tokens=False)
-    offsets = np.array(code.offsets, np.int64).reshape(-1, 2)
-    loss = overlaps(np.array([s[1:] for s in spans if s[0] == "assistant" and s[2] > s[1]], np.int64).reshape(-1, 2), offsets)
-    return {
-        "conv_id": conv_id, "part": part, "text": text, "turns": [{"role": r, "begin": a, "end": b} for r, a, b in spans],
-        "tokens": [{"id": i, "begin": a, "end": b} for i, (a, b) in zip(code.ids, offsets.tolist(), strict=True)], "loss": [{"begin": a, "end": b} for a, b in loss.tolist()],
-    }
 
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    at = np.concatenate(([0], np.cumsum([len(x) for x in arrays])))
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(arrays), pa.int32()))
 
-def format_conversations(turns: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """See the module's docstring. turns: (conv_id, turn, role, text)."""
-    path = tokenizer or tokenizer_path()
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    """rows: (conv_id, piece, part, text, spans, five arrays)."""
+    flat = [s for r in rows for s in r[4]]
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
+    fields = [pa.array([s[k] for s in flat], kind) for k, kind in enumerate(kinds)]
+    at = pa.array(np.concatenate(([0], np.cumsum([len(r[4]) for r in rows]))), pa.int32())
+    turns = pa.ListArray.from_arrays(at, pa.StructArray.from_arrays(fields, names=["role", "begin", "end", "opens", "closes"]))
+    cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.string()))]
+    cols += [turns, *(_lists([r[k] for r in rows]) for k in range(5, 10))]
+    return pa.RecordBatch.from_arrays(cols, names=["conv_id", "piece", "part", "text", "turns", "token_ids", "token_begins", "token_ends", "loss_begins", "loss_ends"])
+
+
+def _format(rows: DataFrame, path: str) -> DataFrame:
+    """rows: (conv_id, piece, turn, role, text). Rows of one task's output are in the order of conv_id, piece and part."""
+
+    def work(batches):
+        c = coder(path)
+        out, size = [], 0
+        rows = (r for b in batches for r in zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True))
+        for key, mine in groupby(rows, lambda r: r[0]):
+            for part, (text, spans) in enumerate(rendered(r[1:] for r in mine)):
+                ids, begin, end = c.encode(text)
+                loss = np.array([s[1:3] for s in spans if s[0] == "assistant" and s[2] > s[1]], np.int64).reshape(-1, 2)
+                out.append((*key, part, text, spans, ids, begin, end, *overlaps(loss, begin, end)))
+                size += len(text) + 256
+                if size >= BATCH:
+                    yield _batch(out)
+                    out, size = [], 0
+        if out:
+            yield _batch(out)
+
+    return gathered(rows, ["conv_id", "piece"], ["turn", "role", "text"]).select("conv_id", "piece", "role", "text").mapInArrow(work, SCHEMA)
+
+
+def _pieces(turns: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (conv_id, piece, turn, role, text) of the conversations that stay whole, and of hot ones by piece."""
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = gathered(rows, ["conv_id"], ["turn", "role", "text"])
+    n = rows.select("conv_id").count()
+    steps = F.percentile_approx("turn", F.array(*[F.lit(k / SPLITS) for k in range(1, SPLITS)]), F.lit(1000))
+    hot = rows.groupBy(F.col("conv_id").alias("hot")).agg(F.count("*").alias("n"), steps.alias("cuts")).where(F.col("n") >= max(PIECE_ROWS, -(-n // HOT))).select("hot", "cuts")
+    hot = durable(hot, "hot-conversations")
+    if hot.isEmpty():
+        return rows.withColumn("piece", F.lit(0)), None
+    same = F.col("conv_id").eqNullSafe(F.col("hot"))
+    hot = F.broadcast(hot)  # HOT rows of SPLITS numbers at most
+    cold = rows.join(hot, same, "left_anti").withColumn("piece", F.lit(0))
+    piece = F.coalesce(F.size(F.filter("cuts", lambda x: x < F.col("turn"))), F.lit(0)) + 1
+    return cold, rows.join(hot, same).withColumn("piece", F.when(F.col("turn").isNull(), 1).otherwise(piece)).drop("hot", "cuts")
+
+
+def format_conversations(turns: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """See the module's docstring. turns: (conv_id, turn, role, text); tokenizer: a tiktoken file of byte ranks."""
+    path = tokenizer or tokenizer_path(VOCABULARY)
+    cold, hot = _pieces(turns)
+    return _format(cold if hot is None else cold.unionByName(hot), path)
+
+
+class _Reader:
+    """Digests of one conversation from its parts in order."""
+
+    def __init__(self):
+        self.turns, self.loss, self.inside = hashlib.sha256(), hashlib.sha256(), False
+        self.n_turns = self.loss_chars = self.chars = self.tokens = 0
+
+    def add(self, text: str, begin: np.ndarray, end: np.ndarray, tokens: int) -> None:
+        self.chars += len(text)
+        self.tokens += tokens
+        at = 0
+        while at < len(text):
+            if not self.inside:
+                if not text.startswith(START, at):
+                    raise ValueError("a part does not go on with a turn")
+                head = text.index("\n", at)
+                self.turns.update(f"{unescape_role(text[at + len(START) : head])}\n".encode())
+                self.inside, at = True, head + 1
+            k = text.find(END, at)
+            self.turns.update(unescape(text[at:] if k < 0 else text[at:k]).encode())
+            at = len(text)
+            if k >= 0:
+                self.turns.update(b"\n")
+                self.n_turns += 1
+                self.inside, at = False, k + len(END) + 1
+        # masked stretches: tokens' overlaps joined where they touch; a byte's neighbours may repeat a character
+        some = begin < end
+        begin, end = begin[some], end[some]
+        if len(begin):
+            first = np.concatenate(([0], np.flatnonzero(begin[1:] > end[:-1]) + 1))
+            for a, b in zip(begin[first].tolist(), np.maximum.reduceat(end, first).tolist(), strict=True):
+                said = unescape(text[a:b])
+                self.loss.update(said.encode())
+                self.loss_chars += len(said)
+
+    def row(self) -> tuple:
+        return self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.tokens
+
+
+def _read(parts: DataFrame) -> DataFrame:
+    """Digest rows of parts (conv_id, text, loss_begins, loss_ends, n_tokens) that follow each other in order."""
+
+    def values(column) -> Iterator[np.ndarray]:
+        at, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+        return (flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True))
 
     def work(batches):
-        t = load(path)
-        conv, part, held, size, out = None, 0, [], 0, []
-        started = False
-        for b in batches:
-            ids = [None if pd.isna(x) else int(x) for x in b["conv_id"]]
-            for conv_id, role, text in zip(ids, b["role"], b["text"], strict=True):
-                if started and (conv_id != conv or size >= PART):
-                    out.append(_part(conv, part, held, t))
-                    part, held, size = (part + 1, [], 0) if conv_id == conv else (0, [], 0)
-                started, conv = True, conv_id
-                held.append((role, text))
-                size += len(text) + 40
-                if len(out) >= 16:
-                    yield pd.DataFrame(out)
-                    out = []
-        if started:
-            out.append(_part(conv, part, held, t))
-            yield pd.DataFrame(out)
-
-    return rows.mapInPandas(work, SCHEMA)
+        rows = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1), values(b.column(2)), values(b.column(3)), b.column(4).to_pylist(), strict=True))
+        out = []
 
+        def table():
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=[x.split()[0] for x in DIGESTS.split(", ")])
 
-def read_back(parts: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_tokens) of formatted conversations.
+        for conv_id, mine in groupby(rows, lambda r: r[0]):
+            reader = _Reader()
+            for _, text, begin, end, n in mine:
+                reader.add(text.as_py(), begin, end, n)
+            out.append((conv_id, *reader.row()))
+            if len(out) >= 4096:
+                yield table()
+                out.clear()
+        if out:
+            yield table()
 
-    The parts of a conversation must follow each other in order, as format_conversations leaves them. Everything is read
-    from the rendered text and the token offsets, not from the input."""
+    return parts.mapInArrow(work, DIGESTS)
 
-    def work(batches):
-        state, conv, started, out = None, None, False, []
-
-        def done():
-            return [conv, state["n"], state["turns"].hexdigest(), state["loss_n"], state["loss"].hexdigest(), state["chars"], state["tokens"]]
-
-        for b in batches:
-            for conv_id, text, tokens, loss in zip(b["conv_id"], b["text"], b["tokens"], b["loss"], strict=True):
-                conv_id = None if pd.isna(conv_id) else int(conv_id)
-                if not started or conv_id != conv:
-                    if started:
-                        out.append(done())
-                    started, conv = True, conv_id
-                    state = {"n": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "loss_n": 0, "chars": 0, "tokens": 0}
-                for m in _TURN.finditer(text):
-                    state["turns"].update(f"{unescape_role(m[1])}\n{unescape(m[2])}\n".encode())
-                    state["n"] += 1
-                # masked stretches: tokens' overlaps joined where they touch; a byte's neighbours may repeat a character
-                run = None
-                for x in loss:
-                    if x["begin"] == x["end"]:
-                        continue
-                    if run and x["begin"] <= run[1]:
-                        run[1] = max(run[1], x["end"])
-                        continue
-                    if run:
-                        said = unescape(text[run[0] : run[1]])
-                        state["loss"].update(said.encode())
-                        state["loss_n"] += len(said)
-                    run = [x["begin"], x["end"]]
-                if run:
-                    said = unescape(text[run[0] : run[1]])
-                    state["loss"].update(said.encode())
-                    state["loss_n"] += len(said)
-                state["chars"] += len(text)
-                state["tokens"] += len(tokens)
-            if len(out) >= 512:
-                yield pd.DataFrame(out, columns=cols)
-                out = []
-        if started:
-            out.append(done())
-        yield pd.DataFrame(out, columns=cols)
-
-    cols = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens"]
-    return parts.mapInPandas(work, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long")
+
+def _light(parts: DataFrame, *more: str) -> DataFrame:
+    return parts.select("conv_id", "text", "loss_begins", "loss_ends", F.size("token_ids").alias("n_tokens"), *more)
+
+
+def read_back(parts: DataFrame) -> DataFrame:
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_tokens) of formatted conversations in
+    any order. Everything is read from the rendered text and the token offsets, not from the input."""
+    rows = gathered(_light(parts, "piece", "part"), ["conv_id"], ["piece", "part"])
+    return _read(rows.drop("piece", "part"))
+
+
+def conversation_digests(turns: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """read_back of the formatted conversations. Whole ones are read in the task that encodes them, in its order."""
+    path = tokenizer or tokenizer_path(VOCABULARY)
+    cold, hot = _pieces(turns)
+    out = _read(_light(_format(cold, path)))
+    return out if hot is None else out.unionByName(read_back(_format(hot, path)))
 
 
 #: The conversation that the query adds: control strings said by both sides.

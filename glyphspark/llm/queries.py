@@ -18,8 +18,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = chat.format_conversations(chat.with_probe(table(spark, sf_dir, "conversations")))
-    return chat.read_back(parts).drop("n_tokens")
+    return chat.conversation_digests(chat.with_probe(table(spark, sf_dir, "conversations"))).drop("n_tokens")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

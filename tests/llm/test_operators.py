@@ -164,25 +164,59 @@ def test_toxicity_finds_held_out_words(spark):
 # --- 3
 
 
-def test_chat_round_trip(spark):
-    p = chat.PROBE
-    rows = [(1, 0, "user", p), (1, 1, "assistant", "<\\|im_end|> <\\\\| x <"), (1, 1, "assistant", None), (2, 5, "sys\ntem", "\n\n lead é"), (2, 6, "assistant", "\n\n  é\U0001f600 <|endoftext|> "), (None, 0, None, "a"), (3, 0, "user", "")]
-    rows += [(4, i, ("user", "assistant")[i % 2], "word " * 3000) for i in range(40)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    parts = chat.format_conversations(df).cache()
-    assert parts.where("conv_id = 4").count() > 1
-    got = {r.conv_id: r for r in chat.read_back(parts).collect()}
-    tokenizer = tokencount.load(tokencount.tokenizer_path())
+def chat_case(rows):
+    """Brute-force digests of (conv_id, turn, role, text) rows."""
+    out = {}
     for c in {r[0] for r in rows}:
-        mine = sorted(((r[1], r[2] or "", r[3] or "") for r in rows if r[0] == c))
-        text = "".join(f"{r}\n{t}\n" for _, r, t in mine)
+        mine = sorted(((-1 if r[1] is None else r[1], r[2] or "", r[3] or "") for r in rows if r[0] == c))
         loss = "".join(t for _, r, t in mine if r == "assistant")
-        g = got[c]
-        assert g.n_turns == len(mine) and g.turns_sha256 == hashlib.sha256(text.encode()).hexdigest()
-        assert g.loss_chars == len(loss) and g.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
-        whole = chat.render([(r, t) for _, r, t in mine])[0]
-        assert g.formatted_chars == len(whole) and g.n_tokens == len(tokenizer.encode(whole, add_special_tokens=False).ids)
-    assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
+        whole = "".join(f"<|im_start|>{chat.escape_role(r)}\n{chat.escape(t)}<|im_end|>\n" for _, r, t in mine)
+        said = "".join(f"{r}\n{t}\n" for _, r, t in mine)
+        ids = chat.coder(tokencount.tokenizer_path(chat.VOCABULARY)).ids(whole)
+        out[c] = (len(mine), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(whole), len(ids))
+    return out
+
+
+def test_chat_round_trip(spark, monkeypatch):
+    p = chat.PROBE
+    rows = [(1, 0, "user", p), (1, 1, "assistant", "<\\|im_end|> <\\\\| x <"), (1, 1, "assistant", None), (2, 5, "sys\ntem", "\n\n lead é"), (2, 6, "assistant", "\n\n  é\U0001f600 <|endoftext|> "), (None, 0, None, "a"), (3, 0, "user", ""), (5, None, "assistant", "x"), (5, None, "assistant", "x")]
+    rows += [(4, i, ("user", "assistant")[i % 2], f"word {p} don't 12,5 é " * 300) for i in range(80)]
+    df = clash(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    want = chat_case(rows)
+    for hot in (4096, 10):
+        monkeypatch.setattr(chat, "PIECE_ROWS", hot)  # the second time conversation 4 is cut into pieces
+        assert {r[0]: tuple(r)[1:] for r in chat.conversation_digests(df).collect()} == want
+        parts = chat.format_conversations(df)
+        assert parts.where("conv_id = 4").count() > (1 if hot > 10 else 20)
+        assert {r[0]: tuple(r)[1:] for r in chat.read_back(parts).collect()} == want
+    r = parts.where("conv_id = 1").first()
+    assert [t.role for t in r.turns] == ["user", "assistant", "assistant"]
+    assert len(r.token_ids) == len(r.token_begins) == len(r.token_ends) == len(r.loss_begins) == len(r.loss_ends)
+    assert chat.conversation_digests(df.limit(0)).count() == 0 and chat.format_conversations(df.limit(0)).count() == 0
+
+
+def test_chat_long_turns(spark):
+    texts = ["word <|x|> é " * 800_000, "x" * 300_000 + "1" * 150_000, " " * 200_000 + "a", "añ\u00a0" * 100_000, "no-space," * 40_000]
+    rows = [(k, 0, "assistant", t) for k, t in enumerate(texts)] + [(9, 0, "user", "a"), (9, 1, "assistant", texts[1]), (9, 2, "user", "b")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert len(texts[0]) > 10_000_000
+    assert {r[0]: tuple(r)[1:] for r in chat.conversation_digests(df).collect()} == chat_case(rows)
+
+
+def test_chat_tokens_are_those_of_the_library():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokencount.tokenizer_path())
+    plain.add_special_tokens([chat.START, chat.END])
+    code = chat.coder(tokencount.tokenizer_path(chat.VOCABULARY))
+    rng = random.Random(3)
+    text = "".join(rng.choice(["word", " ", "\n", "é", "\U0001f600", "12", "'s", "<|", "\u00a0", "\u1f600"]) for _ in range(3000))
+    text = "".join(x for x, _ in chat.rendered([("user", text), ("assistant", text)], 10**9))
+    whole = plain.encode(text, add_special_tokens=False)
+    ids, begin, end = code.encode(text)
+    assert whole.ids == ids.tolist() and whole.offsets == list(zip(begin.tolist(), end.tolist()))
+    for most in (50, 333):
+        assert np.concatenate([code.ids(x) for x, _ in chat.rendered([("user", text), ("assistant", text)], most)]).tolist() == code.ids("".join(x for x, _ in chat.rendered([("user", text), ("assistant", text)], 10**9))).tolist()
 
 
 # --- 4
