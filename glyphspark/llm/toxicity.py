@@ -10,8 +10,10 @@ in lower case.
 labels.toxic marks documents, so word labels are drawn from it: within a toxic training document the words whose own or
 prefix feature tells toxic from clean training documents best are labelled 1, all others 0. The field (two states, hashed
 word, prefix and suffix features, transitions) is trained in numpy with forward-backward over segments; a logistic model
-over the marginals' sum, maximum and the length gives the document's score. Both are fitted on the same sample, bounded
-by TRAIN_ROWS documents of at most TRAIN_WORDS words each, drawn by hash.
+over the marginals' sum, maximum and the length gives the document's score. The gradient of the field is exact: marginals
+of words and of neighbouring pairs, less what the labels say. Both models are fitted in one task on the same sample of
+labelled rows, bounded by TRAIN_ROWS documents of each label, TRAIN_WORDS words of one and SAMPLE_WORDS in all, drawn by
+hash; of the segments without a toxic word the field sees CLEAN_RATIO for each other one, CLEAN_LEAST at least.
 
 Scoring runs forward-backward over whole texts: products of 2 by 2 matrices over pieces of STEP words, then along the
 pieces of a document, then inside the pieces, so long texts cost no more per word than short ones.
@@ -19,6 +21,8 @@ pieces of a document, then inside the pieces, so long texts cost no more per wor
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,8 +32,10 @@ from . import textvec as tv
 from .common import held_out
 
 BUCKETS = 1 << 17
-#: Bounds of the training sample: documents of each label, words of one.
-TRAIN_ROWS, TRAIN_WORDS = 1500, 50_000
+#: Bounds of the training sample: documents of each label, words of one, words in all.
+TRAIN_ROWS, TRAIN_WORDS, SAMPLE_WORDS = 1500, 50_000, 5_000_000
+#: Segments without a toxic word that the field is trained on: for each one with, and at least.
+CLEAN_RATIO, CLEAN_LEAST = 3, 4000
 STEP, SPAN, SEED, EPOCHS, PREFIXES = 32, 0.5, 11, 6, (4, 5, 7)
 N_FEATURES = 2 + len(PREFIXES)
 
@@ -78,13 +84,15 @@ def _scan(m: list[np.ndarray], counts: np.ndarray, begin: tuple[float, float]) -
     return np.log(out)
 
 
-def marginals(e: np.ndarray, first: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """P(toxic) of each word. e: score of state 1 over state 0; trans[i, j]: score of going from i to j."""
+def forward_backward(e: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds of state 1 for each word from the words up to it, and from the words behind it.
+
+    e: score of state 1 over state 0; trans[i, j]: score of going from i to j."""
     n = np.diff(first)
     counts = -(-n // STEP)
     pieces = int(counts.sum())
     if not pieces:
-        return np.zeros(0)
+        return np.zeros(0), np.zeros(0)
     start = np.concatenate(([0], np.cumsum(counts)[:-1])) * STEP
     cell = lambda at: (at % STEP) * pieces + at // STEP  # noqa: E731  place in (STEP, pieces)
     place = cell(np.arange(len(e)) + np.repeat(start - first[:-1], n))
@@ -108,9 +116,29 @@ def marginals(e: np.ndarray, first: np.ndarray, trans: np.ndarray) -> np.ndarray
         part.ravel()[back] = v
         part.ravel()[back[tails]] = end
     behind = _scan(m, counts, (0.5, 0.5)).ravel()[back]
+    return ahead, behind
+
+
+def marginals(e: np.ndarray, first: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """P(toxic) of each word."""
+    ahead, behind = forward_backward(e, first, trans)
     return 1 / (1 + np.exp(-np.clip(ahead + behind, -700, 700)))
 
 
+def expectations(e: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """P(toxic) of each word, and the expected number of steps from state i to j over all neighbours of one row:
+    P(i, j) of a pair goes with alpha(i) * trans(i, j) * score(j) * beta(j)."""
+    ahead, behind = forward_backward(e, first, trans)
+    p = 1 / (1 + np.exp(-np.clip(ahead + behind, -700, 700)))
+    inside = np.ones(max(0, len(e) - 1), bool)
+    inside[first[1:-1][(first[1:-1] > 0) & (first[1:-1] < len(e))] - 1] = False
+    at = np.flatnonzero(inside)
+    state = np.arange(2)
+    score = ahead[at, None, None] * state[:, None] + trans + (e + behind)[at + 1, None, None] * state
+    score = np.exp(score - score.max((1, 2), keepdims=True))
+    return p, (score / score.sum((1, 2), keepdims=True)).sum(0)
+
+
 def summary(p: np.ndarray, first: np.ndarray) -> np.ndarray:
     """(rows, 3) inputs of the document model: logit of the largest marginal, log of their sum, log of the length."""
     n = np.diff(first)
@@ -162,7 +190,7 @@ def train(rows: list[tuple[int, np.ndarray]], clean_weight: float = 1.0):
     rng = np.random.default_rng(SEED)
     hot = ys.any(1)
     cold = rng.permutation(np.flatnonzero(~hot))
-    keep = np.sort(np.concatenate((np.flatnonzero(hot), cold[: max(4000, 3 * int(hot.sum()))])))
+    keep = np.sort(np.concatenate((np.flatnonzero(hot), cold[: max(CLEAN_LEAST, CLEAN_RATIO * int(hot.sum()))])))
     fs, ys, ms = fs[keep], ys[keep], ms[keep]
     w, sq = np.zeros(BUCKETS), np.full(BUCKETS, 1e-8)
     bias, trans, tsq = -2.0, np.zeros((2, 2)), np.full((2, 2), 1e-8)
@@ -174,16 +202,10 @@ def train(rows: list[tuple[int, np.ndarray]], clean_weight: float = 1.0):
             real = np.arange(size) < n[:, None]
             flat = np.concatenate(([0], np.cumsum(n)))
             p = np.zeros(e.shape)
-            p[real] = marginals(e[real], flat, trans)
+            p[real], pairs = expectations(e[real], flat, trans)
             d = np.where(real, p - y, 0.0)
-            # pairs: expected transitions from neighbouring marginals' joint, by the chain's local potentials
-            pair = real[:, 1:]
-            joint = np.zeros((2, 2))
-            for i in (0, 1):
-                for j in (0, 1):
-                    a = np.where(i, p[:, :-1], 1 - p[:, :-1])
-                    b = np.where(j, p[:, 1:], 1 - p[:, 1:])
-                    joint[i, j] = (a * b)[pair].sum() - ((y[:, :-1] == i) & (y[:, 1:] == j))[pair].sum()
+            step = (2 * y[:, :-1] + y[:, 1:])[real[:, 1:]]
+            joint = pairs - np.bincount(step, minlength=4).reshape(2, 2)
             tsq += joint**2
             trans -= 0.1 * joint / np.sqrt(tsq)
             np.clip(trans, -3, 3, out=trans)
@@ -207,7 +229,7 @@ def train(rows: list[tuple[int, np.ndarray]], clean_weight: float = 1.0):
 
 
 def fit(docs: DataFrame, labels: DataFrame):
-    """Trains on the sample; the rows that travel to the driver are bounded by TRAIN_ROWS and TRAIN_WORDS."""
+    """Trains on the sample, in one task; only the model travels to the driver."""
     known = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("toxic").cast("int")).alias("__toxic")).where(~held_out("__id"))
     sizes = {int(r["t"]): r["n"] for r in known.groupBy((F.col("__toxic") > 0).cast("int").alias("t")).agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
@@ -227,11 +249,24 @@ def fit(docs: DataFrame, labels: DataFrame):
                     lists.append(features(part, starts, ends, h).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(lists, pa.binary())], names=["toxic", "f"])
 
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("__toxic", "text")  # at most about 2 * TRAIN_ROWS rows
-    rows = sorted((r["toxic"], bytes(r["f"])) for r in picked.mapInArrow(encode, "toxic int, f binary").toLocalIterator())
-    rows = [(y, np.frombuffer(f, np.int32).reshape(-1, N_FEATURES)) for y, f in rows]
-    taken = {k: max(1, sum(1 for y, _ in rows if y == k)) for k in (0, 1)}
-    return train(rows, (sizes[0] / sizes[1]) / (taken[0] / taken[1]))
+    def learn(batches):
+        rows = sorted((t, f) for b in batches for t, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        rng = np.random.default_rng(SEED)
+        used, kept = 0, []
+        for k in rng.permutation(len(rows)):
+            f = np.frombuffer(rows[k][1], np.int32).reshape(-1, N_FEATURES)
+            if used + len(f) <= SAMPLE_WORDS:
+                used += len(f)
+                kept.append((rows[k][0], f))
+        taken = {k: max(1, sum(1 for y, _ in kept if y == k)) for k in (0, 1)}
+        model = train(kept, (sizes[0] / sizes[1]) / (taken[0] / taken[1]))
+        if model:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    # at most about 2 * TRAIN_ROWS rows; of rows that share a doc_id one is used
+    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).groupBy("doc_id").agg(F.max("__toxic").alias("toxic"), F.min("text").alias("text"))
+    found = picked.select("toxic", "text").mapInArrow(encode, "toxic int, f binary").repartition(1).mapInArrow(learn, "model binary").first()
+    return pickle.loads(found["model"]) if found else None
 
 
 def _spans(raw, starts, ends, p) -> str:

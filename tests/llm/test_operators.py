@@ -138,6 +138,38 @@ def test_marginals_equal_plain_forward_backward():
     assert np.allclose(toxicity.marginals(e, first, t), want)
 
 
+def test_field_gradient_equals_finite_differences():
+    rng = np.random.default_rng(1)
+    n = np.array([1, 40, 0, 7])
+    first = np.concatenate(([0], np.cumsum(n)))
+    e, t, y = rng.normal(0, 1, first[-1]), rng.normal(0, 1, (2, 2)), rng.integers(0, 2, first[-1])
+
+    def likelihood(e, t):
+        total = 0.0
+        for a, b in zip(first, first[1:]):
+            if a == b:
+                continue
+            al = np.array([0, e[a]])
+            for i in range(a + 1, b):
+                al = np.logaddexp(al[0] + t[0], al[1] + t[1]) + np.array([0, e[i]])
+            total += (e[a:b] * y[a:b]).sum() + t[y[a : b - 1], y[a + 1 : b]].sum() - np.logaddexp(*al)
+        return total
+
+    p, pairs = toxicity.expectations(e, first, t)
+    real = np.zeros((2, 2))
+    for a, b in zip(first, first[1:]):
+        np.add.at(real, (y[a : b - 1], y[a + 1 : b]), 1)
+    for i in range(2):
+        for j in range(2):
+            d = np.zeros((2, 2))
+            d[i, j] = 1e-5
+            assert abs((likelihood(e, t + d) - likelihood(e, t - d)) / 2e-5 - (real - pairs)[i, j]) < 1e-5
+    for k in (0, 1, 20, 47):
+        d = np.zeros(len(e))
+        d[k] = 1e-5
+        assert abs((likelihood(e + d, t) - likelihood(e - d, t)) / 2e-5 - (y - p)[k]) < 1e-5
+
+
 def test_toxicity_finds_held_out_words(spark):
     rng = random.Random(4)
     rows, labels = [], []
