@@ -9,16 +9,16 @@ read; very long ones in pieces whose counts add up. Without any labelled row eve
 equal results; extra columns are ignored.
 
 Features are the hashed byte n-grams (3 and 4 bytes of the lower-cased text, every run of non-letters read as one
-space), averaged. The training rows are a sample bounded by TRAIN_ROWS, drawn by hash within each language, and travel as
-bucket counts of at most BUCKETS entries a document.
+space), averaged. The training rows are a sample bounded by TRAIN_ROWS distinct texts, drawn by hash within each language;
+they meet as bucket counts of at most BUCKETS entries a text in one task, which sends only the model to the driver.
 """
 
 from __future__ import annotations
 
+import pickle
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -28,8 +28,8 @@ from . import textvec as tv
 from .common import held_out
 
 BUCKETS = 1 << 14
-#: Bounds of the training sample: rows in all.
-TRAIN_ROWS = 1500
+#: Bound of the training sample: distinct texts in all, or one of each language where that is more.
+TRAIN_ROWS = 3000
 DIM, EPOCHS, RATE, SEED = 16, 12, 0.5, 7
 #: Thresholds aim to reject this share of correct rows; so far below their mean log-odds lies it in a normal curve.
 REJECT_SHARE = 0.001
@@ -157,7 +157,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray, list]]) -> Model | None:
 
 def fit(docs: DataFrame) -> Model | None:
     usable = docs.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000))
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(SEED)), F.lit(1_000_000))
     usable = usable.select("lang", "text", draw.alias("draw"))
     found = usable.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("draw")).collect()
     if not found:
@@ -169,7 +169,7 @@ def fit(docs: DataFrame) -> Model | None:
     share = {k: min(1.0, (each + (spare / len(more) if k in more else 0)) / n) for k, n in sizes.items()}
     # a language's first row in order of the hash is always drawn
     rates = docs.sparkSession.createDataFrame([(r["lang"], max(share[r["lang"]] * 1_000_000, r["draw"] + 1.0)) for r in found], "lang string, rate double")
-    drawn = usable.join(F.broadcast(rates), "lang").where(F.col("draw") < F.col("rate")).select("lang", "text")
+    drawn = usable.join(F.broadcast(rates), "lang").where(F.col("draw") < F.col("rate")).groupBy("lang", F.xxhash64("text")).agg(F.min("text").alias("text")).select("lang", "text")
 
     def count(batches):
         for batch in batches:
@@ -184,9 +184,13 @@ def fit(docs: DataFrame) -> Model | None:
                 c.append([x[h].astype(np.float32).tobytes() for x, h in zip(found, hits, strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(b, pa.list_(pa.binary())), pa.array(c, pa.list_(pa.binary()))], names=["lang", "b", "c"])
 
-    rows = sorted((r["lang"], [bytes(x) for x in r["b"]], [bytes(x) for x in r["c"]]) for r in drawn.mapInArrow(count, "lang string, b array<binary>, c array<binary>").toLocalIterator())
-    pairs = [(lang, [(np.frombuffer(x, np.int32), np.frombuffer(n, np.float32)) for x, n in zip(b, c, strict=True)]) for lang, b, c in rows]
-    return train([(lang, *of[0], of[1:]) for lang, of in pairs])
+    def learn(batches):
+        rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        pairs = [(lang, [(np.frombuffer(x, np.int32), np.frombuffer(n, np.float32)) for x, n in zip(b, c, strict=True)]) for lang, b, c in rows]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([(lang, *of[0], of[1:]) for lang, of in pairs]))], pa.binary())], names=["model"])
+
+    counts = drawn.mapInArrow(count, "lang string, b array<binary>, c array<binary>").repartition(1)
+    return pickle.loads(counts.mapInArrow(learn, "model binary").first()["model"])
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -216,16 +220,15 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of docs whose text is in a language that the model accepts, columns unchanged."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
-    @F.pandas_udf("boolean")
-    def accepted(text: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def accepted(text: pa.Array) -> pa.Array:
         m = shared.value
-        column = pa.array(text, pa.string(), from_pandas=True)
-        out = has_letter(column)
-        raw, at = tv.buffers(_lower(column))
+        out = has_letter(text)
+        raw, at = tv.buffers(_lower(text))
         for i in np.flatnonzero(out):
             if m:
                 full = bucket_counts(raw[at[i] : at[i + 1]])
                 out[i] = not m.rejects(float(m.probabilities(full / full.sum()).max()), full.sum())
-        return pd.Series(out)
+        return pa.array(out)
 
     return docs.where(accepted("text"))
