@@ -1,26 +1,30 @@
 """Text comparison: word and paragraph diffs with paired modifications, and word-bag similarity.
 
-The diff works on the shortest edit script (Myers); deletions come before insertions. Words are runs of word characters,
-white space stays as tokens of its own, any other character is a token.
+A diff follows a longest common subsequence; deletions come before insertions. Words are runs of letters, digits, _,
+combining marks and joiners, so a Bengali syllable stays whole; white space stays as tokens of its own, any other
+character is a token. Null texts count as empty.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from math import isqrt
 
+import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import WS
 
-_TOKEN = re.compile(f"[{WS}]+|[^\\W]+|.", re.S)
+_TOKEN = regex.compile(f"[{WS}]+|[\\p{{L}}\\p{{N}}\\p{{M}}_\u200c\u200d]+|.", regex.S)
 _WORD = re.compile(f"[^{WS}]+")
 _BREAK = re.compile(f"\\r?\\n[{WS}]*\\r?\\n")
 #: Pairs of up to SHORT words on either side are modifications, longer ones from ALIKE on.
 SHORT, ALIKE = 6, 0.3
+#: Bits of the table that one trace may hold; larger ones are halved first.
+CELLS = 1 << 28
 
 
 def dice(a: list[str], b: list[str]) -> float:
@@ -31,84 +35,78 @@ def dice(a: list[str], b: list[str]) -> float:
     return 2 * sum((x & y).values()) / (len(a) + len(b))
 
 
-def edits(a: list, b: list) -> list[tuple[str, int, int]]:
-    """(kind, i, j): equal, removed (a[i]) or added (b[j]), in order, along one shortest script."""
-    low = 0
-    while low < min(len(a), len(b)) and a[low] == b[low]:
-        low += 1
-    end = 0
-    while end < min(len(a), len(b)) - low and a[-1 - end] == b[-1 - end]:
-        end += 1
-    x, y = a[low : len(a) - end], b[low : len(b) - end]
-    head = [("equal", k, k) for k in range(low)]
-    tail = [("equal", len(a) - end + k, len(b) - end + k) for k in range(end)]
-    n, m = len(x), len(y)
-
-    def step(reach: dict, d: int) -> bool:
-        for k in range(-d, d + 1, 2):
-            i = reach[k + 1] if k == -d or (k != d and reach[k - 1] < reach[k + 1]) else reach[k - 1] + 1
-            while i < n and i - k < m and x[i] == y[i - k]:
-                i += 1
-            reach[k] = i
-            if i >= n and i - k >= m:
-                return True
-        return False
-
-    # states are kept at square numbers of edits and found again between them: no quadratic trace
-    reach, marks, d = {1: 0}, [], 0
-    while True:
-        if isqrt(d) ** 2 == d:
-            marks.append(dict(reach))
-        if step(reach, d):
-            break
-        d += 1
-    script = []
-    i, j = n, m
-    states: list[dict] = []
-    for d in range(d, -1, -1):
-        first = isqrt(d) ** 2
-        if not states:
-            states.append(marks.pop())
-            for e in range(first, d):
-                states.append(dict(states[-1]))
-                step(states[-1], e)
-        was, k = states.pop(), i - j
-        down = k == -d or (k != d and was.get(k - 1, -1) < was.get(k + 1, -1))
-        pk = k + 1 if down else k - 1
-        pi = was.get(pk, 0)
-        pj = pi - pk
-        while i > pi and j > pj and i > 0 and j > 0:
+def _rows(a: list, b: list):
+    """After each value of a: bits of b, 0 where the common subsequence with all of a so far grows by one there."""
+    where: dict = {}
+    for j, y in enumerate(b):
+        where[y] = where.get(y, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    v = full
+    for x in a:
+        u = v & where.get(x, 0)
+        v = (v + u | v - u) & full
+        yield v
+
+
+def _lengths(a: list, b: list) -> np.ndarray:
+    """Length of the common subsequence of a with each prefix of b."""
+    for v in _rows(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
+
+
+def _trace(a: list, b: list) -> list[tuple[int, int]]:
+    size = len(b) // 8 + 1
+    rows = [v.to_bytes(size, "little") for v in _rows(a, b)]
+    grows = lambda i, j: not rows[i][j >> 3] >> (j & 7) & 1
+    out, i, j = [], len(a) - 1, len(b) - 1
+    while i >= 0 and j >= 0:
+        if not grows(i, j):
+            j -= 1
+        elif i and grows(i - 1, j):
+            i -= 1
+        else:
+            out.append((i, j))
             i, j = i - 1, j - 1
-            script.append(("equal", low + i, low + j))
-        if d:
-            script.append(("added", low + i, low + j - 1) if down else ("removed", low + i - 1, low + j))
-            i, j = pi, pj
-    return head + script[::-1] + tail
-
-
-def changes(a: list[str], b: list[str], glue: str) -> list[tuple[str, str]]:
-    """(kind, text) of runs: within a changed stretch all that was removed comes first."""
+    return out
+
+
+def common(a: list, b: list) -> list[tuple[int, int]]:
+    """Index pairs of one longest common subsequence, in order. Memory is linear: large tables are halved by a's middle."""
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        i, n, j, m = todo.pop()
+        while i < n and j < m and a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        while i < n and j < m and a[n - 1] == b[m - 1]:
+            n, m = n - 1, m - 1
+            out.append((n, m))
+        x, y = a[i:n], b[j:m]
+        if len(x) > 1 and len(x) * len(y) > CELLS:
+            half = len(x) // 2
+            both = _lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]
+            cut = int(np.argmax(both))
+            todo += [(i, i + half, j, j + cut), (i + half, n, j + cut, m)]
+        elif x and y:
+            out += [(i + p, j + q) for p, q in _trace(x, y)]
+    return sorted(out)
+
+
+def changes(a: list[str], b: list[str], glue: str) -> list[tuple[str, str, int]]:
+    """(kind, text, tokens) of runs: within a changed stretch all that was removed comes first."""
     out: list[tuple[str, list[str]]] = []
-    gone: list[str] = []
-    new: list[str] = []
-
-    def flush():
-        for kind, part in (("removed", gone), ("added", new)):
-            if part:
-                out.append((kind, part.copy()))
-                part.clear()
-
-    for kind, i, j in edits(a, b):
-        if kind == "equal":
-            flush()
+    i = j = 0
+    for x, y in [*common(a, b), (len(a), len(b))]:
+        out += [(kind, part) for kind, part in (("removed", a[i:x]), ("added", b[j:y])) if part]
+        if x < len(a):
             if out and out[-1][0] == "equal":
-                out[-1][1].append(a[i])
+                out[-1][1].append(a[x])
             else:
-                out.append(("equal", [a[i]]))
-        else:
-            (gone if kind == "removed" else new).append(a[i] if kind == "removed" else b[j])
-    flush()
-    return [(k, glue.join(v)) for k, v in out]
+                out.append(("equal", [a[x]]))
+        i, j = x + 1, y + 1
+    return [(k, glue.join(v), len(v)) for k, v in out]
 
 
 def compare(source: str, target: str, mode: str = "word") -> dict:
@@ -118,7 +116,7 @@ def compare(source: str, target: str, mode: str = "word") -> dict:
     else:
         cut = lambda t: [p for p in (re.sub(f"^[{WS}]+|[{WS}]+$", "", p) for p in _BREAK.split(t or "")) if p]
         runs = changes(cut(source), cut(target), "\n\n")
-    words = [_WORD.findall(v) for _, v in runs]
+    words = [_WORD.findall(v) for _, v, _ in runs]
     n = {"unchanged": 0, "removed": 0, "added": 0, "mod_removed": 0, "mod_added": 0}
     mods = removals = additions = 0
     i = 0
@@ -136,10 +134,13 @@ def compare(source: str, target: str, mode: str = "word") -> dict:
             removals, additions = removals + (kind == "removed"), additions + (kind == "added")
         i += 1
     s, t = n["unchanged"] + n["removed"] + n["mod_removed"], n["unchanged"] + n["added"] + n["mod_added"]
-    return {"segments": [{"kind": k, "value": v} for k, v in runs], "modifications": mods, "removals": removals, "additions": additions, "unchanged_words": n["unchanged"], "source_words": s, "target_words": t, "changed_words": s + t - 2 * n["unchanged"], "similarity": min(1.0, 2 * n["unchanged"] / (s + t)) if s + t else 1.0}
+    tokens = Counter()
+    for kind, _, k in runs:
+        tokens[kind] += k
+    return {"segments": [{"kind": k, "value": v} for k, v, _ in runs], "equal_tokens": tokens["equal"], "removed_tokens": tokens["removed"], "added_tokens": tokens["added"], "modifications": mods, "removals": removals, "additions": additions, "unchanged_words": n["unchanged"], "source_words": s, "target_words": t, "changed_words": s + t - 2 * n["unchanged"], "similarity": min(1.0, 2 * n["unchanged"] / (s + t)) if s + t else 1.0}
 
 
-RESULT = "segments array<struct<kind:string,value:string>>, modifications long, removals long, additions long, unchanged_words long, source_words long, target_words long, changed_words long, similarity double"
+RESULT = "segments array<struct<kind:string,value:string>>, equal_tokens long, removed_tokens long, added_tokens long, modifications long, removals long, additions long, unchanged_words long, source_words long, target_words long, changed_words long, similarity double"
 
 
 def compare_columns(source: Column, target: Column, mode: str = "word") -> Column:
@@ -150,14 +151,21 @@ def compare_columns(source: Column, target: Column, mode: str = "word") -> Colum
     return run(source, target)
 
 
-def bag_similarity(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b, similarity) for pairs (a, b) of texts in left (a, text) and right (b, text): word bags, joined by word."""
-    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"[^{WS}]+"), F.lit(0)))
-    x = left.select("a", word.alias("w")).groupBy("a", "w").agg(F.count("*").alias("n"))
-    y = right.select("b", word.alias("w")).groupBy("b", "w").agg(F.count("*").alias("m"))
-    na, nb = x.groupBy("a").agg(F.sum("n").alias("na")), y.groupBy("b").agg(F.sum("m").alias("nb"))
-    shared = pairs.join(x, "a").join(y, ["b", "w"]).groupBy("a", "b").agg(F.sum(F.least("n", "m")).alias("both"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    all_ = pairs.join(shared, ["a", "b"], "left").join(na, "a", "left").join(nb, "b", "left")
-    total = zero("na") + zero("nb")
-    return all_.select("a", "b", F.when(total == 0, 1.0).otherwise(2 * zero("both") / total).alias("similarity"))
+def bag_similarity(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, similarity) for distinct pairs (a, b) of ids in texts (id, text): word bags, counted once for each pair and word."""
+    sides = pairs.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(True).alias("left")), F.struct(F.col("b").alias("id"), F.lit(False).alias("left")))).alias("s")).select("a", "b", "s.*")
+    words = sides.join(texts.select("id", "text"), "id").select("a", "b", "left", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"[^{WS}]+"), F.lit(0))).alias("w"))
+    counts = words.groupBy("a", "b", "w").agg(F.count_if("left").alias("n"), F.count_if(~F.col("left")).alias("m"))
+    total = counts.groupBy("a", "b").agg(F.sum(F.least("n", "m")).alias("both"), F.sum(F.col("n") + F.col("m")).alias("words"))
+    return pairs.join(total, ["a", "b"], "left").select("a", "b", F.coalesce(2 * F.col("both") / F.col("words"), F.lit(1.0)).alias("similarity"))
+
+
+def gate(source: Column, target: Column, limit: Column) -> Column:
+    """Why a pair is not compared: blank (either side), over_limit (either side), or null where it is."""
+    used = [F.coalesce(F.length(F.regexp_replace(t, f"[{WS}]+", "")), F.lit(0)) for t in (source, target)]
+    return F.when(F.least(*used) == 0, "blank").when(F.greatest(*used) > limit, "over_limit")
+
+
+def badges(result: Column) -> Column:
+    """struct<percent, added, removed> of a comparison: half of a percent counts up, halves of modifications count too."""
+    return F.struct(F.floor(result["similarity"] * 100 + 0.5).cast("long").alias("percent"), (result["additions"] + result["modifications"]).alias("added"), (result["removals"] + result["modifications"]).alias("removed"))
