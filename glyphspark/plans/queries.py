@@ -23,9 +23,10 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    """Documents dealt over the cores: a single file would be few tasks for the row-local work."""
+    """Documents for row-local work: as the scan splits them, dealt over the cores only where it has fewer splits than cores."""
     df = _t(spark, d, "documents").select("doc_id", "text", "lang", "source")
-    return df.repartition(spark.sparkContext.defaultParallelism * 2, "doc_id")
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores, "doc_id")
 
 
 def _facts(spark: SparkSession, d: str) -> DataFrame:
@@ -122,9 +123,10 @@ def _pairs(spark, d):
 
 
 def dice_adjacent(spark, d):
-    docs = _t(spark, d, "documents")
-    pairs = _pairs(spark, d).select(F.col("doc_id").alias("a"), "b")
-    return compare.bag_similarity(pairs, docs.select(F.col("doc_id").alias("a"), "text"), docs.select(F.col("doc_id").alias("b"), "text")).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    docs = _t(spark, d, "documents").select("doc_id", "source")
+    right = docs.select(F.col("doc_id").alias("b"), F.col("source").alias("s"))
+    pairs = docs.join(right, (F.col("b") == F.col("doc_id") + 20) & (F.col("s") == F.col("source"))).select(F.col("doc_id").alias("a"), "b").distinct()
+    return compare.bag_similarity(pairs, _docs(spark, d).select(F.col("doc_id").alias("id"), "text")).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 def _turn_pairs(spark, d):
