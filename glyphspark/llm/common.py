@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one where that is unset (local runs)."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Where that is unset, a temporary folder
+    serves local masters (one machine); on a cluster it is an error, as executors would not see each other's files."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/glyphspark"
@@ -31,7 +35,21 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[id(out)] = path
+    weakref.finalize(out, _written.pop, id(out), None)
+    return out
+
+
+#: Path of each table of durable that is still in use.
+_written: dict[int, str] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that durable gave. Nothing read later may stand on them but what was written since."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_written[id(df)])
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def held_out(doc_id) -> "F.Column":
@@ -53,6 +71,10 @@ def gathered(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
 
 
+#: Star steps at most: their number grows with the logarithm of the longest path.
+STEPS = 100
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) with component = the smallest node reachable, for every node of edges (src, dst: long).
 
@@ -63,15 +85,16 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     """
     cur = durable(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct(), f"{name}-0")
     seen = None
-    for step in range(1, 100):
+    for step in range(1, STEPS + 1):
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        cur = durable(small, f"{name}-{step}")
+        last, cur = cur, durable(small, f"{name}-{step}")
+        discard(last)
         now = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == seen:
-            break
+            return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         seen = now
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    raise RuntimeError(f"components did not settle in {STEPS} steps")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import WORD, connected_components, durable, gathered
+from .common import WORD, connected_components, discard, durable, gathered
 
 SHINGLE = 5
 #: A token counts as frequent from this share of the documents on (and FREQUENT_LEAST documents), as far as it shows in
@@ -217,6 +217,17 @@ class SignatureTree:
 GROUP = ["lead", "low", "high"]
 
 
+def _sized(family: DataFrame) -> DataFrame:
+    """The rows (lead, cls, n) of family whose size allows a link with another row of their lead: a row of the same size, or
+    the next size up or down in the ratio of three quarters."""
+    sizes = durable(family.groupBy("lead", "n").agg(F.count("*").alias("same")), "family-sizes")
+    # sizes of a family, not its rows, pass the window
+    order = Window.partitionBy("lead").orderBy("n")
+    up, down = F.lead("n").over(order), F.lag("n").over(order)
+    near = (F.col("same") > 1) | F.coalesce(3 * up <= 4 * F.col("n"), F.lit(False)) | F.coalesce(3 * F.col("n") <= 4 * down, F.lit(False))
+    return family.join(sizes.withColumn("near", near).where("near").select("lead", "n"), ["lead", "n"], "left_semi")
+
+
 def _blocked(family: DataFrame) -> DataFrame:
     """(lead, low, high, block, cls, n) of a family (lead, cls, n): in order of size it is cut into blocks of about BLOCK
     tokens, and every two blocks whose sizes allow a link are a group (blocks low <= high), dealt out on its own."""
@@ -354,9 +365,15 @@ def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = durable(base.where("n_shingles > 0").groupBy("cls").agg(F.min("digest").alias("digest"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"), F.first("map").alias("map")), "classes")
 
     # families: the sets of all tokens that one class leads
-    by_token = base.where("n_shingles > 0").groupBy("cls").agg(F.max("n_shingles").alias("n"), F.first("prefix").alias("prefix")).select("cls", "n", F.explode("prefix").alias("token"))
+    # tokens of a class, dealt out once: the grouping and the join read the same exchange. A token has one row of a class,
+    # among n / 4 of its rows, so no token is hot, however many classes it is in
+    by_token = base.where("n_shingles > 0").groupBy("cls").agg(F.first("prefix").alias("prefix")).select("cls", F.explode("prefix").alias("token")).repartition("token")
     led = by_token.groupBy("token").agg(F.min("cls").alias("lead"), F.max("cls").alias("last")).where("lead < last").select("token", "lead")
-    family = durable(by_token.join(led, "token").select("lead", "cls", "n").distinct(), "families")
+    member = durable(by_token.join(led, "token").select("lead", "cls").distinct(), "members")
+    rows = durable(base.select("doc_id", "digest", "n_shingles", "cls"), "rows")
+    discard(base)
+    family = durable(_sized(member.join(classes.select("cls", "n"), "cls")), "families")
+    discard(member)
     leads = durable(family.groupBy("cls").agg(F.sort_array(F.collect_list("lead")).alias("leads")), "leads")
 
     near = durable(_near(_blocked(family).join(leads, "cls").join(classes.select("cls", "map"), "cls")), "near")
@@ -366,7 +383,7 @@ def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     node = connected_components(found.select(F.col("cls").alias("src"), F.col("root").alias("dst")))
     degree = found.groupBy("cls").agg(F.sum("links").alias("links"))
     label = classes.join(node, F.col("cls") == F.col("node"), "left").join(degree, "cls", "left").select("cls", F.coalesce("component", "cls").alias("comp"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return base.select("doc_id", "digest", "n_shingles", "cls"), durable(label, "labels")
+    return rows, durable(label, "labels")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
