@@ -2,23 +2,31 @@
 
 Contract of `find_leaks`: rows (doc_id, item_id, score, question_overlap, answer_overlap, n_passages), one for each
 document and test item whose question and answer both overlap it. Words are maximal runs of letters and digits in lower
-case. A document is cut into overlapping passages of PASSAGE words, PASSAGE / 2 apart, or of the longest item's length
-where that is more, so each run of half that length lies whole in one; the last holds the end. The query of a passage is
-the set of its words. An item's BM25 score is divided by the score that the item's own text gets, so THRESHOLD is the
-share of its weight that a passage must hold; all items at or above it are retrieved. An item is a question up to its
-last sentence and an answer after that; where it has one sentence, the last third of its words is the answer. Overlap is
-the share of the part's SHINGLE-word shingles (the part as a whole where it is shorter) that the passage and its two
-neighbours hold in that order; both must reach OVERLAP. Null or empty texts and items without words match nothing.
-Repeated items with another id are reported each; repeated documents too. Rows of the answer are distinct.
-
-Bounds: the index lives in every worker, in blocks of items of at most BLOCK_BYTES of text; each block is one pass over
-the passages, so a set of items of any size works. Per passage, the work is an upper bound for each run of RUN items from
-the rarest terms (essential lists; the other terms of an item hold less than LIGHT of its weight), then for the items of
-the runs that stay, then the full score. No bound drops an item that reaches the threshold.
+case. Items fall into tiers by length: tier k holds those of up to PASSAGE * 2**k / 2 words. For a tier a document is cut
+into overlapping passages of PASSAGE * 2**k words, half of that apart, so each run of half that length lies whole in one;
+the last holds the end. The query of a passage is the set of its words. An item's BM25 score is divided by the score that
+the item's own text gets, so THRESHOLD is the share of its weight that a passage must hold; all items at or above it are
+retrieved. An item is a question up to its last sentence and an answer after that; where it has one sentence, the last
+third of its words is the answer. Overlap is the share of the part's SHINGLE-word shingles (the part as a whole where it
+is shorter) that the passage and its two neighbours hold in that order; both must reach OVERLAP. Null or empty texts and
+items without words match nothing. A null item_id is reported as it is; items of other id or text are reported each,
+repeated rows once. Repeated documents are reported each, rows of one id once. Extra columns are ignored.
+
+The index: Spark splits the items and counts document frequencies and lengths over all of them; impacts are joined and
+gathered by block of about BLOCK_WORDS words of one tier, and a task builds each block's index into a shared table. The
+blocks reach the workers one at a time, by broadcast of that bounded size; each is a pass over the passages, so results
+do not depend on the blocks.
+
+WAND: a term's list holds the runs of RUN items with the largest impact of each. A passage whose terms' list maxima do
+not add up to the threshold has no pivot and ends. For the others the cursors of the essential lists (the other terms of
+an item hold less than LIGHT of its weight) are merged, and only runs whose block maxima reach the threshold are opened,
+first for essential terms, then for the full score. Runs that no essential term touches are never looked at. No bound
+drops an item that reaches the threshold. Cursors are merged for at most CURSORS postings at a time.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 
 import numpy as np
@@ -28,10 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .common import durable, gathered
 
 PASSAGE, THRESHOLD, OVERLAP, SHINGLE = 128, 0.6, 0.6, 3
 K1, B = 1.2, 0.75
-RUN, LIGHT, BLOCK_BYTES = 8, 0.3, 16 << 20
+RUN, LIGHT = 8, 0.3
+#: Words of the items of one block, about; postings of runs that are merged at once, one passage at least.
+BLOCK_WORDS, CURSORS = 1 << 18, 1 << 21
+FOUND = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, n_passages long"
 
 
 def _words(text: str) -> np.ndarray:
@@ -62,30 +74,16 @@ class Index:
     """Inverted index of one block of items, sorted by length so that neighbours share runs.
 
     Postings of a term: items and impacts (share of the item's own score). runs: the same for runs of RUN items, with the
-    largest impact of a run (the block maximum).
+    largest impact of a run (the block maximum). top: the largest impact of a term's whole list.
     """
 
-    def __init__(self, rows: list[tuple[int, str]], n_all: int, df: dict[int, int], mean: float):
-        rows = sorted(rows, key=lambda r: (len(r[1] or ""), r[0]))
-        self.parts = [split_item(t) for _, t in rows]
-        self.ids = np.array([r[0] for r in rows], np.int64)
-        self.sizes = np.array([len(q) + len(a) for q, a in self.parts])
-        self.passage = max(PASSAGE, 2 * int(self.sizes.max(initial=1)))
-        terms, items, impacts = [], [], []
-        for i, (q, a) in enumerate(self.parts):
-            t, tf = np.unique(np.concatenate((q, a)), return_counts=True)
-            if not len(t):
-                continue
-            n = np.array([df[int(x)] for x in t])
-            s = np.log1p((n_all - n + 0.5) / (n + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * self.sizes[i] / mean))
-            terms.append(t)
-            items.append(np.full(len(t), i))
-            impacts.append(s / s.sum())
-        self.n = len(rows)
-        if not terms:
-            self.vocab = np.zeros(0, np.uint64)
-            return
-        t, i, s = np.concatenate(terms), np.concatenate(items), np.concatenate(impacts)
+    def __init__(self, passage: int, rows: list[tuple]):
+        """rows: (item_id, question, answer, terms, impacts)."""
+        rows = sorted(rows, key=lambda r: (len(r[1]) + len(r[2]), r[0] is not None, r[0]))
+        self.passage, self.n = passage, len(rows)
+        self.ids = [r[0] for r in rows]
+        t, s = np.concatenate([r[3] for r in rows]), np.concatenate([r[4] for r in rows])
+        i = np.repeat(np.arange(self.n), [len(r[3]) for r in rows])
         self.vocab, code = np.unique(t, return_inverse=True)
         # light terms of an item, from the least impact up, hold at most LIGHT together; the others are essential
         order = np.lexsort((s, i))
@@ -97,13 +95,16 @@ class Index:
         self.light = np.bincount(i[~heavy], s[~heavy], self.n)
         self.full = self._lists(code, i, s)
         self.heavy = self._lists(code[heavy], i[heavy], s[heavy])
-        key, inverse = np.unique(code[heavy].astype(np.int64) * (self.n // RUN + 1) + i[heavy] // RUN, return_inverse=True)
-        top = np.zeros(len(key))
-        np.maximum.at(top, inverse, s[heavy])
-        self.runs = self._lists(key // (self.n // RUN + 1), key % (self.n // RUN + 1), top)
-        self.run_light = np.zeros(self.n // RUN + 1)
+        self.top = np.zeros(len(self.vocab))
+        np.maximum.at(self.top, code, s)
+        n_runs = self.n // RUN + 1
+        key, inverse = np.unique(code[heavy].astype(np.int64) * n_runs + i[heavy] // RUN, return_inverse=True)
+        most = np.zeros(len(key))
+        np.maximum.at(most, inverse, s[heavy])
+        self.runs = self._lists(key // n_runs, key % n_runs, most)
+        self.run_light = np.zeros(n_runs)
         np.maximum.at(self.run_light, np.arange(self.n) // RUN, self.light)
-        self.grams = [(_grams(q), _grams(a), len(q), len(a)) for q, a in self.parts]
+        self.grams = [(_grams(r[1]), _grams(r[2]), len(r[1]), len(r[2])) for r in rows]
 
     def _lists(self, code, target, value):
         order = np.lexsort((target, code))
@@ -129,71 +130,130 @@ def passages(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.n
     return row, begin, np.minimum(begin + size, first[row + 1])
 
 
-def _search(index: Index, h: np.ndarray, first: np.ndarray):
-    """Yields (row, item, score, question overlap, answer overlap, begin) of the passages that reach the threshold."""
+def _distinct_sums(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    u, inverse = np.unique(key, return_inverse=True)
+    return u, np.bincount(inverse, value, len(u))
+
+
+def _pivots(index: Index, h: np.ndarray, first: np.ndarray):
+    """Yields (row, begin, end, codes, runs) of each passage that has runs whose block maxima reach the threshold."""
     row, begin, end = passages(first, index.passage)
-    if not len(row) or not len(index.vocab):
+    if not len(row):
         return
     at = np.searchsorted(index.vocab, h)
     at[at == len(index.vocab)] = 0
     known = index.vocab[at] == h
     place, code = np.flatnonzero(known), at[known]
+    # distinct terms of half passages; a passage is two halves
     step = index.passage // 2
-    # distinct (half passage, term), then a passage is its two halves: an upper bound counts a term of both halves twice
     own = np.searchsorted(first, place, side="right") - 1
-    half = (place - first[own]) // step
     base = np.concatenate(([0], np.cumsum(-(-np.diff(first) // step))))
-    unit = base[own] + half
-    key = np.unique(unit * len(index.vocab) + code)
+    key = np.unique((base[own] + (place - first[own]) // step) * len(index.vocab) + code)
     unit, code = key // len(index.vocab), key % len(index.vocab)
     units = int(base[-1]) + 1
-    n_runs = len(index.run_light)
-    u, r, v = _expand(index.runs, unit, code)
-    bound = np.bincount(u * n_runs + r, v, units * n_runs).reshape(units, n_runs)
+    start = np.searchsorted(unit, np.arange(units + 1))
     left = base[row] + (begin - first[row]) // step
-    two = end - begin > step
-    total = bound[left] + np.where(two[:, None], bound[np.minimum(left + 1, units - 1)], 0) + index.run_light
-    p, r = np.nonzero(total >= THRESHOLD - 1e-9)
-    for p, r in zip(p, r, strict=True):
-        words = h[begin[p] : end[p]]
-        mine = np.searchsorted(index.vocab, words)
-        mine[mine == len(index.vocab)] = 0
-        mine = np.unique(mine[index.vocab[mine] == words])
-        low, high = r * RUN, min(r * RUN + RUN, index.n)
-        _, item, value = _expand(index.heavy, np.zeros(len(mine), np.int64), mine)
-        part = np.bincount(item, value, index.n)[low:high] + index.light[low:high]
-        if part.max() < THRESHOLD - 1e-9:
-            continue
-        _, item, value = _expand(index.full, np.zeros(len(mine), np.int64), mine)
-        score = np.bincount(item, value, index.n)[low:high]
-        for i in low + np.flatnonzero(score >= THRESHOLD - 1e-9):
-            a, b = max(first[row[p]], begin[p] - step), min(first[row[p] + 1], end[p] + step)
-            q_grams, a_grams, n_q, n_a = index.grams[i]
-            near = h[a:b]
-            hold = {n: tv.windows(near, n) for n in {min(SHINGLE, n_q), min(SHINGLE, n_a)} if n}
-            q = np.isin(q_grams, hold[min(SHINGLE, n_q)]).mean() if n_q else 1.0
-            ans = np.isin(a_grams, hold[min(SHINGLE, n_a)]).mean() if n_a else 1.0
-            yield int(row[p]), i, float(score[i - low]), float(q), float(ans)
-
-
-def _indexes(items: DataFrame):
-    """Blocks of the test items, one after the other; corpus figures of the index (df, mean length) are over all items."""
-    counts: dict[int, int] = {}
-    total = n = 0
-    for r in items.toLocalIterator():
-        w = _words(r["text"])
-        total, n = total + len(w), n + 1
-        for x in np.unique(w):
-            counts[int(x)] = counts.get(int(x), 0) + 1
-    block, size = [], 0
-    for r in items.toLocalIterator():
-        block.append((r["item_id"], r["text"]))
-        size += len(r["text"] or "")
-        if size >= BLOCK_BYTES:
-            yield Index(block, n, counts, total / max(1, n))
-            block, size = [], 0
-    if block:
-        yield Index(block, n, counts, total / max(1, n))
+    right = np.where(end - begin > step, left + 1, units - 1)  # the last unit is empty
+    top = np.bincount(unit, index.top[code], units)
+    alive = np.flatnonzero(top[left] + top[right] >= THRESHOLD - 1e-9)
+    if not len(alive):
+        return
+    cost = np.bincount(unit, np.diff(index.runs[0])[code], units)
+    chunk = np.cumsum(cost[left[alive]] + cost[right[alive]]) // CURSORS
+    n_runs = len(index.run_light)
+    for p in np.split(alive, np.flatnonzero(np.diff(chunk)) + 1):
+        both = np.concatenate((left[p], right[p]))
+        n = start[both + 1] - start[both]
+        of = np.repeat(np.concatenate((np.arange(len(p)), np.arange(len(p)))), n)
+        terms = code[np.repeat(start[both] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
+        key = np.unique(of * len(index.vocab) + terms)
+        of, terms = key // len(index.vocab), key % len(index.vocab)
+        u, r, v = _expand(index.runs, of, terms)
+        key, bound = _distinct_sums(u * n_runs + r, v)
+        key = key[bound + index.run_light[key % n_runs] >= THRESHOLD - 1e-9]
+        which, runs = key // n_runs, key % n_runs
+        for k in np.unique(which):
+            yield row[p[k]], begin[p[k]], end[p[k]], terms[of == k], runs[which == k]
+
+
+def _search(index: Index, h: np.ndarray, first: np.ndarray):
+    """Yields (row, item, score, question overlap, answer overlap) of the passages that reach the threshold."""
+    step = index.passage // 2
+    for row, begin, end, mine, runs in _pivots(index, h, first):
+        _, heavy, heavy_value = _expand(index.heavy, np.zeros(len(mine), np.int64), mine)
+        full = None
+        for low in runs * RUN:
+            high = min(low + RUN, index.n)
+            inside = (heavy >= low) & (heavy < high)
+            part = np.bincount(heavy[inside] - low, heavy_value[inside], high - low) + index.light[low:high]
+            if part.max() < THRESHOLD - 1e-9:
+                continue
+            full = full or _expand(index.full, np.zeros(len(mine), np.int64), mine)
+            inside = (full[1] >= low) & (full[1] < high)
+            score = np.bincount(full[1][inside] - low, full[2][inside], high - low)
+            for i in low + np.flatnonzero(score >= THRESHOLD - 1e-9):
+                near = h[max(first[row], begin - step) : min(first[row + 1], end + step)]
+                q_grams, a_grams, n_q, n_a = index.grams[i]
+                hold = {n: tv.windows(near, n) for n in {min(SHINGLE, n_q), min(SHINGLE, n_a)} if n}
+                q = np.isin(q_grams, hold[min(SHINGLE, n_q)]).mean() if n_q else 1.0
+                ans = np.isin(a_grams, hold[min(SHINGLE, n_a)]).mean() if n_a else 1.0
+                yield int(row), int(i), float(score[i - low]), float(q), float(ans)
+
+
+def _split(items: DataFrame) -> DataFrame:
+    """(key, item_id, tier, size, question, answer) of the distinct items with words."""
+
+    def split(batches):
+        for b in batches:
+            out = []
+            for key, item, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                q, a = split_item(text)
+                if len(q) + len(a):
+                    tier = max(0, (2 * (len(q) + len(a)) - 1) // PASSAGE).bit_length()
+                    out.append((key, item, tier, len(q) + len(a), q.view(np.int64), a.view(np.int64)))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["key", "item_id", "tier", "size", "question", "answer"])
+
+    rows = items.select(F.col("item_id").cast("long"), "text").where("text is not null").distinct()
+    return rows.select(F.xxhash64("item_id", "text").alias("key"), "item_id", "text").mapInArrow(split, "key long, item_id long, tier int, size long, question array<long>, answer array<long>")
+
+
+def build_index(items: DataFrame) -> DataFrame | None:
+    """Table (block, tier, index) of the items' blocks; None where no item has a word."""
+    parts = durable(_split(items), "items")
+    tiers = parts.groupBy("tier").agg(F.count("*").alias("n"), F.sum("size").alias("words")).collect()  # tiers go by powers of two
+    if not tiers:
+        return None
+    n, mean = sum(r["n"] for r in tiers), sum(r["words"] for r in tiers) / sum(r["n"] for r in tiers)
+    terms = parts.select("key", "size", F.explode(F.concat("question", "answer")).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"), F.max("size").alias("size"))
+    df = terms.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / mean))
+    lists = terms.join(df, "term").select("key", "term", weight.alias("s")).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("term", "s"))).alias("lists"))  # of one item's words
+    count = F.create_map(*[F.lit(v) for r in tiers for v in (r["tier"], -(-r["words"] // BLOCK_WORDS))])
+    rows = parts.join(lists, "key").select(F.pmod("key", F.element_at(count, F.col("tier"))).alias("block"), "tier", "item_id", "question", "answer", F.col("lists.term").alias("terms"), F.col("lists.s").alias("weights"))
+
+    def build(batches):
+        held: list[tuple] = []
+        mine = None
+
+        def done():
+            index = Index(PASSAGE << mine[1], held)
+            return pa.RecordBatch.from_arrays([pa.array([mine[0]], pa.int64()), pa.array([mine[1]], pa.int32()), pa.array([pickle.dumps(index)], pa.binary())], names=["block", "tier", "index"])
+
+        for b in batches:
+            for block, tier, item, *arrays in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and (block, tier) != mine:
+                    yield done()
+                    held = []
+                mine = (block, tier)
+                q, a, t = (np.array(x, np.int64).view(np.uint64) for x in arrays[:3])
+                w = np.array(arrays[3])
+                held.append((item, q, a, t, w / w.sum()))
+        if held:
+            yield done()
+
+    return durable(gathered(rows, ["tier", "block"], ["item_id"]).select("block", "tier", "item_id", "question", "answer", "terms", "weights").mapInArrow(build, "block long, tier int, index binary"), "index")
 
 
 def _matches(docs: DataFrame, index: Index) -> DataFrame:
@@ -213,21 +273,22 @@ def _matches(docs: DataFrame, index: Index) -> DataFrame:
                         have = best.setdefault((i + row, item), [0.0, 0.0, 0.0, 0])
                         have[:] = [max(have[0], score), max(have[1], q), max(have[2], a), have[3] + 1]
             keys = list(best)
-            cols = [pa.array([ids[k] for k, _ in keys], pa.int64()), pa.array([int(ix.ids[i]) for _, i in keys], pa.int64())]
+            cols = [pa.array([ids[k] for k, _ in keys], pa.int64()), pa.array([ix.ids[i] for _, i in keys], pa.int64())]
             cols += [pa.array([best[k][c] for k in keys], pa.float64()) for c in range(3)] + [pa.array([best[k][3] for k in keys], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "n_passages"])
+            yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in FOUND.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(search, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, n_passages long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(search, FOUND)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """See the module's docstring."""
-    out = None
-    for index in _indexes(items.select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text")):
-        part = _matches(docs, index)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, n_passages long")
+    table = build_index(items)
+    out = docs.sparkSession.createDataFrame([], FOUND)
+    if table is None:
+        return out
+    for b in table.select("block", "tier").orderBy("tier", "block").toLocalIterator():  # one row for BLOCK_WORDS words
+        index = pickle.loads(table.where((F.col("block") == b["block"]) & (F.col("tier") == b["tier"])).first()["index"])
+        out = out.unionByName(_matches(docs, index))
     return out.distinct()
 
 

@@ -322,13 +322,86 @@ def test_leaks(spark, empty):
     assert decontaminate.find_leaks(df, bench.limit(0)).count() == 0 and decontaminate.find_leaks(empty, bench).count() == 0
 
 
+def exhaustive_bm25(docs, items):
+    """{(doc, item): (score, n_passages)} by the definition, every passage against every item."""
+    import math
+
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    parts = {}
+    for key, text in items:
+        cut = [w for w in map(words, re.split(r"[.?!]\s+|\n+", text or "")) if w]
+        if len(cut) > 1:
+            parts[key] = (sum(cut[:-1], []), cut[-1])
+        elif cut:
+            k = len(cut[0]) - max(1, len(cut[0]) // 3)
+            parts[key] = (cut[0][:k], cut[0][k:])
+    df = Counter(w for q, a in parts.values() for w in set(q + a))
+    mean = sum(len(q + a) for q, a in parts.values()) / max(1, len(parts))
+
+    def weights(q, a):
+        tf = Counter(q + a)
+        s = {w: math.log1p((len(parts) - df[w] + 0.5) / (df[w] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(q + a) / mean)) for w, n in tf.items()}
+        return {w: x / sum(s.values()) for w, x in s.items()}
+
+    grams = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    out = {}
+    for key, (q, a) in parts.items():
+        size = 128
+        while size < 2 * len(q + a):
+            size *= 2
+        mine = weights(q, a)
+        for doc, text in docs:
+            w = words(text)
+            at = 0
+            while w:
+                score = sum(mine.get(x, 0) for x in set(w[at : at + size]))
+                if score >= 0.6 - 1e-9:
+                    near = w[max(0, at - size // 2) : min(len(w), at + size) + size // 2]
+                    share = [len(grams(x, min(3, len(x))) & grams(near, min(3, len(x)))) / len(grams(x, min(3, len(x)))) if x else 1.0 for x in (q, a)]
+                    if min(share) >= 0.6:
+                        best, n = out.get((doc, key), (0, 0))
+                        out[doc, key] = max(best, score), n + 1
+                if at + size >= len(w):
+                    break
+                at += size // 2
+    return out
+
+
+def test_leaks_equal_exhaustive_bm25(spark, monkeypatch):
+    rng = random.Random(12)
+    words = [prose(rng, 1) for _ in range(60)] + [f"w{i}" for i in range(150)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, f"{say(rng.choice([4, 12, 40, 90, 200]))}. {say(rng.choice([1, 3, 10]))}") for i in range(60)] + [(None, say(30) + ". " + say(4)), (60, say(20)), (60, say(21))]
+    docs = []
+    for i in range(80):
+        t = say(rng.choice([0, 20, 150, 700])).split()
+        for _ in range(rng.choice([0, 1, 3])):
+            leak = rng.choice(items)[1].split()
+            for _ in range(rng.choice([0, 1, len(leak) // 6, len(leak) // 3])):
+                leak[rng.randrange(len(leak))] = rng.choice(words)
+            k = rng.randrange(len(t) + 1)
+            t[k:k] = leak
+        docs.append((i, " ".join(t)))
+    docs.append((80, say(300) + " " + items[60][1]))  # the item without an id
+    df = spark.createDataFrame([(*d, None, None, 0) for d in docs], SCHEMA)
+    bench = spark.createDataFrame([*items, items[0]], "item_id long, text string")
+    keyed = list(enumerate(t for _, t in items))
+    want = sorted((d, str(items[k][0]), round(x, 6), n) for (d, k), (x, n) in exhaustive_bm25(docs, keyed).items())
+    assert len(want) > 40 and any(w[1] == "None" for w in want)
+    for block, cursors in ((1 << 18, 1 << 21), (200, 50)):
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+        monkeypatch.setattr(decontaminate, "CURSORS", cursors)
+        assert sorted((r.doc_id, str(r.item_id), round(r.score, 6), r.n_passages) for r in decontaminate.find_leaks(df, bench).collect()) == want
+
+
 def test_blocks_of_the_index_change_nothing(spark, monkeypatch):
     rng = random.Random(3)
     items = [(i, prose(rng, 30) + f" z{i}. tail{i} " + prose(rng, 5)) for i in range(12)]
     df = spark.createDataFrame([(i, prose(rng, 50) + " " + t, None, None, 0) for i, t in items], SCHEMA)
     bench = spark.createDataFrame(items, "item_id long, text string")
     one = {tuple(r)[:2] for r in decontaminate.find_leaks(df, bench).collect()}
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 40)
+    monkeypatch.setattr(decontaminate, "CURSORS", 5)
     assert {tuple(r)[:2] for r in decontaminate.find_leaks(df, bench).collect()} == one == {(i, i) for i in range(12)}
 
 
