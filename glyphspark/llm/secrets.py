@@ -55,26 +55,41 @@ def _let(value: Column, body) -> Column:
 
 
 def find(text: Column, pattern: str, group: int, least: int) -> Column:
-    """array<struct<start,end>> of the matches of pattern, in order, whose group has least characters or more.
+    """array<struct<start,end,ok,word>> of the matches of pattern, in order, whose group has least characters or more.
 
-    The stretches between matches come from split, the matches from regexp_extract_all; running lengths give places."""
+    The stretches between matches come from split, the matches from regexp_extract_all; running lengths give places. They
+    run within blocks of about the square root of the number of matches, from the sums of the blocks before, as an array
+    that grows by one in each step is copied each time."""
     zero = F.lit(0).cast("long")
     parts = F.arrays_zip(
         F.transform(F.split(text, pattern), lambda x: F.length(x).cast("long")).alias("gap"),
-        F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.length(x).cast("long")).alias("n"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("word"),
         F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda x: F.length(x).cast("long")).alias("g"),
     )
-    none = F.array().cast("array<struct<start:bigint,end:bigint,ok:boolean>>")
-    first = F.struct(zero.alias("at"), none.alias("found"))
+    none = F.array().cast("array<struct<start:bigint,end:bigint,ok:boolean,word:string>>")
+    long = lambda m: m["gap"] + F.coalesce(F.length(m["word"]), F.lit(0))
 
     def step(s: Column, m: Column) -> Column:
-        start = s["at"] + m["gap"]
-        end = start + F.coalesce(m["n"], zero)
-        add = F.when(m["n"].isNotNull(), F.array(F.struct(start.alias("start"), end.alias("end"), (m["g"] >= least).alias("ok")))).otherwise(none)
+        start, end = s["at"] + m["gap"], s["at"] + long(m)
+        add = F.when(m["word"].isNotNull(), F.array(F.struct(start.alias("start"), end.alias("end"), (m["g"] >= least).alias("ok"), m["word"].alias("word")))).otherwise(none)
         return F.struct(end.alias("at"), F.concat(s["found"], add).alias("found"))
 
-    found = F.filter(F.aggregate(parts, first, step, lambda s: s["found"]), lambda x: x["ok"])
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    def blocks(p: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(p))).cast("int")
+        block = lambda k: F.slice(p, k * size + 1, size)
+        sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / size).cast("int")), lambda k: F.aggregate(block(k), zero, lambda s, m: s + long(m)))
+        first = F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("starts"))
+        starts = F.aggregate(sums, first, lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")), lambda s: s["starts"])
+        return F.flatten(F.transform(starts, lambda at, k: F.aggregate(block(k), F.struct(at.alias("at"), none.alias("found")), step, lambda s: s["found"])))
+
+    return F.when(text.rlike(pattern), F.filter(_let(parts, blocks), lambda x: x["ok"])).otherwise(none)
+
+
+def _ranks(values: Column, marks: Column, after: bool) -> Column:
+    """For each of the sorted values, how many of marks are less (after: or equal): its place among all of them, less its own."""
+    both = F.concat(F.transform(values, lambda x: F.struct(x.alias("x"), F.lit(int(after)).alias("tag"), F.lit(True).alias("own"))), F.transform(marks, lambda x: F.struct(x.alias("x"), F.lit(1 - int(after)).alias("tag"), F.lit(False).alias("own"))))
+    placed = F.transform(F.sort_array(both), lambda s, i: F.struct(s["own"].alias("own"), i.alias("i")))
+    return F.transform(F.filter(placed, lambda s: s["own"]), lambda s, j: s["i"] - j)
 
 
 def _upper_tail(z: Column) -> Column:
@@ -152,8 +167,13 @@ def scan(docs: DataFrame) -> DataFrame:
         return lambda x: F.struct(x["start"].alias("start"), F.lit(i).alias("kind"), x["end"].alias("end"))
 
     df = df.withColumn("base", F.sort_array(F.concat(*[F.transform(F.col(k), kind(i)) for i, k in enumerate(KINDS[:3])])))
-    free = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    tested = F.transform(free, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), battery(F.col("text").substr(r["start"].cast("int") + 1, (r["end"] - r["start"]).cast("int"))).alias("test")))
+    # base spans that start before a run's end, less those that end by its start: the spans that it meets
+    met = _let(
+        F.struct(_ranks(F.col("runs.end"), F.col("base.start"), False).alias("a"), _ranks(F.col("runs.start"), F.col("base.end"), True).alias("b")),
+        lambda c: F.filter("runs", lambda r, j: F.get(c["a"], j) == F.get(c["b"], j)),
+    )
+    free = F.when((F.size("runs") > 0) & (F.size("base") > 0), met).otherwise(F.col("runs"))
+    tested = F.transform(free, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), battery(r["word"]).alias("test")))
     light = durable(df.select("doc_id", *KINDS[:3], "base", tested.alias("tested")), "secret-candidates")
     limit = _bh(light.select(F.explode("tested").alias("t")).select("t.test.stratum", "t.test.bin"))
     least = F.create_map(*[F.lit(v) for kv in limit.items() for v in kv]) if limit else F.create_map(F.lit(""), F.lit(0))

@@ -114,6 +114,27 @@ def test_secrets(spark):
             assert (got[i].n_random > 0) == ((i - 11) % 4 == 0), t
 
 
+def test_secrets_of_long_texts(spark):
+    import time
+
+    rng = random.Random(2)
+    made = [rng.choice(["%032x" % rng.getrandbits(128), "token=" + "ab1" * 4, "é", "AKIA" + "Q7" * 8, "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(40)), "short", "x" * 25]) for _ in range(60_000)]
+    text = " ".join(made)
+    runs = [(m.start(), m.end()) for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text)]
+    base = base_spans(text)
+    hit = np.zeros(len(text), bool)
+    for a, _, b in base:
+        hit[a:b] = True
+    free = {f"random:{a}:{b}" for a, b in runs if not hit[a:b].any()}
+    began = time.time()
+    r = secrets.scan(spark.createDataFrame([(1, text, None, None, 0)], SCHEMA)).first()
+    assert time.time() - began < 100
+    spans = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in base)
+    assert len(base) > 20_000 and r.base_sha256 == hashlib.sha256(spans.encode()).hexdigest()
+    found = {x for x in r.spans.split(",") if x.startswith("random")}
+    assert found <= free and len(found) > 5_000 and not any(text[int(x.split(":")[1])] == "x" for x in found if int(x.split(":")[2]) - int(x.split(":")[1]) == 25)
+
+
 # --- 2
 
 
