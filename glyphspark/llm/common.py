@@ -52,6 +52,17 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """names, each with underscores put before it until no column has it, whatever the case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def held_out(doc_id) -> "F.Column":
     """True for the fifth of documents that no model may learn from: crc32(doc_id as text) mod 5 = 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))

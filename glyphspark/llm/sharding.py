@@ -2,14 +2,16 @@
 
 Contract of `ShardTable`: append(df) writes the rows of df as one run of small shards (one for each task of df) and
 commits; compact() merges, as long as a size tier holds FANOUT runs or more, the runs of the lowest such tier into one
-run of files of about target bytes and commits; read() gives the rows of the newest manifest with __run and __shard.
-Every appended row is in exactly one shard of a version, columns unchanged; rows are never looked at, so nulls, repeated
-rows, clashing names and empty texts pass through. An append without rows commits nothing.
+run of files of about target bytes and commits; read() gives the rows of the newest manifest, then the place of the run
+in the manifest and of the file in the run, called __run and __shard or, where the rows have such columns, the same with
+more underscores. Every appended row is in exactly one shard of a version, columns unchanged; rows are never looked at, so
+nulls, repeated rows, clashing names and empty texts pass through. An append without rows commits nothing. A store
+without any commit reads as no rows of the two place columns.
 
 A run is a folder that Spark wrote; it is never changed. A manifest lists the runs of one version (name, bytes, files,
 tier). Its file is written beside and renamed to manifest-<version> without overwriting: one of two writers gets the
-version, the other starts again from the new one. Runs that no manifest names, from failed jobs, are never read. Folders
-of merged runs are removed once the new version is committed (keep_old=True keeps them for readers of older versions).
+version, the other drops what it merged and starts again from the new one. Runs that no manifest names, from failed jobs,
+are never read. Merged runs stay for readers of older versions until vacuum() removes what only those name.
 
 The tier of a run is the power of FANOUT that its bytes are of the small size, so each row is rewritten once for each
 tier at most. Merging moves no rows between machines: a task reads whole shards one after the other and writes one file.
@@ -24,7 +26,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import free, shared_dir
 
 TARGET, SMALL, FANOUT = 32 << 20, 1 << 20, 4
 
@@ -84,7 +86,11 @@ class ShardTable:
             if self._commit(base, [*self.manifest(base), run]):
                 return base + 1
 
-    def compact(self, keep_old: bool = False) -> int:
+    def _remove(self, runs: list[str]) -> None:
+        for name in runs:
+            self._fs.delete(self._path(f"{self.root}/runs/{name}"), True)
+
+    def compact(self) -> int:
         """Merges tiers until none holds fanout runs; the newest version."""
         while True:
             base = self.version()
@@ -97,17 +103,27 @@ class ShardTable:
             rows = self.spark.read.parquet(*[f"{self.root}/runs/{r['name']}" for r in old])
             new = self._write(rows.coalesce(max(1, math.ceil(size / self.target))))
             new["tier"] = max(new["tier"], full[0] + 1)
-            if self._commit(base, [*(r for r in runs if r not in old), new]) and not keep_old:
-                for r in old:
-                    self._fs.delete(self._path(f"{self.root}/runs/{r['name']}"), True)
+            if not self._commit(base, [*(r for r in runs if r not in old), new]):
+                self._remove([new["name"]])
+
+    def vacuum(self, versions: int = 1) -> list[str]:
+        """Removes the runs that older manifests name and none of the newest few does; their names."""
+        newest = self.version()
+        named = [{r["name"] for r in self.manifest(v)} for v in range(1, newest + 1)]
+        gone = sorted(set().union(*named[:-versions]) - set().union(*named[-versions:]))
+        self._remove(gone)
+        return gone
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, with __run (place of the run in the manifest) and __shard (place of the file in the run)."""
+        """The rows of a version and their places; see the module's docstring."""
         runs = self.manifest(version)
+        if not runs:
+            return self.spark.createDataFrame([], "__run int, __shard int")
         place = F.create_map(*[F.lit(x) for i, r in enumerate(runs) for x in (r["name"], i)])
         df = self.spark.read.parquet(*[f"{self.root}/runs/{r['name']}" for r in runs])
+        run, shard = free(df.columns, "__run", "__shard")
         path = F.input_file_name()
-        return df.withColumns({"__run": place[F.regexp_extract(path, r"/(run-[0-9a-f]+)/", 1)], "__shard": F.regexp_extract(path, r"part-(\d+)", 1).cast("int")})
+        return df.withColumns({run: place[F.regexp_extract(path, r"/(run-[0-9a-f]+)/", 1)], shard: F.regexp_extract(path, r"part-(\d+)", 1).cast("int")})
 
 
 ARRIVALS = 4
@@ -120,6 +136,9 @@ def shard_documents(docs: DataFrame, arrivals: int = ARRIVALS) -> DataFrame:
     for k in range(arrivals):
         store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)) == k))
         version = store.compact()
+        store.vacuum()
     if not version:
         return spark.createDataFrame([], "doc_id long, version long, run int, shard int")
-    return store.read(version).select(F.col("doc_id").cast("long"), F.lit(version).cast("long").alias("version"), F.col("__run").alias("run"), F.col("__shard").alias("shard"))
+    placed = store.read(version)
+    run, shard = placed.columns[-2:]
+    return placed.select(F.col("doc_id").cast("long"), F.lit(version).cast("long").alias("version"), F.col(run).alias("run"), F.col(shard).alias("shard"))
