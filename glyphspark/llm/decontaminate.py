@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import durable, gathered
+from .common import durable, free, gathered
 
 PASSAGE, THRESHOLD, OVERLAP, SHINGLE = 128, 0.6, 0.6, 3
 K1, B = 1.2, 0.75
@@ -294,6 +294,6 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that hold no test item, columns unchanged. Decided by text, so null and repeated ids hide no leak."""
-    digest = F.xxhash64("text")
-    bad = find_leaks(docs.select(digest.alias("doc_id"), "text"), items).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, digest == F.col("__id"), "left_anti")
+    digest, bad_id = F.xxhash64("text"), free(docs.columns, "__bad")[0]
+    bad = find_leaks(docs.select(digest.alias("doc_id"), "text"), items).select(F.col("doc_id").alias(bad_id)).distinct()
+    return docs.join(bad, digest == F.col(bad_id), "left_anti")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import WORD, connected_components, discard, durable, gathered
+from .common import WORD, connected_components, discard, durable, free, gathered
 
 SHINGLE = 5
 #: A token counts as frequent from this share of the documents on (and FREQUENT_LEAST documents), as far as it shows in
@@ -400,12 +400,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The documents of each group of linked ones reduced to one: the smallest doc_id stays, one of null id only where
     no other is. Groups go by text, so texts that share a doc_id do not hide each other. Texts without a word link with
     nothing and stay; of rows equal in doc_id and text one stays, unless both are without id and word."""
-    marked = docs.withColumn("__digest", _digest()).withColumn("__id", F.col("doc_id").cast("long"))
+    did, key = free(docs.columns, "__id", "__digest")
+    marked = docs.withColumns({key: _digest(), did: F.col("doc_id").cast("long")})
     rows, classes = _labelled(docs.select("doc_id", "text"))
     first = F.min_by(F.struct("doc_id", "digest"), F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("k")
-    kept = rows.join(classes.select("cls", "comp"), "cls").where("n_shingles > 0").groupBy("comp").agg(first).select(F.col("k.doc_id").alias("id"), F.col("k.digest").alias("digest"))
+    kept = rows.join(classes.select("cls", "comp"), "cls").where("n_shingles > 0").groupBy("comp").agg(first)
+    kept_id, kept_key = free(marked.columns, "__kept_id", "__kept_digest")
+    kept = kept.select(F.col("k.doc_id").alias(kept_id), F.col("k.digest").alias(kept_key))
     word = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    one = marked.where(word).join(kept, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__digest") == F.col("digest")), "left_semi")
+    one = marked.where(word).join(kept, F.col(did).eqNullSafe(F.col(kept_id)) & (F.col(key) == F.col(kept_key)), "left_semi")
     blank = marked.where(~word)
-    one = one.unionByName(blank.where("__id is not null")).dropDuplicates(["__id", "__digest"])
-    return one.unionByName(blank.where("__id is null")).drop("__id", "__digest")
+    one = one.unionByName(blank.where(F.col(did).isNotNull())).dropDuplicates([did, key])
+    return one.unionByName(blank.where(F.col(did).isNull())).drop(did, key)

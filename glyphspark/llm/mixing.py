@@ -14,7 +14,8 @@ doc_ids have equal places and go together. A leaf without tokens gives nothing.
 
 Sizes: rows are read as (leaf, order key, tokens). The cut of a leaf is found from sums over fine ranges of the key, and
 row by row only inside the one range where it falls, so a leaf with a third of all rows is no task of its own. The leaf
-table is written to the shared folder; where its file is small, Spark broadcasts it.
+table is written to the shared folder; where its file is small, Spark broadcasts it. The one range of a leaf that is
+cut row by row holds about ROWS_PER_RANGE rows, in one task.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, durable
+from .common import WORD, durable, free
 
 LEVELS = ("domain", "lang", "source")
 FAMILY, SEED, EPOCHS, NUM, DEN = 4, 17, 4, 3, 4
@@ -31,9 +32,9 @@ WEIGHTS = {"domain": {"src0": 2}, "lang": {"en": 5, "de": 2, "fr": 2}, "source":
 ROWS_PER_RANGE = 4096
 
 
-def _leaf_columns(docs: DataFrame) -> dict[str, Column]:
+def _leaf() -> list[Column]:
     source = F.coalesce("source", F.lit(""))
-    return {"__domain": F.substring(source, 1, FAMILY), "__lang": F.coalesce("lang", F.lit("")), "__source": source}
+    return [F.substring(source, 1, FAMILY), F.coalesce("lang", F.lit("")), source]
 
 
 def _key(epoch: Column, seed: int) -> Column:
@@ -77,7 +78,7 @@ def leaf_budgets(leaves: DataFrame, weights: dict = WEIGHTS, epochs: int = EPOCH
 
 def leaf_cuts(docs: DataFrame, seed: int = SEED, weights: dict = WEIGHTS, epochs: int = EPOCHS, num: int = NUM, den: int = DEN) -> DataFrame:
     """(domain, lang, source, whole, cut): whole epochs, and the last key that the next epoch takes, null for none."""
-    light = durable(docs.select(*[c.alias(k.strip("_")) for k, c in _leaf_columns(docs).items()], "doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n")), "mix-rows")
+    light = durable(docs.select(*[c.alias(k) for k, c in zip(LEVELS, _leaf(), strict=True)], "doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n")), "mix-rows")
     leaves = light.groupBy(*LEVELS).agg(F.sum("n").alias("tokens"), F.count("*").alias("rows")).where("tokens > 0")
     plan = leaf_budgets(leaves, weights, epochs, num, den).withColumn("whole", F.expr("budget div tokens")).withColumn("rest", F.expr("budget % tokens"))
     plan = durable(plan.withColumn("ranges", F.ceil(F.col("rows") / ROWS_PER_RANGE)), "mix-plan")
@@ -91,22 +92,25 @@ def leaf_cuts(docs: DataFrame, seed: int = SEED, weights: dict = WEIGHTS, epochs
     ahead = Window.partitionBy(*LEVELS).orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     cut = inside.withColumn("sum", F.coalesce(F.sum("n").over(ahead), F.lit(0))).where("start + sum < rest")
     cut = cut.groupBy(*LEVELS).agg(F.max("key").alias("cut"))
-    return durable(plan.join(cut, list(LEVELS), "left").select(*[F.col(x).alias(f"__{x}") for x in LEVELS], F.col("whole").alias("__whole"), F.col("cut").alias("__cut")), "mix-cuts")
+    return durable(plan.join(cut, list(LEVELS), "left").select(*LEVELS, "whole", "cut"), "mix-cuts")
 
 
 def mix(docs: DataFrame, seed: int = SEED, **plan) -> DataFrame:
-    """docs' columns and __domain, __epochs of the rows that are taken; see the module's docstring."""
-    cuts = leaf_cuts(docs, seed, **plan)
-    placed = docs.withColumns(_leaf_columns(docs))
-    taken = placed.join(cuts, ["__domain", "__lang", "__source"])
-    again = F.coalesce(_key(F.col("__whole"), seed) <= F.col("__cut"), F.lit(False)).cast("long")
-    return taken.withColumn("__epochs", F.col("__whole") + again).where("__epochs > 0").select(*docs.columns, "__domain", "__epochs")
+    """docs' columns, then the domain and the epochs of the rows that are taken, called __domain and __epochs or, where docs
+    has such columns, the same with more underscores; see the module's docstring."""
+    names = free(docs.columns, "__domain", "__lang", "__source", "__whole", "__cut", "__epochs")
+    *leaf, whole, cut, epochs = names
+    cuts = leaf_cuts(docs, seed, **plan).toDF(*names[:5])
+    taken = docs.select("*", *[c.alias(k) for k, c in zip(leaf, _leaf(), strict=True)]).join(cuts, leaf)
+    again = F.coalesce(_key(F.col(whole), seed) <= F.col(cut), F.lit(False)).cast("long")
+    return taken.withColumn(epochs, F.col(whole) + again).where(F.col(epochs) > 0).select(*docs.columns, leaf[0], epochs)
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mixture itself: each row as often as it is taken, columns unchanged."""
     taken = mix(docs)
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__epochs")))).select(*docs.columns)
+    copy = free(taken.columns, "__copy")[0]
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(taken.columns[-1])))).select(*docs.columns)
 
 
 ORACLE_SQL = r"""

@@ -49,7 +49,9 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
     none = F.lit("")
-    return mixing.mix(docs).select("doc_id", F.col("__domain").alias("domain"), F.coalesce("lang", none).alias("lang"), F.coalesce("source", none).alias("source"), words.alias("n_tokens"), F.col("__epochs").alias("epochs"))
+    taken = mixing.mix(docs)
+    domain, epochs = taken.columns[-2:]
+    return taken.select("doc_id", F.col(domain).alias("domain"), F.coalesce("lang", none).alias("lang"), F.coalesce("source", none).alias("source"), words.alias("n_tokens"), F.col(epochs).alias("epochs"))
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_chat_formatting, op4_sharding, op5_quality_rules, op6_benchmark_decontamination, op7_language_id, op8_token_counts, op9_ngram_jaccard, op10_source_mixing)}

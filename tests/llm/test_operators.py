@@ -281,10 +281,37 @@ def test_shards_hold_every_row_once(spark, docs, tmp_path):
     for k in range(7):
         store.append(docs.where(f"coalesce(doc_id, 0) % 7 = {k}"))
         store.compact()
+    assert sharding.ShardTable(spark, str(tmp_path / "none")).read().count() == 0
     assert sorted(map(str, store.read().select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
     tiers = Counter(r["tier"] for r in store.manifest())
     assert max(tiers.values()) < 3
     assert not store._commit(store.version() - 1, []) and store.manifest()
+    assert store.read(1).count() == docs.where("coalesce(doc_id, 0) % 7 = 0").count()  # merged since, still readable
+    gone = store.vacuum()
+    assert gone and not {r["name"] for r in store.manifest()} & set(gone) and store.read().count() == docs.count()
+    odd = sharding.ShardTable(spark, str(tmp_path / "odd"))
+    odd.append(spark.createDataFrame([(1, 99, 98)], "doc_id long, __run long, __SHARD long").coalesce(1))
+    assert [tuple(r) for r in odd.read().collect()] == [(1, 99, 98, 0, 0)] and odd.read().columns[-2:] == ["___run", "___shard"]
+
+
+def test_lost_commit_leaves_nothing(spark, docs, tmp_path, monkeypatch):
+    store = sharding.ShardTable(spark, str(tmp_path / "s"), fanout=2)
+    for _ in range(2):
+        store.append(docs.limit(5))
+    real, lost = store._commit, []
+
+    def commit(base, runs):
+        if not lost:
+            lost.append(base)
+            return False
+        return real(base, runs)
+
+    monkeypatch.setattr(store, "_commit", commit)
+    store.compact()
+    assert lost and store.read().count() == 10 and len(list((tmp_path / "s" / "runs").iterdir())) == 3
+
+
+def test_sharding_of_documents(spark, docs):
     assert sharding.shard_documents(docs.limit(0)).count() == 0
     got = sharding.shard_documents(clash(docs)).toPandas()
     assert len(got) == docs.count() and got["doc_id"].nunique() == docs.count() - 1
@@ -603,6 +630,10 @@ def test_mixing_budgets(spark):
 
 def test_mixing_takes_prefixes(spark, docs, texts, empty):
     got = mixing.mix(clash(docs)).collect()
+    odd = mixing.mix(docs.selectExpr("*", "7 as __domain", "8 as __EPOCHS", "9 as __cut"))
+    assert odd.columns[-5:] == ["__domain", "__EPOCHS", "__cut", "___domain", "___epochs"]
+    assert sorted((str(r.doc_id), r["___epochs"]) for r in odd.collect()) == sorted((str(r.doc_id), r["__epochs"]) for r in got)
+    assert {(r["__domain"], r["__EPOCHS"], r["__cut"]) for r in odd.collect()} == {(7, 8, 9)}
     assert got and all(1 <= r["__epochs"] <= mixing.EPOCHS for r in got)
     words = sum(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts)
     taken = sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) * r["__epochs"] for r in got)
