@@ -12,10 +12,12 @@ Signals: mean word length, symbols per word, share of repeated lines, share of r
 sketch of each signal is kept; groups with fewer than SMALL documents take the merged sketches of their language, and
 languages below that those of all documents. A bound lies REACH times the distance from the median to the TAIL quantile
 beyond that quantile, with at least the signal's FLOOR of room, so thresholds follow the group and clean documents stay.
+Where a group's own tail is junk, that bound would follow the junk: it is no wider than both that of all documents and one
+from the group's other side, REACH times the distance from the 1 - TAIL quantile to the median beyond the median.
 
-n_repeat_words stays inside the row, without a shuffle: each window becomes a long of 42 hash bits over 22 bits of place,
-the longs are sorted, and neighbours with equal hash bits are compared word by word. Texts of more than 2**22 words use
-pairs of full hash and place instead.
+n_repeat_words stays inside the row, without a shuffle: each window becomes a long of hash bits over the bits of its place
+(PLACE of them, or as many as the longest place takes), the longs are sorted, and neighbours with equal hash bits are
+compared word by word. A window whose neighbours have its bits but other words is held against all windows of its bits.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ from .common import SPACE, WORD, durable
 SMALL, TAIL, REACH, K = 200, 0.9, 4.0, 200
 #: signal: (sides, least room beside the quantile)
 SIGNALS = {"mean_word": ("both", 2.0), "symbol_rate": ("high", 0.1), "dup_line_rate": ("high", 0.3), "repeat_rate": ("high", 0.2)}
-_PLACE = 22
+#: Bits of a place at least; the others hold a hash.
+PLACE = 22
 
 
 def _let(value: Column, body) -> Column:
@@ -48,24 +51,27 @@ def _measure(docs: DataFrame) -> DataFrame:
         _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("d"))).alias("lines"),
     )
     n = F.size("w")
-    low = (1 << _PLACE) - 1
+    df = df.withColumn("low", F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.lit(PLACE), F.length(F.bin(n.cast("long"))))) - 1)
+    low = F.col("low")
     window = lambda i: F.xxhash64(F.col("w")[i], F.col("w")[i + 1], F.col("w")[i + 2])
-    places = F.sequence(F.lit(0), n - 3)
-    packed = F.transform(places, lambda i: window(i).bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long")))
-    df = df.withColumn("key", F.when((n >= 3) & (n <= low), F.sort_array(packed)).otherwise(F.array().cast("array<long>")))
+    packed = F.transform(F.sequence(F.lit(0), n - 3), lambda i: window(i).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long")))
+    df = df.withColumn("key", F.when(n >= 3, F.sort_array(packed)).otherwise(F.array().cast("array<long>")))
+    key = F.col("key")
+    last = F.size(key) - 1
+
+    def bits(x: Column, y: Column) -> Column:
+        return F.coalesce(x.bitwiseAND(F.bitwise_not(low)) == y.bitwiseAND(F.bitwise_not(low)), F.lit(False))
 
     def same(x: Column, y: Column) -> Column:
-        i, j = x.bitwiseAND(F.lit(low)).cast("int"), y.bitwiseAND(F.lit(low)).cast("int")
-        return (x.bitwiseAND(F.lit(~low)) == y.bitwiseAND(F.lit(~low))) & (F.col("w")[i] == F.col("w")[j]) & (F.col("w")[i + 1] == F.col("w")[j + 1]) & (F.col("w")[i + 2] == F.col("w")[j + 2])
+        i, j = x.bitwiseAND(low).cast("int"), y.bitwiseAND(low).cast("int")
+        return bits(x, y) & (F.col("w")[i] == F.col("w")[j]) & (F.col("w")[i + 1] == F.col("w")[j + 1]) & (F.col("w")[i + 2] == F.col("w")[j + 2])
 
-    key = F.col("key")
-    last = F.size(key) - 1
-    hit = F.filter(key, lambda x, k: ((k > 0) & same(x, F.get(key, k - 1))) | ((k < last) & same(x, F.get(key, k + 1))))
-    df = df.withColumn("at", F.sort_array(F.transform(hit, lambda x: x.bitwiseAND(F.lit(low)))))
-    # very long texts: (hash, place) pairs
-    wide = F.array_sort(F.transform(places, lambda i: F.struct(window(i).alias("h"), i.cast("long").alias("p"))))
-    far = _let(wide, lambda s: F.sort_array(F.transform(F.filter(s, lambda x, k: (x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"])), lambda x: x["p"])))
-    df = df.withColumn("at", F.when(n > low, far).otherwise(F.col("at")))
+    def repeated(x: Column, k: Column) -> Column:
+        before, after = F.get(key, k - 1), F.get(key, k + 1)
+        beside = ((k > 0) & same(x, before)) | ((k < last) & same(x, after))
+        return beside | ((bits(x, before) | bits(x, after)) & F.exists(key, lambda y: (x != y) & same(x, y)))
+
+    df = df.withColumn("at", F.sort_array(F.transform(F.filter(key, repeated), lambda x: x.bitwiseAND(low))))
     # windows cover three words each; a later one adds what the one before leaves
     covered = F.aggregate(F.col("at"), F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).cast("long").alias("p")), lambda s, p: F.struct((s["n"] + F.least(p - s["p"], F.lit(3).cast("long"))).alias("n"), p.alias("p")), lambda s: s["n"])
     return df.select("doc_id", "lang", "source", n.cast("long").alias("n_words"), "word_chars", "n_symbols", F.col("lines.d").alias("n_dup_lines"), F.col("lines.n").alias("n_lines"), covered.alias("n_repeat_words"))
@@ -80,13 +86,18 @@ def thresholds(measured: DataFrame) -> DataFrame:
     all_ = group.agg(F.sum("n").alias("n"), *merge).select(F.struct("n", *SIGNALS).alias("by_all"))
     own = group.select("lang", "source", F.struct("n", *SIGNALS).alias("own")).join(lang, F.col("lang").eqNullSafe(F.col("l"))).join(F.broadcast(all_))  # one row
     pick = F.when(F.col("own.n") >= SMALL, F.col("own")).when(F.col("by_lang.n") >= SMALL, F.col("by_lang")).otherwise(F.col("by_all"))
-    own = own.select("lang", "source", pick.alias("q"))
+    own = own.select("lang", "source", pick.alias("q"), "by_all")
     out = []
     for s, (sides, floor) in SIGNALS.items():
-        at = lambda p, s=s: F.kll_sketch_get_quantile_double(F.col(f"q.{s}"), F.lit(p))
-        out.append((at(TAIL) + F.greatest((at(TAIL) - at(0.5)) * REACH, F.lit(floor))).alias(f"high_{s}"))
+        at = lambda p, q="q", s=s: F.kll_sketch_get_quantile_double(F.col(f"{q}.{s}"), F.lit(p))
+        room = lambda d, floor=floor: F.greatest(d * REACH, F.lit(floor))
+        high = lambda q, at=at, room=room: at(TAIL, q) + room(at(TAIL, q) - at(0.5, q))
+        low = lambda q, at=at, room=room: at(1 - TAIL, q) - room(at(0.5, q) - at(1 - TAIL, q))
+        mirror = at(0.5) + room(at(0.5) - at(1 - TAIL))
+        out.append(F.least(high("q"), F.greatest(high("by_all"), mirror)).alias(f"high_{s}"))
         if sides == "both":
-            out.append((at(1 - TAIL) - F.greatest((at(0.5) - at(1 - TAIL)) * REACH, F.lit(floor))).alias(f"low_{s}"))
+            mirror = at(0.5) - room(at(TAIL) - at(0.5))
+            out.append(F.greatest(low("q"), F.least(low("by_all"), mirror)).alias(f"low_{s}"))
     return own.select("lang", "source", *out)
 
 

@@ -335,7 +335,7 @@ def test_quality(spark, docs, texts, empty, monkeypatch):
     for _ in range(2):
         got = Counter(tuple(r)[1:7] for r in quality.quality_verdicts(clash(docs)).collect())
         assert got == Counter(measured(t) for t in texts)
-        monkeypatch.setattr(quality, "_PLACE", 6)  # longer texts take the pairs
+        monkeypatch.setattr(quality, "PLACE", 61)  # three bits of hash: many windows share them
     assert quality.quality_verdicts(empty).count() == 0
 
 
@@ -346,6 +346,50 @@ def test_quality_drops_symbol_noise_only(spark):
     assert all(got[i].kept == (i % 50 != 0 and not got[i].base_failed) for i in range(300))
 
 
+def test_quality_thresholds_equal_brute_force(spark):
+    """Groups of under 200 rows or of more, a quarter of one source junk, one source that is all symbols."""
+    rng = random.Random(21)
+    rows = []
+    for source, n, kind in (("hot", 400, "junk"), ("plain", 800, ""), ("code", 210, "code"), ("few", 20, "")):
+        for i in range(n):
+            words = prose(rng, rng.randint(60, 120)).split()
+            if kind == "code":
+                words = [w + "#" * rng.randint(0, 1) for w in words]
+            if kind == "junk" and i % 4 == 0:
+                words = [w + "#%*" for w in words]
+            rows.append((len(rows), "\n".join(" ".join(words[k : k + 10]) for k in range(0, len(words), 10)), "en", source, 0))
+
+    def signals(t):
+        w, chars, symbols, dup, repeat, failed = measured(t)
+        lines = [x for x in t.split("\n") if x.strip()]
+        return {"mean_word": chars / w, "symbol_rate": symbols / w, "dup_line_rate": dup / len(lines), "repeat_rate": repeat / w}, failed
+
+    found = [(r[3], *signals(r[1])) for r in rows]
+
+    def bounds(keys):
+        out = {}
+        for s, (sides, floor) in quality.SIGNALS.items():
+            q = np.quantile([x[s] for k, x, failed in found if k in keys and not failed], [0.1, 0.5, 0.9], method="inverted_cdf")
+            out[s] = (q[2] + max(4 * (q[2] - q[1]), floor), q[1] + max(4 * (q[1] - q[0]), floor), q[0] - max(4 * (q[1] - q[0]), floor) if sides == "both" else -1, q[1] - max(4 * (q[2] - q[1]), floor) if sides == "both" else -1)
+        return out
+
+    every = bounds({"hot", "plain", "code", "few"})
+    own = {k: bounds({k}) for k in ("hot", "plain", "code")} | {"few": every}
+    sure, odd = 0, []
+    got = {r.doc_id: r.kept for r in quality.quality_verdicts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for r, (k, x, failed) in zip(rows, found):
+        room = []
+        for s in quality.SIGNALS:
+            high, mirror, low, down = own[k][s]
+            room += [min(high, max(every[s][0], mirror)) - x[s], x[s] - max(low, min(every[s][2], down))]
+        if failed or abs(min(room)) > 0.05:  # sketches of more than 200 rows are not exact
+            sure += 1
+            odd += [(*r[::3], room)] * int(got[r[0]] != (not failed and min(room) >= 0))
+    assert sure > 0.9 * len(rows) and not odd
+    assert not any(got[r[0]] for r in rows if r[3] == "hot" and r[0] % 4 == 0)
+    assert all(got[r[0]] or f[2] for r, f in zip(rows, found) if r[3] == "code")
+
+
 # --- 6
 
 
