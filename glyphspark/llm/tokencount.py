@@ -6,10 +6,12 @@ tokens, truncation or padding; special strings inside a text are handled as the
 and texts are encoded once. Extra columns are ignored.
 
 The cache is a Parquet table (digest, tokenizer, n_tokens): sha-256 of the normalised text (null becomes empty; byte-level
-encoding forbids any other change) and the digest of the tokenizer file. Only digests move in the joins and groupings:
-of each missing digest one document (its smallest doc_id) is encoded, where the text lies if that side is small, and the
-new counts are appended. A digest that is repeated by a third of all rows is one row after partial aggregation; digests
-of 1 / HOT of all rows or more, of which there are HOT at most, get their counts by broadcast, the others by shuffle.
+encoding forbids any other change) and the digest of the tokenizer file. Joins and groupings of digests carry no text. Of
+each missing digest one document (its smallest doc_id) is encoded: where FEW misses or fewer, and at most one row in
+SHARE, are missing, their digests are broadcast and the texts are encoded where they lie; otherwise the texts move once,
+to meet their digests. The new counts are appended. A digest that is repeated by a third of all rows is one row after
+partial aggregation; digests of 1 / HOT of all rows or more, of which there are HOT at most, get their counts by
+broadcast, the others by shuffle.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import durable, shared_dir
 
 TOKENIZER, LIMIT = "byte_bpe_50k.json", 1024
-#: Most digests whose counts are broadcast.
-HOT = 256
+#: Most digests whose counts are broadcast; most missing digests that are, and the share of rows that they may be.
+HOT, FEW, SHARE = 256, 100_000, 16
 CACHE_SCHEMA = "digest string, tokenizer string, n_tokens long"
 
 _loaded: dict[str, object] = {}
@@ -130,11 +132,14 @@ def token_counts(docs: DataFrame, cache_path: str | None = None, tokenizer: str
     keyed = docs.select("doc_id", text.alias("text")).withColumn("digest", F.sha2("text", 256))
     light = durable(keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
     seen = durable(light.groupBy("digest").agg(F.min("doc_id").alias("chosen"), F.count("*").alias("n")), "distinct")
-    missing = seen.select("digest", "chosen").join(cache.read(name), "digest", "left_anti")
-    found = keyed.join(missing.withColumnRenamed("digest", "d"), F.col("doc_id").eqNullSafe(F.col("chosen")) & (F.col("digest") == F.col("d")), "left_semi")
+    missing = durable(seen.select(F.col("digest").alias("d"), "chosen").join(cache.read(name), F.col("d") == F.col("digest"), "left_anti"), "missing")
+    n_rows, n_missing = light.count(), missing.count()
+    if n_missing <= FEW and n_missing * SHARE <= n_rows:
+        missing = F.broadcast(missing)
+    found = keyed.join(missing, F.col("doc_id").eqNullSafe(F.col("chosen")) & (F.col("digest") == F.col("d")), "left_semi")
     cache.append(encode_missing(found, path), name)
     counts = cache.read(name)
-    often = seen.where(F.col("n") >= F.lit(max(2, -(-light.count() // HOT)))).select(F.col("digest"))
+    often = seen.where(F.col("n") >= F.lit(max(2, -(-n_rows // HOT)))).select(F.col("digest"))
     often = durable(often.join(counts, "digest").select("digest", F.col("n_tokens").alias("often")), "often")
     marked = light.join(F.broadcast(often), "digest", "left")
     rare = marked.where("often is null").drop("often").join(counts, "digest")
