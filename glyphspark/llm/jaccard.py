@@ -10,7 +10,8 @@ copies of each other. Columns beside doc_id and text are ignored.
 
 How it scales:
 1. Shingles become 64-bit hashes, straight from Arrow buffers. Equal sets form a class, so copies are never paired.
-2. Two linked sets share one of their first floor(n / 4) + 1 tokens under any fixed order of tokens (prefix filter).
+2. Two linked sets share one of their first floor(n / 4) + 1 tokens under any fixed order of tokens (prefix filter), and
+   have enough tokens left from there on to link (positional filter).
    The order puts tokens of many documents last, so licence lines and shared passages are no join keys. Which tokens
    those are is counted over all documents by a mergeable lossy count; it changes speed, never results.
 3. The bucket of a token is led by its smallest class; all buckets with one leader make a family, so a passage that
@@ -367,9 +368,14 @@ def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # families: the sets of all tokens that one class leads
     # tokens of a class, dealt out once: the grouping and the join read the same exchange. A token has one row of a class,
     # among n / 4 of its rows, so no token is hot, however many classes it is in
-    by_token = base.where("n_shingles > 0").groupBy("cls").agg(F.first("prefix").alias("prefix")).select("cls", F.explode("prefix").alias("token")).repartition("token")
-    led = by_token.groupBy("token").agg(F.min("cls").alias("lead"), F.max("cls").alias("last")).where("lead < last").select("token", "lead")
-    member = durable(by_token.join(led, "token").select("lead", "cls").distinct(), "members")
+    sets = base.where("n_shingles > 0").groupBy("cls").agg(F.max("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
+    by_token = sets.select("cls", "n", F.posexplode("prefix").alias("at", "token")).select("cls", "token", F.shiftleft("n", 32).bitwiseOR(F.col("n") - F.col("at")).alias("packed")).repartition("token")
+    n, left = F.shiftright("packed", 32), F.col("packed").bitwiseAND(F.lit(0xFFFFFFFF))
+    # the tokens that two sets share are among those from their first shared one on, so both need 3 / 7 of all left there
+    led = by_token.groupBy("token").agg(F.min("cls").alias("lead"), F.count("*").alias("same"), F.min(n).alias("least"), F.sum(n).alias("all"), F.min(left).alias("left"))
+    led = led.where("same > 2 or same = 2 and 7 * left >= 3 * all").select("token", "lead", "least")
+    member = by_token.join(led, "token").where(7 * left >= 3 * (n + F.col("least")))
+    member = durable(member.select("lead", "cls").distinct(), "members")
     rows = durable(base.select("doc_id", "digest", "n_shingles", "cls"), "rows")
     discard(base)
     family = durable(_sized(member.join(classes.select("cls", "n"), "cls")), "families")
