@@ -1,7 +1,7 @@
 """Queries over the given tables, one or more for each operator, and DuckDB SQL for those that SQL can express.
 
-The activity facts are read from events: a purchase is a conversion, a view a comparison, a click an upload, an error a
-failed conversion; the tier of a document or user follows its number. Doubles are rounded to six places on both sides.
+The tier of a document or user follows its number. Doubles are rounded to six places on both sides. Queries over records
+of activity are in records.py.
 """
 
 from __future__ import annotations
@@ -9,13 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..encodings import registry
+from ..encodings import registry, rules
 from ..functions import text as tx
 from ..operators import compare, transcode
 from ..streaming import limits
 from . import activity as act
-
-KINDS = {"purchase": "conversions", "view": "comparisons", "click": "documents", "error": "errors"}
+from . import records
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -63,18 +62,34 @@ def convert_alpha_ansi(spark, d):
     return _converted(spark, d, "alpha-ansi")
 
 
+def _resolved(spark, d, choice):
+    """Documents (doc_id, text, choice, encoding_id): detected where the choice is auto."""
+    docs = _docs(spark, d).withColumn("choice", choice)
+    return transcode.resolve(docs, transcode.detect(transcode.detect_scores(docs)))
+
+
 def conversion_issues(spark, d):
     """Failures and warnings of the whole document pipeline: limit, detection, conversion by the encoding detected, unmapped characters."""
     docs = _docs(spark, d).withColumn("used", F.coalesce(tx.non_ws_chars(F.col("text")), F.lit(0))).withColumn("max", act.tier_limit(_tier("doc_id"), F.lit(None)))
     fits = docs.where("used <= max")
     done = fits.join(transcode.detect(transcode.detect_scores(fits)), "doc_id").select("doc_id", transcode.conversion_outcome(F.col("text"), F.col("encoding_id")).alias("c"))
-    over = docs.where("used > max").select("doc_id", F.lit("limit_exceeded").alias("kind"), F.lit("error").alias("severity"), F.lit("LIMIT_EXCEEDED_ERROR").alias("code"))
-    bad = F.col("c.error").isNotNull()
-    either = lambda error, warning: F.when(bad, error).otherwise(F.lit(warning))
-    found = done.where(bad | (F.col("c.n_unmapped") > 0)).select("doc_id", either(F.lit("conversion_failed"), "unmapped_characters").alias("kind"), either(F.lit("error"), "warning").alias("severity"), either(F.col("c.error"), "UNMAPPED").alias("code"))
+    over = docs.where("used > max").select("doc_id", F.lit("limit_exceeded").alias("kind"), F.lit("error").alias("severity"), F.lit("LIMIT_EXCEEDED_ERROR").alias("code"), F.lit(0).cast("long").alias("n_samples"))
+    found = done.select("doc_id", F.explode(transcode.issues(F.col("c"))).alias("i")).select("doc_id", "i.kind", "i.severity", "i.code", F.size("i.samples").cast("long").alias("n_samples"))
     return over.unionByName(found)
 
 
+def resolve_encoding(spark, d):
+    """Documents under a choice of encoding, an unknown one and a list of enabled ones: what is used, or why none is."""
+    choice = F.element_at(F.array(*map(F.lit, ("auto", "bijoy", "klingon", "sutonny"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    return _resolved(spark, d, choice).select("doc_id", "choice", "encoding_id", transcode.refusal(F.col("encoding_id"), ["bijoy", "alpha-ansi"]).alias("error"))
+
+
+def conversion_trace(spark, d):
+    """Counts and previews of each stage of the conversion."""
+    rows = _docs(spark, d).select("doc_id", transcode.trace(F.col("text"), "bijoy").alias("t"))
+    return rows.select("doc_id", F.explode("t").alias("s")).select("doc_id", "s.stage", "s.n", F.array_join("s.preview", "|").alias("preview"))
+
+
 def detect_scores(spark, d):
     s = transcode.detect_scores(_docs(spark, d))
     return s.select("doc_id", "encoding_id", F.round("confidence", 6).alias("confidence"), F.round("legacy_coverage", 6).alias("legacy_coverage"))
@@ -93,9 +108,10 @@ def grapheme_counts(spark, d):
 
 
 def headword(spark, d):
-    """The longest word of each text, the first of equals."""
-    words = _t(spark, d, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"[^{tx.WS}]+"), F.lit(0))).alias("pos", "word"))
-    return words.groupBy("doc_id").agg(F.max_by("word", F.struct(F.length("word"), -F.col("pos"))).alias("headword"))
+    """Of each text, read by its detected encoding or else the first one, the longest converted word that holds Bengali."""
+    r = _resolved(spark, d, F.lit("auto"))
+    rows = r.select("doc_id", transcode.specimen(F.col("text"), F.coalesce("encoding_id", F.lit(registry.listed()[0].id))).alias("s"))
+    return rows.select("doc_id", "s.encoding_id", "s.headword", "s.legacy")
 
 
 def text_measures(spark, d):
@@ -105,7 +121,7 @@ def text_measures(spark, d):
 
 def usage_check(spark, d):
     df = _t(spark, d, "documents").withColumn("used", tx.non_ws_chars(F.col("text"))).withColumn("tier", _tier("doc_id"))
-    return df.select("doc_id", "tier", act.check_usage(F.col("used"), act.tier_limit(F.col("tier"), F.lit(None))).alias("u")).select("doc_id", "tier", "u.used", "u.max", "u.remaining", "u.within_limit", "u.band")
+    return df.select("doc_id", "tier", act.check_usage(F.col("used"), act.tier_limit(F.col("tier"), F.lit(None)), F.col("tier")).alias("u")).select("doc_id", "tier", "u.used", "u.max", "u.remaining", "u.within_limit", "u.message", "u.band")
 
 
 def format_resolve(spark, d):
@@ -135,15 +151,21 @@ def _turn_pairs(spark, d):
 
 
 def diff_turns(spark, d):
-    """Word diff of each turn with the one before."""
+    """Word diff of each turn with the one before: both sides put together again, and how many tokens stayed or changed."""
     rows = _turn_pairs(spark, d).select("conv_id", "turn", compare.compare_columns(F.col("source"), F.col("text")).alias("r"))
     whole = lambda kind: F.sha2(F.array_join(F.transform(F.filter("r.segments", lambda s: s["kind"] != kind), lambda s: s["value"]), ""), 256)
-    return rows.select("conv_id", "turn", whole("added").alias("source_sha256"), whole("removed").alias("target_sha256"))
+    return rows.select("conv_id", "turn", whole("added").alias("source_sha256"), whole("removed").alias("target_sha256"), "r.equal_tokens", "r.removed_tokens", "r.added_tokens")
+
+
+def comparison_gate(spark, d):
+    """Why adjacent documents of a source are compared or not, by the tier of the first."""
+    pairs = _pairs(spark, d).select(F.col("doc_id").alias("a"), "b", "text", "target")
+    return pairs.select("a", "b", compare.gate(F.col("text"), F.col("target"), act.tier_limit(_tier("a"), F.lit(None))).alias("refused"))
 
 
 def diff_statistics(spark, d):
     rows = _turn_pairs(spark, d).select("conv_id", "turn", compare.compare_columns(F.col("source"), F.col("text")).alias("r"))
-    return rows.select("conv_id", "turn", "r.modifications", "r.removals", "r.additions", "r.unchanged_words", "r.changed_words", "r.source_words", "r.target_words", F.floor(F.col("r.similarity") * 100 + 0.5).cast("long").alias("percent"))
+    return rows.select("conv_id", "turn", "r.modifications", "r.removals", "r.additions", "r.unchanged_words", "r.changed_words", "r.source_words", "r.target_words", compare.badges(F.col("r")).alias("b")).select("*", "b.*").drop("b")
 
 
 def diff_paragraphs(spark, d):
@@ -158,22 +180,9 @@ def history_top20(spark, d):
     return act.newest(_facts(spark, d), 20, "user_id").select("user_id", "event_id", F.col("rn").cast("long").alias("rn"))
 
 
-def daily_rollup(spark, d):
-    return act.daily(_facts(spark, d), KINDS)
-
-
-def overview_30(spark, d):
-    return act.last_days(act.daily(_facts(spark, d), KINDS))
-
-
 def totals_breakdown(spark, d):
     facts = _facts(spark, d).withColumn("tier", _tier("user_id"))
-    return act.breakdown(facts, ["kind", "tier"], F.round(F.sum("value"), 2)).select("dimension", "value", "n")
-
-
-def user_counters(spark, d):
-    f = _facts(spark, d)
-    return f.groupBy("user_id").agg(*[F.count_if(F.col("kind") == k).alias(n) for k, n in KINDS.items()])
+    return act.breakdown(facts, ["kind", "tier"], F.round(F.sum("value"), 2)).select("dimension", "value", "n", "total")
 
 
 def limits_resolution(spark, d):
@@ -185,12 +194,6 @@ def limits_resolution(spark, d):
     return act.resolve_limits(callers, users, own, wide).select("caller_id", "tier", "max")
 
 
-def error_window(spark, d):
-    """Kinds of the newest 200 errors and views, weighted."""
-    f = _facts(spark, d).where(F.col("kind").isin("error", "view"))
-    return act.newest(f, 200).groupBy("kind").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
-
-
 def issue_dedupe(spark, d):
     return act.merge_issues(_facts(spark, d), act.issue_key("kind", "user_id")).select("issue_key", "occurrences", F.date_format("first_seen", "yyyy-MM-dd HH:mm:ss").alias("first_seen"), F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss").alias("last_seen"))
 
@@ -204,19 +207,6 @@ def rate_limited(spark, d):
     return limits.rate_limit(events, 3, 6 * 3600.0).select("event_id", "allowed", "retry_after")
 
 
-def validate_rows(spark, d):
-    """Rows that break a rule, with what they break."""
-    issues = act.violations({"value: must be at least 10": F.col("value") >= 10, "kind: must be known": F.col("kind").isin("purchase", "view", "click", "error")})
-    return _facts(spark, d).select("event_id", F.array_join(issues, "; ").alias("issues")).where("issues <> ''")
-
-
-def users_listing(spark, d):
-    n = _t(spark, d, "nation").withColumnRenamed("n_nationkey", "c_nationkey").where("n_regionkey <> 2")
-    spent = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("orders"))
-    rows = _t(spark, d, "customer").join(n, "c_nationkey", "left").join(spent, "c_custkey", "left")
-    return rows.select("c_custkey", F.coalesce("n_name", F.lit("unknown")).alias("nation"), F.coalesce("orders", F.lit(0)).cast("long").alias("orders"))
-
-
 def encoding_series(spark, d):
     """Documents by detected encoding, 0 for those without any."""
     every = spark.createDataFrame([(e.id,) for e in registry.listed()], "encoding_id string")
@@ -225,18 +215,16 @@ def encoding_series(spark, d):
 
 
 def error_status(spark, d):
-    code = F.element_at(F.array(*map(F.lit, [*act.STATUS, "INTERNAL_ERROR"])), (F.col("event_id") % (len(act.STATUS) + 1) + 1).cast("int"))
+    code = F.element_at(F.array(*map(F.lit, [*act.STATUS, "OTHER"])), (F.col("event_id") % (len(act.STATUS) + 1) + 1).cast("int"))
     return _facts(spark, d).select(act.http_status(code).cast("long").alias("status")).groupBy("status").agg(F.count("*").alias("n"))
 
 
 ALL = (
-    token_counts, unmapped_top, convert_bijoy, convert_sutonny, convert_alpha_ansi, conversion_issues, detect_scores, detect_best, unicode_check, grapheme_counts, headword, text_measures, usage_check, format_resolve, unreliable_text,
-    dice_adjacent, diff_turns, diff_statistics, diff_paragraphs, history_top20, daily_rollup, overview_30, totals_breakdown, user_counters, limits_resolution, error_window, issue_dedupe, first_occurrence, rate_limited, validate_rows,
-    users_listing, encoding_series, error_status,
+    token_counts, unmapped_top, convert_bijoy, convert_sutonny, convert_alpha_ansi, conversion_issues, resolve_encoding, conversion_trace, detect_scores, detect_best, unicode_check, grapheme_counts, headword, text_measures, usage_check,
+    format_resolve, unreliable_text, dice_adjacent, diff_turns, diff_statistics, diff_paragraphs, comparison_gate, history_top20, totals_breakdown, limits_resolution, issue_dedupe, first_occurrence, rate_limited, encoding_series, error_status,
 )
-QUERIES = {f.__name__: f for f in ALL}
+QUERIES = {f.__name__: f for f in ALL} | records.QUERIES
 
-_COUNTS = "count(*) FILTER (event_type = 'purchase') AS conversions, count(*) FILTER (event_type = 'view') AS comparisons, count(*) FILTER (event_type = 'click') AS documents, count(*) FILTER (event_type = 'error') AS errors"
 _LIMIT = "CASE doc_id % 3 WHEN 0 THEN 3000 WHEN 1 THEN 6000 ELSE 25000 END"
 _TIER = "CASE {} % 3 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'expert' END"
 
@@ -274,8 +262,86 @@ scores AS (SELECT doc_id, encoding_id, ord, least(cover, legacy) AS confidence,
 """
 
 
+#: Fixed values in DuckDB's patterns: hasant, the vowel signs that an alpha-ansi post-process moves, pairs that keep a hasant visible.
+_HASANT, _VOWELS = "্", "ুূৃ"
+
+
+def _converted_sql(encoding_id: str, keep: str = "") -> str:
+    """CTEs up to done(doc_id, text, out, n_tokens, n_unmapped, n_moved): the conversion on a string in which each token is
+    U+001E, its class (p sign ahead, r reph, h hasant, j joined, x other), what it reads as, U+001F."""
+    e = registry.get(encoding_id)
+    letter = {rules.PRE: "p", rules.REPH: "r"}
+    pairs = [(k, letter.get(kind, "x") + out) for k, (out, kind) in e.rules.items()]
+    table = f"MAP {{{', '.join(f'{_quoted([k])}: {_quoted([v])}' for k, v in pairs)}}}"
+    token, steps = r"\x1E{}[^\x1F]*\x1F", ["array_to_string(list_transform(tok, lambda x: chr(30) || coalesce(rules[x], 'x' || x) || chr(31)), '')"]
+    swap = lambda pattern, to: steps.append((pattern, to))
+    if e.post is registry.bijoy_post:
+        for a, b in sorted(registry.VISIBLE):
+            swap(rf"(\x1E.{a}\x1F(?:\x1Ep[^\x1F]*\x1F)*\x1E.){_HASANT}(\x1F(?:\x1Ep[^\x1F]*\x1F)*\x1E.{b}\x1F)", rf"\1{_HASANT}{registry.ZWNJ}\2")
+        # what a token ends with is marked ahead of the collapse, as a hasant that goes still counts for the next one
+        swap(rf"{_HASANT}\x1F", f"{_HASANT}\x1d\x1f")
+        swap(rf"(\x1D\x1F\x1E.){_HASANT}", r"\1")
+        swap(r"\x1D", "")
+    elif e.post:
+        swap(rf"(\x1E.[{_VOWELS}]\x1F)((?:\x1E.{_HASANT}[^\x1F]*\x1F)+)", r"\2\1")
+    swap(rf"\x1Ex({_HASANT}+\x1F)", "\x1eh\\1")
+    swap(rf"\x1Ex({_HASANT})", "\x1ej\\1")
+    swap(rf"((?:{token.format('p')})+)({token.format('[^pr]')}(?:{token.format('j')}|{token.format('h')}{token.format('.')})*)", r"\2\1")
+    signs = r"\x1E.[\x{09BE}-\x{09CC}\x{09D7}\x{0981}-\x{0983}]+\x1F"
+    swap(rf"((?:{token.format('.')}{token.format('h')})*{token.format('.')}(?:{token.format('j')})*(?:{signs})*)((?:{token.format('r')})+)", r"\2\1")
+    sql = steps[0]
+    for pattern, to in steps[1:]:
+        sql = f"regexp_replace({sql}, '{pattern}', '{to}', 'g')"
+    good = f"[{_quoted([*e.rules, *_PASS])}]"
+    return f"""
+c1 AS (SELECT doc_id, text, {_tokens(encoding_id)} AS tok, {table} AS rules FROM documents{keep}),
+c2 AS (SELECT doc_id, text, len(tok)::BIGINT AS n_tokens, len(list_filter(tok, lambda x: NOT list_contains({good}, x)))::BIGINT AS n_unmapped, {sql} AS s FROM c1),
+done AS (SELECT doc_id, text, n_tokens, n_unmapped, len(regexp_extract_all(s, '\x1E[pr]'))::BIGINT AS n_moved, nfc_normalize(regexp_replace(s, '\x1E.|\x1F', '', 'g')) AS out FROM c2)
+"""
+
+
+def _convert_sql(encoding_id: str) -> str:
+    blank = r"NOT regexp_matches(coalesce(text, ''), '[^\s\x0B]')"
+    value = lambda x, other: f"CASE WHEN {blank} THEN {other} ELSE {x} END"
+    return f"WITH {_converted_sql(encoding_id)} SELECT doc_id, {value('sha256(out)', 'NULL')} AS text_sha256, {value('length(out)::BIGINT', 'NULL')} AS n_chars, {value('n_tokens', 0)} AS n_tokens, {value('n_unmapped', 0)} AS n_unmapped, {value('n_moved', 0)} AS n_moved, {value('n_unmapped = 0', 'false')} AS valid, {value('NULL', chr(39) + 'FILE_PROCESSING_ERROR' + chr(39))} AS error FROM done"
+
+
 _BEST = ", best AS (SELECT doc_id, confidence, CASE WHEN confidence >= 0.6 THEN encoding_id END AS encoding_id FROM scores QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, ord) = 1) "
 
+#: The longest word with Bengali, or the first word, and the legacy word at its place.
+_HEADWORD = ", ".join(_converted_sql(e.id, f" WHERE doc_id IN (SELECT doc_id FROM best WHERE coalesce(encoding_id, 'bijoy') = '{e.id}')").replace("c1", f"c1{i}").replace("c2", f"c2{i}").replace("done", f"done{i}") for i, e in enumerate(registry.listed())) + ", every AS (" + " UNION ALL ".join(f"SELECT doc_id, text, out, '{e.id}' AS encoding_id FROM done{i}" for i, e in enumerate(registry.listed())) + r"""),
+w AS (SELECT doc_id, encoding_id, regexp_extract_all(out, '[^\s\x0B]+') AS w, regexp_extract_all(text, '[^\s\x0B]+') AS l FROM every),
+u AS (SELECT doc_id, encoding_id, l, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM w),
+b AS (SELECT *, regexp_matches(word, '[\x{0980}-\x{09FF}]') AS bengali FROM u)
+SELECT doc_id, encoding_id, word AS headword, coalesce(l[pos], '') AS legacy FROM b QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY bengali DESC, CASE WHEN bengali THEN -length(word) ELSE 0 END, pos) = 1"""
+
+_ISSUES = rf""", u AS (SELECT doc_id, length(regexp_replace(text, '[\s\x0B]+', '', 'g'))::BIGINT AS used, ({_LIMIT})::BIGINT AS max FROM documents),
+t AS (SELECT doc_id, encoding_id, list_distinct(list_filter(tok, lambda x: NOT list_contains(good, x))) AS bad FROM t)
+SELECT doc_id, 'limit_exceeded' AS kind, 'error' AS severity, 'LIMIT_EXCEEDED_ERROR' AS code, 0::BIGINT AS n_samples FROM u WHERE used > max
+UNION ALL SELECT doc_id, 'conversion_failed', 'error', 'VALIDATION_ERROR', 0 FROM u JOIN best USING (doc_id) WHERE used <= max AND encoding_id IS NULL
+UNION ALL SELECT doc_id, 'unmapped_character', 'warning', 'UNMAPPED_CHARACTER', least(len(bad), 20)::BIGINT FROM u JOIN best USING (doc_id) JOIN unmapped USING (doc_id, encoding_id) WHERE used <= max AND len(bad) > 0""".replace("t AS (SELECT doc_id, encoding_id, list_distinct", "unmapped AS (SELECT doc_id, encoding_id, list_distinct")
+
+#: A window starts with a key's first event, and again with its first event after a window's end.
+_RATES = """
+WITH RECURSIVE e AS (SELECT user_id AS key, ts, event_id FROM events),
+starts AS (SELECT key, min(ts) AS start FROM e GROUP BY key UNION ALL SELECT s.key, min(e.ts) FROM starts s JOIN e ON e.key = s.key AND e.ts >= s.start + INTERVAL 6 HOUR GROUP BY s.key),
+placed AS (SELECT e.*, max(start) AS start FROM e JOIN starts s ON s.key = e.key AND s.start <= e.ts GROUP BY e.key, e.ts, e.event_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY key, start ORDER BY ts, event_id) AS n FROM placed)
+SELECT event_id, n <= 3 AS allowed, CASE WHEN n <= 3 THEN 0 ELSE greatest(1, ceil((epoch_us(start) + 21600000000 - epoch_us(ts)) / 1000000.0)) END::BIGINT AS retry_after FROM ranked"""
+
+#: Length of the longest common subsequence, one token of the source at a time: the best of a prefix is a running maximum.
+_DIFF = r"""
+WITH RECURSIVE p AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS source FROM conversations),
+t AS (SELECT row_number() OVER () AS id, conv_id, turn, source, text, regexp_extract_all(source, '[\s\x0B]+|[\pL\pN\pM_\x{200C}\x{200D}]+|(?s:.)') AS a, regexp_extract_all(text, '[\s\x0B]+|[\pL\pN\pM_\x{200C}\x{200D}]+|(?s:.)') AS b FROM p WHERE source IS NOT NULL),
+w AS (SELECT id, 0 AS side, unnest(a) AS word, generate_subscripts(a, 1) AS k FROM t UNION ALL SELECT id, 1, unnest(b), generate_subscripts(b, 1) FROM t),
+c AS MATERIALIZED (SELECT id::INTEGER AS id, side, k::INTEGER AS k, dense_rank() OVER (ORDER BY word)::INTEGER AS word FROM w),
+l AS (SELECT id, k AS j, word, 0 AS i, 0 AS n FROM c WHERE side = 1
+  UNION ALL
+  SELECT l.id, j, l.word, i + 1, max(CASE WHEN x.word = l.word THEN before + 1 ELSE n END) OVER (PARTITION BY l.id ORDER BY j)
+  FROM (SELECT *, coalesce(lag(n) OVER (PARTITION BY id ORDER BY j), 0) AS before FROM l) l JOIN c x ON x.side = 0 AND x.id = l.id AND x.k = i + 1),
+m AS (SELECT id, max(n) AS n FROM l GROUP BY id)
+SELECT conv_id, turn, sha256(source) AS source_sha256, sha256(text) AS target_sha256, coalesce(n, 0)::BIGINT AS equal_tokens, len(a) - coalesce(n, 0)::BIGINT AS removed_tokens, len(b) - coalesce(n, 0)::BIGINT AS added_tokens FROM t LEFT JOIN m USING (id)"""
+
 ORACLE_SQL = {
     "token_counts": f"WITH t AS (SELECT doc_id, {_tokens('bijoy')} AS tok FROM documents), c AS (SELECT doc_id, len(tok)::BIGINT AS n, len(list_filter(tok, lambda x: list_contains([{_quoted([*registry.get('bijoy').rules, *_PASS])}], x)))::BIGINT AS good FROM t) SELECT doc_id, n AS n_tokens, good AS n_mapped, n - good AS n_unmapped FROM c",
     "unmapped_top": f"WITH t AS (SELECT unnest({_tokens('bijoy')}) AS sequence FROM documents) SELECT sequence, count(*) AS n FROM t WHERE NOT list_contains([{_quoted([*registry.get('bijoy').rules, *_PASS])}], sequence) GROUP BY sequence",
@@ -283,23 +349,22 @@ ORACLE_SQL = {
     "detect_best": _scores_sql() + _BEST + "SELECT doc_id, encoding_id, round(confidence, 6) AS confidence FROM best",
     "encoding_series": _scores_sql() + _BEST + f"SELECT e AS encoding_id, count(doc_id) AS n FROM (SELECT unnest([{_quoted(x.id for x in registry.listed())}]) AS e) LEFT JOIN best ON e = encoding_id GROUP BY e",
     "unicode_check": r"SELECT doc_id, text = nfc_normalize(text) AS is_nfc, regexp_matches(text, '(^|\s)[\x{09BE}-\x{09CC}\x{09D7}]') AS has_stray_sign FROM documents",
-    "headword": r"WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\s\x0B]+') AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM w) SELECT doc_id, word AS headword FROM u QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(word) DESC, pos) = 1",
+    **{f"convert_{e.id.replace('-', '_')}": _convert_sql(e.id) for e in registry.listed()},
+    "headword": _scores_sql() + _BEST + ", " + _HEADWORD,
+    "conversion_issues": _scores_sql() + _BEST + _ISSUES,
+    "resolve_encoding": _scores_sql() + _BEST + "SELECT d.doc_id, choice, CASE choice WHEN 'auto' THEN encoding_id WHEN 'klingon' THEN NULL ELSE choice END AS encoding_id, CASE WHEN choice = 'klingon' OR choice = 'auto' AND encoding_id IS NULL THEN 'undetermined' WHEN CASE choice WHEN 'auto' THEN encoding_id ELSE choice END NOT IN ('bijoy', 'alpha-ansi') THEN 'disabled' END AS error FROM (SELECT doc_id, ['auto', 'bijoy', 'klingon', 'sutonny'][doc_id % 4 + 1] AS choice FROM documents) d JOIN best USING (doc_id)",
+    "comparison_gate": rf"WITH u AS (SELECT doc_id, source, length(regexp_replace(coalesce(text, ''), '[\s\x0B]+', '', 'g')) AS n FROM documents) SELECT x.doc_id AS a, y.doc_id AS b, CASE WHEN least(x.n, y.n) = 0 THEN 'blank' WHEN greatest(x.n, y.n) > {_LIMIT.replace('doc_id', 'x.doc_id')} THEN 'over_limit' END AS refused FROM u x JOIN u y ON y.doc_id = x.doc_id + 20 AND x.source = y.source",
+    "rate_limited": _RATES,
     "text_measures": r"SELECT doc_id, length(regexp_replace(text, '[\s\x0B]+', '', 'g'))::BIGINT AS n_chars_no_ws, len(regexp_extract_all(text, '[^\s\x0B]+'))::BIGINT AS n_words, len(list_filter(regexp_split_to_array(text, '\r?\n[\s\x0B]*\r?\n'), lambda x: regexp_matches(x, '[^\s\x0B]')))::BIGINT AS n_paragraphs FROM documents",
-    "usage_check": rf"WITH u AS (SELECT doc_id, {_TIER.format('doc_id')} AS tier, length(regexp_replace(text, '[\s\x0B]+', '', 'g'))::BIGINT AS used, ({_LIMIT})::BIGINT AS max FROM documents) SELECT *, greatest(max - used, 0)::BIGINT AS remaining, used <= max AS within_limit, CASE WHEN used > max THEN 'danger' WHEN used / max > 0.85 THEN 'warning' ELSE 'ok' END AS band FROM u",
+    "usage_check": rf"WITH u AS (SELECT doc_id, {_TIER.format('doc_id')} AS tier, length(regexp_replace(text, '[\s\x0B]+', '', 'g'))::BIGINT AS used, ({_LIMIT})::BIGINT AS max FROM documents) SELECT *, greatest(max - used, 0)::BIGINT AS remaining, used <= max AS within_limit, CASE WHEN used > max THEN 'This input has ' || format('{{:,}}', used) || ' characters, which exceeds the ' || tier || ' tier limit of ' || format('{{:,}}', max) || '. Reduce the input or use a higher tier.' END AS message, CASE WHEN used > max THEN 'danger' WHEN used / max > 0.85 THEN 'warning' ELSE 'ok' END AS band FROM u",
     "format_resolve": "SELECT page_id, CASE WHEN lower(list_last(string_split(url, '.'))) IN ('txt', 'pdf', 'doc', 'docx') THEN lower(list_last(string_split(url, '.'))) ELSE 'txt' END AS format FROM pages",
     "unreliable_text": r"SELECT page_id, CASE WHEN length(html) > 0 THEN round(len(regexp_extract_all(html, '[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFD}]')) / length(html), 6) ELSE 0.0 END AS ratio FROM pages",
     "dice_adjacent": r"WITH w AS (SELECT doc_id, source, unnest(regexp_extract_all(lower(text), '[^\s\x0B]+')) AS w FROM documents), c AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY ALL), s AS (SELECT doc_id, sum(n) AS n FROM c GROUP BY doc_id), p AS (SELECT x.doc_id AS a, y.doc_id AS b FROM documents x JOIN documents y ON y.doc_id = x.doc_id + 20 AND x.source = y.source), m AS (SELECT a, b, sum(least(x.n, y.n)) AS both_n FROM p JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b AND y.w = x.w GROUP BY a, b) SELECT p.a, p.b, round(CASE WHEN coalesce(s1.n, 0) + coalesce(s2.n, 0) = 0 THEN 1.0 ELSE 2 * coalesce(both_n, 0) / (coalesce(s1.n, 0) + coalesce(s2.n, 0)) END, 6) AS similarity FROM p LEFT JOIN m USING (a, b) LEFT JOIN s s1 ON s1.doc_id = p.a LEFT JOIN s s2 ON s2.doc_id = p.b",
-    "diff_turns": r"WITH p AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS source FROM conversations) SELECT conv_id, turn, sha256(source) AS source_sha256, sha256(text) AS target_sha256 FROM p WHERE source IS NOT NULL",
+    "diff_turns": _DIFF,
     "history_top20": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events QUALIFY rn <= 20",
-    "daily_rollup": f"SELECT strftime(ts, '%Y-%m-%d') AS day, {_COUNTS} FROM events GROUP BY 1",
-    "overview_30": f"SELECT * FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, {_COUNTS} FROM events GROUP BY 1) ORDER BY day DESC LIMIT 30",
-    "totals_breakdown": f"WITH e AS (SELECT event_type AS kind, {_TIER.format('user_id')} AS tier FROM events) SELECT 'kind' AS dimension, kind AS value, count(*) AS n FROM e GROUP BY kind UNION ALL SELECT 'tier', tier, count(*) FROM e GROUP BY tier",
-    "user_counters": f"SELECT user_id, {_COUNTS} FROM events GROUP BY user_id",
+    "totals_breakdown": f"WITH e AS (SELECT event_type AS kind, {_TIER.format('user_id')} AS tier, value AS v FROM events) SELECT 'kind' AS dimension, kind AS value, count(*) AS n, round(sum(v), 2) AS total FROM e GROUP BY kind UNION ALL SELECT 'tier', tier, count(*), round(sum(v), 2) FROM e GROUP BY tier",
     "limits_resolution": "WITH c AS (SELECT c_custkey AS caller_id, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey END AS uid FROM customer), u AS (SELECT c_custkey AS uid, CASE lower(c_mktsegment) WHEN 'building' THEN 'expert' WHEN 'machinery' THEN 'medium' ELSE 'easy' END AS tier FROM customer WHERE c_custkey % 5 <> 0), j AS (SELECT caller_id, c.uid, coalesce(tier, 'easy') AS tier, s_suppkey * 10 AS own FROM c LEFT JOIN u ON u.uid = c.uid LEFT JOIN supplier ON s_suppkey * 3 = c.uid) SELECT caller_id, tier, coalesce(CASE WHEN uid IS NOT NULL THEN coalesce(own, CASE WHEN tier = 'medium' THEN 7777 END) END, CASE tier WHEN 'easy' THEN 3000 WHEN 'medium' THEN 6000 ELSE 25000 END)::BIGINT AS max FROM j",
-    "error_window": "WITH w AS (SELECT event_type AS kind, event_id FROM events WHERE event_type IN ('error', 'view') ORDER BY ts DESC, event_id DESC LIMIT 200) SELECT kind, count(*) AS n, min(event_id) AS first_id FROM w GROUP BY kind",
     "issue_dedupe": "SELECT event_type || '|' || user_id AS issue_key, count(*) AS occurrences, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen FROM events GROUP BY 1",
     "first_occurrence": "SELECT event_type || '|' || user_id AS issue_key, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) = 1",
-    "validate_rows": "SELECT event_id, concat_ws('; ', CASE WHEN NOT coalesce(value >= 10, false) THEN 'value: must be at least 10' END, CASE WHEN event_type NOT IN ('purchase', 'view', 'click', 'error') THEN 'kind: must be known' END) AS issues FROM events WHERE NOT coalesce(value >= 10, false) OR event_type NOT IN ('purchase', 'view', 'click', 'error')",
-    "users_listing": "SELECT c_custkey, coalesce(n_name, 'unknown') AS nation, coalesce(n, 0)::BIGINT AS orders FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 2) ON n_nationkey = c_nationkey LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey",
-    "error_status": "SELECT CASE event_id % 8 WHEN 0 THEN 400 WHEN 1 THEN 401 WHEN 2 THEN 403 WHEN 3 THEN 429 WHEN 4 THEN 422 WHEN 5 THEN 422 WHEN 6 THEN 413 ELSE 500 END::BIGINT AS status, count(*) AS n FROM events GROUP BY 1",
-}
+    "error_status": "SELECT [400, 422, 422, 413, 401, 403, 429, 500, 500, 500, 500][event_id % 11 + 1]::BIGINT AS status, count(*) AS n FROM events GROUP BY 1",
+} | records.ORACLE_SQL
