@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
-MAX_BYTES, UNRELIABLE = 15 * 1024 * 1024, 0.02
+MAX_BYTES = 15 * 1024 * 1024
+#: Bytes that the text part of an archive may unpack to.
+MAX_UNPACKED = 256 * 1024 * 1024
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -23,7 +25,13 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 def docx_text(data: bytes) -> str:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        root = ElementTree.fromstring(z.read("word/document.xml"))
+        if z.getinfo("word/document.xml").file_size > MAX_UNPACKED:
+            raise OverflowError
+        with z.open("word/document.xml") as f:
+            data = f.read(MAX_UNPACKED + 1)
+        if len(data) > MAX_UNPACKED:  # the archive's own figure need not be true
+            raise OverflowError
+        root = ElementTree.fromstring(data)
     out = []
     for p in root.iter(f"{_W}p"):
         out.append("".join(x.text or "" if x.tag == f"{_W}t" else "\t" if x.tag == f"{_W}tab" else "\n" if x.tag == f"{_W}br" else "" for x in p.iter()))
@@ -39,7 +47,9 @@ def _extract(kind: str | None, data: bytes | None) -> tuple[str | None, str | No
             text = docx_text(bytes(data))
         else:
             return None, "extraction_failed"  # no reader for pdf and doc is installed
-    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+    except OverflowError:
+        return None, "too_large"
+    except Exception:  # whatever a damaged file makes its reader say: a row, never a failed job
         return None, "corrupted"
     return (text, None) if re.sub(f"[{tx.WS}]+", "", text) else (None, "empty")
 

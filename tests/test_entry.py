@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
-    norm = lambda x: None if x is None or x != x else round(float(x), 6) if isinstance(x, float) else str(x)
+    norm = lambda x: None if pd.isna(x) else str(x) if isinstance(x, bool) else round(float(x), 6) if isinstance(x, (int, float)) else str(x)
     return sorted((tuple(map(norm, r)) for r in df.astype(object).itertuples(index=False)), key=str)
 
 
@@ -53,9 +53,9 @@ def test_issues_of_every_encoding(spark, tmp_path):
         elif best[0] < 0.6:
             want.add((i, "conversion_failed", "error", "VALIDATION_ERROR"))
         elif transcode.convert(t, best[1])["n_unmapped"]:
-            want.add((i, "unmapped_characters", "warning", "UNMAPPED"))
+            want.add((i, "unmapped_character", "warning", "UNMAPPED_CHARACTER"))
             seen.add(best[1])
-    got = [tuple(r) for r in entry.queries()["conversion_issues"](spark, str(tmp_path)).collect()]
+    got = [tuple(r)[:4] for r in entry.queries()["conversion_issues"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want) and seen == {e.id for e in registry.listed()}
 
 
@@ -68,3 +68,24 @@ def test_paragraphs_of_adjacent_documents(spark, tmp_path):
         r = compare.compare(t.replace("\n", "\n\n"), (rows[i + 20][1] or "").replace("\n", "\n\n"), "paragraph")
         want[i, i + 20] = (r["source_words"], r["target_words"], r["unchanged_words"], len(r["segments"]))
     assert got == want
+
+
+def test_issues_of_an_outcome(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("CONVERSION_ERROR", [], [], []), ("STORAGE_ERROR", [], [], ["w"]), (None, [f"{k}" for k in range(30)], ["line"], ["said twice"]), (None, [], [], ["one", "two"]), (None, [], [], [])]
+    df = spark.createDataFrame(rows, "error string, unmapped array<string>, details array<string>, warnings array<string>")
+    got = [[(i.kind, i.severity, i.code, i.message.split("\n")[-1], len(i.samples)) for i in r.i] for r in df.select(transcode.issues(F.struct("*")).alias("i")).collect()]
+    assert got == [
+        [("conversion_failed", "error", "CONVERSION_ERROR", "CONVERSION_ERROR", 0)], [("unknown", "error", "STORAGE_ERROR", "STORAGE_ERROR", 0), ("validation_warning", "warning", "VALIDATION_WARNING", "w", 0)],
+        [("unmapped_character", "warning", "UNMAPPED_CHARACTER", "line", 20)], [("validation_warning", "warning", "VALIDATION_WARNING", "one", 0), ("validation_warning", "warning", "VALIDATION_WARNING", "two", 0)], [],
+    ]
+
+
+def test_stages_and_heads():
+    e = registry.get("bijoy")
+    got = {s: (n, p) for s, n, p in transcode.stages("wK @", e)}
+    assert got["tokenize"] == (3, ["w", "K", "@"]) and got["map"] == (1, ["ি", "ক", "@"]) and got["reorder"] == (1, ["ক", "ি", "@"])
+    assert got["assemble"] == (4, ["কি @"]) and got["validate"] == (1, ["@"]) and transcode.stages(" \n", e) == []
+    assert transcode.stages("K", e)[-1] == ("validate", 0, ["clean"])
+    assert transcode.head("12 Kv KvL x", "12 কা কাখ x") == ("কাখ", "KvL") and transcode.head("12 3", "12 3") == ("12", "12") and transcode.head("", "") == ("", "")
