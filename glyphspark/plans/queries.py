@@ -173,7 +173,7 @@ def diff_paragraphs(spark, d):
     lines = lambda c: F.regexp_replace(c, "\n", "\n\n")
     pairs = _pairs(spark, d).select(F.col("doc_id").alias("a"), "b", "text", "target").repartition(spark.sparkContext.defaultParallelism * 2, "a")
     rows = pairs.select("a", "b", compare.compare_columns(lines("text"), lines("target"), "paragraph").alias("r"))
-    return rows.select("a", "b", "r.source_words", "r.target_words", "r.unchanged_words", F.size("r.segments").cast("long").alias("segments"))
+    return rows.select("a", "b", "r.source_words", "r.target_words", "r.equal_tokens", "r.removed_tokens", "r.added_tokens")
 
 
 def history_top20(spark, d):
@@ -289,14 +289,17 @@ def _converted_sql(encoding_id: str, keep: str = "") -> str:
     swap(rf"((?:{token.format('p')})+)({token.format('[^pr]')}(?:{token.format('j')}|{token.format('h')}{token.format('.')})*)", r"\2\1")
     signs = r"\x1E.[\x{09BE}-\x{09CC}\x{09D7}\x{0981}-\x{0983}]+\x1F"
     swap(rf"((?:{token.format('.')}{token.format('h')})*{token.format('.')}(?:{token.format('j')})*(?:{signs})*)((?:{token.format('r')})+)", r"\2\1")
-    sql = steps[0]
-    for pattern, to in steps[1:]:
-        sql = f"regexp_replace({sql}, '{pattern}', '{to}', 'g')"
+    before, after = steps[0], "before"
+    for pattern, to in steps[1:-2]:
+        before = f"regexp_replace({before}, '{pattern}', '{to}', 'g')"
+    for pattern, to in steps[-2:]:
+        after = f"regexp_replace({after}, '{pattern}', '{to}', 'g')"
     good = f"[{_quoted([*e.rules, *_PASS])}]"
     return f"""
 c1 AS (SELECT doc_id, text, {_tokens(encoding_id)} AS tok, {table} AS rules FROM documents{keep}),
-c2 AS (SELECT doc_id, text, len(tok)::BIGINT AS n_tokens, len(list_filter(tok, lambda x: NOT list_contains({good}, x)))::BIGINT AS n_unmapped, {sql} AS s FROM c1),
-done AS (SELECT doc_id, text, n_tokens, n_unmapped, len(regexp_extract_all(s, '\x1E[pr]'))::BIGINT AS n_moved, nfc_normalize(regexp_replace(s, '\x1E.|\x1F', '', 'g')) AS out FROM c2)
+c2 AS (SELECT doc_id, text, len(tok)::BIGINT AS n_tokens, len(list_filter(tok, lambda x: NOT list_contains({good}, x)))::BIGINT AS n_unmapped, tok, {good} AS good, {before} AS before FROM c1),
+c3 AS (SELECT *, {after} AS s FROM c2),
+done AS (SELECT doc_id, text, tok, good, before, s, n_tokens, n_unmapped, len(regexp_extract_all(s, '\x1E[pr]'))::BIGINT AS n_moved, nfc_normalize(regexp_replace(s, '\x1E.|\x1F', '', 'g')) AS out FROM c3)
 """
 
 
@@ -309,7 +312,7 @@ def _convert_sql(encoding_id: str) -> str:
 _BEST = ", best AS (SELECT doc_id, confidence, CASE WHEN confidence >= 0.6 THEN encoding_id END AS encoding_id FROM scores QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, ord) = 1) "
 
 #: The longest word with Bengali, or the first word, and the legacy word at its place.
-_HEADWORD = ", ".join(_converted_sql(e.id, f" WHERE doc_id IN (SELECT doc_id FROM best WHERE coalesce(encoding_id, 'bijoy') = '{e.id}')").replace("c1", f"c1{i}").replace("c2", f"c2{i}").replace("done", f"done{i}") for i, e in enumerate(registry.listed())) + ", every AS (" + " UNION ALL ".join(f"SELECT doc_id, text, out, '{e.id}' AS encoding_id FROM done{i}" for i, e in enumerate(registry.listed())) + r"""),
+_HEADWORD = ", ".join(_converted_sql(e.id, f" WHERE doc_id IN (SELECT doc_id FROM best WHERE coalesce(encoding_id, 'bijoy') = '{e.id}')").replace("c1", f"c1{i}").replace("c2", f"c2{i}").replace("c3", f"c3{i}").replace("done", f"done{i}") for i, e in enumerate(registry.listed())) + ", every AS (" + " UNION ALL ".join(f"SELECT doc_id, text, out, '{e.id}' AS encoding_id FROM done{i}" for i, e in enumerate(registry.listed())) + r"""),
 w AS (SELECT doc_id, encoding_id, regexp_extract_all(out, '[^\s\x0B]+') AS w, regexp_extract_all(text, '[^\s\x0B]+') AS l FROM every),
 u AS (SELECT doc_id, encoding_id, l, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM w),
 b AS (SELECT *, regexp_matches(word, '[\x{0980}-\x{09FF}]') AS bengali FROM u)
@@ -329,18 +332,35 @@ placed AS (SELECT e.*, max(start) AS start FROM e JOIN starts s ON s.key = e.key
 ranked AS (SELECT *, row_number() OVER (PARTITION BY key, start ORDER BY ts, event_id) AS n FROM placed)
 SELECT event_id, n <= 3 AS allowed, CASE WHEN n <= 3 THEN 0 ELSE greatest(1, ceil((epoch_us(start) + 21600000000 - epoch_us(ts)) / 1000000.0)) END::BIGINT AS retry_after FROM ranked"""
 
-#: Length of the longest common subsequence, one token of the source at a time: the best of a prefix is a running maximum.
-_DIFF = r"""
-WITH RECURSIVE p AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS source FROM conversations),
-t AS (SELECT row_number() OVER () AS id, conv_id, turn, source, text, regexp_extract_all(source, '[\s\x0B]+|[\pL\pN\pM_\x{200C}\x{200D}]+|(?s:.)') AS a, regexp_extract_all(text, '[\s\x0B]+|[\pL\pN\pM_\x{200C}\x{200D}]+|(?s:.)') AS b FROM p WHERE source IS NOT NULL),
+def _common_sql(pairs: str) -> str:
+    """CTEs from pairs (id, a, b of lists) up to m (id, n): the length of the longest common subsequence, one value of a at a
+    time, as the best of a prefix of b is a running maximum."""
+    return rf"""{pairs},
 w AS (SELECT id, 0 AS side, unnest(a) AS word, generate_subscripts(a, 1) AS k FROM t UNION ALL SELECT id, 1, unnest(b), generate_subscripts(b, 1) FROM t),
 c AS MATERIALIZED (SELECT id::INTEGER AS id, side, k::INTEGER AS k, dense_rank() OVER (ORDER BY word)::INTEGER AS word FROM w),
 l AS (SELECT id, k AS j, word, 0 AS i, 0 AS n FROM c WHERE side = 1
   UNION ALL
   SELECT l.id, j, l.word, i + 1, max(CASE WHEN x.word = l.word THEN before + 1 ELSE n END) OVER (PARTITION BY l.id ORDER BY j)
   FROM (SELECT *, coalesce(lag(n) OVER (PARTITION BY id ORDER BY j), 0) AS before FROM l) l JOIN c x ON x.side = 0 AND x.id = l.id AND x.k = i + 1),
-m AS (SELECT id, max(n) AS n FROM l GROUP BY id)
-SELECT conv_id, turn, sha256(source) AS source_sha256, sha256(text) AS target_sha256, coalesce(n, 0)::BIGINT AS equal_tokens, len(a) - coalesce(n, 0)::BIGINT AS removed_tokens, len(b) - coalesce(n, 0)::BIGINT AS added_tokens FROM t LEFT JOIN m USING (id)"""
+m AS (SELECT id, max(n) AS n FROM l GROUP BY id)"""
+
+
+_COUNTS = "coalesce(n, 0)::BIGINT AS equal_tokens, len(a) - coalesce(n, 0)::BIGINT AS removed_tokens, len(b) - coalesce(n, 0)::BIGINT AS added_tokens FROM t LEFT JOIN m USING (id)"
+_SPLIT = r"'[\s\x0B]+|[\pL\pN\pM_\x{200C}\x{200D}]+|(?s:.)'"
+_DIFF = "WITH RECURSIVE " + _common_sql(rf"p AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS source FROM conversations), t AS (SELECT row_number() OVER () AS id, conv_id, turn, source, text, regexp_extract_all(source, {_SPLIT}) AS a, regexp_extract_all(text, {_SPLIT}) AS b FROM p WHERE source IS NOT NULL)") + f" SELECT conv_id, turn, sha256(source) AS source_sha256, sha256(text) AS target_sha256, {_COUNTS}"
+_LINES = r"list_filter(list_transform(string_split(coalesce({}, ''), chr(10)), lambda x: regexp_replace(x, '^[\s\x0B]+|[\s\x0B]+$', '', 'g')), lambda x: x <> '')"
+_PARAGRAPHS = "WITH RECURSIVE " + _common_sql(f"t AS (SELECT row_number() OVER () AS id, x.doc_id AS p, y.doc_id AS q, x.text AS source, y.text AS target, {_LINES.format('x.text')} AS a, {_LINES.format('y.text')} AS b FROM documents x JOIN documents y ON y.doc_id = x.doc_id + 20 AND x.source = y.source)") + rf" SELECT p AS a, q AS b, len(regexp_extract_all(coalesce(source, ''), '[^\s\x0B]+'))::BIGINT AS source_words, len(regexp_extract_all(coalesce(target, ''), '[^\s\x0B]+'))::BIGINT AS target_words, {_COUNTS}"
+_TRACE = rf"""
+WITH {_converted_sql('bijoy')},
+k AS (SELECT *, list_filter(tok, lambda x: regexp_matches(x, '[^\s\x0B]')) AS solid, list_filter(tok, lambda x: NOT list_contains(good, x)) AS bad FROM done),
+first AS (SELECT doc_id, list_distinct(bad) AS every, list_transform(list_sort(list_transform(list_distinct(bad), lambda x: {{'at': list_position(bad, x), 'x': x}})), lambda r: r.x) AS unmapped FROM k),
+shown AS (SELECT doc_id, list_transform(list_filter(regexp_extract_all(before, '\x1E.([^\x1F]*)\x1F', 1), lambda x: x = '' OR regexp_matches(x, '[^\s\x0B]'))[1:9], lambda x: CASE WHEN x = '' THEN '·' ELSE x END) AS b, list_transform(list_filter(regexp_extract_all(s, '\x1E.([^\x1F]*)\x1F', 1), lambda x: x = '' OR regexp_matches(x, '[^\s\x0B]'))[1:9], lambda x: CASE WHEN x = '' THEN '·' ELSE x END) AS p FROM k)
+SELECT doc_id, 'tokenize' AS stage, len(solid)::BIGINT AS n, array_to_string(solid[1:9], '|') AS preview FROM k
+UNION ALL SELECT doc_id, 'map', n_unmapped, array_to_string(b, '|') FROM k JOIN shown USING (doc_id)
+UNION ALL SELECT doc_id, 'reorder', n_moved, array_to_string(p, '|') FROM k JOIN shown USING (doc_id)
+UNION ALL SELECT doc_id, 'assemble', length(out)::BIGINT, substr(out, 1, 48) FROM k
+UNION ALL SELECT doc_id, 'validate', len(unmapped)::BIGINT, CASE WHEN len(unmapped) = 0 THEN 'clean' ELSE array_to_string(unmapped[1:9], '|') END FROM first"""
+
 
 ORACLE_SQL = {
     "token_counts": f"WITH t AS (SELECT doc_id, {_tokens('bijoy')} AS tok FROM documents), c AS (SELECT doc_id, len(tok)::BIGINT AS n, len(list_filter(tok, lambda x: list_contains([{_quoted([*registry.get('bijoy').rules, *_PASS])}], x)))::BIGINT AS good FROM t) SELECT doc_id, n AS n_tokens, good AS n_mapped, n - good AS n_unmapped FROM c",
@@ -361,6 +381,9 @@ ORACLE_SQL = {
     "unreliable_text": r"SELECT page_id, CASE WHEN length(html) > 0 THEN round(len(regexp_extract_all(html, '[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFD}]')) / length(html), 6) ELSE 0.0 END AS ratio FROM pages",
     "dice_adjacent": r"WITH w AS (SELECT doc_id, source, unnest(regexp_extract_all(lower(text), '[^\s\x0B]+')) AS w FROM documents), c AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY ALL), s AS (SELECT doc_id, sum(n) AS n FROM c GROUP BY doc_id), p AS (SELECT x.doc_id AS a, y.doc_id AS b FROM documents x JOIN documents y ON y.doc_id = x.doc_id + 20 AND x.source = y.source), m AS (SELECT a, b, sum(least(x.n, y.n)) AS both_n FROM p JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b AND y.w = x.w GROUP BY a, b) SELECT p.a, p.b, round(CASE WHEN coalesce(s1.n, 0) + coalesce(s2.n, 0) = 0 THEN 1.0 ELSE 2 * coalesce(both_n, 0) / (coalesce(s1.n, 0) + coalesce(s2.n, 0)) END, 6) AS similarity FROM p LEFT JOIN m USING (a, b) LEFT JOIN s s1 ON s1.doc_id = p.a LEFT JOIN s s2 ON s2.doc_id = p.b",
     "diff_turns": _DIFF,
+    "diff_paragraphs": _PARAGRAPHS,
+    "conversion_trace": _TRACE,
+    "grapheme_counts": "SELECT conv_id, turn, length_grapheme(text)::BIGINT AS n_graphemes FROM conversations",
     "history_top20": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events QUALIFY rn <= 20",
     "totals_breakdown": f"WITH e AS (SELECT event_type AS kind, {_TIER.format('user_id')} AS tier, value AS v FROM events) SELECT 'kind' AS dimension, kind AS value, count(*) AS n, round(sum(v), 2) AS total FROM e GROUP BY kind UNION ALL SELECT 'tier', tier, count(*), round(sum(v), 2) FROM e GROUP BY tier",
     "limits_resolution": "WITH c AS (SELECT c_custkey AS caller_id, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey END AS uid FROM customer), u AS (SELECT c_custkey AS uid, CASE lower(c_mktsegment) WHEN 'building' THEN 'expert' WHEN 'machinery' THEN 'medium' ELSE 'easy' END AS tier FROM customer WHERE c_custkey % 5 <> 0), j AS (SELECT caller_id, c.uid, coalesce(tier, 'easy') AS tier, s_suppkey * 10 AS own FROM c LEFT JOIN u ON u.uid = c.uid LEFT JOIN supplier ON s_suppkey * 3 = c.uid) SELECT caller_id, tier, coalesce(CASE WHEN uid IS NOT NULL THEN coalesce(own, CASE WHEN tier = 'medium' THEN 7777 END) END, CASE tier WHEN 'easy' THEN 3000 WHEN 'medium' THEN 6000 ELSE 25000 END)::BIGINT AS max FROM j",

@@ -62,11 +62,11 @@ def test_issues_of_every_encoding(spark, tmp_path):
 def test_paragraphs_of_adjacent_documents(spark, tmp_path):
     rows = [(i, f"one\ntwo {i}\nsame\n" + "x y\n" * (i % 3), "en", f"s{i % 2}") for i in range(45)] + [(45, None, "en", "s1")]
     pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source"]).to_parquet(tmp_path / "documents.parquet")
-    got = {(r.a, r.b): (r.source_words, r.target_words, r.unchanged_words, r.segments) for r in entry.queries()["diff_paragraphs"](spark, str(tmp_path)).collect()}
+    got = {(r.a, r.b): (r.source_words, r.target_words, r.equal_tokens, r.removed_tokens, r.added_tokens) for r in entry.queries()["diff_paragraphs"](spark, str(tmp_path)).collect()}
     want = {}
     for i, t, _, _ in rows[:26]:
         r = compare.compare(t.replace("\n", "\n\n"), (rows[i + 20][1] or "").replace("\n", "\n\n"), "paragraph")
-        want[i, i + 20] = (r["source_words"], r["target_words"], r["unchanged_words"], len(r["segments"]))
+        want[i, i + 20] = (r["source_words"], r["target_words"], r["equal_tokens"], r["removed_tokens"], r["added_tokens"])
     assert got == want
 
 
