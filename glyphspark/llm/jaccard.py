@@ -10,8 +10,7 @@ copies of each other. Columns beside doc_id and text are ignored.
 
 How it scales:
 1. Shingles become 64-bit hashes, straight from Arrow buffers. Equal sets form a class, so copies are never paired.
-2. Two linked sets share one of their first floor(n / 4) + 1 tokens under any fixed order of tokens (prefix filter), and
-   have enough tokens left from there on to link (positional filter).
+2. Two linked sets share one of their first floor(n / 4) + 1 tokens under any fixed order of tokens (prefix filter).
    The order puts tokens of many documents last, so licence lines and shared passages are no join keys. Which tokens
    those are is counted over all documents by a mergeable lossy count; it changes speed, never results.
 3. The bucket of a token is led by its smallest class; all buckets with one leader make a family, so a passage that
@@ -40,10 +39,11 @@ SHINGLE = 5
 #: A token counts as frequent from this share of the documents on (and FREQUENT_LEAST documents), as far as it shows in
 #: pieces of text with LOCAL_LEAST documents or more. At most 1 / FREQUENT_SHARE of a document's mean size are frequent.
 FREQUENT_SHARE, FREQUENT_LEAST, LOCAL_LEAST = 1e-3, 40, 3
-#: Bits of the map of a set: the first up to WIDE shingles, the second above.
-BITS, WIDE, LEAF = (2048, 16384), 1024, 16
-#: The ids of documents to read again are broadcast up to this count, and joined by shuffle beyond.
-BROADCAST_IDS = 2_000_000
+#: A map has BITS_LEAST bits, or the next power of two from one and a half bits a token on. Sets in a leaf's node.
+BITS_LEAST, LEAF = 128, 16
+#: The digests of texts to read again are broadcast up to this count (8 MiB of longs, at most about 64 MiB as a hash table);
+#: beyond, they are joined by shuffle.
+BROADCAST_DIGESTS = 1 << 20
 #: Tokens of a block of a family, a set counted as LEAST_WEIGHT at least.
 BLOCK, LEAST_WEIGHT = 1 << 18, 512
 #: Tokens of up to RARE sets are counted pair by pair, others as columns of a matrix, COLUMNS at a time.
@@ -156,14 +156,16 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             values = np.concatenate(flat).view(np.int64) if flat else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(values))], names=["cls", "members"])
 
-    if wanted.count() <= BROADCAST_IDS:
+    if wanted.count() <= BROADCAST_DIGESTS:
         wanted = F.broadcast(wanted)
     found = docs.select(_digest(), "text").join(wanted, "digest", "left_semi")
     return found.mapInArrow(whole, "cls long, members array<long>").groupBy("cls").agg(F.first("members").alias("members"))
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    bits = BITS[len(s) > WIDE]
+    bits = BITS_LEAST
+    while 2 * bits < 3 * len(s):
+        bits *= 2
     out = np.zeros(bits, bool)
     out[(s & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(out).view(np.uint64)
@@ -315,9 +317,11 @@ def _near(rows: DataFrame) -> DataFrame:
             maps = table.column("map").to_pylist()
             other = _elsewhere(key, table)
             near = np.zeros(len(n), bool)
-            large = n > WIDE
-            # maps of large sets are folded to the small width to meet small sets, and keep their own among themselves
-            for at, width in ((np.flatnonzero(3 * n <= 4 * WIDE), BITS[0]), (np.flatnonzero(large), BITS[1])):
+            bits = np.array([8 * len(m) for m in maps])
+            # maps that linked sets have differ by one doubling at most: a tree of each width takes in the sets of the next
+            # one that are small enough for a link, folded
+            for width in np.unique(bits):
+                at = np.flatnonzero((bits == width) | ((bits == 2 * width) & (9 * n <= 8 * width)))
                 if len(at) > 1:
                     part = np.stack([np.bitwise_or.reduce(np.frombuffer(maps[k], np.uint64).reshape(-1, width // 64), 0) for k in at])
                     for i, j in SignatureTree(n[at], part).pairs():
@@ -368,14 +372,9 @@ def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # families: the sets of all tokens that one class leads
     # tokens of a class, dealt out once: the grouping and the join read the same exchange. A token has one row of a class,
     # among n / 4 of its rows, so no token is hot, however many classes it is in
-    sets = base.where("n_shingles > 0").groupBy("cls").agg(F.max("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
-    by_token = sets.select("cls", "n", F.posexplode("prefix").alias("at", "token")).select("cls", "token", F.shiftleft("n", 32).bitwiseOR(F.col("n") - F.col("at")).alias("packed")).repartition("token")
-    n, left = F.shiftright("packed", 32), F.col("packed").bitwiseAND(F.lit(0xFFFFFFFF))
-    # the tokens that two sets share are among those from their first shared one on, so both need 3 / 7 of all left there
-    led = by_token.groupBy("token").agg(F.min("cls").alias("lead"), F.count("*").alias("same"), F.min(n).alias("least"), F.sum(n).alias("all"), F.min(left).alias("left"))
-    led = led.where("same > 2 or same = 2 and 7 * left >= 3 * all").select("token", "lead", "least")
-    member = by_token.join(led, "token").where(7 * left >= 3 * (n + F.col("least")))
-    member = durable(member.select("lead", "cls").distinct(), "members")
+    by_token = base.where("n_shingles > 0").groupBy("cls").agg(F.first("prefix").alias("prefix")).select("cls", F.explode("prefix").alias("token")).repartition("token")
+    led = by_token.groupBy("token").agg(F.min("cls").alias("lead"), F.max("cls").alias("last")).where("lead < last").select("token", "lead")
+    member = durable(by_token.join(led, "token").select("lead", "cls").distinct(), "members")
     rows = durable(base.select("doc_id", "digest", "n_shingles", "cls"), "rows")
     discard(base)
     family = durable(_sized(member.join(classes.select("cls", "n"), "cls")), "families")

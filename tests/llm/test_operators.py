@@ -636,6 +636,29 @@ def test_blocks_of_a_family_lose_no_link(spark, monkeypatch):
     assert {r.doc_id: r.n_links for r in jaccard.jaccard_components(docs).collect()} == links
 
 
+def test_trees_give_the_candidates(spark, monkeypatch):
+    """Dual traversal yields every pair that links, few others, and without it nothing links."""
+    rng = random.Random(31)
+    base = [prose(rng, 120).split() for _ in range(6)]
+    rows = []
+    for k in range(90):
+        w = base[k % 6].copy() + prose(rng, rng.randrange(30)).split()
+        for _ in range(rng.choice([0, 1, 3, 9])):
+            w[rng.randrange(len(w))] = f"x{k}"
+        rows.append(" ".join(w))
+    sets = sorted((s for _, s in jaccard.shingle_sets(__import__("pyarrow").array(rows))), key=len)
+    size = np.array([len(s) for s in sets])
+    assert len({len(jaccard.bitmap(s)) for s in sets}) == 1
+    tree = jaccard.SignatureTree(size, np.stack([jaccard.bitmap(s) for s in sets]))
+    found = {(i, j) for a, b in tree.pairs() for i, j in zip(a.tolist(), b.tolist())}
+    links = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
+    assert links and links <= found and len(found) < 90 * 89 / 2 / 3
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(rows)], SCHEMA)
+    assert jaccard.jaccard_components(docs).where("n_links > 0").count() > 0
+    monkeypatch.setattr(jaccard, "_near", lambda rows: rows.select(*jaccard.GROUP, "block", "cls").limit(0))
+    assert {(r.n_links, r.component_id == r.doc_id) for r in jaccard.jaccard_components(docs.dropDuplicates(["text"])).collect()} == {(0, True)}
+
+
 def test_null_and_repeated_ids_hide_nothing(spark):
     rng = random.Random(10)
     w = prose(rng, 100).split()
