@@ -2,6 +2,7 @@ import os
 from collections import Counter
 
 import duckdb
+import pyarrow.parquet as pq
 import pytest
 from test_operators import exhaustive_bm25, shingles
 
@@ -74,10 +75,10 @@ def test_each_stage_equals_brute_force(spark, tmp_path):
     bad = {d for d, _ in exhaustive_bm25([(i, r[1]) for i, r in enumerate(rows[2])], items)}
     assert bad and rows[3] == [r for i, r in enumerate(rows[2]) if i not in bad]
     # 4: as often as the SQL of the mixture says
-    seen[3].toPandas().to_parquet(tmp_path / "documents.parquet")
+    pq.write_table(seen[3].toArrow(), tmp_path / "documents.parquet")
     db = duckdb.connect()
     db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
-    epochs = {r["doc_id"]: r["epochs"] for r in db.execute(mixing.ORACLE_SQL).df().to_dict("records")}
+    epochs = {r[0]: r[-1] for r in db.execute(mixing.ORACLE_SQL).fetchall()}
     want = Counter({r: epochs[r[0]] for r in rows[3] if r[0] in epochs})
     assert Counter(rows[4]) == want
     # 5: each row in one place
