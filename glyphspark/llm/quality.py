@@ -29,7 +29,7 @@ from .common import SPACE, WORD, durable
 
 SMALL, TAIL, REACH, K = 200, 0.9, 4.0, 200
 #: signal: (sides, least room beside the quantile)
-SIGNALS = {"mean_word": ("both", 2.0), "symbol_rate": ("high", 0.1), "dup_line_rate": ("high", 0.3), "repeat_rate": ("high", 0.2)}
+SIGNALS = {"mean_word": ("both", 2.0), "symbol_rate": ("high", 0.1), "dup_line_rate": ("high", 0.4), "repeat_rate": ("high", 0.35)}
 #: Bits of a place at least; the others hold a hash.
 PLACE = 22
 
