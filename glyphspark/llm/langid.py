@@ -36,8 +36,10 @@ REJECT_SHARE = 0.001
 REJECT_SPREAD = -NormalDist().inv_cdf(REJECT_SHARE)
 #: Texts of fewer n-grams than these have thresholds of their own, as far as LEAST correct calibration rows show one.
 LENGTHS, LEAST = (64, 512), 20
-#: Calibration also reads the first so many bytes of its texts, as short texts are few.
+#: Calibration also reads the first so many bytes of its texts, as short texts are few and hardly any long one is wrong; the
+#: temperature is the one of these that suits all of them best.
 PIECES = (8, 16, 30, 60, 120, 250)
+TEMPERATURES = (0.1, 0.15, 0.2, 0.3, 0.4, 0.6, 0.8, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0)
 
 _NOT_LETTER = np.array([not (chr(b).isalpha() and b < 128 or b >= 128) for b in range(256)])
 
@@ -140,17 +142,19 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray, list]]) -> Model | None:
             emb[at] -= rate * 30 * share[:, None] * back
     model = Model(langs, emb @ w, bias)
     held = order[cut:] if cut < len(rows) else order
-    dense = np.array([np.bincount(means[i][0], means[i][1], BUCKETS) @ model.table + bias for i in held])
-    best = np.inf
-    for t in (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0):
-        z = dense / t
-        loss = np.mean(np.log(np.exp(z - z.max(1, keepdims=True)).sum(1)) - (z - z.max(1, keepdims=True))[np.arange(len(held)), y[held]])
-        if loss < best:
-            best, model.temperature = loss, t
     some = [(y[i], at, n) for i in held for at, n in (rows[i][1:3], *rows[i][3])]
     size = np.array([float(n.sum()) for _, _, n in some])
-    p = np.array([model.softmax((n / max(1.0, float(n.sum()))) @ model.table[at]) for _, at, n in some])
-    right = p.argmax(1) == np.array([k for k, _, _ in some])
+    plain = np.array([(n / max(1.0, float(n.sum()))) @ model.table[at] for _, at, n in some])
+    truth = np.array([k for k, _, _ in some])
+
+    def loss(t: float) -> float:
+        z = (plain + bias) / t
+        z -= z.max(1, keepdims=True)
+        return float(np.mean(np.log(np.exp(z).sum(1)) - z[np.arange(len(z)), truth]))
+
+    model.temperature = min(TEMPERATURES, key=loss)
+    p = model.softmax(plain)
+    right = p.argmax(1) == truth
     model.thresholds = thresholds(p.max(1)[right], size[right])
     return model
 
