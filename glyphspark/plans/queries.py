@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..encodings import registry, rules
 from ..functions import text as tx
 from ..operators import compare, transcode
+from ..sources import documents
 from ..streaming import limits
 from . import activity as act
 from . import records
@@ -132,6 +133,16 @@ def unreliable_text(spark, d):
     return _t(spark, d, "pages").select("page_id", F.round(tx.unreliable_ratio(F.col("html")), 6).alias("ratio"))
 
 
+def extract_pages(spark, d):
+    """Pages as files of several types, some empty, blank or too large: their text, or why there is none."""
+    p, k = _t(spark, d, "pages"), F.col("page_id")
+    name = F.concat(F.lit("page"), k.cast("string"), F.element_at(F.array(*map(F.lit, (".txt", ".TXT", ".docx", ".pdf", ".doc", ".exe"))), (k % 6 + 1).cast("int")))
+    content = F.encode(F.when(k % 7 == 0, "").when(k % 7 == 1, " \n ").when(k % 7 == 2, F.concat(F.lit("\ufeff"), "html")).otherwise(F.col("html")), "UTF-8")
+    files = p.select(k.cast("string").alias("path"), content.alias("content"), name.alias("file_name"), F.when(k % 4 == 1, "text/plain").alias("mime")).withColumn("length", F.octet_length("content").cast("long"))
+    rows = documents.extract(files, 3000)
+    return rows.select(F.col("path").cast("long").alias("page_id"), "file_type", F.sha2("text", 256).alias("text_sha256"), "error")
+
+
 def _pairs(spark, d):
     docs = _t(spark, d, "documents").select("doc_id", "source", "text")
     right = docs.select(F.col("doc_id").alias("b"), F.col("source").alias("s"), F.col("text").alias("target"))
@@ -221,7 +232,7 @@ def error_status(spark, d):
 
 ALL = (
     token_counts, unmapped_top, convert_bijoy, convert_sutonny, convert_alpha_ansi, conversion_issues, resolve_encoding, conversion_trace, detect_scores, detect_best, unicode_check, grapheme_counts, headword, text_measures, usage_check,
-    format_resolve, unreliable_text, dice_adjacent, diff_turns, diff_statistics, diff_paragraphs, comparison_gate, history_top20, totals_breakdown, limits_resolution, issue_dedupe, first_occurrence, rate_limited, encoding_series, error_status,
+    format_resolve, unreliable_text, extract_pages, dice_adjacent, diff_turns, diff_statistics, diff_paragraphs, comparison_gate, history_top20, totals_breakdown, limits_resolution, issue_dedupe, first_occurrence, rate_limited, encoding_series, error_status,
 )
 QUERIES = {f.__name__: f for f in ALL} | records.QUERIES
 
@@ -379,6 +390,7 @@ ORACLE_SQL = {
     "usage_check": rf"WITH u AS (SELECT doc_id, {_TIER.format('doc_id')} AS tier, length(regexp_replace(text, '[\s\x0B]+', '', 'g'))::BIGINT AS used, ({_LIMIT})::BIGINT AS max FROM documents) SELECT *, greatest(max - used, 0)::BIGINT AS remaining, used <= max AS within_limit, CASE WHEN used > max THEN 'This input has ' || format('{{:,}}', used) || ' characters, which exceeds the ' || tier || ' tier limit of ' || format('{{:,}}', max) || '. Reduce the input or use a higher tier.' END AS message, CASE WHEN used > max THEN 'danger' WHEN used / max > 0.85 THEN 'warning' ELSE 'ok' END AS band FROM u",
     "format_resolve": "SELECT page_id, CASE WHEN lower(list_last(string_split(url, '.'))) IN ('txt', 'pdf', 'doc', 'docx') THEN lower(list_last(string_split(url, '.'))) ELSE 'txt' END AS format FROM pages",
     "unreliable_text": r"SELECT page_id, CASE WHEN length(html) > 0 THEN round(len(regexp_extract_all(html, '[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFD}]')) / length(html), 6) ELSE 0.0 END AS ratio FROM pages",
+    "extract_pages": r"WITH f AS (SELECT page_id, ['.txt', '.TXT', '.docx', '.pdf', '.doc', '.exe'][page_id % 6 + 1] AS suffix, CASE page_id % 7 WHEN 0 THEN '' WHEN 1 THEN ' ' || chr(10) || ' ' WHEN 2 THEN chr(65279) || html ELSE html END AS body, html FROM pages), k AS (SELECT *, coalesce(CASE WHEN lower(suffix) <> '.exe' THEN lower(suffix[2:]) END, CASE WHEN page_id % 4 = 1 THEN 'txt' END) AS file_type, CASE WHEN page_id % 7 = 2 THEN html ELSE body END AS plain FROM f), e AS (SELECT *, CASE WHEN body = '' THEN 'empty' WHEN strlen(body) > 3000 THEN 'too_large' WHEN file_type IS NULL THEN 'unsupported' WHEN file_type = 'docx' THEN 'corrupted' WHEN file_type <> 'txt' THEN 'extraction_failed' WHEN NOT regexp_matches(plain, '[^\s\x0B]') THEN 'empty' END AS error FROM k) SELECT page_id, file_type, CASE WHEN error IS NULL THEN sha256(plain) END AS text_sha256, error FROM e",
     "dice_adjacent": r"WITH w AS (SELECT doc_id, source, unnest(regexp_extract_all(lower(text), '[^\s\x0B]+')) AS w FROM documents), c AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY ALL), s AS (SELECT doc_id, sum(n) AS n FROM c GROUP BY doc_id), p AS (SELECT x.doc_id AS a, y.doc_id AS b FROM documents x JOIN documents y ON y.doc_id = x.doc_id + 20 AND x.source = y.source), m AS (SELECT a, b, sum(least(x.n, y.n)) AS both_n FROM p JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b AND y.w = x.w GROUP BY a, b) SELECT p.a, p.b, round(CASE WHEN coalesce(s1.n, 0) + coalesce(s2.n, 0) = 0 THEN 1.0 ELSE 2 * coalesce(both_n, 0) / (coalesce(s1.n, 0) + coalesce(s2.n, 0)) END, 6) AS similarity FROM p LEFT JOIN m USING (a, b) LEFT JOIN s s1 ON s1.doc_id = p.a LEFT JOIN s s2 ON s2.doc_id = p.b",
     "diff_turns": _DIFF,
     "diff_paragraphs": _PARAGRAPHS,
