@@ -117,11 +117,11 @@ def headword(spark, d):
 
 def text_measures(spark, d):
     t = F.col("text")
-    return _t(spark, d, "documents").select("doc_id", tx.non_ws_chars(t).alias("n_chars_no_ws"), tx.word_count(t).alias("n_words"), F.size(tx.paragraphs(t)).cast("long").alias("n_paragraphs"))
+    return _docs(spark, d).select("doc_id", tx.non_ws_chars(t).alias("n_chars_no_ws"), tx.word_count(t).alias("n_words"), F.size(tx.paragraphs(t)).cast("long").alias("n_paragraphs"))
 
 
 def usage_check(spark, d):
-    df = _t(spark, d, "documents").withColumn("used", tx.non_ws_chars(F.col("text"))).withColumn("tier", _tier("doc_id"))
+    df = _docs(spark, d).withColumn("used", tx.non_ws_chars(F.col("text"))).withColumn("tier", _tier("doc_id"))
     return df.select("doc_id", "tier", act.check_usage(F.col("used"), act.tier_limit(F.col("tier"), F.lit(None)), F.col("tier")).alias("u")).select("doc_id", "tier", "u.used", "u.max", "u.remaining", "u.within_limit", "u.message", "u.band")
 
 
