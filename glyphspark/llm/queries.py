@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, langid, mixing, quality, secrets, sharding, tokencount, toxicity
+from . import chat, decontaminate, fim, jaccard, langid, mixing, quality, secrets, sharding, tokencount, toxicity
 from .common import WORD, table
 
 
@@ -54,6 +54,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", F.col(domain).alias("domain"), F.coalesce("lang", none).alias("lang"), F.coalesce("source", none).alias("source"), words.alias("n_tokens"), F.col(epochs).alias("epochs"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_chat_formatting, op4_sharding, op5_quality_rules, op6_benchmark_decontamination, op7_language_id, op8_token_counts, op9_ngram_jaccard, op10_source_mixing)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_digests(table(spark, sf_dir, "documents"))
 
-ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": chat.ORACLE_SQL, "op10_source_mixing": mixing.ORACLE_SQL}
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_chat_formatting, op4_sharding, op5_quality_rules, op6_benchmark_decontamination, op7_language_id, op8_token_counts, op9_ngram_jaccard, op10_source_mixing, op11_fill_in_middle)}
+
+ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": chat.ORACLE_SQL, "op10_source_mixing": mixing.ORACLE_SQL, "op11_fill_in_middle": fim.ORACLE_SQL}
