@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fim, jaccard, langid, mixing, pairrank, quality, secrets, sharding, tokencount, toxicity
+from . import chat, decontaminate, fim, jaccard, langid, mixing, pairrank, quality, repair, secrets, sharding, tokencount, toxicity
 from .common import WORD, table
 
 
@@ -62,6 +62,11 @@ def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairrank.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_chat_formatting, op4_sharding, op5_quality_rules, op6_benchmark_decontamination, op7_language_id, op8_token_counts, op9_ngram_jaccard, op10_source_mixing, op11_fill_in_middle, op12_quality_classifier)}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repair.repair_digests(repair.damage(turns), turns)
 
-ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": chat.ORACLE_SQL, "op10_source_mixing": mixing.ORACLE_SQL, "op11_fill_in_middle": fim.ORACLE_SQL}
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_chat_formatting, op4_sharding, op5_quality_rules, op6_benchmark_decontamination, op7_language_id, op8_token_counts, op9_ngram_jaccard, op10_source_mixing, op11_fill_in_middle, op12_quality_classifier, op13_conversation_repair)}
+
+ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": chat.ORACLE_SQL, "op10_source_mixing": mixing.ORACLE_SQL, "op11_fill_in_middle": fim.ORACLE_SQL, "op13_conversation_repair": repair.ORACLE_SQL}
