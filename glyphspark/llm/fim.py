@@ -10,7 +10,8 @@ A row becomes a head and pieces of whole units, CHUNK bytes or a little less eac
 place in the output. repartitionAndSortWithinPartitions deals them out by row and sorts them, so a task streams each
 output piece by piece into its digest, however long the text. What it read is split at the marks again and keyed by place
 in the text; a second repartitionAndSortWithinPartitions with the same partitioner moves nothing between machines, only
-sorts, and the task streams the restored text into a digest. Sorting spills beyond the Python worker's memory. A row is
+sorts, and the task streams the restored text into a digest. There are as many partitions as the bytes of all texts ask for
+(SORTED each), and sorting spills beyond the Python worker's memory. A row is
 named by its input partition and its number there, which lost executors do not change as long as docs are read from a
 table; write other frames to one first. One row's pieces meet in one task because a digest is sequential; rows are dealt
 out evenly whatever their ids or texts.
@@ -35,8 +36,8 @@ from . import textvec as tv
 PREFIX, SUFFIX, MIDDLE = b"<P>", b"<S>", b"<M>"
 MARKS = (PREFIX, SUFFIX, MIDDLE)
 CHUNK = 1 << 16
-#: Sorted partitions for each input partition: a scan's split of 128 MB then gives tasks of some tens of MB of pieces.
-SPREAD = 2
+#: Bytes of text in a sorted partition, about: what a task sorts in memory.
+SORTED = 32 << 20
 SCHEMA = "doc_id long, n long, form string, prefix_chars long, middle_chars long"
 
 
@@ -122,8 +123,9 @@ def by_row(key: tuple) -> int:
 
 def output_pieces(docs: DataFrame, rule: Rule) -> tuple[RDD, int]:
     """RDD of ((row, place), head or piece), each row whole and in the order of its output in one partition; partitions."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    size = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // SORTED))
     rows = docs.select(F.col("doc_id").cast("long"), "text").rdd
-    size = max(1, SPREAD * rows.getNumPartitions(), docs.sparkSession.sparkContext.defaultParallelism)
 
     def emit(part: int, found) -> Iterator:
         for number, (doc_id, text) in enumerate(found):
