@@ -285,7 +285,7 @@ def test_shards_hold_every_row_once(spark, docs, tmp_path):
     assert sorted(map(str, store.read().select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
     tiers = Counter(r["tier"] for r in store.manifest())
     assert max(tiers.values()) < 3
-    assert not store._commit(store.version() - 1, []) and store.manifest()
+    assert not store._commit(store.version() - 1, [], store.columns()) and store.manifest()
     assert store.read(1).count() == docs.where("coalesce(doc_id, 0) % 7 = 0").count()  # merged since, still readable
     gone = store.vacuum()
     assert gone and not {r["name"] for r in store.manifest()} & set(gone) and store.read().count() == docs.count()
@@ -300,11 +300,11 @@ def test_lost_commit_leaves_nothing(spark, docs, tmp_path, monkeypatch):
         store.append(docs.limit(5))
     real, lost = store._commit, []
 
-    def commit(base, runs):
+    def commit(base, runs, columns):
         if not lost:
             lost.append(base)
             return False
-        return real(base, runs)
+        return real(base, runs, columns)
 
     monkeypatch.setattr(store, "_commit", commit)
     store.compact()
