@@ -6,12 +6,14 @@ tokens, truncation or padding; special strings inside a text are handled as the
 and texts are encoded once. Extra columns are ignored.
 
 The cache is a Parquet table (digest, tokenizer, n_tokens): sha-256 of the normalised text (null becomes empty; byte-level
-encoding forbids any other change) and the digest of the tokenizer file. Joins and groupings of digests carry no text. Of
-each missing digest one document (its smallest doc_id) is encoded: where FEW misses or fewer, and at most one row in
-SHARE, are missing, their digests are broadcast and the texts are encoded where they lie; otherwise the texts move once,
-to meet their digests. The new counts are appended. A digest that is repeated by a third of all rows is one row after
-partial aggregation; digests of 1 / HOT of all rows or more, of which there are HOT at most, get their counts by
-broadcast, the others by shuffle.
+encoding forbids any other change) and the digest of the tokenizer file. No text is shuffled: digests are grouped and
+joined, and of each missing one a single physical row, the first by file and place in it, is chosen and encoded where it
+lies. The places chosen are bitmaps of 4 KB for each 32768 rows of a file, one bit a row, which are joined to the scan by
+broadcast. Files are dealt by name into as many rounds as keep the bitmaps of a round under ROUND_BYTES; a file is scanned
+in its round only. The counts of a round are appended as they are ready, so a run that fails goes on from there. Where docs
+are not read from files, they are written to the shared folder first. A digest that is repeated by a third of all rows is
+one row after partial aggregation; digests of 1 / HOT of all rows or more, of which there are HOT at most, get their counts
+by broadcast, the others by shuffle.
 """
 
 from __future__ import annotations
@@ -19,14 +21,15 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, shared_dir
+from .common import discard, durable, shared_dir
 
 TOKENIZER, LIMIT = "byte_bpe_50k.json", 1024
-#: Most digests whose counts are broadcast; most missing digests that are, and the share of rows that they may be.
-HOT, FEW, SHARE = 256, 100_000, 16
+#: Most digests whose counts are broadcast; bytes of bitmaps that are in a round.
+HOT, ROUND_BYTES = 256, 64 << 20
 CACHE_SCHEMA = "digest string, tokenizer string, n_tokens long"
 
 _loaded: dict[str, object] = {}
@@ -105,8 +108,7 @@ class TokenCache:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         try:
-            spark.read.schema(CACHE_SCHEMA).parquet(path).schema  # noqa: B018
-            spark.read.parquet(path)
+            spark.read.schema(CACHE_SCHEMA).parquet(path)
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
@@ -120,6 +122,38 @@ class TokenCache:
         rows.select("digest", F.lit(tokenizer).alias("tokenizer"), "n_tokens").write.mode("append").parquet(self.path)
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, path, row) of docs: the file of each row and its place there. Rows that come from no file are written
+    to one first."""
+    for frame in (docs, None):
+        frame = durable(docs.select("doc_id", "text"), "texts") if frame is None else frame
+        try:
+            place = frame.metadataColumn("_metadata")
+            found = frame.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), place["file_path"].alias("path"), place["row_index"].alias("row"))
+            found.schema  # noqa: B018 - the analysis fails here where there are no files
+            return found
+        except AnalysisException:
+            pass
+    raise ValueError("docs have no files")
+
+
+def encode_chosen(placed: DataFrame, chosen: DataFrame, cache: "TokenCache", path: str, name: str) -> None:
+    """Encodes the rows of placed whose (file, row) is in chosen (file: hash of the path), in rounds of files."""
+    marks = chosen.groupBy("file", F.expr("row div 32768").alias("block")).agg(F.bitmap_construct_agg(F.col("row") % 32768).alias("bits"))
+    marks = durable(marks, "marks")
+    rounds = max(1, -(-marks.count() * 4096 // ROUND_BYTES))
+    for k in range(rounds):
+        rows = placed.withColumn("file", F.xxhash64("path"))
+        some = marks
+        if rounds > 1:
+            rows, some = (x.where(F.pmod("file", F.lit(rounds)) == k) for x in (rows, marks))
+        met = rows.join(F.broadcast(some), (rows["file"] == some["file"]) & (F.expr("row div 32768") == F.col("block")))
+        byte = F.conv(F.hex(F.substring("bits", (F.col("row") % 32768 / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        found = met.where(F.getbit(byte, (F.col("row") % 8).cast("int")) == 1)
+        cache.append(encode_missing(found.select(F.sha2("text", 256).alias("digest"), "text"), path), name)
+    discard(marks)
+
+
 def token_counts(docs: DataFrame, cache_path: str | None = None, tokenizer: str | None = None, limit: int = LIMIT) -> DataFrame:
     """See the module's docstring. Without cache_path the cache starts empty, in the shared folder."""
     import uuid
@@ -128,19 +162,17 @@ def token_counts(docs: DataFrame, cache_path: str | None = None, tokenizer: str
     path = tokenizer or tokenizer_path()
     cache = TokenCache(spark, cache_path or f"{shared_dir(spark)}/{uuid.uuid4().hex}/token-cache")
     name = version(path)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select("doc_id", text.alias("text")).withColumn("digest", F.sha2("text", 256))
-    light = durable(keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
-    seen = durable(light.groupBy("digest").agg(F.min("doc_id").alias("chosen"), F.count("*").alias("n")), "distinct")
-    missing = durable(seen.select(F.col("digest").alias("d"), "chosen").join(cache.read(name), F.col("d") == F.col("digest"), "left_anti"), "missing")
+    placed = _placed(docs)
+    light = durable(placed.select("doc_id", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"), F.xxhash64("path").alias("file"), "row"), "digests")
+    seen = durable(light.groupBy("digest").agg(F.min(F.struct("file", "row")).alias("first"), F.count("*").alias("n")), "distinct")
+    missing = durable(seen.join(cache.read(name).select(F.col("digest").alias("d")), F.col("digest") == F.col("d"), "left_anti").select("first.*"), "missing")
     n_rows, n_missing = light.count(), missing.count()
-    if n_missing <= FEW and n_missing * SHARE <= n_rows:
-        missing = F.broadcast(missing)
-    found = keyed.join(missing, F.col("doc_id").eqNullSafe(F.col("chosen")) & (F.col("digest") == F.col("d")), "left_semi")
-    cache.append(encode_missing(found, path), name)
+    if n_missing:
+        encode_chosen(placed, missing, cache, path, name)
     counts = cache.read(name)
     often = seen.where(F.col("n") >= F.lit(max(2, -(-n_rows // HOT)))).select(F.col("digest"))
     often = durable(often.join(counts, "digest").select("digest", F.col("n_tokens").alias("often")), "often")
+    discard(seen, missing)
     marked = light.join(F.broadcast(often), "digest", "left")
     rare = marked.where("often is null").drop("often").join(counts, "digest")
     rows = marked.where("often is not null").withColumnRenamed("often", "n_tokens").unionByName(rare)

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from glyphspark.llm import sharding
+from glyphspark.llm import sharding, tokencount
 
 SCHEMA = "doc_id long, text string"
 
@@ -101,3 +101,50 @@ def test_tiers_merge_as_told(spark, tmp_path, monkeypatch, fanout):
         store.compact()
         assert sorted(r["tier"] for r in store.manifest()) == merged(sizes[: k + 1], fanout, tier)[-1]
     assert sorted(r.doc_id for r in store.read().collect()) == list(range(len(sizes)))
+
+
+# --- 8
+
+
+def counted(texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokencount.tokenizer_path())
+    return [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
+
+
+@pytest.mark.parametrize("round_bytes", [64 << 20, 4096])
+def test_each_missing_text_is_encoded_once(spark, tmp_path, monkeypatch, round_bytes):
+    monkeypatch.setattr(tokencount, "ROUND_BYTES", round_bytes)
+    texts = ["one text that comes often"] * 500 + ["under null ids"] * 300 + [None, "", "", "é <|endoftext|>"] + [f"text {k}" for k in range(40)]
+    ids = [1] * 500 + [None] * 300 + list(range(44))
+    docs = spark.createDataFrame(list(zip(ids, texts, [None] * len(ids), strict=True)), "doc_id long, text string, digest string").repartition(7)
+    docs.write.parquet(str(tmp_path / "docs"))
+    want = sorted(zip(map(str, ids), counted([t or "" for t in texts]), strict=True))
+    for frame in (docs, spark.read.parquet(str(tmp_path / "docs"))):
+        cache = str(tmp_path / f"cache-{frame is docs}")
+        first = tokencount.token_counts(frame.withColumn("_metadata", F.lit(1)), cache)
+        assert sorted((str(r.doc_id), r.n_tokens) for r in first.collect()) == want
+        stored = spark.read.schema(tokencount.CACHE_SCHEMA).parquet(cache)
+        assert stored.count() == stored.select("digest").distinct().count() == len({t or "" for t in texts})
+        more = frame.unionByName(spark.createDataFrame([(9, "new", None), (9, "new", None), (1, "text 3", None)], frame.schema))
+        assert tokencount.token_counts(more, cache).count() == len(ids) + 3
+        assert spark.read.schema(tokencount.CACHE_SCHEMA).parquet(cache).count() == len({t or "" for t in texts}) + 1
+
+
+def test_texts_are_not_shuffled(spark, tmp_path):
+    spark.range(2000).select(F.col("id").alias("doc_id"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 40).alias("text")).repartition(4).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    placed = tokencount._placed(docs)
+    some = placed.where("row % 3 = 0").select(F.xxhash64("path").alias("file"), "row")
+    cache = tokencount.TokenCache(spark, str(tmp_path / "c"))
+    plans = []
+    cache.append = lambda rows, name: plans.append((rows._jdf.queryExecution().executedPlan().toString(), rows.select("digest").distinct().count()))
+    tokencount.encode_chosen(placed, some, cache, tokencount.tokenizer_path(), "t")
+    assert "BroadcastHashJoin" in plans[0][0] and "hashpartitioning" not in plans[0][0] and plans[0][1] == some.count()
+
+
+def test_cache_folder_without_files(spark, tmp_path):
+    (tmp_path / "c").mkdir()
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    assert [r.n_tokens for r in tokencount.token_counts(docs, str(tmp_path / "c")).collect()] == [2]
