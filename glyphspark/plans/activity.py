@@ -154,37 +154,45 @@ def issue_key(*columns: str) -> Column:
     return F.concat_ws("|", *[F.coalesce(plain(F.col(c).cast("string")), F.lit("")) for c in columns])
 
 
+def log_event(rows: OrderedDict, key: str, event: int, what: tuple, cap: int) -> None:
+    """Puts an event into a log, oldest first: an issue that comes again counts up and goes last, a new one is put last, and
+    beyond cap the first one is dropped."""
+    if key in rows:
+        n, first, _, *was = rows[key]
+        rows[key] = (n + 1, first, event, *was)
+        rows.move_to_end(key)
+    else:
+        rows[key] = (1, event, event, *what)
+        if len(rows) > cap:
+            rows.popitem(last=False)
+
+
+def log_rows(log: str, rows: OrderedDict) -> list[tuple]:
+    """Rows of LOG of a log, newest first."""
+    return [(log, i, k, *r) for i, (k, r) in enumerate(reversed(rows.items()))]
+
+
 LOG = "log string, position long, issue_key string, occurrences long, first_id long, last_id long, kind string, severity string, samples array<string>"
 
 
 def issue_log(events: DataFrame, cap: int = 200) -> DataFrame:
     """Each log (log, issue_key, ts, event_id, kind, severity, samples) as its reader sees it at the end: an issue that comes
-    again counts up and moves to the front, a new one is put at the front, and beyond cap the last one is dropped.
+    again counts up and moves to the front, a new one is put at the front, and beyond cap the last one is dropped. Events
+    without a log are left out.
 
     Events of a log stream through one task in order; it holds cap rows."""
 
     def run(batches):
         log, rows = None, OrderedDict()
-
-        def done():
-            return [(log, i, k, *r) for i, (k, r) in enumerate(reversed(rows.items()))]
-
         for b in batches:
             out = []
             for name, key, event, *what in zip(b["log"], b["issue_key"], b["event_id"], b["kind"], b["severity"], b["samples"], strict=True):
                 if name != log:
-                    out += done()
+                    out += log_rows(log, rows)
                     log, rows = name, OrderedDict()
-                if key in rows:
-                    n, first, _, *was = rows[key]
-                    rows[key] = (n + 1, first, event, *was)
-                    rows.move_to_end(key)
-                else:
-                    rows[key] = (1, event, event, *what)
-                    if len(rows) > cap:
-                        rows.popitem(last=False)
+                log_event(rows, key, event, tuple(what), cap)
             yield pd.DataFrame(out, columns=[c.split()[0] for c in LOG.split(", ")])
-        yield pd.DataFrame(done(), columns=[c.split()[0] for c in LOG.split(", ")])
+        yield pd.DataFrame(log_rows(log, rows), columns=[c.split()[0] for c in LOG.split(", ")])
 
     rows = events.select(F.col("log").cast("string"), "issue_key", "ts", F.col("event_id").cast("long"), "kind", "severity", "samples")
     return rows.where("log is not null").repartition(F.xxhash64("log")).sortWithinPartitions("log", "ts", "event_id").mapInPandas(run, LOG)
@@ -221,9 +229,9 @@ def merge_config(current: DataFrame, patches: DataFrame, key: str, fields: list[
     return rows.select(key, *[F.when(F.col(f"__sent_{f}"), F.col(f"__new_{f}")).otherwise(F.col(f)).alias(f) for f in fields])
 
 
-def audit_events(changes: DataFrame) -> DataFrame:
+def audit_events(changes: DataFrame, *more: str) -> DataFrame:
     """(actor, action, target, metadata) of admin changes (actor, uid, old_tier, tier, disabled, sent_override, override):
-    null tier or disabled: not sent; a sent null override clears it. metadata is JSON."""
+    null tier or disabled: not sent; a sent null override clears it. metadata is JSON. Columns in more are passed on."""
     uid = F.col("uid").cast("string")
 
     def event(when: Column, action: Column, target: str, metadata: Column) -> Column:
@@ -235,7 +243,22 @@ def audit_events(changes: DataFrame) -> DataFrame:
         event(F.col("disabled").isNotNull(), F.when(F.col("disabled"), "user.disable").otherwise("user.enable"), "auth/", F.lit("{}")),
         event(sent, F.when(cleared, "user.usageOverride.clear").otherwise("user.usageOverride.set"), "usageOverrides/", F.when(cleared, F.lit("{}")).otherwise(F.to_json(F.struct(F.col("override").alias("maxNonWhitespaceChars"))))),
     ))
-    return changes.select("actor", F.explode(made).alias("e")).select("actor", "e.*")
+    return changes.select("actor", *more, F.explode(made).alias("e")).select("actor", *more, "e.*")
+
+
+def config_audits(patches: DataFrame, fields: list[str]) -> DataFrame:
+    """(actor, action, target, metadata) of patches of the settings (actor, and for a field sent_<field> and the value): the
+    fields that were sent, as JSON, a cleared one as null."""
+    value = lambda f: F.regexp_replace(F.to_json(F.struct(f), {"ignoreNullFields": "false"}), r"^\{|\}$", "")
+    shown = [F.when(F.coalesce(f"sent_{f}", F.lit(False)), value(f)) for f in fields]
+    metadata = F.concat(F.lit("{"), F.concat_ws(",", *shown), F.lit("}"))
+    return patches.select("actor", F.lit("config.update").alias("action"), F.lit("systemConfig/limits").alias("target"), metadata.alias("metadata"))
+
+
+def feedback_audits(patches: DataFrame) -> DataFrame:
+    """(actor, at, seq, action, target, metadata) of patches of feedback (actor, id, status, sent_note, at, seq)."""
+    metadata = F.to_json(F.struct("status", F.coalesce("sent_note", F.lit(False)).alias("noteChanged")), {"ignoreNullFields": "false"})
+    return patches.select("actor", "at", "seq", F.lit("feedback.update").alias("action"), F.concat(F.lit("feedback/"), F.col("id").cast("string")).alias("target"), metadata.alias("metadata"))
 
 
 def patch_feedback(rows: DataFrame, patches: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from ..operators import compare, transcode
 from ..sources import documents
 from ..streaming import limits
 from . import activity as act
-from . import records
+from . import records, stored
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -234,7 +234,7 @@ ALL = (
     token_counts, unmapped_top, convert_bijoy, convert_sutonny, convert_alpha_ansi, conversion_issues, resolve_encoding, conversion_trace, detect_scores, detect_best, unicode_check, grapheme_counts, headword, text_measures, usage_check,
     format_resolve, unreliable_text, extract_pages, dice_adjacent, diff_turns, diff_statistics, diff_paragraphs, comparison_gate, history_top20, totals_breakdown, limits_resolution, issue_dedupe, first_occurrence, rate_limited, encoding_series, error_status,
 )
-QUERIES = {f.__name__: f for f in ALL} | records.QUERIES
+QUERIES = {f.__name__: f for f in ALL} | records.QUERIES | stored.QUERIES
 
 _LIMIT = "CASE doc_id % 3 WHEN 0 THEN 3000 WHEN 1 THEN 6000 ELSE 25000 END"
 _TIER = "CASE {} % 3 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'expert' END"
@@ -402,4 +402,4 @@ ORACLE_SQL = {
     "issue_dedupe": "SELECT event_type || '|' || user_id AS issue_key, count(*) AS occurrences, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen FROM events GROUP BY 1",
     "first_occurrence": "SELECT event_type || '|' || user_id AS issue_key, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) = 1",
     "error_status": "SELECT [400, 422, 422, 413, 401, 403, 429, 500, 500, 500, 500][event_id % 11 + 1]::BIGINT AS status, count(*) AS n FROM events GROUP BY 1",
-} | records.ORACLE_SQL
+} | records.ORACLE_SQL | stored.ORACLE_SQL
