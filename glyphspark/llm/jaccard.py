@@ -16,12 +16,14 @@ How it scales:
 3. The bucket of a token is led by its smallest class; all buckets with one leader make a family, so a passage that
    many sets share makes one family and not one for each of its tokens. Sets that share a token share a family.
    Families of more than BLOCK tokens are cut into blocks in order of size; two blocks at a time meet in a task.
-4. Signature trees find the members of a family that may link with another: nodes hold the OR of their members' token
-   bitmaps and their size range, and pairs of nodes are traversed together, pruned by the largest overlap they allow.
-   A pair belongs to the smallest leader that both sides share, so that it counts once.
-5. The full sets of those members meet again in their group, where every overlap is counted. Pairs stay inside the
-   task: out of it come each member's number of links, weighted by copies, and its component within the family.
-   Work grows with the square of a group of near copies, as each of its links is verified; rows do not.
+4. Signature trees find the pairs of a family that may link: nodes hold the OR of their members' token bitmaps and their
+   size range, and pairs of nodes are traversed together, pruned by the largest overlap they allow. A pair belongs to
+   the smallest leader that both sides share, so that it counts once. The first traversal, over bitmaps alone, tells
+   which sets are in a pair; only those are read in full.
+5. In the task that has a group's full sets the trees are traversed again and each of their pairs is verified. Pairs
+   stay inside the task: out of it come each member's number of links, weighted by copies, and its component.
+   Work grows with the square of a group of distinct near copies, as each of its links is counted, and a family of more
+   than BLOCK tokens copies each of its sets once for each block whose sizes allow a link: rows over BLOCK tokens a set.
 6. Components of all families come from star contractions in Spark.
 """
 
@@ -48,6 +50,8 @@ BROADCAST_DIGESTS = 1 << 20
 BLOCK, LEAST_WEIGHT = 1 << 18, 512
 #: Tokens of up to RARE sets are counted pair by pair, others as columns of a matrix, COLUMNS at a time.
 RARE, COLUMNS = 8, 2048
+#: Pairs are compared one by one, PAIRS at a time, where there are fewer than one in SPARSE of all.
+PAIRS, SPARSE = 4096, 64
 
 
 def _digest():
@@ -117,24 +121,27 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int64)
             cls = np.zeros(batch.num_rows, np.int64)
-            parts, lengths, maps = [], np.zeros(batch.num_rows + 1, np.int64), []
+            parts, lengths, maps = {True: [], False: []}, {k: np.zeros(batch.num_rows + 1, np.int64) for k in (True, False)}, []
             for k, s in shingle_sets(batch.column(2)):
                 n[k], cls[k] = len(s), _class_of(s)
                 maps.append(bitmap(s).tobytes())
                 if len(s):
                     take = len(s) // 4 + 1
+                    often = np.zeros(len(s), bool)
                     if len(late):
                         at = np.searchsorted(late, s)
                         at[at == len(late)] = 0
                         often = late[at] == s
-                        s = np.concatenate((s[~often], s[often]))
-                    parts.append(s[:take])
-                    lengths[k + 1] = take
-            flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(cls), lists, pa.array(maps, pa.binary())], names=["doc_id", "digest", "n_shingles", "cls", "prefix", "map"])
+                    for kind, found in ((False, s[~often][:take]), (True, s[often][: max(0, take - int((~often).sum()))])):
+                        parts[kind].append(found)
+                        lengths[kind][k + 1] = len(found)
+            lists = []
+            for kind in (False, True):
+                flat = np.concatenate(parts[kind]).view(np.int64) if parts[kind] else np.zeros(0, np.int64)
+                lists.append(pa.ListArray.from_arrays(pa.array(np.cumsum(lengths[kind]), pa.int32()), pa.array(flat)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(cls), *lists, pa.array(maps, pa.binary())], names=["doc_id", "digest", "n_shingles", "cls", "prefix", "late", "map"])
 
-    return docs.select(F.col("doc_id").cast("long"), _digest(), "text").mapInArrow(prefix, "doc_id long, digest long, n_shingles long, cls long, prefix array<long>, map binary")
+    return docs.select(F.col("doc_id").cast("long"), _digest(), "text").mapInArrow(prefix, "doc_id long, digest long, n_shingles long, cls long, prefix array<long>, late array<long>, map binary")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -280,6 +287,15 @@ def overlaps(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Counts of the values shared by lists i < j, where list k is flat[at[k] : at[k + 1]] without repeats; 0 elsewhere."""
     m = len(at) - 1
     out = np.zeros((m, m), np.int32)
+    for x in _incidence(flat, at, out):
+        out += (x @ x.T).astype(np.int32)
+    return np.triu(out, 1)
+
+
+def _incidence(flat: np.ndarray, at: np.ndarray, out: np.ndarray):
+    """Adds values of RARE lists or fewer to out, pair by pair, and yields lists by values (0 or 1) of all others that two
+    lists share, COLUMNS values at a time."""
+    m = len(at) - 1
     order = np.argsort(flat, kind="stable")
     row, value = np.repeat(np.arange(m), np.diff(at))[order], flat[order]
     start = np.flatnonzero(np.concatenate((np.ones(min(1, len(value)), bool), value[1:] != value[:-1])))
@@ -294,8 +310,25 @@ def overlaps(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
         s, c = start[i : i + COLUMNS], count[i : i + COLUMNS]
         x = np.zeros((m, len(s)), np.float32)
         x[row[np.repeat(s - np.cumsum(c) + c, c) + np.arange(c.sum())], np.repeat(np.arange(len(s)), c)] = 1
-        out += (x @ x.T).astype(np.int32)
-    return np.triu(out, 1)
+        yield x
+
+
+def shared(flat: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many values lists i and j share, for pairs i < j. Where the pairs are few among all of their lists, columns are
+    compared pair by pair, else as products of matrices, which then cost less."""
+    used, where = np.unique(np.concatenate((i, j)), return_inverse=True)
+    a, b = where[: len(i)], where[len(i) :]
+    m, lengths = len(used), np.diff(at)[used]
+    cut = np.concatenate(([0], np.cumsum(lengths)))
+    part = flat[np.repeat(at[:-1][used] - cut[:-1], lengths) + np.arange(cut[-1])]
+    if len(i) * SPARSE > m * m:
+        return overlaps(part, cut)[a, b].astype(np.int64)
+    few = np.zeros((m, m), np.int32)
+    out = np.zeros(len(i), np.int64)
+    for x in _incidence(part, cut, few):
+        for k in range(0, len(i), PAIRS):
+            out[k : k + PAIRS] += np.einsum("ij,ij->i", x[a[k : k + PAIRS]], x[b[k : k + PAIRS]]).astype(np.int64)
+    return out + few[a, b]
 
 
 def _elsewhere(key: tuple, table: pa.Table) -> np.ndarray:
@@ -308,26 +341,35 @@ def _elsewhere(key: tuple, table: pa.Table) -> np.ndarray:
     return out | (block[:, None] == block) if low != high else out
 
 
+def candidates(key: tuple, table: pa.Table, n: np.ndarray, maps: list[bytes]):
+    """Yields (i, j) arrays of members i < j of a group that the dual traversal of its signature trees leaves, each pair
+    once: all that may link and belong to this group."""
+    other, seen = _elsewhere(key, table), np.zeros((len(n), len(n)), bool)
+    bits = np.array([8 * len(m) for m in maps])
+    # maps that linked sets have differ by one doubling at most: a tree of each width takes in the sets of the next one that
+    # are small enough for a link, folded
+    for width in np.unique(bits):
+        at = np.flatnonzero((bits == width) | ((bits == 2 * width) & (9 * n <= 8 * width)))
+        if len(at) < 2:
+            continue
+        at = at[np.lexsort((at, n[at]))]
+        part = np.stack([np.bitwise_or.reduce(np.frombuffer(maps[k], np.uint64).reshape(-1, width // 64), 0) for k in at])
+        for i, j in SignatureTree(n[at], part).pairs():
+            i, j = np.minimum(at[i], at[j]), np.maximum(at[i], at[j])
+            ok = ~other[i, j] & ~seen[i, j]
+            seen[i[ok], j[ok]] = True
+            if ok.any():
+                yield i[ok], j[ok]
+
+
 def _near(rows: DataFrame) -> DataFrame:
-    """The rows (GROUP, block, cls, n, leads, map) that may link with another of their group, by exact bounds, without map."""
+    """The rows (GROUP, block, cls, n, leads, map) that are in a candidate pair of their group, without map."""
 
     def walk(batches):
         for key, table in _groups(batches):
-            n = table.column("n").to_numpy()
-            maps = table.column("map").to_pylist()
-            other = _elsewhere(key, table)
-            near = np.zeros(len(n), bool)
-            bits = np.array([8 * len(m) for m in maps])
-            # maps that linked sets have differ by one doubling at most: a tree of each width takes in the sets of the next
-            # one that are small enough for a link, folded
-            for width in np.unique(bits):
-                at = np.flatnonzero((bits == width) | ((bits == 2 * width) & (9 * n <= 8 * width)))
-                if len(at) > 1:
-                    part = np.stack([np.bitwise_or.reduce(np.frombuffer(maps[k], np.uint64).reshape(-1, width // 64), 0) for k in at])
-                    for i, j in SignatureTree(n[at], part).pairs():
-                        i, j = at[i], at[j]
-                        ok = ~other[np.minimum(i, j), np.maximum(i, j)]
-                        near[i[ok]] = near[j[ok]] = True
+            near = np.zeros(table.num_rows, bool)
+            for i, j in candidates(key, table, table.column("n").to_numpy(), table.column("map").to_pylist()):
+                near[i] = near[j] = True
             yield pa.RecordBatch.from_arrays([pa.array(table.column(k).to_numpy()[near]) for k in (*GROUP, "block", "cls")], names=[*GROUP, "block", "cls"])
 
     return gathered(rows.select(*GROUP, "block", "cls", "n", "leads", "map"), GROUP, ["n", "cls"]).mapInArrow(walk, "lead long, low long, high long, block long, cls long")
@@ -348,15 +390,21 @@ def _within(links: np.ndarray) -> np.ndarray:
 
 def _linked(rows: DataFrame) -> DataFrame:
     """(cls, root, links) of the rows (GROUP, block, cls, copies, leads, members) that link in their group: a member that they
-    reach by links there, and the number of documents that they link with. Every pair is verified."""
+    reach by links there, and the number of documents that they link with. The trees' pairs are verified, each and no
+    others; pairs stay inside the task."""
 
     def count(batches):
         for key, table in _groups(batches):
             flat, at = _lists(table, "members")
             n, copies, cls = np.diff(at), table.column("copies").to_numpy(), table.column("cls").to_numpy()
-            both = overlaps(flat, at).astype(np.int64)
-            link = (both > 0) & (100 * both >= 75 * (n[:, None] + n - both)) & ~_elsewhere(key, table)
-            link |= link.T
+            maps = [bitmap(flat[a:b].view(np.uint64)).tobytes() for a, b in zip(at, at[1:], strict=False)]
+            link = np.zeros((len(n), len(n)), bool)
+            found = list(candidates(key, table, n, maps))
+            if found:
+                i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+                both = shared(flat, at, i, j)
+                ok = 100 * both >= 75 * (n[i] + n[j] - both)
+                link[i[ok], j[ok]] = link[j[ok], i[ok]] = True
             on = np.flatnonzero(link.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(cls[on]), pa.array(cls[_within(link)[on]]), pa.array((link @ copies)[on])], names=["cls", "root", "links"])
 
@@ -370,13 +418,16 @@ def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = durable(base.where("n_shingles > 0").groupBy("cls").agg(F.min("digest").alias("digest"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"), F.first("map").alias("map")), "classes")
 
     # families: the sets of all tokens that one class leads
-    # tokens of a class, dealt out once: the grouping and the join read the same exchange. A token has one row of a class,
-    # among n / 4 of its rows, so no token is hot, however many classes it is in
-    by_token = base.where("n_shingles > 0").groupBy("cls").agg(F.first("prefix").alias("prefix")).select("cls", F.explode("prefix").alias("token")).repartition("token")
-    led = by_token.groupBy("token").agg(F.min("cls").alias("lead"), F.max("cls").alias("last")).where("lead < last").select("token", "lead")
-    member = durable(by_token.join(led, "token").select("lead", "cls").distinct(), "members")
+    led = lambda rows: rows.groupBy("token").agg(F.min("cls").alias("lead"), F.max("cls").alias("last")).where("lead < last").select("token", "lead")
+    # rare tokens are dealt out once: the grouping and the join read the same exchange
+    prefixes = durable(base.where("n_shingles > 0").groupBy("cls").agg(F.first("prefix").alias("prefix"), F.first("late").alias("late")), "class-prefixes")
+    rare = prefixes.select("cls", F.explode("prefix").alias("token")).repartition("token")
+    # a frequent token may be in a third of all prefixes: its leader comes from partial sums, and is joined back to rows
+    # that stay where they are; there are no more leaders than frequent tokens, whose number has a bound
+    often = prefixes.select("cls", F.explode("late").alias("token"))
+    member = durable(rare.join(led(rare), "token").select("lead", "cls").unionByName(often.join(F.broadcast(led(often)), "token").select("lead", "cls")).distinct(), "members")
     rows = durable(base.select("doc_id", "digest", "n_shingles", "cls"), "rows")
-    discard(base)
+    discard(base, prefixes)
     family = durable(_sized(member.join(classes.select("cls", "n"), "cls")), "families")
     discard(member)
     leads = durable(family.groupBy("cls").agg(F.sort_array(F.collect_list("lead")).alias("leads")), "leads")

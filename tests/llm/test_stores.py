@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from glyphspark.llm import sharding, tokencount
+from glyphspark.llm import jaccard, sharding, tokencount
 
 SCHEMA = "doc_id long, text string"
 
@@ -148,3 +150,57 @@ def test_cache_folder_without_files(spark, tmp_path):
     (tmp_path / "c").mkdir()
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert [r.n_tokens for r in tokencount.token_counts(docs, str(tmp_path / "c")).collect()] == [2]
+
+
+# --- 9
+
+
+def made_sets(rng, n):
+    base = rng.integers(0, 2**63, 60, dtype=np.int64)
+    sets = []
+    for k in range(n):
+        s = set(base[rng.random(60) < (0.95 if k % 2 else 0.5)].tolist()) | set(rng.integers(0, 2**63, int(rng.integers(0, 8))).tolist())
+        sets.append(np.array(sorted(s, key=lambda x: np.uint64(x)) or [1], np.int64))
+    return sets
+
+
+@pytest.mark.parametrize("sparse", [1, 10**9])
+def test_pairs_of_trees_are_verified(monkeypatch, sparse):
+    monkeypatch.setattr(jaccard, "SPARSE", sparse)
+    monkeypatch.setattr(jaccard, "RARE", 3)
+    rng = np.random.default_rng(4)
+    sets = made_sets(rng, 80)
+    at = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    n = np.diff(at)
+    leads = [[1, 7] if k % 9 == 0 else [7] for k in range(len(sets))]
+    table = pa.table({"leads": pa.array(leads, pa.list_(pa.int64())), "block": pa.array([k // 2 % 2 for k in range(len(sets))], pa.int64())})
+    flat = np.concatenate(sets)
+    common = {(i, j): len(set(sets[i].tolist()) & set(sets[j].tolist())) for i in range(len(sets)) for j in range(i + 1, len(sets))}
+    links = {p for p, c in common.items() if 100 * c >= 75 * (n[p[0]] + n[p[1]] - c)}
+    maps = [jaccard.bitmap(s.view(np.uint64)).tobytes() for s in sets]
+    for key in ((7, -1, -1), (7, 0, 1)):
+        mine = {(i, j) for i, j in links if not (i % 9 == 0 and j % 9 == 0) and (key[1] == key[2] or i // 2 % 2 != j // 2 % 2)}
+        i, j = (np.concatenate(x) for x in zip(*jaccard.candidates(key, table, n, maps), strict=True))
+        found = list(zip(i.tolist(), j.tolist(), strict=True))
+        assert len(set(found)) == len(found) and mine <= set(found) and len(found) < len(common) / 2 and all(a < b for a, b in found)
+        assert not any(a % 9 == 0 and b % 9 == 0 for a, b in found)
+        assert [common[p] for p in found] == jaccard.shared(flat, at, i, j).tolist()
+    assert len(links) > 100
+
+
+def test_frequent_tokens_keep_their_links(spark):
+    rng = random.Random(8)
+    licence = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(300):
+        words = list(licence)
+        words[rng.randrange(120)] = f"x{k}"
+        rows.append((k, " ".join(words)))
+    rows += [(k, " ".join(f"own{k}-{m}" for m in range(40)) + " " + " ".join(licence[:20])) for k in range(300, 360)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    frequent = jaccard._frequent(docs, len(rows))
+    late = jaccard._prefixes(docs, frequent).agg(F.sum(F.size("late")), F.sum(F.size("prefix"))).first()
+    assert len(frequent) > 50 and late[0] > 300 and late[1] > 300
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    links = {i: sum(i != j and 100 * len(a & b) >= 75 * len(a | b) for j, b in sets.items()) for i, a in sets.items()}
+    assert {r.doc_id: r.n_links for r in jaccard.jaccard_components(docs).collect()} == links and max(links.values()) == 299
