@@ -13,15 +13,17 @@ items without words match nothing. A null item_id is reported as it is; items of
 repeated rows once. Repeated documents are reported each, rows of one id once. Extra columns are ignored.
 
 The index: Spark splits the items and counts document frequencies and lengths over all of them; impacts are joined and
-gathered by block of about BLOCK_WORDS words of one tier, and a task builds each block's index into a shared table. The
-blocks reach the workers one at a time, by broadcast of that bounded size; each is a pass over the passages, so results
-do not depend on the blocks.
+gathered by block of about BLOCK_WORDS words of one tier, and a task builds each block's index into a shared table. Blocks
+reach the workers by broadcast, as many together as GROUP_BYTES hold; documents are scanned once for each such group (once
+in all for some millions of item words), and each task takes HELD_BYTES of texts through one block after the other. Results
+do not depend on blocks or groups.
 
 WAND: a term's list holds the runs of RUN items with the largest impact of each. A passage whose terms' list maxima do
-not add up to the threshold has no pivot and ends. For the others the cursors of the essential lists (the other terms of
-an item hold less than LIGHT of its weight) are merged, and only runs whose block maxima reach the threshold are opened,
-first for essential terms, then for the full score. Runs that no essential term touches are never looked at. No bound
-drops an item that reaches the threshold. Cursors are merged for at most CURSORS postings at a time.
+not add up to the threshold has no pivot and ends. The others have a cursor on the list of each essential term (the other
+terms of an item hold less than LIGHT of its weight), in order of the runs they stand on. The pivot is the first run up to
+which the list maxima reach the threshold; cursors behind it skip to it without reading what lies between, and only if the
+block maxima there reach the threshold too is the run opened, first for essential terms, then for the full score. Many
+passages go forward side by side. No bound drops an item that reaches the threshold.
 """
 
 from __future__ import annotations
@@ -41,8 +43,10 @@ from .common import durable, free, gathered
 PASSAGE, THRESHOLD, OVERLAP, SHINGLE = 128, 0.6, 0.6, 3
 K1, B = 1.2, 0.75
 RUN, LIGHT = 8, 0.3
-#: Words of the items of one block, about; postings of runs that are merged at once, one passage at least.
-BLOCK_WORDS, CURSORS = 1 << 18, 1 << 21
+#: Words of the items of one block, about; cursors that go forward together, one passage's at least.
+BLOCK_WORDS, CURSORS = 1 << 18, 1 << 18
+#: Bytes of blocks that are broadcast together, one at least; bytes of texts that go through the blocks together, about.
+GROUP_BYTES, HELD_BYTES = 64 << 20, 8 << 20
 FOUND = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, n_passages long"
 
 
@@ -102,6 +106,9 @@ class Index:
         most = np.zeros(len(key))
         np.maximum.at(most, inverse, s[heavy])
         self.runs = self._lists(key // n_runs, key % n_runs, most)
+        self.run_key = key  # term and run of each posting, in order: where a cursor skips to
+        self.run_top = np.zeros(len(self.vocab))
+        np.maximum.at(self.run_top, key // n_runs, most)
         self.run_light = np.zeros(n_runs)
         np.maximum.at(self.run_light, np.arange(self.n) // RUN, self.light)
         self.grams = [(_grams(r[1]), _grams(r[2]), len(r[1]), len(r[2])) for r in rows]
@@ -130,9 +137,47 @@ def passages(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.n
     return row, begin, np.minimum(begin + size, first[row + 1])
 
 
-def _distinct_sums(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    u, inverse = np.unique(key, return_inverse=True)
-    return u, np.bincount(inverse, value, len(u))
+def wand(index: Index, of: np.ndarray, terms: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(passage, run) of the runs whose block maxima reach the threshold, for n passages with the distinct terms of each
+    (of: its passage, in order)."""
+    at, run, value = index.runs
+    n_runs, past = len(index.run_light), len(index.run_light)
+    least = THRESHOLD - 1e-9
+    need = least - index.run_light.max()
+    some = at[terms + 1] > at[terms]
+    of, terms = of[some], terms[some]
+    count = np.bincount(of, minlength=n)
+    shape = (n, int(count.max(initial=0)))
+    column = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    code, place, end, top, cursor = np.zeros(shape, np.int64), np.zeros(shape, np.int64), np.zeros(shape, np.int64), np.zeros(shape), np.full(shape, past)
+    code[of, column], place[of, column], end[of, column] = terms, at[terms], at[terms + 1]
+    top[of, column], cursor[of, column] = index.run_top[terms], run[at[terms]]
+    live, found = np.arange(n), []
+    while len(live) and shape[1]:
+        order = np.argsort(cursor, axis=1)
+        mass = np.take_along_axis(top, order, 1).cumsum(1)
+        k = (mass >= need).argmax(1)
+        pivot = np.where(mass[:, -1] >= need, np.take_along_axis(cursor, np.take_along_axis(order, k[:, None], 1), 1)[:, 0], past)
+        on = pivot < past
+        if not on.all():
+            live, pivot, code, place, end, top, cursor = (x[on] for x in (live, pivot, code, place, end, top, cursor))
+        x, y = np.nonzero(cursor < pivot[:, None])
+        place[x, y] = np.searchsorted(index.run_key, code[x, y] * n_runs + pivot[x])
+        _look(run, place, end, cursor, past, x, y)
+        x, y = np.nonzero(cursor == pivot[:, None])
+        bound = np.bincount(x, value[place[x, y]], len(live)) + index.run_light[np.minimum(pivot, n_runs - 1)]
+        found.append((live[bound >= least], pivot[bound >= least]))
+        place[x, y] += 1
+        _look(run, place, end, cursor, past, x, y)
+    both = [np.concatenate(z) for z in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 2
+    order = np.lexsort((both[1], both[0]))
+    return both[0][order], both[1][order]
+
+
+def _look(run, place, end, cursor, past, x, y) -> None:
+    """Sets the cursors at (x, y) to the runs of their places, past the last run where their lists end."""
+    there = place[x, y] < end[x, y]
+    cursor[x, y] = np.where(there, run[np.minimum(place[x, y], len(run) - 1)], past)
 
 
 def _pivots(index: Index, h: np.ndarray, first: np.ndarray):
@@ -158,20 +203,16 @@ def _pivots(index: Index, h: np.ndarray, first: np.ndarray):
     alive = np.flatnonzero(top[left] + top[right] >= THRESHOLD - 1e-9)
     if not len(alive):
         return
-    cost = np.bincount(unit, np.diff(index.runs[0])[code], units)
-    chunk = np.cumsum(cost[left[alive]] + cost[right[alive]]) // CURSORS
-    n_runs = len(index.run_light)
+    size = np.diff(start)
+    chunk = np.cumsum(size[left[alive]] + size[right[alive]]) // CURSORS
     for p in np.split(alive, np.flatnonzero(np.diff(chunk)) + 1):
         both = np.concatenate((left[p], right[p]))
-        n = start[both + 1] - start[both]
+        n = size[both]
         of = np.repeat(np.concatenate((np.arange(len(p)), np.arange(len(p)))), n)
         terms = code[np.repeat(start[both] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
         key = np.unique(of * len(index.vocab) + terms)
         of, terms = key // len(index.vocab), key % len(index.vocab)
-        u, r, v = _expand(index.runs, of, terms)
-        key, bound = _distinct_sums(u * n_runs + r, v)
-        key = key[bound + index.run_light[key % n_runs] >= THRESHOLD - 1e-9]
-        which, runs = key // n_runs, key % n_runs
+        which, runs = wand(index, of, terms, len(p))
         for k in np.unique(which):
             yield row[p[k]], begin[p[k]], end[p[k]], terms[of == k], runs[which == k]
 
@@ -256,26 +297,39 @@ def build_index(items: DataFrame) -> DataFrame | None:
     return durable(gathered(rows, ["tier", "block"], ["item_id"]).select("block", "tier", "item_id", "question", "answer", "terms", "weights").mapInArrow(build, "block long, tier int, index binary"), "index")
 
 
-def _matches(docs: DataFrame, index: Index) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+def _matches(docs: DataFrame, blocks: list[bytes]) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(blocks)
 
-    def search(batches):
-        ix = shared.value
-        for batch in batches:
-            raw, at = tv.buffers(pc.utf8_lower(pc.fill_null(batch.column(1), "")))
-            ids = batch.column(0).to_pylist()
-            best: dict[tuple[int, int], list] = {}
+    def found_in(block: bytes, ids: list, texts: list[pa.Array]) -> pa.RecordBatch:
+        ix = pickle.loads(block)
+        best: dict[tuple[int, int], list] = {}
+        begun = 0
+        for column in texts:
+            raw, at = tv.buffers(column)
             for i, j in tv.slices(at, 1 << 21):
                 part, off = raw[at[i] : at[j]], at[i : j + 1] - at[i]
                 starts, ends, first = tv.spans(part, off, tv.NOT_ALNUM)
                 for row, item, score, q, a in _search(ix, tv.hashes(part, starts, ends), first):
                     if q >= OVERLAP and a >= OVERLAP:
-                        have = best.setdefault((i + row, item), [0.0, 0.0, 0.0, 0])
+                        have = best.setdefault((begun + i + row, item), [0.0, 0.0, 0.0, 0])
                         have[:] = [max(have[0], score), max(have[1], q), max(have[2], a), have[3] + 1]
-            keys = list(best)
-            cols = [pa.array([ids[k] for k, _ in keys], pa.int64()), pa.array([ix.ids[i] for _, i in keys], pa.int64())]
-            cols += [pa.array([best[k][c] for k in keys], pa.float64()) for c in range(3)] + [pa.array([best[k][3] for k in keys], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in FOUND.split(", ")])
+            begun += len(column)
+        keys = list(best)
+        cols = [pa.array([ids[k] for k, _ in keys], pa.int64()), pa.array([ix.ids[i] for _, i in keys], pa.int64())]
+        cols += [pa.array([best[k][c] for k in keys], pa.float64()) for c in range(3)] + [pa.array([best[k][3] for k in keys], pa.int64())]
+        return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in FOUND.split(", ")])
+
+    def search(batches):
+        ids, texts, size = [], [], 0
+        for batch in batches:
+            ids += batch.column(0).to_pylist()
+            texts.append(pc.utf8_lower(pc.fill_null(batch.column(1), "")))
+            size += batch.nbytes
+            if size >= HELD_BYTES:
+                yield from (found_in(b, ids, texts) for b in shared.value)
+                ids, texts, size = [], [], 0
+        if ids:
+            yield from (found_in(b, ids, texts) for b in shared.value)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(search, FOUND)
 
@@ -286,10 +340,12 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     out = docs.sparkSession.createDataFrame([], FOUND)
     if table is None:
         return out
-    for b in table.select("block", "tier").orderBy("tier", "block").toLocalIterator():  # one row for BLOCK_WORDS words
-        index = pickle.loads(table.where((F.col("block") == b["block"]) & (F.col("tier") == b["tier"])).first()["index"])
-        out = out.unionByName(_matches(docs, index))
-    return out.distinct()
+    group: list[bytes] = []
+    for r in table.orderBy("tier", "block").select("index").toLocalIterator():  # one row for BLOCK_WORDS words
+        if group and sum(map(len, group)) + len(r["index"]) > GROUP_BYTES:
+            out, group = out.unionByName(_matches(docs, group)), []
+        group.append(bytes(r["index"]))
+    return out.unionByName(_matches(docs, group)).distinct()
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:

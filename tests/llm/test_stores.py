@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from glyphspark.llm import jaccard, sharding, tokencount
+from glyphspark.llm import decontaminate, jaccard, sharding, tokencount
 
 SCHEMA = "doc_id long, text string"
 
@@ -204,3 +204,49 @@ def test_frequent_tokens_keep_their_links(spark):
     sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
     links = {i: sum(i != j and 100 * len(a & b) >= 75 * len(a | b) for j, b in sets.items()) for i, a in sets.items()}
     assert {r.doc_id: r.n_links for r in jaccard.jaccard_components(docs).collect()} == links and max(links.values()) == 299
+
+
+# --- 6
+
+
+def test_wand_finds_the_runs_that_reach_the_threshold():
+    rng = np.random.default_rng(3)
+    words = np.sort(rng.integers(1, 2**63, 300).astype(np.uint64))
+    rows = []
+    for k in range(150):
+        own = np.sort(rng.choice(words[: 40 + 2 * k % 260], 12, replace=False))
+        w = rng.random(12) ** 2
+        rows.append((k, own[:8], own[8:], own, w / w.sum()))
+    index = decontaminate.Index(64, rows)
+    passages = [np.unique(np.concatenate((rng.choice(len(index.vocab), 30), np.flatnonzero(np.isin(index.vocab, rows[rng.integers(150)][3])) if k % 3 else []))).astype(np.int64) for k in range(60)] + [np.zeros(0, np.int64)]
+    of = np.repeat(np.arange(len(passages)), [len(p) for p in passages])
+    got = set(zip(*(x.tolist() for x in decontaminate.wand(index, of, np.concatenate(passages), len(passages))), strict=True))
+    at, run, value = index.runs
+    want = set()
+    for k, p in enumerate(passages):
+        for r in range(len(index.run_light)):
+            mass = sum(value[j] for c in p for j in range(at[c], at[c + 1]) if run[j] == r)
+            if mass > 0 and mass + index.run_light[r] >= decontaminate.THRESHOLD - 1e-9:
+                want.add((k, r))
+    assert got == want and len(want) > 40
+    # every item that a passage holds to the threshold lies in a run that is found
+    order = {i: n for n, i in enumerate(index.ids)}
+    for k, p in enumerate(passages):
+        for i, _, _, terms, w in rows:
+            if w[np.isin(terms, index.vocab[p])].sum() >= decontaminate.THRESHOLD:
+                assert (k, order[i] // decontaminate.RUN) in got
+
+
+def test_documents_are_scanned_once_for_all_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(30)) + ". " + " ".join("".join(rng.choice("stuvwxyz") for _ in range(6)) for _ in range(12))
+    items = [(k, text()) for k in range(40)]
+    docs = spark.createDataFrame([(k, f"before {items[k][1]} after") for k in range(0, 40, 2)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {(k, k) for k in range(0, 40, 2)}
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 100)
+    for group, scans in ((64 << 20, 1), (1, None)):
+        monkeypatch.setattr(decontaminate, "GROUP_BYTES", group)
+        found = decontaminate.find_leaks(docs, bench)
+        n = found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+        assert {tuple(r)[:2] for r in found.collect()} == want and (n == scans if scans else n > 5)
