@@ -31,7 +31,7 @@ def dice(a: list[str], b: list[str]) -> float:
     """Shared words of two bags, twice, over all words; 1 for two empty bags."""
     if not a or not b:
         return float(not a and not b)
-    x, y = Counter(w.lower() for w in a), Counter(w.lower() for w in b)
+    x, y = (Counter("\n".join(w).lower().split("\n")) for w in (a, b))
     return 2 * sum((x & y).values()) / (len(a) + len(b))
 
 
@@ -160,6 +160,16 @@ def bag_similarity(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(total, ["a", "b"], "left").select("a", "b", F.coalesce(2 * F.col("both") / F.col("words"), F.lit(1.0)).alias("similarity"))
 
 
+def pair_similarity(source: Column, target: Column) -> Column:
+    """Word-bag similarity of the two texts of a row, null texts as empty."""
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([dice(_WORD.findall(x or ""), _WORD.findall(y or "")) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return run(source, target)
+
+
 def gate(source: Column, target: Column, limit: Column) -> Column:
     """Why a pair is not compared: blank (either side), over_limit (either side), or null where it is."""
     used = [F.coalesce(F.length(F.regexp_replace(t, f"[{WS}]+", "")), F.lit(0)) for t in (source, target)]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..encodings import registry, rules
 from ..functions import text as tx
-from ..operators import compare, transcode
+from ..operators import compare, tokens, transcode
 from ..sources import documents
 from ..streaming import limits
 from . import activity as act
@@ -47,7 +47,7 @@ def unmapped_top(spark, d):
 
 
 def _converted(spark, d, encoding):
-    df = _docs(spark, d).select("doc_id", transcode.convert_column(F.col("text"), encoding, document=True).alias("c"))
+    df = _docs(spark, d).select("doc_id", transcode.convert_column(F.col("text"), encoding, document=True, details=False).alias("c"))
     return df.select("doc_id", F.sha2("c.text", 256).alias("text_sha256"), F.length("c.text").cast("long").alias("n_chars"), "c.n_tokens", "c.n_unmapped", "c.n_moved", "c.valid", "c.error")
 
 
@@ -104,6 +104,39 @@ def unicode_check(spark, d):
     return _docs(spark, d).select("doc_id", transcode.check_unicode(F.col("text")).alias("c")).select("doc_id", "c.*")
 
 
+#: Letters that stand for signs in texts which have none: a vowel sign, a long one, an accent that composes, a nukta.
+_SIGNS = ("kwyz", "\u09be\u09d7\u0301\u09bc")
+
+
+def unicode_check_signs(spark, d):
+    """unicode_check of texts some of whose letters are signs: stray ones, and letters that are not composed."""
+    text = F.translate("text", *_SIGNS)
+    return _docs(spark, d).select("doc_id", transcode.check_unicode(text).alias("c")).select("doc_id", "c.*")
+
+
+_OWN = {chr(97 + k): chr(65 + k) for k in range(26)} | {"th": "Þ", "sch": "Š", "ch": "Ĉ", "ss": "ẞ", "qu": "Ɋ"}
+
+
+def _own_encoding(spark):
+    """An encoding as a caller adds it, as rows: small letters to capitals, a few runs of them to other letters."""
+    return spark.createDataFrame([("own", 9, k, v, None) for k, v in _OWN.items()], tokens.RULES)
+
+
+def token_kinds(spark, d):
+    """Tokens of all documents under each registered encoding and one that is added as rows, by kind: in all, mapped, and the
+    distinct ones."""
+    rules = tokens.rules_table(spark).unionByName(_own_encoding(spark))
+    rows = tokens.token_rows(_docs(spark, d).select("doc_id", "text"), rules)
+    light = rows.groupBy("encoding_id", "kind", "mapped", "legacy").agg(F.count("*").alias("n"))
+    return light.groupBy("encoding_id", "kind", "mapped").agg(F.sum("n").alias("n"), F.count("*").alias("distinct_tokens"))
+
+
+def unmapped_contexts(spark, d):
+    """What the added encoding leaves unmapped in all documents, with its first contexts."""
+    report = tokens.unmapped_report(_docs(spark, d), tokens.encodings_of(_own_encoding(spark))[0])
+    return report.select("sequence", "n", "documents", "line")
+
+
 def grapheme_counts(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", F.size(transcode.graphemes(F.col("text"))).cast("long").alias("n_graphemes"))
 
@@ -144,16 +177,18 @@ def extract_pages(spark, d):
 
 
 def _pairs(spark, d):
+    """Adjacent documents of a source (doc_id, b, text, target). Both sides are dealt out by what they are joined on, into as
+    many parts as the per-row work behind the join wants; the join adds no exchange of its own."""
     docs = _t(spark, d, "documents").select("doc_id", "source", "text")
-    right = docs.select(F.col("doc_id").alias("b"), F.col("source").alias("s"), F.col("text").alias("target"))
-    return docs.join(right, (F.col("b") == F.col("doc_id") + 20) & (F.col("s") == F.col("source")))
+    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    left = docs.withColumn("b", F.col("doc_id") + 20).repartition(n, "b", "source")
+    right = docs.select(F.col("doc_id").alias("b"), "source", F.col("text").alias("target")).repartition(n, "b", "source")
+    return left.join(right, ["b", "source"])
 
 
 def dice_adjacent(spark, d):
-    docs = _t(spark, d, "documents").select("doc_id", "source")
-    right = docs.select(F.col("doc_id").alias("b"), F.col("source").alias("s"))
-    pairs = docs.join(right, (F.col("b") == F.col("doc_id") + 20) & (F.col("s") == F.col("source"))).select(F.col("doc_id").alias("a"), "b").distinct()
-    return compare.bag_similarity(pairs, _docs(spark, d).select(F.col("doc_id").alias("id"), "text")).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    pairs = _pairs(spark, d).select(F.col("doc_id").alias("a"), "b", F.round(compare.pair_similarity(F.col("text"), F.col("target")), 6).alias("similarity"))
+    return pairs.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
 def _turn_pairs(spark, d):
@@ -182,7 +217,7 @@ def diff_statistics(spark, d):
 def diff_paragraphs(spark, d):
     """Lines as paragraphs, adjacent documents of a source."""
     lines = lambda c: F.regexp_replace(c, "\n", "\n\n")
-    pairs = _pairs(spark, d).select(F.col("doc_id").alias("a"), "b", "text", "target").repartition(spark.sparkContext.defaultParallelism * 2, "a")
+    pairs = _pairs(spark, d).select(F.col("doc_id").alias("a"), "b", "text", "target")
     rows = pairs.select("a", "b", compare.compare_columns(lines("text"), lines("target"), "paragraph").alias("r"))
     return rows.select("a", "b", "r.source_words", "r.target_words", "r.equal_tokens", "r.removed_tokens", "r.added_tokens")
 
@@ -231,7 +266,7 @@ def error_status(spark, d):
 
 
 ALL = (
-    token_counts, unmapped_top, convert_bijoy, convert_sutonny, convert_alpha_ansi, conversion_issues, resolve_encoding, conversion_trace, detect_scores, detect_best, unicode_check, grapheme_counts, headword, text_measures, usage_check,
+    token_counts, unmapped_top, convert_bijoy, convert_sutonny, convert_alpha_ansi, conversion_issues, resolve_encoding, conversion_trace, detect_scores, detect_best, unicode_check, unicode_check_signs, token_kinds, unmapped_contexts, grapheme_counts, headword, text_measures, usage_check,
     format_resolve, unreliable_text, extract_pages, dice_adjacent, diff_turns, diff_statistics, diff_paragraphs, comparison_gate, history_top20, totals_breakdown, limits_resolution, issue_dedupe, first_occurrence, rate_limited, encoding_series, error_status,
 )
 QUERIES = {f.__name__: f for f in ALL} | records.QUERIES | stored.QUERIES
@@ -249,9 +284,9 @@ _PASS = "\t\n\x0b\f\r .,;:!?'\"()[]{}-/% ‐‑‒–—―‘’“”…"
 _BLANK = "\t\n\x0b\f\r  "
 
 
-def _tokens(encoding_id: str) -> str:
+def _tokens(encoding: str | registry.Encoding) -> str:
     """DuckDB expression for the list of tokens."""
-    e = registry.get(encoding_id)
+    e = registry.get(encoding) if isinstance(encoding, str) else encoding
     special = set("\\.^$|?*+()[]{}-&~#")
     many = sorted((k for k in e.rules if len(k) > 1), key=lambda k: (-len(k), k))
     pattern = "|".join(["".join("\\" + c if c in special and c not in "&~#" else c for c in k) for k in many] + ["(?s:.)"])
@@ -373,6 +408,22 @@ UNION ALL SELECT doc_id, 'assemble', length(out)::BIGINT, substr(out, 1, 48) FRO
 UNION ALL SELECT doc_id, 'validate', len(unmapped)::BIGINT, CASE WHEN len(unmapped) = 0 THEN 'clean' ELSE array_to_string(unmapped[1:9], '|') END FROM first"""
 
 
+_OWN_ENCODING = registry.Encoding("own", "own", {k: (v, rules.NONE) for k, v in _OWN.items()})
+_KINDS = f"""
+WITH t AS ({' UNION ALL '.join(f"SELECT '{e.id}' AS encoding_id, unnest({_tokens(e)}) AS x FROM documents" for e in [*registry.listed(), _OWN_ENCODING])}),
+r AS (SELECT * FROM (VALUES {', '.join(f"('{e.id}', {_quoted([k])}, '{kind}')" for e in [*registry.listed(), _OWN_ENCODING] for k, (_, kind) in e.rules.items())}) v(encoding_id, x, kind)),
+g AS (SELECT encoding_id, x, count(*) AS n FROM t GROUP BY ALL)
+SELECT encoding_id, coalesce(kind, 'none') AS kind, kind IS NOT NULL OR list_contains([{_quoted(_PASS)}], x) AS mapped, sum(n)::BIGINT AS n, count(*) AS distinct_tokens FROM g LEFT JOIN r USING (encoding_id, x) GROUP BY ALL
+"""
+_CONTEXTS = f"""
+WITH t AS (SELECT doc_id, {_tokens(_OWN_ENCODING)} AS tok, [{_quoted([*_OWN, *_PASS])}] AS good, MAP {{{', '.join(f'{_quoted([k])}: {_quoted([v])}' for k, v in _OWN.items())}}} AS reads FROM documents),
+u AS (SELECT doc_id, unnest(list_filter(list_transform(range(1, len(tok) + 1), lambda i: {{'i': i, 'x': tok[i]}}), lambda p: NOT list_contains(good, p.x))) AS p FROM t),
+n AS (SELECT p.x AS x, count(*) AS n, count(DISTINCT doc_id) AS documents FROM u GROUP BY 1),
+f AS (SELECT doc_id, p.i AS i, p.x AS x, row_number() OVER (PARTITION BY p.x ORDER BY doc_id, p.i) AS rank FROM u QUALIFY rank <= 3),
+c AS (SELECT x, rank, nfc_normalize((CASE WHEN i > 9 THEN '…' ELSE '' END) || array_to_string(list_transform(tok[greatest(i - 8, 1):i - 1], lambda y: coalesce(reads[y], y)), '') || '⟦' || x || '⟧'
+  || array_to_string(list_transform(tok[i + 1:i + 8], lambda y: coalesce(reads[y], y)), '') || (CASE WHEN i + 8 < len(tok) THEN '…' ELSE '' END)) AS context FROM f JOIN t USING (doc_id))
+SELECT x AS sequence, n.n AS n, n.documents AS documents, '"' || x || '" ×' || n.n || ' — ' || string_agg(context, '  |  ' ORDER BY rank) AS line FROM c JOIN n USING (x) GROUP BY x, n.n, n.documents
+"""
 ORACLE_SQL = {
     "token_counts": f"WITH t AS (SELECT doc_id, {_tokens('bijoy')} AS tok FROM documents), c AS (SELECT doc_id, len(tok)::BIGINT AS n, len(list_filter(tok, lambda x: list_contains([{_quoted([*registry.get('bijoy').rules, *_PASS])}], x)))::BIGINT AS good FROM t) SELECT doc_id, n AS n_tokens, good AS n_mapped, n - good AS n_unmapped FROM c",
     "unmapped_top": f"WITH t AS (SELECT unnest({_tokens('bijoy')}) AS sequence FROM documents) SELECT sequence, count(*) AS n FROM t WHERE NOT list_contains([{_quoted([*registry.get('bijoy').rules, *_PASS])}], sequence) GROUP BY sequence",
@@ -395,6 +446,8 @@ ORACLE_SQL = {
     "diff_turns": _DIFF,
     "diff_paragraphs": _PARAGRAPHS,
     "conversion_trace": _TRACE,
+    "unicode_check_signs": f"WITH t AS (SELECT doc_id, translate(text, '{_SIGNS[0]}', '{_SIGNS[1]}') AS text FROM documents) SELECT doc_id, coalesce(nfc_normalize(text) = text, true) AS is_nfc, coalesce(regexp_matches(text, '(^|[ \\t\\n\\x0B\\f\\r])[\u09be-\u09cc\u09d7]'), false) AS has_stray_sign FROM t",
+    "token_kinds": _KINDS, "unmapped_contexts": _CONTEXTS,
     "grapheme_counts": "SELECT conv_id, turn, length_grapheme(text)::BIGINT AS n_graphemes FROM conversations",
     "history_top20": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events QUALIFY rn <= 20",
     "totals_breakdown": f"WITH e AS (SELECT event_type AS kind, {_TIER.format('user_id')} AS tier, value AS v FROM events) SELECT 'kind' AS dimension, kind AS value, count(*) AS n, round(sum(v), 2) AS total FROM e GROUP BY kind UNION ALL SELECT 'tier', tier, count(*), round(sum(v), 2) FROM e GROUP BY tier",
