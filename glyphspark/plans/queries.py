@@ -63,6 +63,16 @@ def convert_alpha_ansi(spark, d):
     return _converted(spark, d, "alpha-ansi")
 
 
+#: Ends of words that get a reph, and letters that stand for signs typed ahead: the texts have none of either.
+_TYPED = (r"([a-z])z([ .,])", "©", "xk", "†‡")
+
+
+def convert_bijoy_signs(spark, d):
+    """convert_bijoy of texts some of whose letters are rephs, signs typed ahead and hasants."""
+    df = _docs(spark, d).select("doc_id", transcode.convert_column(F.translate(F.regexp_replace("text", _TYPED[0], f"$1{_TYPED[1]}$2"), *_TYPED[2:]), "bijoy", document=True, details=False).alias("c"))
+    return df.select("doc_id", F.sha2("c.text", 256).alias("text_sha256"), F.length("c.text").cast("long").alias("n_chars"), "c.n_tokens", "c.n_unmapped", "c.n_moved", "c.valid", "c.error")
+
+
 def _resolved(spark, d, choice):
     """Documents (doc_id, text, choice, encoding_id): detected where the choice is auto."""
     docs = _docs(spark, d).withColumn("choice", choice)
@@ -266,7 +276,7 @@ def error_status(spark, d):
 
 
 ALL = (
-    token_counts, unmapped_top, convert_bijoy, convert_sutonny, convert_alpha_ansi, conversion_issues, resolve_encoding, conversion_trace, detect_scores, detect_best, unicode_check, unicode_check_signs, token_kinds, unmapped_contexts, grapheme_counts, headword, text_measures, usage_check,
+    token_counts, unmapped_top, convert_bijoy, convert_bijoy_signs, convert_sutonny, convert_alpha_ansi, conversion_issues, resolve_encoding, conversion_trace, detect_scores, detect_best, unicode_check, unicode_check_signs, token_kinds, unmapped_contexts, grapheme_counts, headword, text_measures, usage_check,
     format_resolve, unreliable_text, extract_pages, dice_adjacent, diff_turns, diff_statistics, diff_paragraphs, comparison_gate, history_top20, totals_breakdown, limits_resolution, issue_dedupe, first_occurrence, rate_limited, encoding_series, error_status,
 )
 QUERIES = {f.__name__: f for f in ALL} | records.QUERIES | stored.QUERIES
@@ -447,6 +457,7 @@ ORACLE_SQL = {
     "diff_paragraphs": _PARAGRAPHS,
     "conversion_trace": _TRACE,
     "unicode_check_signs": f"WITH t AS (SELECT doc_id, translate(text, '{_SIGNS[0]}', '{_SIGNS[1]}') AS text FROM documents) SELECT doc_id, coalesce(nfc_normalize(text) = text, true) AS is_nfc, coalesce(regexp_matches(text, '(^|[ \\t\\n\\x0B\\f\\r])[\u09be-\u09cc\u09d7]'), false) AS has_stray_sign FROM t",
+    "convert_bijoy_signs": _convert_sql("bijoy").replace("FROM documents", rf"FROM (SELECT doc_id, translate(regexp_replace(text, '{_TYPED[0]}', '\1{_TYPED[1]}\2', 'g'), '{_TYPED[2]}', '{_TYPED[3]}') AS text FROM documents)"),
     "token_kinds": _KINDS, "unmapped_contexts": _CONTEXTS,
     "grapheme_counts": "SELECT conv_id, turn, length_grapheme(text)::BIGINT AS n_graphemes FROM conversations",
     "history_top20": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events QUALIFY rn <= 20",
