@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..encodings import registry
 from . import activity as act
-from . import schemas
+from . import bodies, schemas
 
 _TIER = "CASE {} % 3 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'expert' END"
 _EVENT = {"event_id": "event_id", "created_at": "ts", "userId": "CAST(user_id AS STRING)", "createdAt": "CAST(ts AS STRING)"}
@@ -255,8 +255,21 @@ def json_bodies(spark, d):
     return rows.select("event_id", "k", F.array_join("issues", "; ").alias("issues"), F.when(F.col("k").isNotNull(), F.to_json(F.struct("k"))).alias("again"))
 
 
+#: Bodies of events: some cut short, some that lack or mistake a field.
+_BODY = """CASE event_id % 11 WHEN 0 THEN left(props, 4) WHEN 1 THEN '{}' WHEN 2 THEN '{"k":null}' WHEN 3 THEN '{"k":"' || CAST(event_id AS STRING) || '"}'
+  WHEN 4 THEN '{"k":50,"meta":{"tags":["a",' || CAST(event_id AS STRING) || ',null]}}' WHEN 5 THEN '{"k":50,"meta":{"tags":"a","on":1}}' WHEN 6 THEN '{"k":50,"meta":[]}'
+  WHEN 7 THEN '{"k":' || CAST(event_id AS STRING) || '.5,"meta":{"on":true,"tags":[]}}' WHEN 8 THEN '[' || props || ']' ELSE props END"""
+_PATHS = (bodies.Path("k", "number", least=10, most=90), bodies.Path("meta", "object", optional=True), bodies.Path("meta.on", "boolean", optional=True), bodies.Path("meta.tags", "array", optional=True), bodies.Path("meta.tags[]", "string"))
+
+
+def body_issues(spark, d):
+    """Bodies of events against nested fields: what is malformed, missing, null, of another type or out of bounds."""
+    rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.expr(_BODY).alias("body"))
+    return bodies.parsed(rows, "body", {"k": ("k", "double")}, _PATHS).select("event_id", "k", F.array_join("issues", "; ").alias("issues"))
+
+
 ALL = (
-    schema_issues, recent_valid, account_history, user_counters, site_totals, tier_transfers, daily_rollup, overview_30, error_listing, error_summary, error_clamps, issue_log, log_summary, feedback_listing, feedback_triage,
+    body_issues, schema_issues, recent_valid, account_history, user_counters, site_totals, tier_transfers, daily_rollup, overview_30, error_listing, error_summary, error_clamps, issue_log, log_summary, feedback_listing, feedback_triage,
     users_listing, users_page, users_by_email, config_merge, audit_events, overrides_left, profile_upsert, client_keys, storage_paths, json_bodies,
 )
 QUERIES = {f.__name__: f for f in ALL}
@@ -293,7 +306,27 @@ _CELLS = [
     ("documentsByFormat", "fileType", "1", "uploads"), ("totalUsers", "'all'", "1", "users"), ("usersByTier", "tier", "1", "users"),
 ]
 _VALID = {name: f"{_issues_sql(c)} = ''" for name, c in _COLLECTION.items()}
+_KIND = "CASE coalesce({0}, 'undefined') WHEN 'undefined' THEN 'undefined' WHEN 'NULL' THEN 'null' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'number' END"
+
+
+def _body_sql() -> str:
+    said = lambda path, kind, given: f"'{path}: Invalid input: expected {kind}, received ' || {given}"
+    other = lambda path, kind: f"CASE WHEN {path.replace('.', '_')} NOT IN ('undefined', '{kind}') THEN {said(path, kind, path.replace('.', '_'))} END"
+    item = f"CASE WHEN json_type(x) <> 'VARCHAR' THEN 'meta.tags.' || (i - 1) || ': Invalid input: expected string, received ' || {_KIND.format('json_type(x)')} END"
+    return f"""
+WITH e AS (SELECT event_id, {_BODY} AS body FROM events),
+p AS (SELECT event_id, json_valid(body) AS ok, CASE WHEN json_valid(body) THEN body::JSON END AS b FROM e),
+t AS (SELECT *, {', '.join(f"{_KIND.format(f'json_type(b, {chr(39)}{path}{chr(39)})')} AS {name}" for name, path in (('body', '$'), ('k', '$.k'), ('meta', '$.meta'), ('meta_on', '$.meta.on'), ('meta_tags', '$.meta.tags')))},
+  TRY_CAST(json_extract_string(b, '$.k') AS DOUBLE) AS n FROM p)
+SELECT event_id, n AS k, CASE WHEN NOT ok THEN 'body: Malformed JSON' WHEN body <> 'object' THEN {said('body', 'object', 'body')} ELSE concat_ws('; ',
+  CASE WHEN t.k <> 'number' THEN {said('k', 'number', 't.k')} WHEN n < 10 THEN 'k: Too small: expected number to be >=10' WHEN n > 90 THEN 'k: Too big: expected number to be <=90' END,
+  {other('meta', 'object')}, CASE WHEN meta = 'object' THEN {other('meta.on', 'boolean')} END, CASE WHEN meta = 'object' THEN {other('meta.tags', 'array')} END,
+  CASE WHEN meta_tags = 'array' THEN nullif(array_to_string(list_filter(list_transform(json_extract(b, '$.meta.tags[*]'), lambda x, i: {item}), lambda y: y IS NOT NULL), '; '), '') END) END AS issues FROM t
+"""
+
+
 ORACLE_SQL = {
+    "body_issues": _body_sql(),
     "schema_issues": " UNION ALL ".join(f"SELECT '{c}' AS collection, event_id, {_issues_sql(c)} AS issues FROM ({_sql(n)}) WHERE {_issues_sql(c)} <> ''" for n, c in _COLLECTION.items()),
     "recent_valid": f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY userId {_NEW}) AS rn FROM ({_sql('conversions')})) SELECT userId, event_id, rn FROM r WHERE rn <= 20 AND {_VALID['conversions']}",
     "account_history": " UNION ALL ".join(f"(SELECT '{c}' AS list, userId, event_id, row_number() OVER (PARTITION BY userId {_NEW}) AS rn FROM ({_sql(n)}) QUALIFY rn <= 20)" for n, c in (("conversions", "conversions"), ("comparisons", "comparisons"), ("uploads", "documents"))),
