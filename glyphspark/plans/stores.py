@@ -76,9 +76,19 @@ class Stores:
         self.records(collection, made.schema).insert(made, writer, batch)
         return rows.withColumn("issues", schemas.issues(collection)).where(F.size("issues") > 0)
 
-    def records(self, collection: str, columns="id string") -> StoredTable:
-        """The table of a collection of records; columns matter before its first commit only."""
-        return self._table(f"records/{collection}", columns, "id")
+    def records(self, collection: str, columns="id string, userId string") -> StoredTable:
+        """The table of a collection of records, those of a user together, newest first; columns matter before its first
+        commit only."""
+        owned = any(f.name == "userId" for f in schemas.COLLECTIONS[collection])
+        table = self._table(f"records/{collection}", columns, *(("userId", "id") if owned else ("id",)))
+        table.order = (F.desc("createdAt"),) if owned else ()
+        return table
+
+    def history(self, collection: str, uid: str, n: int = 20) -> DataFrame:
+        """The newest n records of a user, the valid ones of them: read from the files, and the row groups of those, whose
+        range holds the user."""
+        newest = self.records(collection).lookup(uid).orderBy(F.desc("createdAt"), F.desc("id")).limit(n)
+        return schemas.valid(newest, collection)
 
     def count(self, facts: DataFrame, writer: str | None = None, batch: int | None = None) -> int:
         """Adds increments to the counters."""

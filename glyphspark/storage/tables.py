@@ -31,7 +31,7 @@ Rule = Callable[[DataFrame, DataFrame], DataFrame]
 class StoredTable:
     def __init__(self, spark: SparkSession, root: str, columns: str | StructType, keys: tuple[str, ...], order: tuple = (), file_rows: int = FILE_ROWS):
         """columns: those of a table without a version yet, later ones have what they were made with. The first key is a
-        string or whole number. order: what rows of equal keys are sorted by within files."""
+        string or whole number. order: what rows of an equal first key are sorted by within files."""
         self.spark, self.root, self.keys, self.order, self.file_rows = spark, root, tuple(keys), tuple(order), file_rows
         if isinstance(columns, StructType):  # as files have them: nulls allowed everywhere
             columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns)
@@ -166,7 +166,7 @@ class StoredTable:
         folder = f"data/{uuid.uuid4().hex}"
         files = max(1, round(most / self.file_rows))
         dealt = rows.repartitionByRange(files, *self.keys) if files > 1 else rows.coalesce(1)
-        dealt.sortWithinPartitions(*self.keys, *self.order).write.parquet(f"{self.root}/{folder}")
+        dealt.sortWithinPartitions(self.keys[0], *self.order, *self.keys[1:]).write.parquet(f"{self.root}/{folder}")
         key = F.col(self.keys[0])
         there = self.spark.read.schema(rows.schema).parquet(f"{self.root}/{folder}")
         name = F.concat(F.lit(f"{folder}/"), there.metadataColumn("_metadata")["file_name"])

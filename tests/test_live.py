@@ -166,3 +166,19 @@ def test_audits_of_settings_and_lists_that_fail(spark):
     good = lambda: spark.createDataFrame([("u", "t", "t", 1)], columns)
     out = act.history(20, conversions=read_or_empty(good, columns, spark), comparisons=read_or_empty(lambda: spark.read.parquet("/nowhere/at/all"), columns, spark))
     assert [(r["list"], r.event_id) for r in out.collect()] == [("conversions", 1)]
+
+
+def test_history_of_a_user_opens_few_files(spark, tmp_path):
+    s = Stores(spark, str(tmp_path / "s"))
+    columns = "userId string, mode string, similarity double, sourceWordCount long, targetWordCount long, changedWordCount long, createdAt string"
+    rows = spark.createDataFrame([(f"u{k % 40:02d}", "word", 0.5, k, 1, 1, f"2024-01-{k // 40 + 1:02d}") for k in range(1000)], columns)
+    table = s.records("comparisons")
+    made = rows.select(F.col("sourceWordCount").cast("string").alias("id"), *rows.columns)
+    StoredTable(spark, table.root, made.schema, ("userId", "id"), (F.desc("createdAt"),), file_rows=100).insert(made)
+    assert len(table.state()["files"]) == 10
+    df = s.history("comparisons", "u07", 5)
+    assert [r.createdAt[-2:] for r in df.collect()] == ["25", "24", "23", "22", "21"] and {r.userId for r in df.collect()} == {"u07"}
+    assert len(table.lookup("u07").inputFiles()) <= 2
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "EqualTo(userId,u07)" in plan
+    assert s.history("comparisons", "nobody").collect() == []

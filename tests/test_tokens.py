@@ -82,3 +82,22 @@ def test_an_encoding_is_shipped_with_the_call(spark):
     e = Encoding("local", "", {"ab": ("X", "none")})
     docs = spark.createDataFrame([(1, "abz")], "doc_id long, text string")
     assert [(r.encoding_id, r.confidence) for r in transcode.detect_scores(docs, [e]).collect()] == [("local", 0.5)]
+
+
+@pytest.mark.parametrize("name", [e.id for e in registry.listed()])
+def test_quick_conversion_equals_the_slow_one(name):
+    e, rng = registry.get(name), random.Random(name)
+    rules = list(e.rules)
+    often = [r for r in rules if e.rules[r][1] != "none" or "\u09cd" in e.rules[r][0]]
+    slow = quick = 0
+    for n in range(3000):
+        pool = rules if n % 3 else rules[:40] + list("  .#\u09be\u09cd\u0995")
+        t = "".join(rng.choice(often if rng.random() < (n % 5) / 8 else pool) for _ in range(rng.randrange(1, 25)))
+        a = transcode.convert(t, name)
+        b = transcode._fast_of(e).convert(t)
+        if b is None:
+            slow += 1
+            continue
+        quick += 1
+        assert b == (a["text"], a["n_tokens"], a["n_unmapped"], a["n_moved"]), t
+    assert quick > 300 and (slow > 100 or not e.post)
