@@ -44,20 +44,30 @@ TEMPERATURES = (0.1, 0.15, 0.2, 0.3, 0.4, 0.6, 0.8, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0
 _NOT_LETTER = np.array([not (chr(b).isalpha() and b < 128 or b >= 128) for b in range(256)])
 
 
-def bucket_counts(raw: np.ndarray) -> np.ndarray:
-    """Counts over BUCKETS of the n-grams of one text's bytes, in lower case."""
+def bucket_counts(raw: np.ndarray, piece: int = 1 << 20) -> np.ndarray:
+    """Counts over BUCKETS of the n-grams of one text's bytes, in lower case. Pieces of a long text hand their last three
+    bytes on, so that each n-gram counts once."""
     out = np.zeros(BUCKETS)
-    for i in range(0, len(raw), 1 << 20):
-        part = raw[max(0, i - 3) : i + (1 << 20)]
+    tail, in_gap, begun = np.zeros(0, np.uint32), True, 0
+    for i in range(0, len(raw), piece):
+        part = raw[i : i + piece]
         gap = _NOT_LETTER[part]
         keep = ~gap
         keep[1:] |= gap[1:] & ~gap[:-1]
+        keep[0] |= not in_gap
+        in_gap = bool(gap[-1])
         b = np.where(gap, 32, part)[keep].astype(np.uint32)
-        if len(b) < 3:
+        begun += len(b)
+        b = np.concatenate((tail, b))
+        if i + piece >= len(raw) and begun < 3:
             b = np.concatenate((np.full(3 - len(b), 32, np.uint32), b))
+        old = len(tail)
+        tail = b[-3:]
+        if len(b) < 3:
+            continue
         three = b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA77) + b[2:] * np.uint32(0xC2B2AE3D)
         four = three[:-1] + b[3:] * np.uint32(0x27D4EB2F) + np.uint32(0x165667B1)
-        for x in (three, four):
+        for x in (three[max(0, old - 2) :], four):  # three bytes that were all handed on have been counted
             x ^= x >> np.uint32(15)
             out += np.bincount((x * np.uint32(0x2C1B3C6D)) >> np.uint32(18), minlength=BUCKETS)
     return out
