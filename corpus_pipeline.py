@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphspark.llm import decontaminate, jaccard, langid, mixing, sharding
-from glyphspark.llm.common import durable, table
+from glyphspark.llm.common import discard, durable, table
 from glyphspark.shipping import ship
 
 
@@ -55,9 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, written = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = durable(docs, name)
+            if written is not None:  # what the next stage read is not needed again
+                discard(written)
+            written = docs
     return docs
