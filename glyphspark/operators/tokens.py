@@ -6,6 +6,8 @@ them by a broadcast join on encoding and legacy text; a table of more than MAX_R
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -57,18 +59,42 @@ def tokens_udtf(encodings: list[Encoding]):
     return Tokens
 
 
-def token_rows(docs: DataFrame, rules: DataFrame, name: str = "glyph_tokens") -> DataFrame:
-    """(doc_id, encoding_id, pos, legacy, unicode, kind, mapped) of docs (doc_id, text) under every encoding of rules, before
-    post-processing. The table function is registered under name, for SQL: glyph_tokens(text, encoding_id)."""
-    spark, encodings = docs.sparkSession, encodings_of(rules)
-    spark.udtf.register(name, tokens_udtf(encodings))
+def counts_udtf(encodings: list[Encoding]):
+    """Table function (text, encoding_id) -> (legacy, n): the distinct tokens of a text, far fewer rows than its tokens."""
+    patterns = {e.id: e.pattern for e in encodings}
+
+    @F.udtf(returnType="legacy string, n long")
+    class Counts:
+        def eval(self, text: str, encoding_id: str):
+            pattern = patterns.get(encoding_id)
+            if text and pattern:
+                yield from Counter(pattern.findall(text)).items()
+
+    return Counts
+
+
+def _with_rules(docs: DataFrame, rules: DataFrame, function, name: str, columns: list[str]) -> DataFrame:
+    """docs under every encoding of rules, with the rows of a table function and what the rules say of their tokens."""
+    encodings = encodings_of(rules)
+    made = function(encodings)
+    docs.sparkSession.udtf.register(name, made)
     each = F.explode(F.array(*[F.lit(e.id) for e in encodings]).cast("array<string>"))
     pairs = docs.select("doc_id", "text", each.alias("encoding_id"))
-    tokens = tokens_udtf(encodings)(F.col("text").outer(), F.col("encoding_id").outer())
-    found = pairs.lateralJoin(tokens).select("doc_id", "encoding_id", "pos", "legacy")
+    found = pairs.lateralJoin(made(F.col("text").outer(), F.col("encoding_id").outer())).select("doc_id", "encoding_id", *columns)
     joined = found.join(F.broadcast(rules.select("encoding_id", "legacy", F.coalesce("unicode", F.lit("")).alias("u"), F.coalesce("kind", F.lit(NONE)).alias("k"))), ["encoding_id", "legacy"], "left")
     shared = F.col("legacy").rlike(f"^(?:{transcode.SHARED})$")
-    return joined.select("doc_id", "encoding_id", "pos", "legacy", F.coalesce("u", "legacy").alias("unicode"), F.coalesce("k", F.lit(NONE)).alias("kind"), (F.col("u").isNotNull() | shared).alias("mapped"))
+    return joined.select("doc_id", "encoding_id", *columns, F.coalesce("u", "legacy").alias("unicode"), F.coalesce("k", F.lit(NONE)).alias("kind"), (F.col("u").isNotNull() | shared).alias("mapped"))
+
+
+def token_rows(docs: DataFrame, rules: DataFrame, name: str = "glyph_tokens") -> DataFrame:
+    """(doc_id, encoding_id, pos, legacy, unicode, kind, mapped) of docs (doc_id, text) under every encoding of rules, before
+    post-processing. The table function is registered under name, for SQL: glyph_tokens(text, encoding_id)."""
+    return _with_rules(docs, rules, tokens_udtf, name, ["pos", "legacy"])
+
+
+def counted_rows(docs: DataFrame, rules: DataFrame, name: str = "glyph_counts") -> DataFrame:
+    """(doc_id, encoding_id, legacy, n, unicode, kind, mapped): the same by distinct tokens of each text, with counts."""
+    return _with_rules(docs, rules, counts_udtf, name, ["legacy", "n"])
 
 
 def unmapped_details(text: Column, encoding: Encoding) -> Column:
@@ -76,8 +102,12 @@ def unmapped_details(text: Column, encoding: Encoding) -> Column:
 
     @F.pandas_udf("array<struct<sequence:string,count:long,contexts:array<string>>>")
     def run(s: pd.Series) -> pd.Series:
-        out = []
+        out, quick = [], transcode.quick(encoding)
         for t in s:
+            found = quick.details(t or "")
+            if found is not None:
+                out.append(found)
+                continue
             tokens = transcode.tokenize(t, encoding)
             tokens = transcode.reorder(encoding.post(tokens) if encoding.post else tokens)
             check = transcode.validate(tokens)

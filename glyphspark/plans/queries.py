@@ -136,8 +136,8 @@ def token_kinds(spark, d):
     """Tokens of all documents under each registered encoding and one that is added as rows, by kind: in all, mapped, and the
     distinct ones."""
     rules = tokens.rules_table(spark).unionByName(_own_encoding(spark))
-    rows = tokens.token_rows(_docs(spark, d).select("doc_id", "text"), rules)
-    light = rows.groupBy("encoding_id", "kind", "mapped", "legacy").agg(F.count("*").alias("n"))
+    rows = tokens.counted_rows(_docs(spark, d).select("doc_id", "text"), rules)
+    light = rows.groupBy("encoding_id", "kind", "mapped", "legacy").agg(F.sum("n").alias("n"))
     return light.groupBy("encoding_id", "kind", "mapped").agg(F.sum("n").alias("n"), F.count("*").alias("distinct_tokens"))
 
 

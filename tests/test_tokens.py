@@ -32,6 +32,8 @@ def test_rows_equal_the_row_local_form(spark, texts):
     for i, t in enumerate(texts):
         for e in every:
             assert sorted(got[i, e.id]) == list(enumerate(transcode.tokenize(t, e))), (i, e.id)
+    counted = {(r.doc_id, r.encoding_id, r.legacy): (r.n, r.unicode, r.kind, r.mapped) for r in tokens.counted_rows(docs, rules).collect()}
+    assert counted == {(*k, x[0]): (sum(y[0] == x[0] for _, y in v), *x[1:]) for k, v in got.items() for _, x in v}
     assert spark.sql("SELECT pos, legacy FROM glyph_tokens('KwK', 'mine')").collect() == [(0, "Kw"), (1, "K")]
     plan = tokens.token_rows(docs, rules)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
@@ -94,10 +96,13 @@ def test_quick_conversion_equals_the_slow_one(name):
         pool = rules if n % 3 else rules[:40] + list("  .#\u09be\u09cd\u0995")
         t = "".join(rng.choice(often if rng.random() < (n % 5) / 8 else pool) for _ in range(rng.randrange(1, 25)))
         a = transcode.convert(t, name)
-        b = transcode._fast_of(e).convert(t)
+        b = transcode.quick(e).convert(t)
         if b is None:
             slow += 1
             continue
         quick += 1
+        d = transcode.quick(e).details(t)
+        order = {x: k for k, x in enumerate(a["unmapped"])}
+        assert d is None or d == sorted(a["details"], key=lambda x: order[x["sequence"]]), t
         assert b == (a["text"], a["n_tokens"], a["n_unmapped"], a["n_moved"]), t
     assert quick > 300 and (slow > 100 or not e.post)
