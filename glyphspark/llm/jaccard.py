@@ -15,15 +15,18 @@ How it scales:
    those are is counted over all documents by a mergeable lossy count; it changes speed, never results.
 3. The bucket of a token is led by its smallest class; all buckets with one leader make a family, so a passage that
    many sets share makes one family and not one for each of its tokens. Sets that share a token share a family.
-   Families of more than BLOCK tokens are cut into blocks in order of size; two blocks at a time meet in a task.
+   In families of more than BLOCK tokens each set is held against the leader: those within an eighth of it are its core
+   and lie within a quarter of each other, as Jaccard distance is a metric. They all link, so their links are counted
+   from the core's size, and none of its pairs is ever made, however many near copies of one text there are. The rest is
+   cut into blocks in order of size, and so is each core; two blocks at a time, not both of one core, meet in a task.
 4. Signature trees find the pairs of a family that may link: nodes hold the OR of their members' token bitmaps and their
    size range, and pairs of nodes are traversed together, pruned by the largest overlap they allow. A pair belongs to
    the smallest leader that both sides share, so that it counts once. The first traversal, over bitmaps alone, tells
    which sets are in a pair; only those are read in full.
 5. In the task that has a group's full sets the trees are traversed again and each of their pairs is verified. Pairs
    stay inside the task: out of it come each member's number of links, weighted by copies, and its component.
-   Work grows with the square of a group of distinct near copies, as each of its links is counted, and a family of more
-   than BLOCK tokens copies each of its sets once for each block whose sizes allow a link: rows over BLOCK tokens a set.
+   Outside of cores work grows with the square of a group of distinct near copies, as each of its links is counted, and
+   a large family copies each of its sets once for each block of other sets whose sizes allow a link.
 6. Components of all families come from star contractions in Spark.
 """
 
@@ -50,6 +53,10 @@ BROADCAST_DIGESTS = 1 << 20
 BLOCK, LEAST_WEIGHT = 1 << 18, 512
 #: Tokens of up to RARE sets are counted pair by pair, others as columns of a matrix, COLUMNS at a time.
 RARE, COLUMNS = 8, 2048
+#: Share of a block from which a core has blocks of its own in a family.
+OWN_SHARE = 0.25
+#: Tokens of the leaders of large families up to which these are broadcast (16 MiB of longs).
+HEAD_TOKENS = 1 << 21
 #: Pairs are compared one by one, PAIRS at a time, where there are fewer than one in SPARSE of all.
 PAIRS, SPARSE = 4096, 64
 
@@ -238,23 +245,67 @@ def _sized(family: DataFrame) -> DataFrame:
     return family.join(sizes.withColumn("near", near).where("near").select("lead", "n"), ["lead", "n"], "left_semi")
 
 
+def _large(family: DataFrame) -> DataFrame:
+    """(lead) of the families of more than BLOCK tokens."""
+    return family.groupBy("lead").agg(F.sum(_weight()).alias("all")).where(F.col("all") > BLOCK).select("lead")
+
+
+def _weight():
+    return F.greatest("n", F.lit(LEAST_WEIGHT)).cast("long")
+
+
+def _cores(docs: DataFrame, family: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, core) of sets in large families whose distance from the leader is an eighth at most: the smallest such leader.
+    Jaccard distance is a metric, so two sets of one core lie within a quarter: they link, without a comparison."""
+    large = durable(_large(family), "large")
+    heads = large.join(classes.select(F.col("cls").alias("lead"), F.col("n").alias("m")), "lead")
+    close = family.join(heads, "lead").where("8 * least(n, m) >= 7 * greatest(n, m)").select("lead", "cls")
+    digests = close.select("cls").union(large).distinct().join(classes.select("cls", "digest"), "cls").select("digest")
+    sets = durable(_sets(docs, durable(digests, "core-digests")), "core-sets")
+    whole = sets.join(large.withColumnRenamed("lead", "cls"), "cls").select(F.col("cls").alias("lead"), F.col("members").alias("head"))
+    if (heads.agg(F.sum("m")).first()[0] or 0) <= HEAD_TOKENS:
+        whole = F.broadcast(whole)
+
+    def measure(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            (flat, at), (head, of) = _lists(table, "members"), _lists(table, "head")
+            near = np.zeros(batch.num_rows, bool)
+            for k in range(batch.num_rows):
+                a, b = flat[at[k] : at[k + 1]], head[of[k] : of[k + 1]]
+                near[k] = 15 * len(np.intersect1d(a, b, assume_unique=True)) >= 7 * (len(a) + len(b))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near)) for k in (0, 1)], names=["lead", "cls"])
+
+    rows = close.join(sets, "cls").join(whole, "lead").select("lead", "cls", "members", "head")
+    return durable(rows.mapInArrow(measure, "lead long, cls long").groupBy("cls").agg(F.min("lead").alias("core")), "cores")
+
+
 def _blocked(family: DataFrame) -> DataFrame:
-    """(lead, low, high, block, cls, n) of a family (lead, cls, n): in order of size it is cut into blocks of about BLOCK
-    tokens, and every two blocks whose sizes allow a link are a group (blocks low <= high), dealt out on its own."""
-    family = family.withColumn("w", F.greatest("n", F.lit(LEAST_WEIGHT)).cast("long"))
-    sizes = durable(family.groupBy("lead", "n").agg(F.count("*").alias("same"), F.first("w").alias("w")), "sizes")
+    """(lead, low, high, block, cls, n, core) of a family (lead, cls, n, core; no core: 0): in order of size it is cut into
+    blocks of about BLOCK tokens, those of a core with OWN_SHARE of a block or more apart, and every two blocks whose sizes
+    allow a link are a group (blocks low <= high), dealt out on its own; but for blocks of one core, whose pairs are known to
+    link."""
+    family = family if "core" in family.columns else family.withColumn("core", F.lit(0).cast("long"))
+    family = family.withColumn("w", _weight())
+    sizes = durable(family.groupBy("lead", "core", "n").agg(F.count("*").alias("same"), F.first("w").alias("w")), "sizes")
     large = sizes.groupBy("lead").agg(F.sum(F.col("same") * F.col("w")).alias("all")).where(F.col("all") > BLOCK).select("lead")
+    own = sizes.where("core <> 0").groupBy("lead", "core").agg(F.sum(F.col("same") * F.col("w")).alias("all")).where(F.col("all") >= BLOCK * OWN_SHARE).select("lead", "core", F.col("core").alias("apart"))
+    sizes = sizes.join(large, "lead").join(own, ["lead", "core"], "left").withColumn("apart", F.coalesce("apart", F.lit(0)))
+    part = durable(sizes.groupBy("lead", "apart", "n").agg(F.sum("same").alias("same"), F.first("w").alias("w")), "parts")
     # sizes of a family, not its rows, pass the window
-    order = Window.partitionBy("lead").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    start = sizes.join(large, "lead").select("lead", "n", "same", F.coalesce(F.sum(F.col("same") * F.col("w")).over(order), F.lit(0)).alias("start"))
-    block = F.floor((F.col("start") + F.pmod(F.xxhash64("cls"), F.col("same")) * F.col("w")) / BLOCK)
-    placed = durable(family.join(start, ["lead", "n"], "left").select("lead", F.coalesce(block, F.lit(-1)).cast("long").alias("block"), "cls", "n"), "placed")
-    whole = placed.where("block < 0").select("lead", F.col("block").alias("low"), F.col("block").alias("high"), "block", "cls", "n")
-    ends = placed.where("block >= 0").groupBy("lead", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    x, y = (ends.toDF("lead", k, f"least_{k}", f"most_{k}") for k in ("low", "high"))
-    pairs = durable(x.join(y, "lead").where("low <= high and 4 * most_low >= 3 * least_high").select(*GROUP), "block-pairs")
+    order = Window.partitionBy("lead", "apart").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    start = part.select("lead", "apart", "n", "same", F.coalesce(F.sum(F.col("same") * F.col("w")).over(order), F.lit(0)).alias("start"))
+    rows = family.join(large.withColumn("cut", F.lit(True)), "lead", "left").join(own, ["lead", "core"], "left").withColumn("apart", F.coalesce("apart", F.lit(0)))
+    step = F.floor((F.col("start") + F.pmod(F.xxhash64("cls"), F.col("same")) * F.col("w")) / BLOCK)
+    placed = rows.where("cut").join(start, ["lead", "apart", "n"]).select("lead", F.xxhash64("apart", step).alias("block"), "apart", "cls", "n", "core")
+    placed = durable(placed, "placed")
+    whole = rows.where("cut is null").select("lead", *[F.lit(-1).cast("long").alias(c) for c in (*GROUP[1:], "block")], "cls", "n", "core")
+    ends = placed.groupBy("lead", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.first("apart").alias("apart"))
+    x, y = (ends.toDF("lead", k, *[f"{c}_{k}" for c in ("least", "most", "apart")]) for k in ("low", "high"))
+    sized = "4 * most_low >= 3 * least_high and 4 * most_high >= 3 * least_low"
+    pairs = durable(x.join(y, "lead").where(f"low <= high and {sized} and (apart_low = 0 or apart_low <> apart_high)").select(*GROUP), "block-pairs")
     both = pairs.withColumn("block", F.explode(F.array_distinct(F.array("low", "high"))))
-    return whole.unionByName(placed.where("block >= 0").join(both, ["lead", "block"]).select(*GROUP, "block", "cls", "n"))
+    return whole.unionByName(placed.join(both, ["lead", "block"]).select(*GROUP, "block", "cls", "n", "core"))
 
 
 def _groups(batches):
@@ -332,12 +383,14 @@ def shared(flat: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> np
 
 
 def _elsewhere(key: tuple, table: pa.Table) -> np.ndarray:
-    """True for members i < j whose pair belongs to another group: they share a smaller leader, or one block of two."""
+    """True for members i < j whose pair belongs to another group: they share a smaller leader, or one block of two; and for
+    those of one core, which are known to link."""
     lead, low, high = key
     flat, at = _lists(table, "leads")
     less = flat < lead
     out = overlaps(flat[less], np.concatenate(([0], np.cumsum(less)))[at]) > 0
-    block = table.column("block").to_numpy()
+    block, core = table.column("block").to_numpy(), table.column("core").to_numpy()
+    out |= (core[:, None] == core) & (core != 0)
     return out | (block[:, None] == block) if low != high else out
 
 
@@ -363,16 +416,17 @@ def candidates(key: tuple, table: pa.Table, n: np.ndarray, maps: list[bytes]):
 
 
 def _near(rows: DataFrame) -> DataFrame:
-    """The rows (GROUP, block, cls, n, leads, map) that are in a candidate pair of their group, without map."""
+    """The rows (GROUP, block, cls, n, core, leads, map) that are in a candidate pair of their group, without map."""
 
     def walk(batches):
         for key, table in _groups(batches):
             near = np.zeros(table.num_rows, bool)
             for i, j in candidates(key, table, table.column("n").to_numpy(), table.column("map").to_pylist()):
                 near[i] = near[j] = True
-            yield pa.RecordBatch.from_arrays([pa.array(table.column(k).to_numpy()[near]) for k in (*GROUP, "block", "cls")], names=[*GROUP, "block", "cls"])
+            kept = [*GROUP, "block", "cls", "core"]
+            yield pa.RecordBatch.from_arrays([pa.array(table.column(k).to_numpy()[near]) for k in kept], names=kept)
 
-    return gathered(rows.select(*GROUP, "block", "cls", "n", "leads", "map"), GROUP, ["n", "cls"]).mapInArrow(walk, "lead long, low long, high long, block long, cls long")
+    return gathered(rows.select(*GROUP, "block", "cls", "n", "core", "leads", "map"), GROUP, ["n", "cls"]).mapInArrow(walk, "lead long, low long, high long, block long, cls long, core long")
 
 
 def _within(links: np.ndarray) -> np.ndarray:
@@ -389,7 +443,7 @@ def _within(links: np.ndarray) -> np.ndarray:
 
 
 def _linked(rows: DataFrame) -> DataFrame:
-    """(cls, root, links) of the rows (GROUP, block, cls, copies, leads, members) that link in their group: a member that they
+    """(cls, root, links) of the rows (GROUP, block, cls, core, copies, leads, members) that link in their group: a member that they
     reach by links there, and the number of documents that they link with. The trees' pairs are verified, each and no
     others; pairs stay inside the task."""
 
@@ -408,7 +462,7 @@ def _linked(rows: DataFrame) -> DataFrame:
             on = np.flatnonzero(link.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(cls[on]), pa.array(cls[_within(link)[on]]), pa.array((link @ copies)[on])], names=["cls", "root", "links"])
 
-    return gathered(rows.select(*GROUP, "block", "cls", "copies", "leads", "members"), GROUP, ["cls"]).mapInArrow(count, "cls long, root long, links long")
+    return gathered(rows.select(*GROUP, "block", "cls", "core", "copies", "leads", "members"), GROUP, ["cls"]).mapInArrow(count, "cls long, root long, links long")
 
 
 def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -432,10 +486,17 @@ def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     discard(member)
     leads = durable(family.groupBy("cls").agg(F.sort_array(F.collect_list("lead")).alias("leads")), "leads")
 
-    near = durable(_near(_blocked(family).join(leads, "cls").join(classes.select("cls", "map"), "cls")), "near")
+    core = _cores(docs, family, classes)
+    marked = family.join(core, "cls", "left").select("lead", "cls", "n", F.coalesce("core", F.lit(0)).cast("long").alias("core"))
+    near = durable(_near(_blocked(marked).join(leads, "cls").join(classes.select("cls", "map"), "cls")), "near")
     wanted = durable(classes.join(near.select("cls").distinct(), "cls").select("digest"), "wanted")
     found = durable(_linked(near.join(leads, "cls").join(classes.select("cls", "copies"), "cls").join(_sets(docs, wanted), "cls")), "linked")
 
+    # each set of a core links with all others of it
+    mine = core.join(classes.select("cls", "copies"), "cls")
+    whole = mine.groupBy("core").agg(F.sum("copies").alias("all"), F.min("cls").alias("root"))
+    found = found.unionByName(mine.join(whole, "core").select("cls", "root", (F.col("all") - F.col("copies")).alias("links")).where("links > 0"))
+
     node = connected_components(found.select(F.col("cls").alias("src"), F.col("root").alias("dst")))
     degree = found.groupBy("cls").agg(F.sum("links").alias("links"))
     label = classes.join(node, F.col("cls") == F.col("node"), "left").join(degree, "cls", "left").select("cls", F.coalesce("component", "cls").alias("comp"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))

@@ -173,13 +173,13 @@ def test_pairs_of_trees_are_verified(monkeypatch, sparse):
     at = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
     n = np.diff(at)
     leads = [[1, 7] if k % 9 == 0 else [7] for k in range(len(sets))]
-    table = pa.table({"leads": pa.array(leads, pa.list_(pa.int64())), "block": pa.array([k // 2 % 2 for k in range(len(sets))], pa.int64())})
+    table = pa.table({"leads": pa.array(leads, pa.list_(pa.int64())), "block": pa.array([k // 2 % 2 for k in range(len(sets))], pa.int64()), "core": pa.array([5 if k in (3, 5, 7) else 0 for k in range(len(sets))], pa.int64())})
     flat = np.concatenate(sets)
     common = {(i, j): len(set(sets[i].tolist()) & set(sets[j].tolist())) for i in range(len(sets)) for j in range(i + 1, len(sets))}
     links = {p for p, c in common.items() if 100 * c >= 75 * (n[p[0]] + n[p[1]] - c)}
     maps = [jaccard.bitmap(s.view(np.uint64)).tobytes() for s in sets]
     for key in ((7, -1, -1), (7, 0, 1)):
-        mine = {(i, j) for i, j in links if not (i % 9 == 0 and j % 9 == 0) and (key[1] == key[2] or i // 2 % 2 != j // 2 % 2)}
+        mine = {(i, j) for i, j in links if not (i % 9 == 0 and j % 9 == 0) and not {i, j} <= {3, 5, 7} and (key[1] == key[2] or i // 2 % 2 != j // 2 % 2)}
         i, j = (np.concatenate(x) for x in zip(*jaccard.candidates(key, table, n, maps), strict=True))
         found = list(zip(i.tolist(), j.tolist(), strict=True))
         assert len(set(found)) == len(found) and mine <= set(found) and len(found) < len(common) / 2 and all(a < b for a, b in found)
@@ -250,3 +250,59 @@ def test_documents_are_scanned_once_for_all_blocks(spark, monkeypatch):
         found = decontaminate.find_leaks(docs, bench)
         n = found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
         assert {tuple(r)[:2] for r in found.collect()} == want and (n == scans if scans else n > 5)
+
+
+def edited(rng, base, n, tag):
+    words = list(base)
+    for _ in range(n):
+        words[rng.randrange(len(words))] = f"{tag}{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_cores_lose_no_link_and_count_none_twice(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    shared_part = [word() for _ in range(60)]
+    bases = [[word() for _ in range(120)] for _ in range(3)] + [shared_part + [word() for _ in range(60)] for _ in range(2)]
+    rows = []
+    for b, base in enumerate(bases):
+        for k in range(35):
+            rows += [edited(rng, base, rng.choice([0, 1, 1, 2, 3, 5, 9]), f"e{b}x{k}y")] * rng.choice([1, 1, 2])
+        for k in range(10):
+            cut = rng.randrange(70, 120)
+            rows.append(" ".join(base[:cut]) + " " + edited(rng, base[:20], 1, f"c{b}x{k}y"))
+    rng.shuffle(rows)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in rows)]
+    near = [[j for j, b in enumerate(sets) if i != j and 100 * len(a & b) >= 75 * len(a | b)] for i, a in enumerate(sets)]
+    least = {}
+    for i in range(len(rows)):
+        if i not in least:
+            todo = [i]
+            while todo:
+                x = todo.pop()
+                if x not in least:
+                    least[x] = i
+                    todo += near[x]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for block in (512 * 5, 512 * 40, 1 << 18):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        got = {r.doc_id: (r.n_links, r.component_id) for r in jaccard.jaccard_components(docs).collect()}
+        assert got == {i: (len(near[i]), least[i]) for i in range(len(rows))}, block
+    assert len({len(x) for x in near}) > 8
+
+
+def test_rows_of_a_large_family_are_linear(spark, monkeypatch):
+    """Distinct near copies of one text: the leader's core brings no pair of blocks, however many there are."""
+    rng = random.Random(3)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
+    seen = []
+    real = jaccard._blocked
+    monkeypatch.setattr(jaccard, "_blocked", lambda family: seen.append((family.count(), real(family).count())) or real(family))
+    monkeypatch.setattr(jaccard, "BLOCK", 512 * 20)
+    for n in (400, 1600):
+        docs = spark.createDataFrame([(k, edited(rng, base, 1, f"n{n}k{k}x")) for k in range(n)], "doc_id long, text string").repartition(4)
+        got = jaccard.jaccard_components(docs).collect()
+        assert {r.n_links for r in got} == {n - 1} and {r.component_id for r in got} == {0}
+    (a, x), (b, y) = seen[-2:]
+    assert x <= 3 * a and y <= 3 * b
