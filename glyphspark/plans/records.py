@@ -204,12 +204,22 @@ def users_by_email(spark, d):
     return users_listing(spark, d).where(F.col("email") == "customer#000000007@example.org")
 
 
+def _config_patches(spark, d):
+    s = spark.read.parquet(f"{d}/supplier.parquet").withColumn("k", F.col("s_suppkey"))
+    return s.where("k % 3 <> 0").select("k", (F.col("k") % 2 == 0).alias("sent_easy"), F.when(F.col("k") % 4 == 0, F.col("k")).alias("easy"), F.lit(None).cast("boolean").alias("sent_medium"), F.lit(1).cast("long").alias("medium"), F.lit(True).alias("sent_documentsEnabled"), F.lit(True).alias("documentsEnabled"))
+
+
 def config_merge(spark, d):
     """Settings of each supplier after a patch that sends some fields, one of them to clear."""
     s = spark.read.parquet(f"{d}/supplier.parquet").withColumn("k", F.col("s_suppkey"))
     current = s.select("k", (F.col("k") * 100).alias("easy"), F.lit(6000).cast("long").alias("medium"), (F.col("k") % 2 == 0).alias("documentsEnabled"))
-    patch = s.where("k % 3 <> 0").select("k", (F.col("k") % 2 == 0).alias("sent_easy"), F.when(F.col("k") % 4 == 0, F.col("k")).alias("easy"), F.lit(None).cast("boolean").alias("sent_medium"), F.lit(1).cast("long").alias("medium"), F.lit(True).alias("sent_documentsEnabled"), F.lit(True).alias("documentsEnabled"))
-    return act.merge_config(current, patch, "k", ["easy", "medium", "documentsEnabled"])
+    return act.merge_config(current, _config_patches(spark, d), "k", ["easy", "medium", "documentsEnabled"])
+
+
+def config_audits(spark, d):
+    """Audit entries of the patches of config_merge, each by an admin of its own."""
+    patches = _config_patches(spark, d).withColumn("actor", F.concat(F.lit("admin "), F.col("k").cast("string")))
+    return act.config_audits(patches, ["easy", "medium", "documentsEnabled"])
 
 
 def _changes(spark, d):
@@ -270,7 +280,7 @@ def body_issues(spark, d):
 
 ALL = (
     body_issues, schema_issues, recent_valid, account_history, user_counters, site_totals, tier_transfers, daily_rollup, overview_30, error_listing, error_summary, error_clamps, issue_log, log_summary, feedback_listing, feedback_triage,
-    users_listing, users_page, users_by_email, config_merge, audit_events, overrides_left, profile_upsert, client_keys, storage_paths, json_bodies,
+    users_listing, users_page, users_by_email, config_merge, config_audits, audit_events, overrides_left, profile_upsert, client_keys, storage_paths, json_bodies,
 )
 QUERIES = {f.__name__: f for f in ALL}
 
@@ -345,6 +355,8 @@ ORACLE_SQL = {
     "users_listing": _USERS + "SELECT * FROM listed",
     "users_page": _USERS + "SELECT * FROM listed WHERE uid > 100 ORDER BY uid LIMIT 50",
     "users_by_email": _USERS + "SELECT * FROM listed WHERE email = 'customer#000000007@example.org'",
+    "config_audits": """SELECT 'admin ' || s_suppkey AS actor, 'config.update' AS action, 'systemConfig/limits' AS target,
+      '{' || concat_ws(',', CASE WHEN s_suppkey % 2 = 0 THEN '"easy":' || CASE WHEN s_suppkey % 4 = 0 THEN s_suppkey::VARCHAR ELSE 'null' END END, '"documentsEnabled":true') || '}' AS metadata FROM supplier WHERE s_suppkey % 3 <> 0""",
     "config_merge": "SELECT s_suppkey AS k, CASE WHEN s_suppkey % 3 <> 0 AND s_suppkey % 2 = 0 THEN CASE WHEN s_suppkey % 4 = 0 THEN s_suppkey END ELSE s_suppkey * 100 END AS easy, 6000::BIGINT AS medium, s_suppkey % 3 <> 0 OR s_suppkey % 2 = 0 AS documentsEnabled FROM supplier",
     "audit_events": f"WITH c AS (SELECT c_custkey AS uid, {_TIER.format('c_custkey')} AS old, {_TIER.format('(c_custkey + 1)')} AS new FROM customer) SELECT 'admin' AS actor, 'user.tier.set' AS action, 'users/' || uid AS target, '{{\"oldTier\":\"' || old || '\",\"newTier\":\"' || new || '\"}}' AS metadata FROM c WHERE uid % 4 = 0 UNION ALL SELECT 'admin', CASE WHEN uid % 2 = 0 THEN 'user.disable' ELSE 'user.enable' END, 'auth/' || uid, '{{}}' FROM c WHERE uid % 5 = 0 UNION ALL SELECT 'admin', CASE WHEN uid % 12 = 0 THEN 'user.usageOverride.set' ELSE 'user.usageOverride.clear' END, 'usageOverrides/' || uid, CASE WHEN uid % 12 = 0 THEN '{{\"maxNonWhitespaceChars\":' || uid * 10 || '}}' ELSE '{{}}' END FROM c WHERE uid % 6 = 0",
     "overrides_left": f"SELECT uid, maxNonWhitespaceChars FROM ({_sql('overrides')}) WHERE uid NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 9 = 0)",
