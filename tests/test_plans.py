@@ -200,3 +200,19 @@ def test_streams_start(spark):
     assert limits.rate_limit_stream(rate, 2, 60).isStreaming
     days = rate.select(F.col("ts").alias("created_at"), F.lit("view").alias("kind"))
     assert limits.daily_stream(days, {"view": "views"}).columns == ["day", "views"]
+
+
+def test_notes_of_archives(spark):
+    def archive(body):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:o="urn:other"><w:body>{body}</w:body></w:document>')
+        return out.getvalue()
+
+    plain = archive("<w:p><w:pPr><w:odd/></w:pPr><w:r><w:t>one</w:t><w:tab/><w:t>two</w:t></w:r></w:p><w:tbl><w:tblPr/><w:tr><w:tc><w:p><w:r><w:t>cell</w:t></w:r></w:p></w:tc></w:tr></w:tbl>")
+    odd = archive("<w:p><w:r><w:drawing><w:inner/></w:drawing><w:t>text</w:t></w:r></w:p><o:shape><o:x/></o:shape><w:p><w:r><w:drawing/><w:sym/></w:r></w:p><w:p><w:del><w:r><w:delText>gone</w:delText></w:r></w:del></w:p>")
+    blank = archive("<w:p><w:r><w:pict/></w:r></w:p>")
+    rows = [(str(k), len(c), c, "a.docx", None) for k, c in enumerate((plain, odd, blank, b"no zip"))] + [("9", 3, b"txt", "a.txt", None)]
+    got = {r.path: (r.text, r.error, r.notes) for r in src.extract(spark.createDataFrame(rows, "path string, length long, content binary, file_name string, mime string")).collect()}
+    said = lambda *names: [f"An unrecognised element was ignored: {x}" for x in names]
+    assert got == {"0": ("one\ttwo\n\ncell\n\n", None, None), "1": ("text\n\n\n\n\n\n", None, said("w:drawing", "shape", "w:sym")), "2": (None, "empty", None), "3": (None, "corrupted", None), "9": ("txt", None, None)}
