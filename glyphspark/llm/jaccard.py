@@ -15,10 +15,10 @@ How it scales:
    those are is counted over all documents by a mergeable lossy count; it changes speed, never results.
 3. The bucket of a token is led by its smallest class; all buckets with one leader make a family, so a passage that
    many sets share makes one family and not one for each of its tokens. Sets that share a token share a family.
-   In families of more than BLOCK tokens each set is held against the leader: those within an eighth of it are its core
+   In families of more than CORE_BLOCKS blocks each set is held against the leader: those within an eighth of it are its core
    and lie within a quarter of each other, as Jaccard distance is a metric. They all link, so their links are counted
-   from the core's size, and none of its pairs is ever made, however many near copies of one text there are. The rest is
-   cut into blocks in order of size, and so is each core; two blocks at a time, not both of one core, meet in a task.
+   from the core's size, and none of its pairs is ever made, however many near copies of one text there are. Families of
+   more than BLOCK tokens are cut into blocks in order of size, and so is each core; two blocks at a time, not both of one core, meet in a task.
 4. Signature trees find the pairs of a family that may link: nodes hold the OR of their members' token bitmaps and their
    size range, and pairs of nodes are traversed together, pruned by the largest overlap they allow. A pair belongs to
    the smallest leader that both sides share, so that it counts once. The first traversal, over bitmaps alone, tells
@@ -53,6 +53,8 @@ BROADCAST_DIGESTS = 1 << 20
 BLOCK, LEAST_WEIGHT = 1 << 18, 512
 #: Tokens of up to RARE sets are counted pair by pair, others as columns of a matrix, COLUMNS at a time.
 RARE, COLUMNS = 8, 2048
+#: Blocks from which a family has cores: they cost a shuffle of its sets, blocks up to so many copies of each.
+CORE_BLOCKS = 32
 #: Share of a block from which a core has blocks of its own in a family.
 OWN_SHARE = 0.25
 #: Tokens of the leaders of large families up to which these are broadcast (16 MiB of longs).
@@ -246,8 +248,8 @@ def _sized(family: DataFrame) -> DataFrame:
 
 
 def _large(family: DataFrame) -> DataFrame:
-    """(lead) of the families of more than BLOCK tokens."""
-    return family.groupBy("lead").agg(F.sum(_weight()).alias("all")).where(F.col("all") > BLOCK).select("lead")
+    """(lead) of the families of more than CORE_BLOCKS blocks."""
+    return family.groupBy("lead").agg(F.sum(_weight()).alias("all")).where(F.col("all") > CORE_BLOCKS * BLOCK).select("lead")
 
 
 def _weight():
@@ -258,6 +260,8 @@ def _cores(docs: DataFrame, family: DataFrame, classes: DataFrame) -> DataFrame:
     """(cls, core) of sets in large families whose distance from the leader is an eighth at most: the smallest such leader.
     Jaccard distance is a metric, so two sets of one core lie within a quarter: they link, without a comparison."""
     large = durable(_large(family), "large")
+    if large.isEmpty():
+        return classes.select("cls", F.col("cls").alias("core")).limit(0)
     heads = large.join(classes.select(F.col("cls").alias("lead"), F.col("n").alias("m")), "lead")
     close = family.join(heads, "lead").where("8 * least(n, m) >= 7 * greatest(n, m)").select("lead", "cls")
     digests = close.select("cls").union(large).distinct().join(classes.select("cls", "digest"), "cls").select("digest")

@@ -285,8 +285,9 @@ def test_cores_lose_no_link_and_count_none_twice(spark, monkeypatch, seed):
                     least[x] = i
                     todo += near[x]
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    for block in (512 * 5, 512 * 40, 1 << 18):
+    for block, blocks in ((512 * 5, 1), (512 * 40, 1), (512 * 5, 8), (1 << 18, 32)):
         monkeypatch.setattr(jaccard, "BLOCK", block)
+        monkeypatch.setattr(jaccard, "CORE_BLOCKS", blocks)
         got = {r.doc_id: (r.n_links, r.component_id) for r in jaccard.jaccard_components(docs).collect()}
         assert got == {i: (len(near[i]), least[i]) for i in range(len(rows))}, block
     assert len({len(x) for x in near}) > 8
@@ -300,6 +301,7 @@ def test_rows_of_a_large_family_are_linear(spark, monkeypatch):
     real = jaccard._blocked
     monkeypatch.setattr(jaccard, "_blocked", lambda family: seen.append((family.count(), real(family).count())) or real(family))
     monkeypatch.setattr(jaccard, "BLOCK", 512 * 20)
+    monkeypatch.setattr(jaccard, "CORE_BLOCKS", 4)
     for n in (400, 1600):
         docs = spark.createDataFrame([(k, edited(rng, base, 1, f"n{n}k{k}x")) for k in range(n)], "doc_id long, text string").repartition(4)
         got = jaccard.jaccard_components(docs).collect()
