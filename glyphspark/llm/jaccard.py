@@ -18,7 +18,8 @@ How it scales:
    In families of more than CORE_BLOCKS blocks each set is held against the leader: those within an eighth of it are its core
    and lie within a quarter of each other, as Jaccard distance is a metric. They all link, so their links are counted
    from the core's size, and none of its pairs is ever made, however many near copies of one text there are. Families of
-   more than BLOCK tokens are cut into blocks in order of size, and so is each core; two blocks at a time, not both of one core, meet in a task.
+   more than BLOCK tokens are cut into blocks in order of size, each core apart; two blocks at a time, not both of one
+   core, meet in a task.
 4. Signature trees find the pairs of a family that may link: nodes hold the OR of their members' token bitmaps and their
    size range, and pairs of nodes are traversed together, pruned by the largest overlap they allow. A pair belongs to
    the smallest leader that both sides share, so that it counts once. The first traversal, over bitmaps alone, tells
