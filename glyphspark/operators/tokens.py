@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections import Counter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -100,20 +100,11 @@ def counted_rows(docs: DataFrame, rules: DataFrame, name: str = "glyph_counts")
 def unmapped_details(text: Column, encoding: Encoding) -> Column:
     """array<struct<sequence, count, contexts>> of one text, as validate gives them, sequences by their first place."""
 
-    @F.pandas_udf("array<struct<sequence:string,count:long,contexts:array<string>>>")
-    def run(s: pd.Series) -> pd.Series:
-        out, quick = [], transcode.quick(encoding)
-        for t in s:
-            found = quick.details(t or "")
-            if found is not None:
-                out.append(found)
-                continue
-            tokens = transcode.tokenize(t, encoding)
-            tokens = transcode.reorder(encoding.post(tokens) if encoding.post else tokens)
-            check = transcode.validate(tokens)
-            place = {x: k for k, x in enumerate(check["unmapped"])}
-            out.append(sorted(check["details"], key=lambda d: place[d["sequence"]]))
-        return pd.Series(out)
+    @F.arrow_udf("array<struct<sequence:string,count:long,contexts:array<string>>>")
+    def run(s: pa.Array) -> pa.Array:
+        lines = transcode.rewriter(encoding).lines(s.to_pylist())
+        rows = [transcode.details_of(x, k, found) for x in lines for k, found in enumerate(x.unmapped(transcode.MAX_CONTEXTS))]
+        return pa.array(rows, pa.list_(pa.struct([("sequence", pa.string()), ("count", pa.int64()), ("contexts", pa.list_(pa.string()))])))
 
     return run(text)
 
