@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..encodings import registry
@@ -18,6 +18,8 @@ from ..encodings.rules import NONE
 from . import transcode
 
 MAX_RULES = 100_000
+#: Rows of counts that a task gathers before they leave it, about.
+BATCH_ROWS = 50_000
 RULES = "encoding_id string, ord int, legacy string, unicode string, kind string"
 
 
@@ -73,14 +75,8 @@ def counts_udtf(encodings: list[Encoding]):
     return Counts
 
 
-def _with_rules(docs: DataFrame, rules: DataFrame, function, name: str, columns: list[str]) -> DataFrame:
-    """docs under every encoding of rules, with the rows of a table function and what the rules say of their tokens."""
-    encodings = encodings_of(rules)
-    made = function(encodings)
-    docs.sparkSession.udtf.register(name, made)
-    each = F.explode(F.array(*[F.lit(e.id) for e in encodings]).cast("array<string>"))
-    pairs = docs.select("doc_id", "text", each.alias("encoding_id"))
-    found = pairs.lateralJoin(made(F.col("text").outer(), F.col("encoding_id").outer())).select("doc_id", "encoding_id", *columns)
+def _with_rules(found: DataFrame, rules: DataFrame, columns: list[str]) -> DataFrame:
+    """found (doc_id, encoding_id, legacy, ...) with what the rules say of its tokens."""
     joined = found.join(F.broadcast(rules.select("encoding_id", "legacy", F.coalesce("unicode", F.lit("")).alias("u"), F.coalesce("kind", F.lit(NONE)).alias("k"))), ["encoding_id", "legacy"], "left")
     shared = F.col("legacy").rlike(f"^(?:{transcode.SHARED})$")
     return joined.select("doc_id", "encoding_id", *columns, F.coalesce("u", "legacy").alias("unicode"), F.coalesce("k", F.lit(NONE)).alias("kind"), (F.col("u").isNotNull() | shared).alias("mapped"))
@@ -89,37 +85,75 @@ def _with_rules(docs: DataFrame, rules: DataFrame, function, name: str, columns:
 def token_rows(docs: DataFrame, rules: DataFrame, name: str = "glyph_tokens") -> DataFrame:
     """(doc_id, encoding_id, pos, legacy, unicode, kind, mapped) of docs (doc_id, text) under every encoding of rules, before
     post-processing. The table function is registered under name, for SQL: glyph_tokens(text, encoding_id)."""
-    return _with_rules(docs, rules, tokens_udtf, name, ["pos", "legacy"])
+    encodings = encodings_of(rules)
+    made = tokens_udtf(encodings)
+    docs.sparkSession.udtf.register(name, made)
+    each = F.explode(F.array(*[F.lit(e.id) for e in encodings]).cast("array<string>"))
+    pairs = docs.select("doc_id", "text", each.alias("encoding_id"))
+    found = pairs.lateralJoin(made(F.col("text").outer(), F.col("encoding_id").outer())).select("doc_id", "encoding_id", "pos", "legacy")
+    return _with_rules(found, rules, ["pos", "legacy"])
 
 
 def counted_rows(docs: DataFrame, rules: DataFrame, name: str = "glyph_counts") -> DataFrame:
-    """(doc_id, encoding_id, legacy, n, unicode, kind, mapped): the same by distinct tokens of each text, with counts."""
-    return _with_rules(docs, rules, counts_udtf, name, ["legacy", "n"])
-
-
-def unmapped_details(text: Column, encoding: Encoding) -> Column:
-    """array<struct<sequence, count, contexts>> of one text, as validate gives them, sequences by their first place."""
-
-    @F.arrow_udf("array<struct<sequence:string,count:long,contexts:array<string>>>")
-    def run(s: pa.Array) -> pa.Array:
-        lines = transcode.rewriter(encoding).lines(s.to_pylist())
-        rows = [transcode.details_of(x, k, found) for x in lines for k, found in enumerate(x.unmapped(transcode.MAX_CONTEXTS))]
-        return pa.array(rows, pa.list_(pa.struct([("sequence", pa.string()), ("count", pa.int64()), ("contexts", pa.list_(pa.string()))])))
-
-    return run(text)
+    """(doc_id, encoding_id, legacy, n, unicode, kind, mapped): the same by distinct tokens of each text, with counts; for all
+    encodings in one pass over the characters. SQL has the table function counts_udtf under name."""
+    encodings = encodings_of(rules)
+    docs.sparkSession.udtf.register(name, counts_udtf(encodings))
+    names = [e.id for e in encodings]
+
+    def run(batches):
+        for batch in batches:
+            ids, rows = batch.column(0), [[], [], [], []]
+            fields = [ids.type, pa.string(), pa.string(), pa.int64()]
+            flush = lambda rows: pa.RecordBatch.from_arrays([ids.take(pa.array(rows[0], pa.int64())), *[pa.array(x, t) for x, t in zip(rows[1:], fields[1:], strict=True)]], names=["doc_id", "encoding_id", "legacy", "n"])
+            for i, k, found in transcode.glyphs(encodings).distinct(batch.column(1).to_pylist()):
+                for column, values in zip(rows, ([i] * len(found), [names[k]] * len(found), *zip(*found, strict=True)), strict=True):
+                    column.extend(values)
+                if len(rows[0]) >= BATCH_ROWS:
+                    yield flush(rows)
+                    rows = [[], [], [], []]
+            yield flush(rows)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, encoding_id string, legacy string, n long")
+    return _with_rules(found, rules, ["legacy", "n"])
+
+
+def _unmapped_parts(docs: DataFrame, encoding: Encoding) -> DataFrame:
+    """(sequence, n, documents, contexts) of the texts of each task, contexts with doc_id and place, the first MAX_CONTEXTS."""
+    most = transcode.MAX_CONTEXTS
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        made, seen, ids = transcode.rewriter(encoding), {}, None
+        for batch in batches:
+            ids = batch.column(0)
+            names = ids.to_pylist()
+            for x in made.lines(batch.column(1).to_pylist()):
+                for k, row in enumerate(x.unmapped(most)):
+                    doc = (names[x.first + k] is not None, names[x.first + k])
+                    for t, n, near in row:
+                        d = seen.setdefault(t, [0, 0, []])
+                        d[0], d[1] = d[0] + n, d[1] + 1
+                        if len(d[2]) < most or doc <= d[2][-1][0]:
+                            new = [(doc, i, transcode.nfc(x.context(k, p, transcode.CONTEXT))) for i, p in enumerate(near)]
+                            d[2] = sorted([*d[2], *new])[:most]
+        if seen:
+            inner = pa.struct([("doc_id", ids.type), ("pos", pa.int32()), ("context", pa.string())])
+            contexts = [[{"doc_id": doc[1], "pos": i, "context": c} for doc, i, c in d[2]] for d in seen.values()]
+            columns = [pa.array([made.name(t) for t in seen]), *[pa.array([d[k] for d in seen.values()], pa.int64()) for k in (0, 1)], pa.array(contexts, pa.list_(inner))]
+            yield pa.RecordBatch.from_arrays(columns, names=["sequence", "n", "documents", "contexts"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"sequence string, n long, documents long, contexts array<struct<doc_id:{kind},pos:int,context:string>>")
 
 
 def unmapped_report(docs: DataFrame, encoding: Encoding) -> DataFrame:
     """(sequence, n, documents, contexts, line) of all texts of docs (doc_id, text): how often each unmapped sequence stands,
     in how many documents, its first contexts in the order of doc_id and place, and the line that a reader sees.
 
-    A document brings MAX_CONTEXTS contexts of a sequence at most; the first ones of all come from ranks, which Spark takes
-    as limits ahead of the shuffle, so a sequence of every document costs no more than another."""
-    found = docs.select("doc_id", F.explode(unmapped_details(F.col("text"), encoding)).alias("d")).select("doc_id", "d.*")
-    counts = found.groupBy("sequence").agg(F.sum("count").alias("n"), F.count("*").alias("documents"))
-    each = found.select("sequence", "doc_id", F.posexplode("contexts").alias("pos", "context"))
-    rank = F.row_number().over(Window.partitionBy("sequence").orderBy("doc_id", "pos", "context"))
-    first = each.withColumn("rank", rank).where(F.col("rank") <= transcode.MAX_CONTEXTS)
-    first = first.groupBy("sequence").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "context"))), lambda x: x["context"]).alias("contexts"))  # MAX_CONTEXTS rows
+    A task brings one row for each sequence of its texts, with MAX_CONTEXTS contexts at most, so a sequence of every document
+    costs no more than another and only contexts that may be among the first are made."""
+    found = _unmapped_parts(docs, encoding).groupBy("sequence").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"), F.flatten(F.collect_list("contexts")).alias("c"))  # MAX_CONTEXTS of a task
+    first = F.transform(F.slice(F.sort_array("c"), 1, transcode.MAX_CONTEXTS), lambda x: x["context"])
     line = F.concat(F.lit('"'), F.col("sequence"), F.lit('" ×'), F.col("n").cast("string"), F.lit(" — "), F.array_join("contexts", "  |  "))
-    return counts.join(first, "sequence").select("sequence", "n", "documents", "contexts", line.alias("line"))
+    return found.select("sequence", "n", "documents", first.alias("contexts")).select("*", line.alias("line"))

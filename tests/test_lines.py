@@ -1,13 +1,14 @@
 """Conversion of many texts at once against tokens one by one."""
 
 import random
+from collections import Counter
 
 import pytest
 
 from glyphspark.encodings import registry
 from glyphspark.encodings.registry import Encoding
 from glyphspark.encodings.rules import NONE, PRE, REPH
-from glyphspark.operators import glyphs
+from glyphspark.operators import glyphs, tokens
 from glyphspark.operators import transcode as tc
 
 
@@ -68,3 +69,28 @@ def test_plain_stretches_are_not_looked_at(monkeypatch):
     monkeypatch.setattr(made, "_stretch", lambda ids: looked.append(len(ids)) or stretch(ids))
     (x,) = made.lines(["KLM" * 10_000 + "wK" + "KLM" * 10_000] * 2)
     assert sum(looked) <= 10 and len(made.known) == 1 and x.texts[0][30_000:30_002] == "কি"
+
+
+@pytest.mark.parametrize("piece", [1 << 20, 60])
+def test_distinct_tokens_of_all_encodings(monkeypatch, piece):
+    monkeypatch.setattr(glyphs, "PIECE", piece)
+    encodings = registry.listed() + odd()
+    some = [t for e in encodings for t in texts(e, 40)]
+    got = {(i, k): Counter(dict(found)) for i, k, found in tc.glyphs(encodings).distinct(some)}
+    assert got == {(i, k): Counter(e.pattern.findall(t)) for i, t in enumerate(some) if t for k, e in enumerate(encodings)}
+
+
+def test_a_report_makes_few_contexts(spark, monkeypatch):
+    """One row of a task for each sequence, whatever the number of documents; contexts by doc_id, not by arrival."""
+    docs = spark.range(500, 0, -1, 2).selectExpr("id AS doc_id", "concat('K@', id) AS text")
+    parts = tokens._unmapped_parts(docs, registry.get("bijoy")).collect()
+    assert [(r.sequence, len(r.contexts)) for r in parts] == [("@", 3)] * len(parts) and len(parts) <= 2
+    (r,) = tokens.unmapped_report(docs, registry.get("bijoy")).collect()
+    assert (r.n, r.documents, r.contexts) == (500, 500, ["ক⟦@⟧১", "ক⟦@⟧২", "ক⟦@⟧৩"])
+
+
+def test_tables_of_encodings_that_callers_bring_do_not_pile_up():
+    for n in range(30):
+        same = tc.rewriter(Encoding("mine", "", {"a": (str(n // 15), NONE)}))
+        assert tc.rewriter(Encoding("mine", "", {"a": (str(n // 15), NONE)})) is same
+    assert len(tc._rewriters) <= 8
