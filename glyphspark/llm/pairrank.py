@@ -9,15 +9,18 @@ are ignored, an empty table gives no rows.
 A document's strength is a linear function of its features: shares of trigrams of character classes (letters by case,
 digits, white space, each ASCII symbol), and measures of its words, lines and repeats, all over the whole text. The chance
 that one document is preferred to another is the logistic function of the difference of their strengths; pairs of a good
-and a bad document of the sample are the preferences, and minibatch gradients of the logistic loss of feature differences
-are descended in numpy. A quarter of the sample is not fitted: of the quantiles of its strengths (weighted back to the
-shares of the labels) the one with the fewest errors is the threshold. A score is the chance that the document is preferred
-to one that stands at the threshold, shifted so that the threshold itself scores CUT. Features of short texts are chance, so they
+and a bad document are the preferences, and minibatch gradients of the logistic loss of feature differences are descended
+in numpy. All labelled documents are learned from, whatever their length: they are dealt by hash over two halves and parts
+of about PART_ROWS, in each epoch every document of a part is in a pair of it (those of a label that the part lacks are
+replaced by that label's mean), and the weights of a half are the means of its parts', by their documents. Each half is
+judged by the weights of the other: of all cuts through these strengths of all labelled documents the one with the fewest
+errors is the threshold. The model is the mean of the halves'. A score is the chance that the document is preferred to one
+that stands at the threshold, shifted so that the threshold itself scores CUT. Features of short texts are chance, so they
 are drawn towards those of good documents: by half at TRUST bytes.
 
-Bounds: TRAIN_ROWS documents of each label, drawn by hash, each of TRAIN_BYTES or fewer, and PAIRS pairs are fitted, in one
-task; the driver and the workers get the weights. Texts are measured in pieces of PIECE bytes; a text's distinct words and
-windows, 8 bytes each, are what a task holds beyond that.
+Bounds: features of labelled documents are written once, their non-zero ones only; a task holds those of one part, or
+CUT_ROWS strengths or so; sums and weights are added up in a stream, and the driver and the workers get the weights. Texts
+are measured in pieces of PIECE bytes; a text's distinct words and windows, 8 bytes each, are what a task holds beyond that.
 """
 
 from __future__ import annotations
@@ -30,11 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import free, held_out
+from .common import discard, durable, free, held_out
 
-TRAIN_ROWS, TRAIN_BYTES, PAIRS, EPOCHS, BATCH = 1500, 1 << 20, 20_000, 6, 200
+PART_ROWS, CUT_ROWS, PAIRS, EPOCHS, STEPS, BATCH = 2048, 1_000_000, 20_000, 6, 600, 200
 CUT, SEED, STEP, RIDGE, PIECE = 0.3, 17, 0.05, 1e-4, 1 << 22
-BUCKETS = 1 << 10
+#: Rows whose features a task has at once, but for a part.
+BUCKETS, SLICE = 1 << 10, 512
 
 #: Class of a byte: letters by case, digits, space, line end, other control, bytes of other letters, each ASCII symbol.
 CLASS = np.zeros(256, np.uint32)
@@ -143,25 +147,46 @@ def long_features(raw: np.ndarray, most: int = PIECE) -> np.ndarray:
 
 def batch_features(raw: np.ndarray, at: np.ndarray) -> "np.ndarray":
     """Yields (i, j, features) of rows i to j."""
-    for i, j in tv.slices(at, 1 << 20):
-        part = raw[at[i] : at[j]]
-        yield i, j, long_features(part) if j == i + 1 and len(part) > PIECE else features(part, at[i : j + 1] - at[i])
+    for low, high in tv.slices(at, 1 << 20):
+        for i in range(low, high, SLICE):
+            j = min(i + SLICE, high)
+            part = raw[at[i] : at[j]]
+            yield i, j, long_features(part) if j == i + 1 and len(part) > PIECE else features(part, at[i : j + 1] - at[i])
+
+
+def descend(left: np.ndarray, right: np.ndarray, batches) -> np.ndarray:
+    """Weights after one step for each of batches (indices into left, indices into right): left is preferred to right."""
+    w, square = np.zeros(left.shape[1]), np.full(left.shape[1], 1e-8)
+    for i, j in batches:
+        d = left[i] - right[j]
+        miss = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))  # chance given to the wrong order
+        g = -(miss @ d) / len(i) + RIDGE * w
+        square += g * g
+        w -= STEP * g / np.sqrt(square)
+    return w
 
 
 def fit_pairs(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, epochs: int = EPOCHS) -> np.ndarray:
     """Weights of the Bradley-Terry model: a good document (y = 1) is preferred to a bad one (y = 0)."""
     rng = np.random.default_rng(SEED)
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    left, right = rng.choice(good, pairs), rng.choice(bad, pairs)
-    w, square = np.zeros(x.shape[1]), np.full(x.shape[1], 1e-8)
-    for _ in range(epochs):
-        for k in np.array_split(rng.permutation(pairs), max(1, pairs // BATCH)):
-            d = x[left[k]] - x[right[k]]
-            miss = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))  # chance given to the wrong order
-            g = -(miss @ d) / len(k) + RIDGE * w
-            square += g * g
-            w -= STEP * g / np.sqrt(square)
-    return w
+    left, right = rng.choice(np.flatnonzero(y == 1), pairs), rng.choice(np.flatnonzero(y == 0), pairs)
+    return descend(x, x, ((left[k], right[k]) for _ in range(epochs) for k in np.array_split(rng.permutation(pairs), max(1, pairs // BATCH))))
+
+
+def rounds(n: int, m: int):
+    """Pairs (of n, of m) in batches, anew for each epoch: in every one each of both sides is in a pair, those of the smaller
+    side in several. As many epochs as make STEPS steps, two at least."""
+    rng, most = np.random.default_rng(SEED), max(n, m)
+    batches = max(1, most // BATCH)
+    for _ in range(max(2, -(-STEPS // batches))):
+        i, j = np.resize(rng.permutation(n), most), np.resize(rng.permutation(m), most)
+        yield from zip(np.array_split(i, batches), np.array_split(j, batches), strict=True)
+
+
+def fit_part(z: np.ndarray, y: np.ndarray, means: dict[int, np.ndarray]) -> np.ndarray:
+    """Weights from all rows of a part; means stand for the rows of a label that it lacks."""
+    good, bad = (z[y == k] if (y == k).any() else means[k][None] for k in (1, 0))
+    return descend(good, bad, rounds(len(good), len(bad)))
 
 
 def threshold(strength: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
@@ -181,19 +206,26 @@ def _standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return (x[:, :-1] - mean) / scale * x[:, -1:]
 
 
-def train(x: np.ndarray, y: np.ndarray, share: dict[int, float]) -> tuple | None:
-    """(mean, scale, weights, threshold) from features and labels; share: of each label among all that are labelled."""
-    if len(set(y.tolist())) < 2:
-        return None
-    mean, scale = x[y == 1, :-1].mean(0), x[:, :-1].std(0) + 0.02
-    z = _standard(x, mean, scale)
-    aside = np.random.default_rng(SEED).permutation(len(y)) % 4 == 0
-    if any(k not in y[m] for k in (0, 1) for m in (aside, ~aside)):
-        aside = np.zeros(len(y), bool)
-    w = fit_pairs(z[~aside], y[~aside])
-    kept = aside if aside.any() else ~aside
-    weight = np.where(y[kept] == 1, share[1] / (y[kept] == 1).sum(), share[0] / (y[kept] == 0).sum())
-    return mean, scale, w, threshold(z[kept] @ w, y[kept], weight)
+def cuts(s: np.ndarray, y: np.ndarray) -> tuple[int, int, float, float | None]:
+    """Of sorted strengths of one range: good less bad ones in all, the least of that below a cut behind one of them, and the
+    strengths on both sides of the middle one of such cuts; None is where the next range begins."""
+    below = np.cumsum(np.where(y == 1, 1, -1))
+    whole = np.append(np.flatnonzero(s[1:] != s[:-1]), len(s) - 1)
+    best = whole[below[whole] == below[whole].min()]
+    k = int(best[len(best) // 2])
+    return int(below[-1]), int(below[k]), float(s[k]), float(s[k + 1]) if k + 1 < len(s) else None
+
+
+def best_cut(ranges: list[tuple]) -> float:
+    """The cut with the fewest errors from (first strength, *cuts) of consecutive ranges."""
+    found, total = [(0, ranges[0][0] - 1)], 0
+    for k, (_, all_, least, low, high) in enumerate(ranges):
+        if high is None:
+            high = ranges[k + 1][0] if k + 1 < len(ranges) else low + 2
+        found.append((total + least, (low + high) / 2))
+        total += all_
+    best = [cut for errors, cut in found if errors == min(e for e, _ in found)]
+    return float(best[len(best) // 2])
 
 
 def scores(model: tuple | None, x: np.ndarray) -> np.ndarray:
@@ -203,35 +235,115 @@ def scores(model: tuple | None, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(_standard(x, mean, scale) @ w - cut + np.log(CUT / (1 - CUT)), -700, 700)))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple | None:
-    """Trains on the sample, in one task; only the model travels to the driver."""
+def _rows(*columns: pa.Array) -> np.ndarray:
+    """Features from their places and values."""
+    x = np.zeros((len(columns[0]), WIDTH))
+    for k, (i, v) in enumerate(zip(*(c.to_pylist() for c in columns), strict=True)):
+        x[k, np.frombuffer(i, np.uint16)] = np.frombuffer(v, np.float32)
+    return x
+
+
+def _sliced(batches):
+    """Batches of SLICE rows at most."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, SLICE):
+            yield batch.slice(i, SLICE)
+
+
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, good, at, x): labels and features of all documents that may be learned from, the non-zero features and their
+    places. Of rows that share a doc_id one is used."""
     known = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.min((F.col("quality") > 0).cast("int")).alias("__good")).where(~held_out("__id"))
-    sizes = {r["__good"]: r["n"] for r in known.groupBy("__good").agg(F.count("*").alias("n")).collect()}
-    if len(sizes) < 2:
-        return None
-    draw = F.when(F.col("__good") > 0, min(1.0, TRAIN_ROWS / sizes[1])).otherwise(min(1.0, TRAIN_ROWS / sizes[0]))
-    chosen = known.where(F.pmod(F.xxhash64("__id", F.lit(SEED)), F.lit(1_000_000)) < draw * 1_000_000)
 
     def measure(batches):
         for batch in batches:
-            raw, at = tv.buffers(batch.column(1))
-            found = [f.astype(np.float32) for _, _, f in batch_features(raw, at)]
-            x = np.concatenate(found) if found else np.zeros((0, WIDTH), np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["good", "x"])
-
-    def learn(batches):
-        rows = sorted((y, x) for b in batches for y, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-        if rows:
-            x, y = np.array([np.frombuffer(x, np.float32) for _, x in rows], float), np.array([y for y, _ in rows])
-            model = train(x, y, {k: n / sum(sizes.values()) for k, n in sizes.items()})
-            if model:
-                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
-
-    # at most about 2 * TRAIN_ROWS rows; of rows that share a doc_id one is used
-    short = docs.select("doc_id", "text").where(F.octet_length("text") <= TRAIN_BYTES)
-    picked = short.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).groupBy("doc_id").agg(F.min("__good").alias("good"), F.min("text").alias("text"))
-    found = picked.select("good", "text").mapInArrow(measure, "good int, x binary").repartition(1).mapInArrow(learn, "model binary").first()
-    return pickle.loads(found["model"]) if found else None
+            raw, at = tv.buffers(batch.column(2))
+            places, values = [], []
+            for _, _, found in batch_features(raw, at):
+                for x in found.astype(np.float32):
+                    i = np.flatnonzero(x)
+                    places.append(i.astype(np.uint16).tobytes())
+                    values.append(x[i].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(places, pa.binary()), pa.array(values, pa.binary())], names=["doc_id", "good", "at", "x"])
+
+    picked = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("__id")).groupBy("doc_id").agg(F.min("__good").alias("good"), F.min("text").alias("text"))
+    return picked.select(F.col("doc_id").cast("long"), "good", "text").mapInArrow(measure, "doc_id long, good int, at binary, x binary")
+
+
+def _added(parts: DataFrame) -> list:
+    """Rows (key, n, v) with the sums of n and of the vectors v, added up in a stream."""
+
+    def add(batches):
+        sums: dict[int, list] = {}
+        for batch in batches:
+            for key, n, v in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                s = sums.setdefault(key, [0, 0.0])
+                s[0], s[1] = s[0] + n, s[1] + np.frombuffer(v)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([s[0] for s in sums.values()], pa.int64()), pa.array([s[1].tobytes() for s in sums.values()], pa.binary())], names=["key", "n", "v"])
+
+    few = parts.mapInArrow(add, "key int, n long, v binary").repartition(1)
+    return few.sortWithinPartitions("key", "n", "v").mapInArrow(add, "key int, n long, v binary").collect()
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple | None:
+    """Trains on all labelled documents outside the held-out fifth, part by part; only sums and weights reach the driver."""
+    rows = durable(labelled(docs, labels), "features")
+
+    def moments(batches):
+        for batch in _sliced(batches):
+            y, x = batch.column(1).to_numpy(), _rows(batch.column(2), batch.column(3))
+            for k in (0, 1):
+                if (y == k).any():
+                    own, trust = x[y == k, :-1], x[y == k, -1:]
+                    v = np.concatenate((own.sum(0), (own * own).sum(0), (own * trust).sum(0), trust.sum(0)))
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([len(own)], pa.int64()), pa.array([v.tobytes()], pa.binary())], names=["key", "n", "v"])
+
+    try:
+        sums = {r["key"]: (r["n"], np.frombuffer(r["v"])) for r in _added(rows.mapInArrow(moments, "key int, n long, v binary"))}
+        if len(sums) < 2:
+            return None
+        m, total = WIDTH - 1, sum(n for n, _ in sums.values())
+        mean = sums[1][1][:m] / sums[1][0]
+        first, second = (sum(v[k * m : (k + 1) * m] for _, v in sums.values()) / total for k in (0, 1))
+        scale = np.sqrt(np.maximum(second - first * first, 0)) + 0.02
+        means = {k: (v[2 * m : 3 * m] - mean * v[3 * m]) / scale / n for k, (n, v) in sums.items()}  # of _standard
+
+        def learn(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+            table = table.sort_by("doc_id")
+            y, z = table.column("good").to_numpy(), np.zeros((len(table), m), np.float32)
+            for i in range(0, len(table), SLICE):
+                some = table.slice(i, SLICE)
+                z[i : i + SLICE] = _standard(_rows(some.column("at"), some.column("x")), mean, scale)
+            w = fit_part(z, y, means) * len(y)
+            return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([len(y)], pa.int64()), pa.array([w.tobytes()], pa.binary())], names=["key", "n", "v"])
+
+        half = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(2)).cast("int").alias("half")
+        part = F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(-(-total // (2 * PART_ROWS)))).alias("part")
+        parts = rows.select(half, part, "doc_id", "good", "at", "x").groupBy("half", "part").applyInArrow(learn, "key int, n long, v binary")
+        halves = {r["key"]: np.frombuffer(r["v"]) / r["n"] for r in _added(parts)}
+        judges = {k: halves.get(1 - k, halves[k]) for k in halves}  # one row in all halves of a tiny corpus has no other judge
+
+        def judge(batches):
+            for batch in _sliced(batches):
+                z, of = _standard(_rows(batch.column(2), batch.column(3)), mean, scale), batch.column(0).to_numpy()
+                s = np.zeros(len(z))
+                for k, w in judges.items():
+                    s[of == k] = z[of == k] @ w
+                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(s)], names=["good", "s"])
+
+        def search(batches):
+            some = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+            if some:
+                y, s = (np.concatenate(x) for x in zip(*some, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array([x]) if x is not None else pa.nulls(1, pa.float64()) for x in (float(s[0]), *cuts(s, y))], names=["first", "all", "least", "low", "high"])
+
+        strengths = rows.select(half, "good", "at", "x").mapInArrow(judge, "good int, s double")
+        dealt = strengths.repartitionByRange(total // CUT_ROWS + 1, "s") if total > CUT_ROWS else strengths.repartition(1)
+        ranges = dealt.sortWithinPartitions("s", "good").mapInArrow(search, "first double, all long, least long, low double, high double").collect()
+        return mean, scale, sum(halves.values()) / len(halves), best_cut(sorted(map(tuple, ranges), key=lambda r: r[0]))
+    finally:
+        discard(rows)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -218,3 +218,55 @@ def test_pieces_of_a_text_add_up(piece):
         text = "".join(rng.choice(["a", "é", "B", " ", "  ", "1\n", "zz"]) for _ in range(n))
         counts = langid.bucket_counts(np.frombuffer(text.lower().encode(), np.uint8), piece)
         assert {int(k): int(counts[k]) for k in np.flatnonzero(counts)} == (dict(plain_grams(text)) if n else {})
+
+
+# --- 12: everything that is labelled is learned from
+
+
+def test_pairrank_uses_every_labelled_document(spark, monkeypatch):
+    from glyphspark.llm import pairrank
+
+    monkeypatch.setattr(pairrank, "PART_ROWS", 300)
+    texts = lambda i: ("The river walked on until green stone." if i % 3 else "|| $$ 7 && ## 7") + f" {i % 7}"
+    rows = [(i, texts(i)) for i in range(4000)] + [(4001, "A long one. " * 100_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 3 > 0 OR doc_id = 4001 AS INT) AS quality")
+    found = pairrank.labelled(docs, labels).collect()
+    free_ids = {r.doc_id for r in labels.where(~pairrank.held_out("doc_id")).collect()}
+    assert len(free_ids) > 2 * 1500 and {r.doc_id for r in found} == free_ids and 4001 in free_ids
+    mean = pairrank.fit(docs, labels)[0]
+    x = pairrank._rows(*(pairrank.pa.array([r[c] for r in found if r.good], pairrank.pa.binary()) for c in ("at", "x")))
+    assert np.allclose(mean, x[:, :-1].mean(0), atol=1e-6)
+    out = pairrank.score_documents(docs, labels).join(labels, "doc_id").where("predicted <> quality AND doc_id < 4000").count()
+    assert out == 0
+
+
+@pytest.mark.parametrize(("n", "m"), [(700, 3), (1, 900), (5, 5)])
+def test_pairrank_pairs_hold_every_row_in_each_epoch(n, m):
+    from glyphspark.llm import pairrank
+
+    left, right = (set() for _ in range(2))
+    size = 0
+    for i, j in pairrank.rounds(n, m):
+        assert len(i) == len(j)
+        left.update(i.tolist())
+        right.update(j.tolist())
+        size += len(i)
+        if size == max(n, m):
+            assert left == set(range(n)) and right == set(range(m))
+            left, right, size = set(), set(), 0
+    assert size == 0
+
+
+def test_pairrank_cut_of_ranges():
+    from glyphspark.llm import pairrank
+
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        s = np.sort(rng.integers(0, 12, rng.integers(1, 40)).astype(float))
+        y = rng.integers(0, 2, len(s))
+        errors = lambda cut: ((s < cut) & (y == 1)).sum() + ((s > cut) & (y == 0)).sum()
+        ends = [k for k in np.flatnonzero(np.diff(s)) + 1 if rng.random() < 0.4]
+        ranges = [(float(a[0]), *pairrank.cuts(a, b)) for a, b in zip(np.split(s, ends), np.split(y, ends))]
+        cut = pairrank.best_cut(ranges)
+        assert cut not in s and errors(cut) == min(errors(c) for c in np.append(s + 0.5, s[0] - 1))
