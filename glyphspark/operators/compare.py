@@ -12,6 +12,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -143,10 +144,41 @@ def compare(source: str, target: str, mode: str = "word") -> dict:
 RESULT = "segments array<struct<kind:string,value:string>>, equal_tokens long, removed_tokens long, added_tokens long, modifications long, removals long, additions long, unchanged_words long, source_words long, target_words long, changed_words long, similarity double"
 
 
-def compare_columns(source: Column, target: Column, mode: str = "word") -> Column:
-    @F.pandas_udf(RESULT)
-    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([compare(x, y, mode) for x, y in zip(a, b, strict=True)])
+#: Segments that are Python objects at once, about.
+HELD = 1 << 14
+
+
+def compare_batch(source: pa.Array, target: pa.Array, mode: str, segments: bool) -> pa.Array:
+    """RESULT of many pairs; segments leave Python's memory as they are made."""
+    done, kinds, values, ends, numbers = [], [], [], [0], []
+
+    def flush() -> None:
+        done.append(pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=["kind", "value"]))
+        kinds.clear()
+        values.clear()
+
+    for a, b in zip(source, target, strict=True):
+        found = compare(a.as_py(), b.as_py(), mode)
+        runs = found.pop("segments") if segments else found.pop("segments")[:0]
+        kinds += [s["kind"] for s in runs]
+        values += [s["value"] for s in runs]
+        ends.append(ends[-1] + len(runs))
+        numbers.append(tuple(found.values()))
+        if len(kinds) > HELD:
+            flush()
+    flush()
+    columns = list(zip(*numbers, strict=True)) or [()] * 11
+    arrays = [pa.array(x, pa.int64()) for x in columns[:-1]] + [pa.array(columns[-1], pa.float64())]
+    names = ["segments", "equal_tokens", "removed_tokens", "added_tokens", "modifications", "removals", "additions", "unchanged_words", "source_words", "target_words", "changed_words", "similarity"]
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(done)), *arrays], names=names)
+
+
+def compare_columns(source: Column, target: Column, mode: str = "word", segments: bool = True) -> Column:
+    """Struct column RESULT of the two texts of a row; without segments that list is empty."""
+
+    @F.arrow_udf(RESULT)
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return compare_batch(a, b, mode, segments)
 
     return run(source, target)
 
