@@ -18,14 +18,24 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, BooleanType, DateType, NumericType, StringType, StructType, TimestampNTZType, TimestampType
 
 from .manifest import Manifests
 
-#: Rows of a file, about.
-FILE_ROWS = 1_000_000
+#: Rows of a file, and bytes of them in memory, about: a task that writes one sorts these.
+FILE_ROWS, FILE_BYTES = 1_000_000, 1 << 25
 
 Rule = Callable[[DataFrame, DataFrame], DataFrame]
+FIXED = (NumericType, BooleanType, DateType, TimestampType, TimestampNTZType)
+
+
+def width(columns: StructType) -> Column:
+    """Bytes of a row in memory, about: text compresses so well in files that their size says little."""
+    out = F.lit(16 * len(columns) + 16).cast("long")
+    for f in columns:
+        if not isinstance(f.dataType, FIXED):
+            out += F.coalesce(F.octet_length(F.col(f.name) if isinstance(f.dataType, (StringType, BinaryType)) else F.to_json(F.struct(f.name))), F.lit(0))
+    return out
 
 
 class StoredTable:
@@ -44,7 +54,7 @@ class StoredTable:
         return self.manifests.newest()
 
     def state(self, version: int | None = None) -> dict:
-        """files: {name: {rows, low, high, nulls}}, columns, batches: {writer: last number}."""
+        """files: {name: {rows, bytes, low, high, nulls}}, columns, batches: {writer: last number}."""
         version = self.version() if version is None else version
         return self.manifests.load(version) if version else {"files": {}, "columns": self.columns.jsonValue(), "batches": {}}
 
@@ -161,17 +171,18 @@ class StoredTable:
         """rows in the columns of the table; columns that they lack are null."""
         return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromJson(state["columns"])])
 
-    def _write(self, rows: DataFrame, most: int) -> dict:
-        """Writes rows, most or fewer, by ranges of the key; {file: rows, low, high, nulls}."""
+    def _write(self, rows: DataFrame, most: int, size: int) -> dict:
+        """Writes rows, most or fewer of about so many bytes, by ranges of the key; {file: rows, bytes, low, high, nulls}."""
         folder = f"data/{uuid.uuid4().hex}"
-        files = max(1, round(most / self.file_rows))
-        dealt = rows.repartitionByRange(files, *self.keys) if files > 1 else rows.coalesce(1)
+        files = max(1, round(most / self.file_rows), -(-size // FILE_BYTES))
+        # one file too gets an exchange: without it all work ahead of the sort would run in its one task
+        dealt = rows.repartitionByRange(files, *self.keys) if files > 1 else rows.repartition(1)
         dealt.sortWithinPartitions(self.keys[0], *self.order, *self.keys[1:]).write.parquet(f"{self.root}/{folder}")
         key = F.col(self.keys[0])
         there = self.spark.read.schema(rows.schema).parquet(f"{self.root}/{folder}")
         name = F.concat(F.lit(f"{folder}/"), there.metadataColumn("_metadata")["file_name"])
-        stats = there.select(*self.keys, name.alias("__name")).groupBy("__name").agg(F.count("*"), F.min(key), F.max(key), F.bool_or(key.isNull()))
-        return {r[0]: {"rows": r[1], "low": r[2], "high": r[3], "nulls": r[4]} for r in stats.collect()}
+        stats = there.select(*self.keys, width(rows.schema).alias("__width"), name.alias("__name")).groupBy("__name").agg(F.count("*"), F.sum("__width"), F.min(key), F.max(key), F.bool_or(key.isNull()))
+        return {r[0]: {"rows": r[1], "bytes": r[2], "low": r[3], "high": r[4], "nulls": r[5]} for r in stats.collect()}
 
     def _change(self, changes: DataFrame, make: Callable[[dict, DataFrame], tuple[list[str], DataFrame]], writer: str | None, batch: int | None) -> int:
         if (writer is None) != (batch is None):
@@ -183,7 +194,7 @@ class StoredTable:
         changes.write.parquet(f"{self.root}/{staging}")  # read more than once below, and by every attempt
         try:
             staged = self.spark.read.schema(changes.schema).parquet(f"{self.root}/{staging}")
-            n = staged.count()
+            n, size = staged.agg(F.count("*"), F.coalesce(F.sum(width(changes.schema)), F.lit(0))).first()
             if not n and writer is None:
                 return base
             while True:
@@ -192,7 +203,8 @@ class StoredTable:
                 if writer is not None and state["batches"].get(writer, -1) >= batch:
                     return base
                 gone, rows = make(state, staged) if n else ([], staged)
-                new = self._write(rows, n + sum(state["files"][f]["rows"] for f in gone)) if n else {}
+                old = [state["files"][f] for f in gone]
+                new = self._write(rows, n + sum(f["rows"] for f in old), size + sum(f.get("bytes", 0) for f in old)) if n else {}
                 files = {n: f for n, f in state["files"].items() if n not in gone} | new
                 content = {"version": base + 1, "columns": state["columns"], "files": files, "batches": state["batches"] | ({writer: batch} if writer is not None else {})}
                 if self.manifests.commit(base + 1, content):

@@ -118,3 +118,23 @@ def test_concurrent_writers_lose_no_count(spark, table):
     for x in threads:
         x.join()
     assert [(r.k, r.n) for r in table.read().orderBy("k").collect()] == [(1, 9), (2, 3), (3, 3), (4, 3)] and table.version() == 9
+
+
+def test_files_are_sized_by_bytes(spark, tmp_path, monkeypatch):
+    """Wide rows went to one file, and so through one task, up to a million and a half of them."""
+    from glyphspark.storage import tables
+
+    monkeypatch.setattr(tables, "FILE_BYTES", 1 << 16)
+    t = StoredTable(spark, str(tmp_path / "wide"), "k long, text string, more array<string>", ("k",))
+    made = spark.range(300).select(F.col("id").alias("k"), F.repeat(F.lit("note "), 200).alias("text"), F.array(F.lit("x"), F.lit("y")).alias("more"))
+    t.upsert(made)
+    files = t.state()["files"]
+    assert 4 <= len(files) <= 6 and all(40_000 < f["bytes"] < 120_000 for f in files.values())
+    t.upsert(made.where("k < 3").withColumn("text", F.lit("y" * 70_000)))
+    assert len(t.state()["files"]) > len(files) and sorted((r.k, r.text[0]) for r in t.read().collect()) == [(k, "y" if k < 3 else "n") for k in range(300)]
+
+
+def test_one_file_is_not_made_by_one_task(spark, tmp_path):
+    t = StoredTable(spark, str(tmp_path / "one"), "k long, part int", ("k",))
+    made = t._write(spark.range(0, 100, 1, 4).select(F.col("id").alias("k"), F.spark_partition_id().alias("part")), 100, 100)
+    assert len(made) == 1 and t._frame({"columns": t.columns.jsonValue()}, list(made)).select("part").distinct().count() == 4
