@@ -64,7 +64,7 @@ def test_stages_of_a_batch(spark):
 
 def test_plain_stretches_are_not_looked_at(monkeypatch):
     """A trace took a list for each token of every text; now only what stands near a sign is looked at, once."""
-    made, looked = tc.rewriter(Encoding("bijoy", "", registry.get("bijoy").rules, registry.bijoy_post)), []
+    made, looked = tc.rewriter(Encoding("apart", "", registry.get("bijoy").rules, registry.bijoy_post)), []
     stretch = made._stretch
     monkeypatch.setattr(made, "_stretch", lambda ids: looked.append(len(ids)) or stretch(ids))
     (x,) = made.lines(["KLM" * 10_000 + "wK" + "KLM" * 10_000] * 2)
